@@ -62,11 +62,11 @@ def slices(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, inverse: int
     return (prefix[end] - prefix[start]) * powers(inverse, len(prefix))[start]
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, lut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offsets: np.ndarray, lut: np.ndarray, heads: tuple[int, ...] = ()) -> tuple[np.ndarray, ...]:
     """Hash of each word and the number of words before each text (n + 1).
 
     lut maps a byte to the byte hashed in its place, 0 where it separates words. Words never
-    span texts.
+    span texts. For each length in heads a further array has hashes of the words' first bytes.
     """
     seen = lut[data]
     inside = np.zeros(len(data) + 2, bool)
@@ -78,7 +78,9 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lut: np.ndarray) -> tuple
     stops = ~inside[2:] & inside[1:-1]
     stops[cuts - 1] |= inside[cuts]
     end = np.flatnonzero(stops) + 1
-    return mix(slices(prefix_sums(seen), start, end)), np.searchsorted(start, offsets)
+    sums = prefix_sums(seen)
+    cut = [mix(slices(sums, start, np.minimum(end, start + n))) for n in heads]
+    return mix(slices(sums, start, end)), np.searchsorted(start, offsets), *cut
 
 
 def lut_of(is_word, lower_ascii: bool) -> np.ndarray:

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from .sharding import op8_shard_hash_tree
+from .toxicity import op10_toxicity_ftrl
 
 QUERIES = {
     "op8_shard_hash_tree": op8_shard_hash_tree,
+    "op10_toxicity_ftrl": op10_toxicity_ftrl,
 }
 
 ORACLE_SQL: dict[str, str] = {}
