@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from .mixing import op4_mix_entropy_balance
 from .sharding import op8_shard_hash_tree
 from .toxicity import op10_toxicity_ftrl
 
 QUERIES = {
+    "op4_mix_entropy_balance": op4_mix_entropy_balance,
     "op8_shard_hash_tree": op8_shard_hash_tree,
     "op10_toxicity_ftrl": op10_toxicity_ftrl,
 }
