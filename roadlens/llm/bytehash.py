@@ -7,6 +7,8 @@ P[i] = sum(b[j] * M**j, j < i) modulo 2**64 and an odd M, any slice's hash is
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 
@@ -52,6 +54,19 @@ def buffer_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
+def in_slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about `limit` bytes of text each (one text may be longer).
+
+    Hashing takes some tens of bytes of memory for each byte of text, whatever Arrow's batch size.
+    """
+    _, at = buffer_of(batch.column(batch.schema.get_field_index(column)))
+    start = 0
+    while start < batch.num_rows:
+        end = max(start + 1, int(np.searchsorted(at, at[start] + limit, "right")) - 1)
+        yield batch.slice(start, end - start)
+        start = end
+
+
 def prefix_sums(data: np.ndarray, base: int = MULTIPLIER) -> np.ndarray:
     out = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(base, len(data)), out=out[1:])

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytehash import buffer_of, lut_of, mix, word_hashes
+from .bytehash import buffer_of, in_slices, lut_of, mix, word_hashes
 from ..shipping import ship
 from .common import table
 
@@ -68,12 +68,11 @@ def fit(frame: pd.DataFrame, p: Params) -> pd.DataFrame:
     y = frame["toxic"].to_numpy(float)
     n_of = {c: (y == c).sum() + 0.5 for c in (0.0, 1.0)}
     prior = np.log(n_of[1.0] / n_of[0.0])
-    slots: list[list[np.ndarray]] = [[] for _ in y]
-    for slot, own in features(pa.array(frame["text"], pa.large_string()), p.bits):
-        cuts = np.searchsorted(own, np.arange(len(y) + 1))
-        for i in range(len(y)):
-            slots[i].append(slot[cuts[i] : cuts[i + 1]])
-    seen = [np.unique(np.concatenate([*s, [size - 1]])).astype(np.int64) for s in slots]
+    seen: list[np.ndarray] = []
+    for part in in_slices(pa.RecordBatch.from_pydict({"text": pa.array(frame["text"], pa.large_string())}), "text"):
+        found = [(slot, np.searchsorted(own, np.arange(part.num_rows + 1))) for slot, own in features(part.column(0), p.bits)]
+        for i in range(part.num_rows):
+            seen.append(np.unique(np.concatenate([*(slot[at[i] : at[i + 1]] for slot, at in found), [size - 1]])).astype(np.int64))
     count = np.zeros(size)
     for x in seen:
         count[x] += 1
@@ -144,7 +143,7 @@ def score(docs: DataFrame, weights: np.ndarray, p: Params = Params(), text: str
         at, value, bias = model.value
         rank = np.zeros(1 << p.bits, np.int32)
         rank[at] = np.arange(1, len(at) + 1)
-        for batch in batches:
+        for batch in (part for whole in batches for part in in_slices(whole, text)):
             total = np.full(batch.num_rows, bias)
             met = []
             for slot, own in features(batch.column(batch.schema.get_field_index(text)), p.bits):
