@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from .bpe import op1_bpe_chunk_reuse
 from .mixing import op4_mix_entropy_balance
 from .sharding import op8_shard_hash_tree
 from .toxicity import op10_toxicity_ftrl
 
 QUERIES = {
+    "op1_bpe_chunk_reuse": op1_bpe_chunk_reuse,
     "op4_mix_entropy_balance": op4_mix_entropy_balance,
     "op8_shard_hash_tree": op8_shard_hash_tree,
     "op10_toxicity_ftrl": op10_toxicity_ftrl,
