@@ -5,13 +5,17 @@ from __future__ import annotations
 from .bpe import op1_bpe_chunk_reuse
 from .mixing import op4_mix_entropy_balance
 from .sharding import op8_shard_hash_tree
+from .topk import OP7_SQL, op7_topk_norm_buckets
 from .toxicity import op10_toxicity_ftrl
 
 QUERIES = {
     "op1_bpe_chunk_reuse": op1_bpe_chunk_reuse,
     "op4_mix_entropy_balance": op4_mix_entropy_balance,
+    "op7_topk_norm_buckets": op7_topk_norm_buckets,
     "op8_shard_hash_tree": op8_shard_hash_tree,
     "op10_toxicity_ftrl": op10_toxicity_ftrl,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_topk_norm_buckets": OP7_SQL,
+}
