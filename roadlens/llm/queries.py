@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op1_bpe_chunk_reuse
 from .mixing import op4_mix_entropy_balance
+from .quality import op5_quality_decision_list
 from .sharding import op8_shard_hash_tree
 from .topk import OP7_SQL, op7_topk_norm_buckets
 from .toxicity import op10_toxicity_ftrl
@@ -11,11 +12,13 @@ from .toxicity import op10_toxicity_ftrl
 QUERIES = {
     "op1_bpe_chunk_reuse": op1_bpe_chunk_reuse,
     "op4_mix_entropy_balance": op4_mix_entropy_balance,
+    "op5_quality_decision_list": op5_quality_decision_list,
     "op7_topk_norm_buckets": op7_topk_norm_buckets,
     "op8_shard_hash_tree": op8_shard_hash_tree,
     "op10_toxicity_ftrl": op10_toxicity_ftrl,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_quality_decision_list": op5_quality_decision_list,
     "op7_topk_norm_buckets": OP7_SQL,
 }
