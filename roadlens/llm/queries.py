@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op1_bpe_chunk_reuse
+from .line_dedup import op2_line_dedup_minhash
 from .mixing import op4_mix_entropy_balance
 from .quality import op5_quality_decision_list
 from .sharding import op8_shard_hash_tree
@@ -11,6 +12,7 @@ from .toxicity import op10_toxicity_ftrl
 
 QUERIES = {
     "op1_bpe_chunk_reuse": op1_bpe_chunk_reuse,
+    "op2_line_dedup_minhash": op2_line_dedup_minhash,
     "op4_mix_entropy_balance": op4_mix_entropy_balance,
     "op5_quality_decision_list": op5_quality_decision_list,
     "op7_topk_norm_buckets": op7_topk_norm_buckets,
