@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,3 +58,23 @@ def bind(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+
+
+#: Bits of a filter of hashes: 4 MB to broadcast, whatever the number of hashes. Where it fills up,
+#: more rows than need be take part in what follows, with the same result.
+FILTER_BITS = 1 << 25
+
+
+def hash_filter(hashes: DataFrame) -> np.ndarray:
+    """Bit array of FILTER_BITS bits with the places of the hashes in column h set."""
+    place = F.col("h").bitwiseAND(FILTER_BITS - 1)
+    words = hashes.select(F.shiftright(place, 6).alias("w"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("m"))
+    rows = words.groupBy("w").agg(F.bit_or("m").alias("m")).toPandas()  # at most FILTER_BITS / 64 rows
+    bits = np.zeros(FILTER_BITS // 64, np.int64)
+    bits[rows["w"].to_numpy(np.int64)] = rows["m"].to_numpy(np.int64)
+    return bits
+
+
+def hits(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    place = h & (FILTER_BITS - 1)
+    return (bits[place >> 6] >> (place & 63)) & 1 == 1

@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe import op1_bpe_chunk_reuse
 from .line_dedup import op2_line_dedup_minhash
 from .mixing import op4_mix_entropy_balance
+from .ngram_join import op9_ngram_jaccard_join
 from .quality import op5_quality_decision_list
 from .sharding import op8_shard_hash_tree
 from .topk import OP7_SQL, op7_topk_norm_buckets
@@ -17,6 +18,7 @@ QUERIES = {
     "op5_quality_decision_list": op5_quality_decision_list,
     "op7_topk_norm_buckets": op7_topk_norm_buckets,
     "op8_shard_hash_tree": op8_shard_hash_tree,
+    "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_toxicity_ftrl": op10_toxicity_ftrl,
 }
 
