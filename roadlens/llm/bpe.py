@@ -21,17 +21,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..shipping import ship
-from .bytehash import buffer_of, in_slices, mix, powers, prefix_sums, slices
-from .bytehash import INVERSE
-from .common import durable, table
+from .bytehash import INVERSE, buffer_of, in_slices, mix, powers, prefix_sums, slices
+from .common import durable, hash_filter, hits, table
 
 # Fixed value: the split pattern of byte-level BPE files with "use_regex".
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Bytes that the rolling hash sees; one place in MASK + 1 is a cut, and cuts are LEAST bytes apart.
 WINDOW, MASK, LEAST = 24, (1 << 10) - 1, 64
-#: Bits of the filter of shared chunks: 4 MB to broadcast, whatever the corpus. Where it fills up,
-#: more chunks than need be take the shared way, with the same result.
-FILTER_BITS = 1 << 25
 
 
 def default_tokenizer() -> str:
@@ -137,6 +133,60 @@ def assemble(raw: bytes, pieces: list[tuple[int, int, list[int] | None]], vocab:
     return ids
 
 
+class PieceEncoder:
+    """Encodes whole columns of texts by their distinct pieces between safe places.
+
+    Pieces met before in this worker come from a table of at most LIMIT pieces.
+    """
+
+    LIMIT = 1_000_000
+    _of: dict[str, PieceEncoder] = {}
+
+    def __init__(self, path: str):
+        self.vocab = vocabulary(path)
+        self._clear()
+
+    @classmethod
+    def of(cls, path: str) -> PieceEncoder:
+        if path not in cls._of:
+            cls._of[path] = cls(path)
+        return cls._of[path]
+
+    def _clear(self) -> None:
+        self._row: dict[int, int] = {}
+        self._begin, self._size = [], []
+        self._ids: list[int] = []
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids end to end, where each text's begin (n + 1), and each text's bytes."""
+        data, offsets = buffer_of(column)
+        space, visible = np.zeros(256, bool), np.zeros(256, bool)
+        space[[32, 9, 10, 13]], visible[0x21:0x7F] = True, True
+        cuts = np.flatnonzero(space[data[1:]] & visible[data[:-1]]) + 1
+        special = any(pa.compute.any(pa.compute.match_substring(column, t)).as_py() for t in self.vocab.special)
+        starts = offsets if special else np.union1d(cuts, offsets)
+        h = mix(slices(prefix_sums(data), starts[:-1], starts[1:]) + np.diff(starts).astype(np.uint64))
+        found, first, where = np.unique(h, return_index=True, return_inverse=True)
+        if len(self._row) + len(found) > self.LIMIT:
+            self._clear()
+        rows = np.empty(len(found), np.int64)
+        raw = data.tobytes()
+        for k, (x, i) in enumerate(zip(found.tolist(), first.tolist(), strict=True)):
+            row = self._row.get(x)
+            if row is None:
+                ids = self.vocab.encode(raw[starts[i] : starts[i + 1]].decode())
+                row = self._row[x] = len(self._begin)
+                self._begin.append(len(self._ids))
+                self._size.append(len(ids))
+                self._ids += ids
+            rows[k] = row
+        begin, size = np.array(self._begin, np.int64)[rows][where], np.array(self._size, np.int64)[rows][where]
+        after = np.cumsum(size)
+        flat = np.array(self._ids, self.vocab.dtype)[np.repeat(begin - after + size, size) + np.arange(after[-1] if len(after) else 0)]
+        at = np.concatenate([[0], after])[np.searchsorted(starts, offsets)]
+        return flat, at, np.diff(offsets)
+
+
 def shared_chunks(docs: DataFrame, text: str = "text") -> DataFrame:
     """h, the hash of every chunk that stands at two places of the corpus or more."""
 
@@ -148,21 +198,6 @@ def shared_chunks(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(text).mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
 
 
-def chunk_filter(shared: DataFrame) -> np.ndarray:
-    """Bit array of FILTER_BITS bits with those of the shared hashes set."""
-    place = F.col("h").bitwiseAND(FILTER_BITS - 1)
-    words = shared.select(F.shiftright(place, 6).alias("w"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("m"))
-    rows = words.groupBy("w").agg(F.bit_or("m").alias("m")).toPandas()  # at most FILTER_BITS / 64 rows
-    bits = np.zeros(FILTER_BITS // 64, np.int64)
-    bits[rows["w"].to_numpy(np.int64)] = rows["m"].to_numpy(np.int64)
-    return bits
-
-
-def _hits(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    place = h & (FILTER_BITS - 1)
-    return (bits[place >> 6] >> (place & 63)) & 1 == 1
-
-
 def encode(docs: DataFrame, text: str = "text", to: str = "ids", tokenizer: str | None = None) -> DataFrame:
     """docs without text and with the token ids of each whole text as an array.
 
@@ -175,13 +210,13 @@ def encode(docs: DataFrame, text: str = "text", to: str = "ids", tokenizer: str
     docs = docs.drop(to) if to != text else docs
     others = [c for c in docs.columns if c != text]
     docs = docs.select(*[F.col(f"`{c}`") for c in others], F.col(text).alias(text))
-    shared = spark.sparkContext.broadcast(chunk_filter(shared_chunks(docs, text)))
+    shared = spark.sparkContext.broadcast(hash_filter(shared_chunks(docs, text)))
     out_schema = T.StructType([*docs.select(*[f"`{c}`" for c in others]).schema.fields, T.StructField(to, T.ArrayType(T.IntegerType()))])
 
     def marked(batch: pa.RecordBatch):
         """The chunks of a batch, and for each text whether it holds a shared chunk."""
         data, starts, h, at = _chunks(batch, text)
-        hit = _hits(shared.value, h)
+        hit = hits(shared.value, h)
         many = np.add.reduceat(np.append(hit, False), np.minimum(at[:-1], len(hit)))
         has = np.where(np.diff(at) > 0, many, 0) > 0
         special = vocabulary(path).special

@@ -8,12 +8,14 @@ from .mixing import op4_mix_entropy_balance
 from .ngram_join import op9_ngram_jaccard_join
 from .quality import op5_quality_decision_list
 from .sharding import op8_shard_hash_tree
+from .token_output import op3_token_shards_feistel
 from .topk import OP7_SQL, op7_topk_norm_buckets
 from .toxicity import op10_toxicity_ftrl
 
 QUERIES = {
     "op1_bpe_chunk_reuse": op1_bpe_chunk_reuse,
     "op2_line_dedup_minhash": op2_line_dedup_minhash,
+    "op3_token_shards_feistel": op3_token_shards_feistel,
     "op4_mix_entropy_balance": op4_mix_entropy_balance,
     "op5_quality_decision_list": op5_quality_decision_list,
     "op7_topk_norm_buckets": op7_topk_norm_buckets,
