@@ -150,6 +150,19 @@ def mix_counts(docs: DataFrame, key: str = "doc_id", source: str = "source", tex
     return round_to_copies(rated, key).drop("s")
 
 
+def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
+    """docs with each row as often as the mix takes it, none to MAX_COPIES times.
+
+    Rows that repeat key and text get the copies of their like one by one.
+    """
+    body = F.coalesce(F.col(text), F.lit("\0null"))
+    named = docs.withColumn("_id", F.unhex(F.md5(F.concat_ws("\0", F.coalesce(F.col(key).cast("string"), F.lit("null")), body).cast("binary"))))
+    counts = mix_counts(named, "_id", source, text).groupBy("_id").agg(F.sort_array(F.collect_list("copies"), asc=False).alias("_copies"))
+    joined = named.join(counts, "_id").withColumn("_i", F.row_number().over(Window.partitionBy("_id").orderBy("_id")))
+    taken = joined.withColumn("_n", F.element_at("_copies", F.col("_i"))).where("_n > 0")
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*[f"`{c}`" for c in docs.columns])
+
+
 def op4_mix_entropy_balance(spark, sf_dir: str) -> DataFrame:
     mixed = mix_counts(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))

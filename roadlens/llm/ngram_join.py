@@ -279,5 +279,19 @@ def join_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     )
 
 
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs whose key is their component's smallest; documents without shingles stay.
+
+    Of rows that repeat key and text one stays; rows that share a key with different texts are
+    kept or dropped together, by the key.
+    """
+    found = join_components(docs, key, text)
+    kept = durable(found.where(F.col("component_id").eqNullSafe(F.col(key))).groupBy(key).agg(F.count(F.lit(1)).alias("_n")), "kept")
+    ids = kept.select(F.col(key).alias("_kept"))
+    out = docs.join(ids, F.col(key).eqNullSafe(F.col("_kept")), "left_semi")
+    repeats = (kept.agg(F.max("_n")).first()[0] or 0) > 1
+    return out.dropDuplicates([key, text]) if repeats else out
+
+
 def op9_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return join_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")

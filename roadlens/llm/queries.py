@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op1_bpe_chunk_reuse
+from .fixity import OP6_SQL, op6_warc_merkle_audit
 from .line_dedup import op2_line_dedup_minhash
 from .mixing import op4_mix_entropy_balance
 from .ngram_join import op9_ngram_jaccard_join
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_token_shards_feistel": op3_token_shards_feistel,
     "op4_mix_entropy_balance": op4_mix_entropy_balance,
     "op5_quality_decision_list": op5_quality_decision_list,
+    "op6_warc_merkle_audit": op6_warc_merkle_audit,
     "op7_topk_norm_buckets": op7_topk_norm_buckets,
     "op8_shard_hash_tree": op8_shard_hash_tree,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
@@ -26,5 +28,6 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op5_quality_decision_list": op5_quality_decision_list,
+    "op6_warc_merkle_audit": OP6_SQL,
     "op7_topk_norm_buckets": OP7_SQL,
 }

@@ -162,6 +162,12 @@ def held_out(doc_id: str):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def drop_toxic(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> DataFrame:
+    """The rows of docs that score below p.threshold; only labels outside the held-out part teach."""
+    scored = score(docs, train(docs, labels.where(~held_out("doc_id")), p), p, to="_toxicity")
+    return scored.where(F.col("_toxicity") < p.threshold).drop("_toxicity")
+
+
 def op10_toxicity_ftrl(spark, sf_dir: str) -> DataFrame:
     p = Params()
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
