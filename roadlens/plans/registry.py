@@ -2,5 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import filters  # noqa: F401
+from .base import ORACLE_SQL, QUERIES  # noqa: F401
+
+
+def flagship(spark, sf_dir):
+    return QUERIES["a1_count_crossings"](spark, sf_dir)
