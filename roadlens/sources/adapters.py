@@ -72,7 +72,7 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, label, class and an integer score of each sample for each of ten classes."""
     s = samples(spark, sf_dir)
-    return s.select("id", "label", F.explode(F.sequence(F.lit(0), F.lit(9))).cast("long").alias("class"), "q").select(
+    return s.select("id", "label", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(9).cast("long"))).alias("class"), "q").select(
         "id", "label", "class", (F.element_at("q", (F.col("class") % 8 + 1).cast("int")) + F.when(F.col("class") == F.col("label"), 60).otherwise(0)).cast("long").alias("score")
     )
 
