@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import filters, joins, windows  # noqa: F401
+from . import aggregates, filters, joins, windows  # noqa: F401
 from .base import ORACLE_SQL, QUERIES  # noqa: F401
 
 
