@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import aggregates, filters, joins, ranking, tracking, windows  # noqa: F401
+from . import aggregates, filters, joins, learning, ranking, tracking, windows  # noqa: F401
 from .base import ORACLE_SQL, QUERIES  # noqa: F401
 
 
