@@ -18,17 +18,17 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Of lines equal or alike only the first stays; texts and their lengths change, no row goes."""
     deduped = line_dedup.dedup_lines(docs)
     length = F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return deduped.withColumn("n_chars", length).select(*docs.columns)
+    return deduped.withColumn("n_chars", length).select(*[f"`{c}`" for c in docs.columns])
 
 
 def ngram_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate component stays, that of the smallest doc_id."""
-    return ngram_join.keep_one(docs).select(*docs.columns)
+    return ngram_join.keep_one(docs).select(*[f"`{c}`" for c in docs.columns])
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them."""
-    return mixing.mix(docs).select(*docs.columns)
+    return mixing.mix(docs).select(*[f"`{c}`" for c in docs.columns])
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

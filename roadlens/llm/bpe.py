@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from ..shipping import ship
 from .bytehash import INVERSE, buffer_of, in_slices, mix, powers, prefix_sums, slices
-from .common import durable, hash_filter, hits, table
+from .common import durable, hash_filter, hits, packed, rest_columns, table
 
 # Fixed value: the split pattern of byte-level BPE files with "use_regex".
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -57,19 +57,19 @@ class Vocabulary:
             self.bytes_of[i] = token.encode()
         self.length = [len(x) for x in self.bytes_of]
         self.dtype = np.uint16 if self.size <= 1 << 16 else np.uint32
-        self._plain = tiktoken.Encoding("plain", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.encode_plain = tiktoken.Encoding("plain", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.special_pattern = re.compile("|".join(sorted(map(re.escape, self.special), key=len, reverse=True)) or r"(?!)")
 
     def encode(self, text: str) -> list[int]:
         """As the tokenizers library does without adding special tokens; those in the text count."""
         if not self.special_pattern.search(text):
-            return self._plain(text)
+            return self.encode_plain(text)
         ids, at = [], 0
         for m in self.special_pattern.finditer(text):
-            ids += self._plain(text[at : m.start()])
+            ids += self.encode_plain(text[at : m.start()])
             ids.append(self.special[m[0]])
             at = m.end()
-        return ids + self._plain(text[at:])
+        return ids + self.encode_plain(text[at:])
 
     def decode_bytes(self, ids) -> bytes:
         of = self.bytes_of
@@ -133,60 +133,6 @@ def assemble(raw: bytes, pieces: list[tuple[int, int, list[int] | None]], vocab:
     return ids
 
 
-class PieceEncoder:
-    """Encodes whole columns of texts by their distinct pieces between safe places.
-
-    Pieces met before in this worker come from a table of at most LIMIT pieces.
-    """
-
-    LIMIT = 1_000_000
-    _of: dict[str, PieceEncoder] = {}
-
-    def __init__(self, path: str):
-        self.vocab = vocabulary(path)
-        self._clear()
-
-    @classmethod
-    def of(cls, path: str) -> PieceEncoder:
-        if path not in cls._of:
-            cls._of[path] = cls(path)
-        return cls._of[path]
-
-    def _clear(self) -> None:
-        self._row: dict[int, int] = {}
-        self._begin, self._size = [], []
-        self._ids: list[int] = []
-
-    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All ids end to end, where each text's begin (n + 1), and each text's bytes."""
-        data, offsets = buffer_of(column)
-        space, visible = np.zeros(256, bool), np.zeros(256, bool)
-        space[[32, 9, 10, 13]], visible[0x21:0x7F] = True, True
-        cuts = np.flatnonzero(space[data[1:]] & visible[data[:-1]]) + 1
-        special = any(pa.compute.any(pa.compute.match_substring(column, t)).as_py() for t in self.vocab.special)
-        starts = offsets if special else np.union1d(cuts, offsets)
-        h = mix(slices(prefix_sums(data), starts[:-1], starts[1:]) + np.diff(starts).astype(np.uint64))
-        found, first, where = np.unique(h, return_index=True, return_inverse=True)
-        if len(self._row) + len(found) > self.LIMIT:
-            self._clear()
-        rows = np.empty(len(found), np.int64)
-        raw = data.tobytes()
-        for k, (x, i) in enumerate(zip(found.tolist(), first.tolist(), strict=True)):
-            row = self._row.get(x)
-            if row is None:
-                ids = self.vocab.encode(raw[starts[i] : starts[i + 1]].decode())
-                row = self._row[x] = len(self._begin)
-                self._begin.append(len(self._ids))
-                self._size.append(len(ids))
-                self._ids += ids
-            rows[k] = row
-        begin, size = np.array(self._begin, np.int64)[rows][where], np.array(self._size, np.int64)[rows][where]
-        after = np.cumsum(size)
-        flat = np.array(self._ids, self.vocab.dtype)[np.repeat(begin - after + size, size) + np.arange(after[-1] if len(after) else 0)]
-        at = np.concatenate([[0], after])[np.searchsorted(starts, offsets)]
-        return flat, at, np.diff(offsets)
-
-
 def shared_chunks(docs: DataFrame, text: str = "text") -> DataFrame:
     """h, the hash of every chunk that stands at two places of the corpus or more."""
 
@@ -207,11 +153,11 @@ def encode(docs: DataFrame, text: str = "text", to: str = "ids", tokenizer: str
     """
     spark, path = docs.sparkSession, tokenizer or default_tokenizer()
     ship(spark)
-    docs = docs.drop(to) if to != text else docs
-    others = [c for c in docs.columns if c != text]
-    docs = docs.select(*[F.col(f"`{c}`") for c in others], F.col(text).alias(text))
+    docs = packed(docs, [text, to], _text=F.col(f"`{text}`"))
+    text, others, ids_name = "_text", ["_rest"], to
+    to = "_out"
     shared = spark.sparkContext.broadcast(hash_filter(shared_chunks(docs, text)))
-    out_schema = T.StructType([*docs.select(*[f"`{c}`" for c in others]).schema.fields, T.StructField(to, T.ArrayType(T.IntegerType()))])
+    out_schema = T.StructType([docs.schema["_rest"], T.StructField(to, T.ArrayType(T.IntegerType()))])
 
     def marked(batch: pa.RecordBatch):
         """The chunks of a batch, and for each text whether it holds a shared chunk."""
@@ -283,27 +229,28 @@ def encode(docs: DataFrame, text: str = "text", to: str = "ids", tokenizer: str
     todo = durable(todo.withColumn("_row", F.monotonically_increasing_id()), "texts")
     refs = todo.select("_row", F.explode("_refs").alias("h")).join(tokens, "h")
     known = refs.groupBy("_row").agg(F.collect_list(F.struct("h", "ids")).alias("_ids"))
-    with_shared = todo.drop("_refs").join(known, "_row").select(*[f"`{c}`" for c in others], text, "_ids").mapInArrow(joined, out_schema)
-    return docs.mapInArrow(in_place, out_schema).unionByName(with_shared)
+    with_shared = todo.drop("_refs").join(known, "_row").select(*others, text, "_ids").mapInArrow(joined, out_schema)
+    out = docs.mapInArrow(in_place, out_schema).unionByName(with_shared)
+    return out.select(*rest_columns(out), F.col(to).alias(ids_name))
 
 
 def decode(docs: DataFrame, ids: str = "ids", to: str = "decoded", tokenizer: str | None = None) -> DataFrame:
     """docs with the text of their token ids, special tokens included; null ids give an empty text."""
     path = tokenizer or default_tokenizer()
     ship(docs.sparkSession)
-    docs = docs.drop(to)
-    schema = T.StructType([*docs.schema.fields, T.StructField(to, T.StringType())])
+    docs = packed(docs, [to], _ids=F.col(f"`{ids}`"))
+    schema = T.StructType([docs.schema["_rest"], T.StructField("_out", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                column = batch.column(batch.schema.get_field_index(ids))
-                texts = [vocab.decode(x.values.to_pylist()) if x.is_valid else "" for x in column]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, to])
+                texts = [vocab.decode(x.values.to_pylist()) if x.is_valid else "" for x in batch.column(1)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["_rest", "_out"])
 
-    return docs.mapInArrow(run, schema)
+    out = docs.mapInArrow(run, schema)
+    return out.select(*rest_columns(out), F.col("_out").alias(to))
 
 
 def op1_bpe_chunk_reuse(spark, sf_dir: str) -> DataFrame:

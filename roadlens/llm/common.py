@@ -78,3 +78,19 @@ def hash_filter(hashes: DataFrame) -> np.ndarray:
 def hits(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     place = h & (FILTER_BITS - 1)
     return (bits[place >> 6] >> (place & 63)) & 1 == 1
+
+
+def packed(df: DataFrame, leave: list[str], **named: Column) -> DataFrame:
+    """The columns of df but those to leave, as one struct _rest, and the named ones.
+
+    Operators that pass columns through work on this form, so that no name a caller may use
+    clashes with their own.
+    """
+    rest = [F.col(f"`{c}`").alias(c) for c in df.columns if c not in leave]
+    return df.select(F.struct(*rest, F.lit(0).alias("_none")).alias("_rest"), *[c.alias(n) for n, c in named.items()])
+
+
+def rest_columns(df: DataFrame) -> list[Column]:
+    """The columns that packed() put away."""
+    names = df.schema["_rest"].dataType.names
+    return [F.col("_rest")[n].alias(n) for n in names[:-1]]

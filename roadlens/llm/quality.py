@@ -14,7 +14,7 @@ from math import log2
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, bind, durable, table, words
+from .common import WORD, bind, durable, packed, rest_columns, table, words
 
 
 @dataclass(frozen=True)
@@ -89,8 +89,8 @@ def text_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     )
     counts = {"n_symbols": r"[#*$%&|<>]", "n_upper": r"\p{Lu}", "n_bangs": "!", "n_digits": "[0-9]"}
     names = ["n_words", "word_chars", "n_repeat_words", "n_lines", "n_dup_lines"]
-    made = docs.withColumns({"_w": of_words, "_l": of_lines} | {c: F.regexp_count(body, F.lit(r)).cast("long") for c, r in counts.items()})
-    return made.withColumns({c: F.col("_w" if c in names[:3] else "_l")[c] for c in names}).drop("_w", "_l")
+    own = packed(docs, [*names, *counts], _w=of_words, _l=of_lines, **{c: F.regexp_count(body, F.lit(r)).cast("long") for c, r in counts.items()})
+    return own.select(*rest_columns(own), *counts, *[F.col("_w" if c in names[:3] else "_l")[c].alias(c) for c in names])
 
 
 def base_failed() -> Column:

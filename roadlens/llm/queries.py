@@ -27,7 +27,6 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
-    "op5_quality_decision_list": op5_quality_decision_list,
     "op6_warc_merkle_audit": OP6_SQL,
     "op7_topk_norm_buckets": OP7_SQL,
 }

@@ -14,7 +14,7 @@ from math import ceil
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import packed, rest_columns, table
 
 #: Rows that one slot bucket holds on average.
 BUCKET_ROWS = 512
@@ -80,6 +80,9 @@ def with_slots(df: DataFrame, group: str, order: list[str], n_rows: int, n_group
     group's earlier buckets. Equal rows get different slots.
     """
     buckets = max(1, ceil(n_rows / max(1, n_groups) / BUCKET_ROWS))
+    names, order = order, [f"_o{i}" for i in range(len(order))]
+    df = packed(df, [slot], _group_=F.col(group), **{o: F.col(c) for o, c in zip(order, names, strict=True)})
+    out_columns, group = rest_columns(df), "_group_"
     placed = df.withColumn("_bucket", F.pmod(F.xxhash64(*order, F.lit("slot")), F.lit(buckets)).cast("int"))
     sizes = placed.groupBy(group, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -89,7 +92,7 @@ def with_slots(df: DataFrame, group: str, order: list[str], n_rows: int, n_group
     within = Window.partitionBy(group, "_bucket").orderBy(*order)
     numbered = placed.withColumn("_row", F.row_number().over(within))
     joined = numbered.join(starts, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_bucket") == F.col("_of")))
-    return joined.withColumn(slot, (F.col("_start") + F.col("_row") - 1).cast("long")).drop("_bucket", "_row", "_group", "_of", "_start")
+    return joined.select(*out_columns, (F.col("_start") + F.col("_row") - 1).cast("long").alias(slot))
 
 
 def shard_rows(df: DataFrame, key: str, n_shards: int = 24, weights: dict[int, float] | None = None) -> DataFrame:

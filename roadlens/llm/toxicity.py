@@ -14,10 +14,11 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .bytehash import buffer_of, in_slices, lut_of, mix, word_hashes
 from ..shipping import ship
-from .common import table
+from .common import packed, rest_columns, table
 
 
 @dataclass(frozen=True)
@@ -136,26 +137,27 @@ def score(docs: DataFrame, weights: np.ndarray, p: Params = Params(), text: str
     ship(docs.sparkSession)
     sparse = np.flatnonzero(weights[:-1])
     model = docs.sparkSession.sparkContext.broadcast((sparse, weights[sparse], weights[-1]))
-    others = [c for c in docs.columns if c != to]
-    schema = docs.select(*others).schema.add(to, "double")
+    docs = packed(docs, [to], _text=F.col(f"`{text}`")).select("_text", "_rest")
+    schema = T.StructType([docs.schema["_rest"], T.StructField("_out", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, value, bias = model.value
         rank = np.zeros(1 << p.bits, np.int32)
         rank[at] = np.arange(1, len(at) + 1)
-        for batch in (part for whole in batches for part in in_slices(whole, text)):
+        for batch in (part for whole in batches for part in in_slices(whole, "_text")):
             total = np.full(batch.num_rows, bias)
             met = []
-            for slot, own in features(batch.column(batch.schema.get_field_index(text)), p.bits):
+            for slot, own in features(batch.column(0), p.bits):
                 r = rank[slot]
                 hit = r > 0
                 met.append(own[hit] * np.int64(len(at) + 1) + r[hit])
             if met:
                 key = np.unique(np.concatenate(met))
                 np.add.at(total, key // (len(at) + 1), value[key % (len(at) + 1) - 1])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(total, -35, 35))))], [*others, to])
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(1 / (1 + np.exp(-np.clip(total, -35, 35))))], ["_rest", "_out"])
 
-    return docs.select(*others).mapInArrow(run, schema)
+    out = docs.mapInArrow(run, schema)
+    return out.select(*rest_columns(out), F.col("_out").alias(to))
 
 
 def held_out(doc_id: str):
