@@ -1,9 +1,8 @@
 """N-gram Jaccard join by token-combination prefixes.
 
 A document's tokens are its distinct shingles of five words. Tokens fall into classes by corpus
-count: unique ones (no partner), rare ones and frequent ones. In the order rare first, frequent
-last, two documents of similarity 0.8 share tokens of their prefixes. Rare prefix tokens are
-indexed singly. Documents whose prefix reaches into the frequent class extend it and index
+count: unique ones (no partner), rare ones and frequent ones. In this order two documents of
+similarity 0.8 share tokens of their prefixes. Rare prefix tokens are indexed singly. Documents whose prefix reaches into the frequent class extend it and index
 combinations of tokens: pairs for small sets, and for large ones the tokens that fall into each
 of m hash parts, m so large that the differing tokens cannot touch all parts.
 
@@ -30,7 +29,7 @@ from pyspark.sql import types as T
 
 from ..shipping import ship
 from .bytehash import buffer_of, in_slices, lut_of, mix, word_hashes
-from .common import durable, hash_filter, hits, table
+from .common import durable, hash_filter, hits, packed, rest_columns, table
 from .components import components
 
 WORDS, SIMILARITY = 5, 80
@@ -91,14 +90,13 @@ def keys_of(tokens: np.ndarray, shared: np.ndarray, frequent: np.ndarray) -> np.
     if n < 4:  # smaller sets are only like themselves
         return np.zeros(0, np.uint64)
     p = prefix_length(n)
-    usual = np.flatnonzero(~frequent)
-    if len(usual) >= p + 1:
-        at = usual[: p + 1]
-        return mix(tokens[at[shared[at]]])
-    out = [mix(tokens[usual[shared[usual]]])]
+    unique, rare = tokens[~shared & ~frequent], tokens[shared & ~frequent]
+    if len(unique) + len(rare) >= p + 1:
+        return mix(rare[: max(0, p + 1 - len(unique))])
+    out = [mix(rare)]
     often = tokens[frequent]
     if n <= SMALL * 1.25:
-        reach = often[: p + 1 - len(usual)]
+        reach = often[: p + 1 - len(unique) - len(rare)]
         i, j = np.triu_indices(len(reach), 1)
         out.append(mix(mix(reach[i]) * _STEP + reach[j]))
     if n > SMALL:
@@ -287,10 +285,15 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     """
     found = join_components(docs, key, text)
     kept = durable(found.where(F.col("component_id").eqNullSafe(F.col(key))).groupBy(key).agg(F.count(F.lit(1)).alias("_n")), "kept")
-    ids = kept.select(F.col(key).alias("_kept"))
-    out = docs.join(ids, F.col(key).eqNullSafe(F.col("_kept")), "left_semi")
-    repeats = (kept.agg(F.max("_n")).first()[0] or 0) > 1
-    return out.dropDuplicates([key, text]) if repeats else out
+    own = packed(docs, [], _key=F.col(key), _text=F.col(text) if _repeats(kept) else F.lit(None))
+    out = own.join(kept.select(F.col(key).alias("_kept")), F.col("_key").eqNullSafe(F.col("_kept")), "left_semi")
+    if _repeats(kept):
+        out = out.dropDuplicates(["_key", "_text"])
+    return out.select(*rest_columns(out))
+
+
+def _repeats(kept: DataFrame) -> bool:
+    return (kept.agg(F.max("_n")).first()[0] or 0) > 1
 
 
 def op9_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
