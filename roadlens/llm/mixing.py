@@ -3,7 +3,7 @@
 Each document d gets the rate r_d closest in relative entropy to 1 among all rates of at most
 MAX_COPIES that meet its source's token target. The solution is r_d = min(MAX_COPIES,
 exp(lambda_s * size_d / scale_s)); Newton iterations on the convex dual find lambda for all
-sources at once from a (source, size) histogram. Systematic rounding turns rates into copies.
+sources at once from (source, size) histograms. Systematic rounding turns rates into copies.
 
 Nulls: a null text has size 0, a null source is a source of its own. Documents without words
 have rate 1 and take no words. Repeated rows are documents of their own. No rows: no rows.
@@ -16,7 +16,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, n_words, table
+from .common import bind, durable, n_words, packed, rest_columns, table
 
 WEIGHTS = (5.0, 2.0, 1.0)
 TOTAL_SHARE = 1.5
@@ -55,56 +55,50 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     )
 
 
-def _rate(tilt, size, scale):
-    return F.least(F.lit(float(MAX_COPIES)), F.exp(F.least(F.lit(30.0), tilt * size / scale)))
-
-
-def solve_tilts(histogram: DataFrame, targets: DataFrame, tolerance: float = 1e-10, rounds: int = 20) -> DataFrame:
+def solve_tilts(histogram: DataFrame, targets: DataFrame, steps: int = 80, tolerance: float = 1e-13) -> DataFrame:
     """targets with the tilt of each source.
 
-    Newton's method on log(tokens(tilt)) = log(target), for all sources in one aggregation a step;
-    a step that leaves the bracket known to hold the root is replaced by its middle. The histogram
-    bounds the work: it has a row for each size of a source, however many documents share it.
+    The dual has one variable a source and no terms between sources, so each source's Newton
+    iterations run on their own, all sources at once, over the source's histogram (s, size, n): one
+    entry for each size, however many documents share it. The iterations solve log(tokens(tilt)) =
+    log(target); one that leaves the bracket known to hold the root is replaced by its middle, and
+    settled sources take no further steps.
     """
-    live = targets.where((F.col("source_size") > 0) & (F.col("target") > 0))
+    pairs = F.sort_array(F.collect_list(F.struct(F.col("size").cast("double").alias("x"), F.col("n").cast("double").alias("n"))))
+    sized = histogram.where("size > 0").groupBy("s").agg(pairs.alias("_sizes"))
+    live = targets.where((F.col("source_size") > 0) & (F.col("target") > 0)).join(sized, "s")
+    target, scale = F.col("target"), F.col("scale")
     # every size is at least 1, so all rates are MAX_COPIES at hi and at most half the wanted mean at lo
-    start = F.log(F.col("target") / F.col("source_size"))
-    state = live.select(
-        "s", "scale", "target",
-        (F.col("scale") * F.log(F.col("target") / F.col("source_size") / 2)).alias("lo"),
-        (F.col("scale") * math.log(MAX_COPIES)).alias("hi"),
-        F.least(start, F.col("scale") * math.log(MAX_COPIES)).alias("tilt"), F.lit(1.0).alias("gap"),
-    )
-    state = durable(state, "tilts")
-    for _ in range(rounds):
-        for _ in range(3):
-            state = _newton_step(histogram, state)
-        state = durable(state, "tilts")
-        if (state.agg(F.max("gap")).first()[0] or 0.0) < tolerance:
-            break
-    return targets.join(state.select("s", F.round("tilt", 9).alias("tilt")), "s", "left").fillna(0.0, ["tilt"])
-
-
-def _newton_step(histogram: DataFrame, state: DataFrame) -> DataFrame:
-    tokens = F.col("n") * F.col("size") * _rate(F.col("tilt"), F.col("size"), F.col("scale"))
-    free = F.exp(F.least(F.lit(30.0), F.col("tilt") * F.col("size") / F.col("scale"))) < MAX_COPIES
-    sums = histogram.where("size > 0").join(state.select("s", "tilt", "scale"), "s").groupBy("s").agg(
-        F.sum(tokens).alias("_g"), F.sum(F.when(free, tokens * F.col("size") / F.col("scale")).otherwise(0.0)).alias("_d")
-    )
-    over = F.log(F.col("_g") / F.col("target"))
-    lo, hi = F.when(over <= 0, F.col("tilt")).otherwise(F.col("lo")), F.when(over >= 0, F.col("tilt")).otherwise(F.col("hi"))
-    newton = F.when(F.col("_d") > 0, F.col("tilt") - over * F.col("_g") / F.col("_d"))
-    inside = newton.isNotNull() & (newton >= F.col("_lo")) & (newton <= F.col("_hi"))
-    gap = F.when(F.col("_hi") - F.col("_lo") <= 1e-13 * (1 + F.abs("_hi")), 0.0).otherwise(F.abs(over))
-    return (
-        state.join(sums, "s")
-        .withColumns({"_lo": lo, "_hi": hi})
-        .select(
-            "s", "scale", "target", F.col("_lo").alias("lo"), F.col("_hi").alias("hi"),
-            F.when(F.abs(over) < 1e-13, F.col("tilt")).when(inside, newton).otherwise((F.col("_lo") + F.col("_hi")) / 2).alias("tilt"),
-            gap.alias("gap"),
-        )
-    )
+    hi = scale * math.log(MAX_COPIES)
+    start = _state(scale * F.log(target / F.col("source_size") / 2), hi, F.least(F.log(target / F.col("source_size")), hi), F.lit(False))
+
+    def step(state):
+        def add(sums, p):
+            power = F.exp(F.least(F.lit(30.0), state["tilt"] * p["x"] / scale))
+            tokens = p["n"] * p["x"] * F.least(F.lit(float(MAX_COPIES)), power)
+            slope = F.when(power < MAX_COPIES, tokens * p["x"] / scale).otherwise(0.0)
+            return F.struct((sums["g"] + tokens).alias("g"), (sums["d"] + slope).alias("d"))
+
+        def move(sums):
+            over = F.log(sums["g"] / target)
+            low, high = F.when(over <= 0, state["tilt"]).otherwise(state["lo"]), F.when(over >= 0, state["tilt"]).otherwise(state["hi"])
+            newton = F.when(sums["d"] > 0, state["tilt"] - over * sums["g"] / sums["d"])
+            next_tilt = F.when(newton.between(low, high), newton).otherwise((low + high) / 2)
+            return F.when(F.abs(over) < tolerance, _state(low, high, state["tilt"], F.lit(True))).otherwise(_state(low, high, next_tilt, F.lit(False)))
+
+        zero = F.struct(F.lit(0.0).alias("g"), F.lit(0.0).alias("d"))
+        return F.when(state["done"], state).otherwise(bind(F.aggregate("_sizes", zero, add), move))
+
+    tilt = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, lambda state, _: step(state))["tilt"]
+    return targets.join(live.select("s", F.round(tilt, 9).alias("tilt")), "s", "left").fillna(0.0, ["tilt"])
+
+
+def _state(lo, hi, tilt, done):
+    return F.struct(lo.alias("lo"), hi.alias("hi"), tilt.alias("tilt"), done.alias("done"))
+
+
+def _rate(tilt, size, scale):
+    return F.least(F.lit(float(MAX_COPIES)), F.exp(F.least(F.lit(30.0), tilt * size / scale)))
 
 
 def round_to_copies(rated: DataFrame, key: str) -> DataFrame:
@@ -139,15 +133,15 @@ def round_to_copies(rated: DataFrame, key: str) -> DataFrame:
 
 def mix_counts(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """key, size, source_size, target, rate and copies of each document."""
-    sizes = durable(docs.select(F.col(key), F.col(source).alias("source"), n_words(F.col(text)).alias("size")), "sizes")
+    sizes = durable(docs.select(F.col(key).alias("key"), F.col(source).alias("source"), n_words(F.col(text)).alias("size")), "sizes")
     counts = durable(sizes.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "histogram")
     targets = durable(source_targets(counts), "targets")
     histogram = counts.join(targets.select("s", "source"), counts["source"].eqNullSafe(targets["source"])).select("s", "size", "n")
-    tilts = solve_tilts(histogram, targets)
+    tilts = durable(solve_tilts(histogram, targets), "tilts")
     rated = sizes.join(tilts.withColumnRenamed("source", "_source"), sizes["source"].eqNullSafe(F.col("_source"))).select(
-        key, "s", "size", "source_size", "target", _rate(F.col("tilt"), F.col("size"), F.col("scale")).alias("rate")
+        "key", "s", "size", "source_size", "target", _rate(F.col("tilt"), F.col("size"), F.col("scale")).alias("rate")
     )
-    return round_to_copies(rated, key).drop("s")
+    return round_to_copies(rated, "key").drop("s").withColumnRenamed("key", key)
 
 
 def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
@@ -156,11 +150,12 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
     Rows that repeat key and text get the copies of their like one by one.
     """
     body = F.coalesce(F.col(text), F.lit("\0null"))
-    named = docs.withColumn("_id", F.unhex(F.md5(F.concat_ws("\0", F.coalesce(F.col(key).cast("string"), F.lit("null")), body).cast("binary"))))
-    counts = mix_counts(named, "_id", source, text).groupBy("_id").agg(F.sort_array(F.collect_list("copies"), asc=False).alias("_copies"))
-    joined = named.join(counts, "_id").withColumn("_i", F.row_number().over(Window.partitionBy("_id").orderBy("_id")))
+    identity = F.unhex(F.md5(F.concat_ws("\0", F.coalesce(F.col(key).cast("string"), F.lit("null")), body).cast("binary")))
+    named = packed(docs, [], _id=identity, _source=F.col(source), _text=F.col(text))
+    counts = mix_counts(named, "_id", "_source", "_text").groupBy("_id").agg(F.sort_array(F.collect_list("copies"), asc=False).alias("_copies"))
+    joined = named.drop("_source", "_text").join(counts, "_id").withColumn("_i", F.row_number().over(Window.partitionBy("_id").orderBy("_id")))
     taken = joined.withColumn("_n", F.element_at("_copies", F.col("_i"))).where("_n > 0")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*[f"`{c}`" for c in docs.columns])
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*rest_columns(taken))
 
 
 def op4_mix_entropy_balance(spark, sf_dir: str) -> DataFrame:
