@@ -137,7 +137,7 @@ def shared_chunks(docs: DataFrame, text: str = "text") -> DataFrame:
     """h, the hash of every chunk that stands at two places of the corpus or more."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in in_slices(whole, text, 1 << 21)):
+        for batch in (part for whole in batches for part in in_slices(whole, text, 1 << 19)):
             h, n = np.unique(_chunks(batch, text)[2], return_counts=True)
             yield pa.RecordBatch.from_pydict({"h": h, "n": n.astype(np.int64)})
 
@@ -173,7 +173,7 @@ def encode(docs: DataFrame, text: str = "text", to: str = "ids", tokenizer: str
         return data, starts, h, at, hit, has
 
     def representatives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in in_slices(whole, text, 1 << 21)):
+        for batch in (part for whole in batches for part in in_slices(whole, text, 1 << 19)):
             data, starts, h, at, hit, has = marked(batch)
             own = np.repeat(has, np.diff(at))
             at_hit = np.flatnonzero(hit & own)
@@ -188,7 +188,7 @@ def encode(docs: DataFrame, text: str = "text", to: str = "ids", tokenizer: str
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["h", "ids"])
 
     def consumers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in in_slices(whole, text, 1 << 21)):
+        for batch in (part for whole in batches for part in in_slices(whole, text, 1 << 19)):
             _, _, h, at, hit, has = marked(batch)
             refs = [np.unique(h[at[i] : at[i + 1]][hit[at[i] : at[i + 1]]]) for i in np.flatnonzero(has)]
             kept = batch.filter(pa.array(has))
@@ -196,14 +196,14 @@ def encode(docs: DataFrame, text: str = "text", to: str = "ids", tokenizer: str
 
     def in_place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
-        for batch in (part for whole in batches for part in in_slices(whole, text, 1 << 21)):
+        for batch in (part for whole in batches for part in in_slices(whole, text, 1 << 19)):
             kept = batch.filter(pa.array(~marked(batch)[-1]))
             ids = [np.array(vocab.encode(x or ""), np.int32) for x in kept.column(len(others)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*kept.columns[: len(others)], pa.array(ids, pa.list_(pa.int32()))], [*others, to])
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
-        for batch in (part for whole in batches for part in in_slices(whole, text, 1 << 21)):
+        for batch in (part for whole in batches for part in in_slices(whole, text, 1 << 19)):
             data, starts, h, at = _chunks(batch, text)
             tables = batch.column(batch.schema.get_field_index("_ids")).to_pylist()
             ids = []

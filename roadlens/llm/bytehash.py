@@ -54,7 +54,7 @@ def buffer_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def in_slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def in_slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 18) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about `limit` bytes of text each (one text may be longer).
 
     Hashing takes some tens of bytes of memory for each byte of text, whatever Arrow's batch size.

@@ -73,7 +73,7 @@ def fit(frame: pd.DataFrame, p: Params) -> pd.DataFrame:
     for part in in_slices(pa.RecordBatch.from_pydict({"text": pa.array(frame["text"], pa.large_string())}), "text"):
         found = [(slot, np.searchsorted(own, np.arange(part.num_rows + 1))) for slot, own in features(part.column(0), p.bits)]
         for i in range(part.num_rows):
-            seen.append(np.unique(np.concatenate([*(slot[at[i] : at[i + 1]] for slot, at in found), [size - 1]])).astype(np.int64))
+            seen.append(np.unique(np.concatenate([*(slot[at[i] : at[i + 1]] for slot, at in found), [size - 1]])).astype(np.int32))
     count = np.zeros(size)
     for x in seen:
         count[x] += 1
