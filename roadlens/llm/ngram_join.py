@@ -177,32 +177,36 @@ def similar_nodes(docs: DataFrame, text: str, n_tokens: int) -> DataFrame:
         shared, frequent, slot_bits = classes.value
         for batch in _slices(batches, text):
             h, at = shingle_hashes(batch.column(batch.schema.get_field_index(text)))
-            keys, nodes, sizes = [], [], []
+            keys, nodes, sizes, alone = [], [], [], []
             for i in range(batch.num_rows):
                 tokens = np.unique(h[at[i] : at[i + 1]])
                 slot = (tokens >> np.uint64(64 - slot_bits)).astype(np.int64)
-                found = keys_of(tokens, _bit(shared, slot), _bit(frequent, slot))
+                twice, often = _bit(shared, slot), _bit(frequent, slot)
+                found = keys_of(tokens, twice, often)
                 if len(found):
                     keys.append(found.view(np.int64))
                     nodes += [node_of(tokens)] * len(found)
                     sizes += [len(tokens)] * len(found)
+                    alone += [int((~twice & ~often).sum())] * len(found)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(keys) if keys else [], pa.int64()), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int32())], ["key", "node", "n"]
+                [pa.array(np.concatenate(keys) if keys else [], pa.int64()), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int32()), pa.array(alone, pa.int32())], ["key", "node", "n", "u"]
             )
 
-    rows = docs.select(text).mapInArrow(index, "key long, node binary, n int")
-    rows = durable(rows.groupBy("key", "node").agg(F.first("n").alias("n")), "keys")
+    rows = docs.select(text).mapInArrow(index, "key long, node binary, n int, u int")
+    rows = durable(rows.groupBy("key", "node").agg(F.first("n").alias("n"), F.first("u").alias("u")), "keys")
     active = _with_partners(rows)
     # the first eight bytes of a node are a hash already
     wanted = spark.sparkContext.broadcast(hash_filter(active.select(F.expr("cast(conv(hex(substring(node, 1, 4)), 16, 10) as long)").alias("h"))))
     sets = durable(docs.select(text).mapInArrow(_sets_of(text, wanted), "node binary, s array<long>").dropDuplicates(["node"]), "sets")
     edges, seen, found, spread = None, None, None, 0
     while not active.isEmpty():
-        part = F.lit(0) if spread == 0 else F.pmod(F.xxhash64("node", F.lit(spread)), F.lit(4**spread))
+        part = F.lit(0) if spread == 0 else F.pmod(F.xxhash64("node", F.lit(spread)), F.lit(64**spread))
         active = active.withColumn("part", part)
-        firsts = active.groupBy("key", "part").agg(F.min(F.struct("node", "n", *(["component"] if spread else []))).alias("_f"))
-        firsts = firsts.select("key", F.col("_f.*")).withColumnsRenamed({"node": "node2", "n": "n2", "component": "component2"})
-        met = active.join(firsts, "key").where("node <> node2 and 100 * least(n, n2) >= 80 * greatest(n, n2)")
+        firsts = active.groupBy("key", "part").agg(F.min(F.struct("node", "n", "u", *(["component"] if spread else []))).alias("_f"))
+        firsts = firsts.select("key", F.col("_f.*")).withColumnsRenamed({"node": "node2", "n": "n2", "u": "u2", "component": "component2"})
+        # tokens that stand in one text alone are not shared: what is left bounds the similarity
+        most = F.least(F.col("n") - F.col("u"), F.col("n2") - F.col("u2"))
+        met = active.join(firsts, "key").where((F.col("node") != F.col("node2")) & (100 * most >= SIMILARITY * (most + F.col("u") + F.col("u2"))) & F.expr("100 * least(n, n2) >= 80 * greatest(n, n2)"))
         if spread:
             met = met.where("component <> component2")
         pairs = met.groupBy(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
@@ -223,7 +227,7 @@ def similar_nodes(docs: DataFrame, text: str, n_tokens: int) -> DataFrame:
         done = firsts.select("key", F.col("node2").alias("node"))
         if spread:
             active = active.join(done, ["key", "node"], "left_anti")
-        active = active.select("key", "node", "n").join(found, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
+        active = active.select("key", "node", "n", "u").join(found, "node", "left").select("key", "node", "n", "u", F.coalesce("component", "node").alias("component"))
         active = _with_partners(active, "component")
         spread += 1
     return found if found is not None else rows.select("node", F.col("node").alias("component")).limit(0)
