@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .bpe import PieceEncoder, default_tokenizer, vocabulary
-from .bytehash import in_slices, mix
+from .bpe import default_tokenizer, vocabulary
+from .bytehash import buffer_of, in_slices, mix
 from .common import shared_path, table
 
 #: Tokens of a sequence and, about, sequences of a shard.
@@ -89,12 +89,15 @@ def write_shards(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
     stride = HEAD.itemsize + length * width + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceEncoder.of(where)
-        end = next(iter(encoder.vocab.special.values()), encoder.vocab.size)
+        vocab = vocabulary(where)
+        end = next(iter(vocab.special.values()), vocab.size)
         p = TaskContext.get().partitionId()
         at = starts.get(p, 0)
         for batch in (part for whole in batches for part in in_slices(whole, "text", 1 << 21)):
-            ids, cuts, size = encoder.encode(batch.column(1))
+            size = np.diff(buffer_of(batch.column(1))[1])
+            coded = [np.array(vocab.encode(x or ""), vocab.dtype) for x in batch.column(1).to_pylist()]
+            cuts = np.concatenate([[0], np.cumsum([len(x) for x in coded])])
+            ids = np.concatenate(coded)
             many = np.diff(cuts) + 1
             pieces = -(-many // length)
             own = np.repeat(np.arange(len(many)), pieces)
