@@ -93,7 +93,7 @@ def write_shards(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
         end = next(iter(vocab.special.values()), vocab.size)
         p = TaskContext.get().partitionId()
         at = starts.get(p, 0)
-        for batch in (part for whole in batches for part in in_slices(whole, "text", 1 << 21)):
+        for batch in (part for whole in batches for part in in_slices(whole, "text", 1 << 19)):
             size = np.diff(buffer_of(batch.column(1))[1])
             coded = [np.array(vocab.encode(x or ""), vocab.dtype) for x in batch.column(1).to_pylist()]
             cuts = np.concatenate([[0], np.cumsum([len(x) for x in coded])])
