@@ -4,8 +4,10 @@ A line's set: character shingles of SHINGLE characters that begin at each word a
 characters within a long one, so every character lies in a shingle. Its signature: the smallest
 shingle hash in each of BINS ranges of the hash space (one-permutation MinHash); an empty range
 borrows the next one's. A band is the value of a kept range with that of the next. Lines that
-share a band are compared with the band's first line by exact Jaccard similarity; those at 0.8 or
-more are joined, and union-find leaves one line of each component.
+share a band are compared by exact Jaccard similarity, first with the band's first line; those at
+0.8 or more are joined. Bands whose lines are then in one component need no more; what is left
+meets more and more lines of its band until every pair across components that shares a band has
+been compared. One line of each component stays.
 """
 
 from __future__ import annotations
@@ -19,8 +21,8 @@ from .components import components
 SHINGLE, STEP, SIMILARITY = 12, 9, 0.8
 #: Hash ranges (as a power of 2), and which of each eight give a band; small sets use all.
 BIN_BITS, KEPT_BINS, SMALL = 4, (0, 3, 5), 12
-#: Bands whose first line is far from a line are tried again without the lines settled so far.
-ROUNDS = 3
+#: Parts of an open band in the first round after that of the first lines; each round has so many times more.
+PARTS = 64
 #: Rows up to which the side of a join is broadcast; beyond it the join shuffles.
 SMALL_SIDE = 400_000
 
@@ -77,33 +79,52 @@ def _beside(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= SMALL_SIDE else rows
 
 
-def similar_lines(lines: DataFrame, docs_lines: DataFrame) -> DataFrame:
-    """Edges (a, b) between different lines of Jaccard similarity SIMILARITY or more.
+def line_components(lines: DataFrame, docs_lines: DataFrame) -> DataFrame:
+    """node and component of every line that is like another one, with a similarity of SIMILARITY or more.
 
     lines: _line and its band keys, repeats allowed. docs_lines: _line and line, read again for
     the lines that are compared.
     """
     rows = lines.select("_line", F.explode("bands").alias("band"))
-    edges = None
-    for _ in range(ROUNDS):
-        first = rows.groupBy("band").agg(F.min("_line").alias("_first"), F.max("_line").alias("_last"))
-        first = durable(first.where("_first <> _last").select("band", "_first"), "bands")
-        met = rows.join(_beside(first), "band").where("_line <> _first")
-        met = durable(met.select("band", "_line", "_first"), "met")
-        pairs = durable(met.select("_line", "_first").distinct(), "pairs")
-        if pairs.isEmpty():
-            break
-        named = durable(pairs.select("_line").union(pairs.select("_first")).distinct(), "named")
-        sets = durable(docs_lines.join(_beside(named), "_line", "left_semi").dropDuplicates(["_line"]).select("_line", shingles(F.col("line")).alias("s")), "sets")
-        compared = pairs.join(sets, "_line").join(sets.select(F.col("_line").alias("_first"), F.col("s").alias("t")), "_first")
-        common = F.size(F.array_intersect("s", "t"))
-        near = common * 100 >= F.lit(round(100 * SIMILARITY)) * (F.size("s") + F.size("t") - common)
-        compared = durable(compared.select("_line", "_first", near.alias("near")), "compared")
-        found = compared.where("near").select(F.col("_line").alias("a"), F.col("_first").alias("b"))
-        edges = found if edges is None else edges.union(found)
-        # lines far from the first of one of their bands meet the rest of that band again
-        rows = met.join(compared.where("not near").select("_line", "_first"), ["_line", "_first"], "left_semi").select("_line", "band")
-    return edges if edges is not None else lines.select(F.col("_line").alias("a"), F.col("_line").alias("b")).limit(0)
+    first = rows.groupBy("band").agg(F.min("_line").alias("_first"), F.max("_line").alias("_last"))
+    first = durable(first.where("_first <> _last").select("band", "_first"), "bands")
+    met = rows.join(_beside(first), "band").where("_line <> _first")
+    met = durable(met.select("band", "_line", "_first").distinct(), "met")
+    active, pairs = met.select("band", "_line"), durable(met.select("_line", "_first").distinct(), "pairs")
+    edges, seen, found, spread = None, None, None, 0
+    while not active.isEmpty():
+        linked = _near(pairs, docs_lines)
+        edges = linked if edges is None else edges.union(linked)
+        seen = pairs if seen is None else seen.union(pairs)
+        if found is None or not linked.isEmpty():
+            found = components(edges)
+        active = active.select("band", "_line").join(found.withColumnRenamed("node", "_line"), "_line", "left")
+        active = durable(active.select("band", "_line", F.coalesce("component", "_line").alias("_class")), "active")
+        opened = active.groupBy("band").agg(F.min("_class").alias("_a"), F.max("_class").alias("_b")).where("_a <> _b").select("band")
+        active = durable(active.join(_beside(durable(opened, "open")), "band"), "active")
+        spread += 1
+        part = F.pmod(F.xxhash64("_line", F.lit(spread)), F.lit(PARTS ** min(spread, 8)))
+        firsts = active.groupBy("band", part.alias("_part")).agg(F.min(F.struct("_line", "_class")).alias("_f"))
+        firsts = durable(firsts.select("band", F.col("_f._line").alias("_first"), F.col("_f._class").alias("_other")), "firsts")
+        met = active.join(_beside(firsts), "band").where("_class <> _other")
+        pairs = met.select(F.greatest("_line", "_first").alias("_line"), F.least("_line", "_first").alias("_first")).distinct()
+        pairs = durable(pairs.join(seen, ["_line", "_first"], "left_anti"), "pairs")
+        # a first line has met all of its band and is done
+        active = active.join(firsts.select("band", F.col("_first").alias("_line")), ["band", "_line"], "left_anti")
+        active = durable(active, "active")
+        if active.isEmpty() and not pairs.isEmpty():
+            found = components(edges.union(_near(pairs, docs_lines)))
+    return found if found is not None else lines.select(F.col("_line").alias("node"), F.col("_line").alias("component")).limit(0)
+
+
+def _near(pairs: DataFrame, docs_lines: DataFrame) -> DataFrame:
+    """Edges (a, b) of the pairs that are like each other."""
+    named = durable(pairs.select("_line").union(pairs.select("_first")).distinct(), "named")
+    sets = durable(docs_lines.join(_beside(named), "_line", "left_semi").dropDuplicates(["_line"]).select("_line", shingles(F.col("line")).alias("s")), "sets")
+    compared = pairs.join(sets, "_line").join(sets.select(F.col("_line").alias("_first"), F.col("s").alias("t")), "_first")
+    common = F.size(F.array_intersect("s", "t"))
+    near = common * 100 >= F.lit(round(100 * SIMILARITY)) * (F.size("s") + F.size("t") - common)
+    return durable(compared.where(near).select(F.col("_line").alias("a"), F.col("_first").alias("b")), "linked")
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -116,8 +137,8 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     """
     all_lines = _lines(docs, key, text)
     at = durable(all_lines.select("_key", "_doc", "pos", "_line", bands(shingles(F.col("line"))).alias("bands")), "lines")
-    edges = similar_lines(at, all_lines.select("_line", "line"))
-    classes = durable(components(edges).where("node <> component"), "classes")
+    found = line_components(at, all_lines.select("_line", "line"))
+    classes = durable(found.where("node <> component"), "classes")
     own = at.select("_key", "_doc", "pos", "_line").join(_beside(classes), at["_line"] == classes["node"], "left")
     own = own.select(F.coalesce("component", "_line").alias("_class"), F.struct("_key", "_doc", "pos").alias("_at"))
     first = own.groupBy("_class").agg(F.min("_at").alias("_first"), F.max("_at").alias("_last")).where("not (_first <=> _last)")

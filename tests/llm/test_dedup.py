@@ -123,3 +123,31 @@ def test_line_dedup_hard_rows(hard, empty):
     assert rows[1]["n_dropped"] == 0 and rows[2]["text"] == "" and rows[3]["text"] == ""
     assert rows[10]["text"] == "A\nB b\n" and rows[7]["text"] == "one" and rows[15]["text"] == "line one is here now"
     assert line_dedup.dedup_lines(empty).count() == 0
+
+
+def line_components(lines):
+    """Smallest line reachable by links of each line, by brute force."""
+    sets = [line_set(x) for x in lines]
+    links = [(i, j) for i, s in enumerate(sets) for j in range(i) if 100 * len(s & sets[j]) >= 80 * len(s | sets[j])]
+    return smallest_reachable(range(len(lines)), links)
+
+
+def edited(words, at, tag):
+    return [f"{tag}{i}" if i in at else w for i, w in enumerate(words)]
+
+
+def test_line_dedup_in_bands_of_many_unlike_lines(spark):
+    """Pairs of near copies of one template, whose bands hold many unlike lines, and chains whose ends are unlike."""
+    lines = []
+    for k in range(40):
+        own = edited([f"template{i}" for i in range(40)], {i for i in range(40) if (7 * i + k) % 5 < 2}, f"own{k}x")
+        lines += [" ".join(own), " ".join(edited(own, {k % 40}, f"copy{k}x"))]
+    for k in range(150):
+        link = [f"chain{k}w{i}" for i in range(40)]
+        for step in range(4):
+            lines.append(" ".join(link := edited(link, {4 * step, 4 * step + 1}, f"step{step}x")))
+    of = line_components(lines)
+    out = line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"))
+    got = {r["doc_id"]: r["n_dropped"] for r in out.collect()}
+    assert sum(of[i] != i for i in of) > 400
+    assert got == {i: int(of[i] != i) for i in of}
