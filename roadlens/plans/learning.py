@@ -83,7 +83,7 @@ def m1(spark, d):
 
 @query("m2_cross_validate")
 def m2(spark, d):
-    return op.cross_validate(small(spark, d).where("label < 3"), 3)
+    return op.cross_validate(small(spark, d), 3)
 
 
 @query("m3_validate")
@@ -93,7 +93,7 @@ def m3(spark, d):
 
 @query("m4_learning_curve")
 def m4(spark, d):
-    return op.learning_curve(small(spark, d).where("label < 3"), (0.3, 0.6, 1.0))
+    return op.learning_curve(small(spark, d), (0.3, 0.6, 1.0))
 
 
 @query("m5_rank_model")
@@ -110,7 +110,7 @@ def m6(spark, d):
 
 @query("m7_pca_per_class")
 def m7(spark, d):
-    return op.pca_per_class(small(spark, d).where("label < 3"), 4)
+    return op.pca_per_class(small(spark, d), 4)
 
 
 @query("m8_shuffle_samples")
