@@ -1,15 +1,18 @@
 """N-gram Jaccard join by token-combination prefixes.
 
-A document's tokens are its distinct shingles of five words. Tokens fall into classes by corpus
-count: unique ones (no partner), rare ones and frequent ones. In this order two documents of
-similarity 0.8 share tokens of their prefixes. Rare prefix tokens are indexed singly. Documents whose prefix reaches into the frequent class extend it and index
-combinations of tokens: pairs for small sets, and for large ones the tokens that fall into each
-of m hash parts, m so large that the differing tokens cannot touch all parts.
-
-Documents with one shingle set are one node. Nodes that share a key are verified exactly, first
-each with the key's smallest node that shares most with it; keys whose nodes are connected need no
-more; what is left meets more and more nodes of its key until every pair across components that
-shares a key has been compared.
+A document's tokens are its distinct shingles of five words, in the order unique ones (no partner),
+rare ones, frequent ones; classes go by corpus count. Two documents of similarity 0.8 share two
+tokens of their prefixes, extended by one. A rare prefix token is indexed singly. Where the prefix
+reaches into the frequent class, combinations are indexed as well: the set is dealt by token hash
+into groups of a few tokens, one of which must be as similar as the whole sets are (their
+similarity is a weighted mean of the groups'), and of each group's prefix, extended to share COMBINED
+tokens, every combination of that many is a key. So the keys of a set grow with its size only.
+
+Documents with one shingle set are one node. A node carries its number of unique tokens and a
+parity sketch of the others; both bound the symmetric difference from below, so pairs that
+cannot be similar never leave a join. First each node meets the most central node of each key,
+then, across the components that this gives, the nodes outside a key's largest component meet
+all of the key. Every pair that passes is verified exactly.
 
 Classes come from a table of fixed size, so they are a function of the token, whatever the corpus:
 where the table fills up more tokens count as frequent, and only the work grows.
@@ -18,12 +21,14 @@ where the table fills up more tokens count as frequent, and only the work grows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import combinations
 from math import ceil, log2
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,8 +40,10 @@ from .components import components
 WORDS, SIMILARITY = 5, 80
 #: Tokens found more often are frequent. Slots of the class table (2 bits each), at most as a power of 2.
 FREQUENT, SLOT_BITS = 8, 27
-#: Sets up to SMALL tokens use pairs, larger ones parts; those up to SMALL / 0.8 use both.
-SMALL = 64
+#: Tokens of a combination, and the mean size of the smallest groups that sets are dealt into.
+COMBINED, GROUP = 4, 3
+#: Longs of a parity sketch.
+SKETCH = 8
 #: Tokens that a task counts before it passes them on; tokens of a counting group, as a power of 2.
 FLUSH, GROUP_BITS, REST = 1 << 22, 17, 24
 _LUT = lut_of(lambda b: b not in (32, 9, 10, 11, 12, 13), True)
@@ -76,12 +83,14 @@ def prefix_length(n: int) -> int:
     return n - (SIMILARITY * n + 99) // 100 + 1
 
 
-def _size_class(n: int) -> int:
-    """Number of the interval of ratio 1 / 0.8 above SMALL that holds n."""
-    k, top = 0, SMALL * 1.25
-    while n > top:
-        k, top = k + 1, top * 1.25
-    return k
+def size_classes(n: int) -> set[int]:
+    """Powers of 2 of the sizes from n to n / 0.8: of two similar sets the smaller has the larger's."""
+    return {n.bit_length() - 1, (n * 100 // SIMILARITY).bit_length() - 1}
+
+
+@lru_cache(None)
+def _choices(of: int, k: int) -> np.ndarray:
+    return np.array(list(combinations(range(of), k)), np.int64)
 
 
 def keys_of(tokens: np.ndarray, shared: np.ndarray, frequent: np.ndarray) -> np.ndarray:
@@ -89,27 +98,44 @@ def keys_of(tokens: np.ndarray, shared: np.ndarray, frequent: np.ndarray) -> np.
     n = len(tokens)
     if n < 4:  # smaller sets are only like themselves
         return np.zeros(0, np.uint64)
-    p = prefix_length(n)
-    unique, rare = tokens[~shared & ~frequent], tokens[shared & ~frequent]
-    if len(unique) + len(rare) >= p + 1:
-        return mix(rare[: max(0, p + 1 - len(unique))])
-    out = [mix(rare)]
-    often = tokens[frequent]
-    if n <= SMALL * 1.25:
-        reach = often[: p + 1 - len(unique) - len(rare)]
-        i, j = np.triu_indices(len(reach), 1)
-        out.append(mix(mix(reach[i]) * _STEP + reach[j]))
-    if n > SMALL:
-        for k in (_size_class(n), _size_class(n) + 1):
-            parts = int(SMALL * 1.25 ** (k + 1) * 2 / 9) + 1
-            part = (mix(tokens + np.uint64(k + 1)) % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            begin = np.flatnonzero(np.diff(part[order], prepend=-1))
-            sums = np.add.reduceat(mix(tokens[order] ^ _STEP), begin)
-            out.append(mix(sums * _STEP + part[order[begin]].astype(np.uint64) * np.uint64(64) + np.uint64(k)))
+    reach = prefix_length(n) + 1
+    rank = np.where(frequent, 2, shared.astype(np.int8))
+    unique, rare = int((rank == 0).sum()), tokens[rank == 1]
+    out = [mix(rare[: max(0, reach - unique)])]
+    if unique + len(rare) < reach:
+        out += [x for c in size_classes(n) for x in _group_keys(tokens, rank, c)]
     return np.unique(np.concatenate(out))
 
 
+def _group_keys(tokens: np.ndarray, rank: np.ndarray, size_class: int) -> Iterator[np.ndarray]:
+    """Keys of the groups of a set; combinations that hold a unique token have no partner and go."""
+    groups = (1 << size_class) // GROUP + 1
+    group = mix(tokens ^ np.uint64(size_class + 1)) % np.uint64(groups)
+    order = np.lexsort((tokens, rank, group))
+    tokens, rank, group = tokens[order], rank[order], group[order]
+    begin = np.flatnonzero(np.diff(group.astype(np.int64), prepend=-1))
+    sizes = np.diff(np.append(begin, len(tokens)))
+    for size in np.unique(sizes):
+        k = min(COMBINED, int(size))  # groups of fewer tokens are only like themselves
+        chosen = _choices(prefix_length(int(size)) + k - 1, k)
+        first = begin[sizes == size]
+        at = first[:, None, None] + chosen[None]
+        have = (rank[at] > 0).all(axis=2)
+        total = np.repeat((group[first] * _STEP + np.uint64(size_class * 64 + k))[:, None], len(chosen), 1)
+        for j in range(k):
+            total = mix(total) * _STEP + tokens[at[:, :, j]]
+        yield mix(total[have])
+
+
+def sketch_of(tokens: np.ndarray) -> np.ndarray:
+    """Parities of the numbers of tokens in 64 * SKETCH hash ranges, as longs.
+
+    Two sets' sketches differ in at most as many bits as the sets differ in tokens.
+    """
+    odd = np.bincount((mix(tokens ^ _STEP) % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
     return (part for whole in batches for part in in_slices(whole, text))
 
@@ -168,87 +194,109 @@ def _bit(bits: np.ndarray, slot: np.ndarray) -> np.ndarray:
     return (bits[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 1
 
 
-def similar_nodes(docs: DataFrame, text: str, n_tokens: int) -> DataFrame:
-    """node and component of every shingle set that is like another one."""
-    spark = docs.sparkSession
-    classes = spark.sparkContext.broadcast(token_classes(docs, text, n_tokens))
+def similar_nodes(docs: DataFrame, nodes: DataFrame, n_tokens: int) -> DataFrame:
+    """node and component of every shingle set that is like another one.
+
+    docs: _text and _hash, the text's hash. nodes: node and _hash of a text that has it.
+    """
+    index = durable(_index(docs, n_tokens), "index")
+    pairs = durable(_central_pairs(index), "pairs")
+    edges = _linked(pairs, docs, nodes)
+    found = components(edges)
+    across = durable(_pairs_across(index, found), "across")
+    more = _linked(across, docs, nodes)
+    return found if more.isEmpty() else components(edges.union(more))
+
+
+def _index(docs: DataFrame, n_tokens: int) -> DataFrame:
+    """node, n (tokens), u (unique ones), sketch and keys of each node that has keys."""
+    classes = docs.sparkSession.sparkContext.broadcast(token_classes(docs, "_text", n_tokens))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared, frequent, slot_bits = classes.value
-        for batch in _slices(batches, text):
-            h, at = shingle_hashes(batch.column(batch.schema.get_field_index(text)))
-            keys, nodes, sizes, alone = [], [], [], []
-            for i in range(batch.num_rows):
-                tokens = np.unique(h[at[i] : at[i + 1]])
+        for batch in _slices(batches, "_text"):
+            rows = []
+            for tokens in token_sets(batch.column(0)):
                 slot = (tokens >> np.uint64(64 - slot_bits)).astype(np.int64)
                 twice, often = _bit(shared, slot), _bit(frequent, slot)
-                found = keys_of(tokens, twice, often)
-                if len(found):
-                    keys.append(found.view(np.int64))
-                    nodes += [node_of(tokens)] * len(found)
-                    sizes += [len(tokens)] * len(found)
-                    alone += [int((~twice & ~often).sum())] * len(found)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(keys) if keys else [], pa.int64()), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int32()), pa.array(alone, pa.int32())], ["key", "node", "n", "u"]
-            )
+                keys = keys_of(tokens, twice, often)
+                if len(keys):
+                    alone = ~twice & ~often
+                    rows.append((node_of(tokens), len(tokens), int(alone.sum()), sketch_of(tokens[~alone]), keys.view(np.int64)))
+            columns = list(zip(*rows, strict=True)) or [()] * len(_INDEX)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, _INDEX.values(), strict=True)], list(_INDEX))
+
+    schema = "node binary, n int, u int, sketch array<long>, keys array<long>"
+    return docs.select("_text").mapInArrow(index, schema).dropDuplicates(["node"])
+
+
+_INDEX = {"node": pa.binary(), "n": pa.int32(), "u": pa.int32(), "sketch": pa.list_(pa.int64()), "keys": pa.list_(pa.int64())}
+
 
-    rows = docs.select(text).mapInArrow(index, "key long, node binary, n int, u int")
-    rows = durable(rows.groupBy("key", "node").agg(F.first("n").alias("n"), F.first("u").alias("u")), "keys")
-    active = _with_partners(rows)
-    # the first eight bytes of a node are a hash already
-    wanted = spark.sparkContext.broadcast(hash_filter(active.select(F.expr("cast(conv(hex(substring(node, 1, 4)), 16, 10) as long)").alias("h"))))
-    sets = durable(docs.select(text).mapInArrow(_sets_of(text, wanted), "node binary, s array<long>").dropDuplicates(["node"]), "sets")
-    edges, seen, found, spread = None, None, None, 0
-    while not active.isEmpty():
-        part = F.lit(0) if spread == 0 else F.pmod(F.xxhash64("node", F.lit(spread)), F.lit(64**spread))
-        active = active.withColumn("part", part)
-        firsts = active.groupBy("key", "part").agg(F.min(F.struct("node", "n", "u", *(["component"] if spread else []))).alias("_f"))
-        firsts = firsts.select("key", F.col("_f.*")).withColumnsRenamed({"node": "node2", "n": "n2", "u": "u2", "component": "component2"})
-        # tokens that stand in one text alone are not shared: what is left bounds the similarity
-        most = F.least(F.col("n") - F.col("u"), F.col("n2") - F.col("u2"))
-        met = active.join(firsts, "key").where((F.col("node") != F.col("node2")) & (100 * most >= SIMILARITY * (most + F.col("u") + F.col("u2"))) & F.expr("100 * least(n, n2) >= 80 * greatest(n, n2)"))
-        if spread:
-            met = met.where("component <> component2")
-        pairs = met.groupBy(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
-        if not spread:
-            # first the partner that shares the most keys; the rest of the pairs only where this leaves keys open
-            pairs = pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a"))
-        elif seen is not None:
-            pairs = pairs.join(seen, ["a", "b"], "left_anti")
-        pairs = durable(pairs.select("a", "b"), "pairs")
-        left = sets.select(F.col("node").alias("a"), F.col("s").alias("sa"))
-        right = sets.select(F.col("node").alias("b"), F.col("s").alias("sb"))
-        common = F.size(F.array_intersect("sa", "sb"))
-        linked = 100 * common >= SIMILARITY * (F.size("sa") + F.size("sb") - common)
-        linked = durable(pairs.join(left, "a").join(right, "b").where(linked).select("a", "b"), "linked")
-        seen = pairs if seen is None else seen.union(pairs)
-        edges = linked if edges is None else edges.union(linked)
-        found = components(edges)
-        done = firsts.select("key", F.col("node2").alias("node"))
-        if spread:
-            active = active.join(done, ["key", "node"], "left_anti")
-        active = active.select("key", "node", "n", "u").join(found, "node", "left").select("key", "node", "n", "u", F.coalesce("component", "node").alias("component"))
-        active = _with_partners(active, "component")
-        spread += 1
-    return found if found is not None else rows.select("node", F.col("node").alias("component")).limit(0)
-
-
-def _with_partners(rows: DataFrame, by: str = "node") -> DataFrame:
-    """The rows whose key has two or more different values of `by`."""
-    open_keys = rows.groupBy("key").agg(F.min(by).alias("_a"), F.max(by).alias("_b")).where("_a <> _b").select("key")
-    return durable(rows.join(open_keys, "key"), "active")
-
-
-def _sets_of(text: str, wanted):
+def _by_key(index: DataFrame, *more: str) -> DataFrame:
+    bits = [F.col("sketch")[k].alias(f"s{k}") for k in range(SKETCH)]
+    return index.select(F.explode("keys").alias("key"), "node", "n", "u", *bits, *more)
+
+
+def _as_other(rows: DataFrame) -> DataFrame:
+    return rows.withColumnsRenamed({c: f"{c}_2" for c in rows.columns if c != "key"})
+
+
+def _may_be_similar() -> Column:
+    """False only for pairs below the threshold: the sets differ in at least so many tokens."""
+    apart = F.col("u") + F.col("u_2")
+    for k in range(SKETCH):
+        apart += F.bit_count(F.col(f"s{k}").bitwiseXOR(F.col(f"s{k}_2")))
+    # intersection / union = (n + n_2 - difference) / (n + n_2 + difference)
+    return (100 - SIMILARITY) * (F.col("n") + F.col("n_2")) >= (100 + SIMILARITY) * apart
+
+
+def _pair() -> list[Column]:
+    return [F.least("node", "node_2").alias("a"), F.greatest("node", "node_2").alias("b")]
+
+
+def _central_pairs(index: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each node with the node of fewest unique tokens of each of its keys."""
+    slim = index.select(F.explode("keys").alias("key"), "node", "u")
+    hub = slim.groupBy("key").agg(F.min(F.struct("u", "node")).alias("_hub"), F.min("node").alias("_a"), F.max("node").alias("_b"))
+    hub = hub.where("_a <> _b").select("key", F.col("_hub.node").alias("node"))
+    hubs = durable(hub.join(_by_key(index).drop("key").dropDuplicates(["node"]), "node"), "hubs")
+    return _by_key(index).join(_as_other(hubs), "key").where((F.col("node") != F.col("node_2")) & _may_be_similar()).select(*_pair()).distinct()
+
+
+def _pairs_across(index: DataFrame, found: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes that share a key, are in two components and may be similar."""
+    own = durable(index.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "labelled")
+    counts = own.select(F.explode("keys").alias("key"), "component").groupBy("key", "component").agg(F.count(F.lit(1)).alias("_n"))
+    open_keys = counts.groupBy("key").agg(F.max(F.struct("_n", "component")).alias("_main"), F.count(F.lit(1)).alias("_of")).where("_of > 1")
+    open_keys = durable(open_keys.select("key", F.col("_main.component").alias("_main")), "open")
+    active = durable(_by_key(own, "component").join(open_keys, "key"), "active")
+    outside = active.where("component <> _main").drop("_main")
+    met = outside.join(_as_other(active.drop("_main")), "key").where((F.col("component") != F.col("component_2")) & _may_be_similar())
+    return met.select(*_pair()).distinct()
+
+
+def _linked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets are similar. Only texts of nodes in pairs are hashed again."""
+    named = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    wanted = docs.sparkSession.sparkContext.broadcast(hash_filter(named.join(nodes, "node").select(F.col("_hash").alias("h"))))
+    sets = durable(docs.select("_text", "_hash").mapInArrow(_sets_of(wanted), "node binary, s array<long>").dropDuplicates(["node"]), "sets")
+    left = sets.select(F.col("node").alias("a"), F.col("s").alias("_sa"))
+    right = sets.select(F.col("node").alias("b"), F.col("s").alias("_sb"))
+    common = F.size(F.array_intersect("_sa", "_sb"))
+    similar = 100 * common >= SIMILARITY * (F.size("_sa") + F.size("_sb") - common)
+    return durable(pairs.join(left, "a").join(right, "b").where(similar).select("a", "b"), "linked")
+
+
+def _sets_of(wanted):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches, text):
-            sets = token_sets(batch.column(batch.schema.get_field_index(text)))
-            nodes = [node_of(s) for s in sets]
-            head = np.array([int.from_bytes((x or b"")[:4], "big") for x in nodes], np.int64)
-            keep = [i for i in np.flatnonzero(hits(wanted.value, head)) if nodes[i] is not None]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([nodes[i] for i in keep], pa.binary()), pa.array([sets[i].view(np.int64) for i in keep], pa.list_(pa.int64()))], ["node", "s"]
-            )
+        for batch in batches:
+            kept = batch.filter(pa.array(hits(wanted.value, batch.column(1).to_numpy())))
+            for part in in_slices(kept, "_text"):
+                sets = [s for s in token_sets(part.column(0)) if len(s)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([node_of(s) for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["node", "s"]
+                )
 
     return run
 
@@ -261,19 +309,21 @@ def join_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     Rows with a null key take part, but a null is never the smallest of a component with others.
     """
     ship(docs.sparkSession)
-    docs = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
+    docs = docs.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("_text"), F.xxhash64(f"`{text}`").alias("_hash"))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches, "_text"):
             sets = token_sets(batch.column(1))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) for s in sets], pa.binary())], ["_key", "n_shingles", "node"]
+                [batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) for s in sets], pa.binary())],
+                ["_key", "_hash", "n_shingles", "node"],
             )
 
-    schema = T.StructType([docs.schema["_key"], T.StructField("n_shingles", T.LongType()), T.StructField("node", T.BinaryType())])
+    schema = T.StructType([docs.schema["_key"], T.StructField("_hash", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("node", T.BinaryType())])
     nodes = durable(docs.mapInArrow(describe, schema), "nodes")
     n_tokens = nodes.agg(F.sum("n_shingles")).first()[0] or 0
-    found = similar_nodes(docs.select("_text"), "_text", n_tokens).where("node <> component")
+    reps = nodes.where("node is not null").groupBy("node").agg(F.min("_hash").alias("_hash"))
+    found = similar_nodes(docs, reps, n_tokens).where("node <> component")
     own = nodes.join(found, "node", "left").select("_key", "n_shingles", F.coalesce("component", "node").alias("_class"))
     firsts = own.where("_class is not null").groupBy("_class").agg(F.min("_key").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
     return own.join(firsts.select("_class", "_first"), "_class", "left").select(
@@ -288,9 +338,10 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     kept or dropped together, by the key.
     """
     found = join_components(docs, key, text)
-    kept = durable(found.where(F.col("component_id").eqNullSafe(F.col(key))).groupBy(key).agg(F.count(F.lit(1)).alias("_n")), "kept")
-    own = packed(docs, [], _key=F.col(key), _text=F.col(text) if _repeats(kept) else F.lit(None))
-    out = own.join(kept.select(F.col(key).alias("_kept")), F.col("_key").eqNullSafe(F.col("_kept")), "left_semi")
+    kept = found.where(F.col("component_id").eqNullSafe(F.col(f"`{key}`"))).groupBy(F.col(f"`{key}`").alias("_kept"))
+    kept = durable(kept.agg(F.count(F.lit(1)).alias("_n")), "kept")
+    own = packed(docs, [], _key=F.col(f"`{key}`"), _text=F.col(f"`{text}`") if _repeats(kept) else F.lit(None))
+    out = own.join(kept.select("_kept"), F.col("_key").eqNullSafe(F.col("_kept")), "left_semi")
     if _repeats(kept):
         out = out.dropDuplicates(["_key", "_text"])
     return out.select(*rest_columns(out))

@@ -1,6 +1,8 @@
 import re
 from collections import defaultdict
 
+import numpy as np
+
 from roadlens.llm import line_dedup, ngram_join
 from roadlens.llm.components import components
 
@@ -76,6 +78,30 @@ def test_ngram_join_large_groups_of_near_copies(spark):
     compare(spark.createDataFrame(rows, "doc_id long, text string"))
 
 
+def test_ngram_join_near_copies_on_both_sides_of_the_threshold(spark):
+    """One large template whose copies have similarities from 0.5 to 1, many just above and just below 0.8."""
+    rows = []
+    for size, start in ((24, 0), (150, 1000), (700, 2000)):
+        words = [f"s{size}w{i}" for i in range(size)]
+        for k in range(60):
+            own = list(words)
+            for j in range(k % (2 + size // 24)):
+                own[(11 * k + 29 * j) % size] = f"edit{(k + j) % 7}"
+            rows.append((start + k, " ".join(own)))
+    sets = [shingle_set(t) for _, t in rows]
+    close = [len(a & b) / len(a | b) for i, a in enumerate(sets) for b in sets[:i] if a & b]
+    assert sum(0.75 <= x < 0.8 for x in close) > 100 and sum(0.8 <= x < 0.85 for x in close) > 100
+    compare(spark.createDataFrame(rows, "doc_id long, text string"))
+
+
+def test_sketches_bound_the_difference_of_sets():
+    rng = np.random.default_rng(5)
+    for n in (5, 80, 900):
+        a, b = (rng.choice(2 * n, n, replace=False).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) for _ in range(2))
+        apart = sum(int(x).bit_count() for x in (ngram_join.sketch_of(a) ^ ngram_join.sketch_of(b)).view(np.uint64))
+        assert 0 < apart <= len(np.setxor1d(a, b)) and not (ngram_join.sketch_of(a) ^ ngram_join.sketch_of(a[::-1])).any()
+
+
 def test_keep_one(hard, empty):
     kept = sorted((r["doc_id"] or -1) for r in ngram_join.keep_one(hard).collect())
     assert kept == [-1, 1, 4, 5, 6, 7, 8, 9, 10, 11, 13, 14]
