@@ -44,6 +44,16 @@ def durable(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes up to which the side of a join is broadcast; beyond that the join shuffles.
+BROADCAST_BYTES = 32 << 20
+
+
+def beside(rows: DataFrame, row_bytes: int | Column = 64) -> DataFrame:
+    """rows, which a durable table holds, to be broadcast if their counted bytes are few."""
+    size = F.sum(row_bytes if isinstance(row_bytes, Column) else F.lit(row_bytes))
+    return F.broadcast(rows) if (rows.agg(size).first()[0] or 0) <= BROADCAST_BYTES else rows
+
+
 def words(text: Column) -> Column:
     """Array of the words of a text; null counts as empty."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), GAP), lambda w: w != "")

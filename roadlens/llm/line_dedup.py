@@ -1,13 +1,17 @@
 """Fuzzy line deduplication by MinHash, in DataFrame functions only.
 
-A line's set: character shingles of SHINGLE characters that begin at each word and every STEP
-characters within a long one, so every character lies in a shingle. Its signature: the smallest
+A line's set: shingles of SHINGLE characters. They begin at places that the characters themselves
+decide, so that an inserted or lost character moves none but those around it: at each word, at every
+character of scripts without spaces, and, in words longer than a shingle, at each vowel, digit and
+capital. Every character lies in a shingle. Its signature: the smallest
 shingle hash in each of BINS ranges of the hash space (one-permutation MinHash); an empty range
-borrows the next one's. A band is the value of a kept range with that of the next. Lines that
-share a band are compared by exact Jaccard similarity, first with the band's first line; those at
-0.8 or more are joined. Bands whose lines are then in one component need no more; what is left
-meets more and more lines of its band until every pair across components that shares a band has
-been compared. One line of each component stays.
+borrows the next one's. A band is the value of a kept range with that of the next.
+
+Lines that share a band with others carry a parity sketch of their set, which bounds the symmetric
+difference of two sets from below, so pairs that cannot be alike never leave a join. First each
+line meets the most connected line of each of its bands; then, across the components that this
+gives, the lines outside a band's largest component meet all of the band. Every pair that passes
+is verified by exact Jaccard similarity, and one line of each component stays.
 """
 
 from __future__ import annotations
@@ -15,24 +19,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, bind, durable, packed, table
+from .common import WORD, beside, bind, durable, packed, table
 from .components import components
 
-SHINGLE, STEP, SIMILARITY = 12, 9, 0.8
+SHINGLE, SIMILARITY = 12, 80
 #: Hash ranges (as a power of 2), and which of each eight give a band; small sets use all.
 BIN_BITS, KEPT_BINS, SMALL = 4, (0, 3, 5), 12
-#: Parts of an open band in the first round after that of the first lines; each round has so many times more.
-PARTS = 64
-#: Rows up to which the side of a join is broadcast; beyond it the join shuffles.
-SMALL_SIDE = 400_000
+#: Longs of a parity sketch.
+SKETCH = 4
 
-_PIECES = f"(?s)(?=(.{{1,{SHINGLE}}}))\\S{{1,{STEP}}}\\s*"
+#: Characters of long words, and of scripts without spaces, at which a shingle begins.
+_BEGINS = "aeiou0-9A-Z\\x{0E00}-\\x{10FFFF}"
+#: A whole word that fits in a shingle, or a piece of a longer run up to the next place where one begins.
+_PIECES = (
+    f"(?s)(?=(.{{1,{SHINGLE}}}))(?:[^\\s\\x{{0E00}}-\\x{{10FFFF}}]{{1,{SHINGLE}}}+(?!\\S)|\\S[^\\s{_BEGINS}]{{0,{SHINGLE - 1}}}+)\\s*"
+)
 
 
 def shingles(line: Column) -> Column:
-    """Sorted distinct hashes of a line's shingles."""
+    """Sorted hashes of a line's shingles, repeats included."""
     pieces = F.regexp_extract_all(line, F.lit(_PIECES), F.lit(1))
-    return F.sort_array(F.array_distinct(F.transform(pieces, lambda p: F.xxhash64(p))))
+    return F.sort_array(F.transform(pieces, lambda p: F.xxhash64(p)))
 
 
 def bands(hashes: Column) -> Column:
@@ -63,20 +70,53 @@ def bands(hashes: Column) -> Column:
 
 def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     """_doc (identity of a document's key and text), key, pos, line and _line (identity) of lines with a word."""
-    body = F.coalesce(F.col(text), F.lit(""))
+    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     own = docs.select(F.col(f"`{key}`").alias("_key"), body.alias("_text"), _identity(key, text).alias("_doc"))
     lines = own.select("_key", "_doc", F.posexplode(F.split("_text", "\n")).alias("pos", "line"))
     return lines.where(F.col("line").rlike(WORD)).withColumn("_line", F.unhex(F.md5(F.col("line").cast("binary"))))
 
 
 def _identity(key: str, text: str) -> Column:
-    body = F.coalesce(F.col(text), F.lit(""))
-    return F.unhex(F.md5(F.concat_ws("\0", F.coalesce(F.col(key).cast("string"), F.lit("null")), body).cast("binary")))
+    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    return F.unhex(F.md5(F.concat_ws("\0", F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("null")), body).cast("binary")))
+
+
+def _sketch(s: str, k: int) -> Column:
+    """Parities of the numbers of hashes of array s in the k-th 64 of 64 * SKETCH hash ranges."""
+    return F.expr(f"aggregate({s}, 0L, (a, h) -> if((shiftright(h, 6) & {SKETCH - 1}) = {k}, a ^ shiftleft(1L, cast(h & 63 as int)), a))")
+
+
+def _features(active: DataFrame, docs_lines: DataFrame) -> DataFrame:
+    """_line, s (its set), n (its size) and sketch (s0 ...) of the lines of active."""
+    named = active.select("_line").distinct()
+    lines = docs_lines.join(beside(durable(named, "named")), "_line", "left_semi").dropDuplicates(["_line"])
+    sets = durable(lines.select("_line", F.array_distinct(shingles(F.col("line"))).alias("s")), "sets")
+    return sets.select("_line", "s", F.size("s").alias("n"), *[_sketch("s", k).alias(f"s{k}") for k in range(SKETCH)])
+
+
+def _as_other(rows: DataFrame) -> DataFrame:
+    return rows.withColumnsRenamed({c: f"{c}_2" for c in rows.columns if c != "band"})
+
+
+def _may_be_near() -> Column:
+    """False only for pairs below SIMILARITY: the sets differ in at least so many shingles."""
+    apart = F.lit(0)
+    for k in range(SKETCH):
+        apart += F.bit_count(F.col(f"s{k}").bitwiseXOR(F.col(f"s{k}_2")))
+    # intersection / union = (n + n_2 - difference) / (n + n_2 + difference)
+    return (100 - SIMILARITY) * (F.col("n") + F.col("n_2")) >= (100 + SIMILARITY) * apart
+
+
+def _pair() -> list[Column]:
+    return [F.least("_line", "_line_2").alias("a"), F.greatest("_line", "_line_2").alias("b")]
 
 
-def _beside(rows: DataFrame) -> DataFrame:
-    """rows, to be broadcast where a count shows that they are few."""
-    return F.broadcast(rows) if rows.count() <= SMALL_SIDE else rows
+def _near(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are like each other."""
+    left, right = sets.select(F.col("_line").alias("a"), F.col("s").alias("_sa")), sets.select(F.col("_line").alias("b"), F.col("s").alias("_sb"))
+    common = F.size(F.array_intersect("_sa", "_sb"))
+    near = common * 100 >= SIMILARITY * (F.size("_sa") + F.size("_sb") - common)
+    return durable(pairs.join(left, "a").join(right, "b").where(near).select("a", "b"), "linked")
 
 
 def line_components(lines: DataFrame, docs_lines: DataFrame) -> DataFrame:
@@ -86,45 +126,34 @@ def line_components(lines: DataFrame, docs_lines: DataFrame) -> DataFrame:
     the lines that are compared.
     """
     rows = lines.select("_line", F.explode("bands").alias("band"))
-    first = rows.groupBy("band").agg(F.min("_line").alias("_first"), F.max("_line").alias("_last"))
-    first = durable(first.where("_first <> _last").select("band", "_first"), "bands")
-    met = rows.join(_beside(first), "band").where("_line <> _first")
-    met = durable(met.select("band", "_line", "_first").distinct(), "met")
-    active, pairs = met.select("band", "_line"), durable(met.select("_line", "_first").distinct(), "pairs")
-    edges, seen, found, spread = None, None, None, 0
-    while not active.isEmpty():
-        linked = _near(pairs, docs_lines)
-        edges = linked if edges is None else edges.union(linked)
-        seen = pairs if seen is None else seen.union(pairs)
-        if found is None or not linked.isEmpty():
-            found = components(edges)
-        active = active.select("band", "_line").join(found.withColumnRenamed("node", "_line"), "_line", "left")
-        active = durable(active.select("band", "_line", F.coalesce("component", "_line").alias("_class")), "active")
-        opened = active.groupBy("band").agg(F.min("_class").alias("_a"), F.max("_class").alias("_b")).where("_a <> _b").select("band")
-        active = durable(active.join(_beside(durable(opened, "open")), "band"), "active")
-        spread += 1
-        part = F.pmod(F.xxhash64("_line", F.lit(spread)), F.lit(PARTS ** min(spread, 8)))
-        firsts = active.groupBy("band", part.alias("_part")).agg(F.min(F.struct("_line", "_class")).alias("_f"))
-        firsts = durable(firsts.select("band", F.col("_f._line").alias("_first"), F.col("_f._class").alias("_other")), "firsts")
-        met = active.join(_beside(firsts), "band").where("_class <> _other")
-        pairs = met.select(F.greatest("_line", "_first").alias("_line"), F.least("_line", "_first").alias("_first")).distinct()
-        pairs = durable(pairs.join(seen, ["_line", "_first"], "left_anti"), "pairs")
-        # a first line has met all of its band and is done
-        active = active.join(firsts.select("band", F.col("_first").alias("_line")), ["band", "_line"], "left_anti")
-        active = durable(active, "active")
-        if active.isEmpty() and not pairs.isEmpty():
-            found = components(edges.union(_near(pairs, docs_lines)))
-    return found if found is not None else lines.select(F.col("_line").alias("node"), F.col("_line").alias("component")).limit(0)
-
-
-def _near(pairs: DataFrame, docs_lines: DataFrame) -> DataFrame:
-    """Edges (a, b) of the pairs that are like each other."""
-    named = durable(pairs.select("_line").union(pairs.select("_first")).distinct(), "named")
-    sets = durable(docs_lines.join(_beside(named), "_line", "left_semi").dropDuplicates(["_line"]).select("_line", shingles(F.col("line")).alias("s")), "sets")
-    compared = pairs.join(sets, "_line").join(sets.select(F.col("_line").alias("_first"), F.col("s").alias("t")), "_first")
-    common = F.size(F.array_intersect("s", "t"))
-    near = common * 100 >= F.lit(round(100 * SIMILARITY)) * (F.size("s") + F.size("t") - common)
-    return durable(compared.where(near).select(F.col("_line").alias("a"), F.col("_first").alias("b")), "linked")
+    shared = rows.groupBy("band").agg(F.min("_line").alias("_a"), F.max("_line").alias("_b")).where("_a <> _b").select("band")
+    active = durable(rows.join(beside(durable(shared, "bands")), "band").distinct(), "active")
+    features = durable(_features(active, docs_lines), "features")
+    # the line whose bands hold the most lines is the likeliest to be near to the others
+    size = active.groupBy("band").agg(F.count(F.lit(1)).alias("_size"))
+    degree = active.join(size, "band").groupBy("_line").agg(F.sum("_size").alias("_degree"))
+    own = active.join(features.drop("s").join(degree, "_line"), "_line")
+    own = durable(own, "sketched")
+    columns = ["_line", "n", *[f"s{k}" for k in range(SKETCH)]]
+    hubs = own.groupBy("band").agg(F.max(F.struct("_degree", *columns)).alias("_hub")).select("band", *[F.col(f"_hub.{c}").alias(c) for c in columns])
+    met = own.select("band", *columns).join(_as_other(hubs), "band").where((F.col("_line") != F.col("_line_2")) & _may_be_near())
+    edges = _near(durable(met.select(*_pair()).distinct(), "pairs"), features)
+    found = components(edges)
+    across = durable(_pairs_across(own.select("band", *columns), found), "across")
+    more = _near(across, features)
+    return found if more.isEmpty() else components(edges.union(more))
+
+
+def _pairs_across(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """Pairs (a, b) of lines that share a band, are in two components and may be near."""
+    own = rows.join(found.withColumnRenamed("node", "_line"), "_line", "left").withColumn("component", F.coalesce("component", "_line"))
+    own = durable(own, "labelled")
+    counts = own.groupBy("band", "component").agg(F.count(F.lit(1)).alias("_n"))
+    opened = counts.groupBy("band").agg(F.max(F.struct("_n", "component")).alias("_main"), F.count(F.lit(1)).alias("_of")).where("_of > 1")
+    active = durable(own.join(opened.select("band", F.col("_main.component").alias("_main")), "band"), "open")
+    outside = active.where("component <> _main").drop("_main")
+    met = outside.join(_as_other(active.drop("_main")), "band").where((F.col("component") != F.col("component_2")) & _may_be_near())
+    return met.select(*_pair()).distinct()
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -139,15 +168,15 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     at = durable(all_lines.select("_key", "_doc", "pos", "_line", bands(shingles(F.col("line"))).alias("bands")), "lines")
     found = line_components(at, all_lines.select("_line", "line"))
     classes = durable(found.where("node <> component"), "classes")
-    own = at.select("_key", "_doc", "pos", "_line").join(_beside(classes), at["_line"] == classes["node"], "left")
+    own = at.select("_key", "_doc", "pos", "_line").join(beside(classes), at["_line"] == classes["node"], "left")
     own = own.select(F.coalesce("component", "_line").alias("_class"), F.struct("_key", "_doc", "pos").alias("_at"))
     first = own.groupBy("_class").agg(F.min("_at").alias("_first"), F.max("_at").alias("_last")).where("not (_first <=> _last)")
     first = durable(first.select("_class", "_first"), "firsts")
-    dropped = own.join(_beside(first), "_class").where("not (_at <=> _first)").select("_at.*")
+    dropped = own.join(beside(first), "_class").where("not (_at <=> _first)").select("_at.*")
     dropped = durable(dropped.groupBy("_doc").agg(F.collect_set("pos").alias("_drop")), "dropped")
     columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     own = packed(docs, ["n_lines", "n_dropped", text], _text=F.col(f"`{text}`"), _doc=_identity(key, text))
-    joined = own.join(_beside(dropped), "_doc", "left")
+    joined = own.join(beside(dropped, 64 + F.size("_drop") * 8), "_doc", "left")
     lines = F.split("_text", "\n")
     kept = bind(lines, lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("_drop")), lambda i: x.getItem(i)), "\n"))
     counted = F.coalesce(F.size(F.filter(lines, lambda x: x.rlike(WORD))), F.lit(0)).cast("long")
