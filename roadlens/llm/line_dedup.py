@@ -8,10 +8,10 @@ shingle hash in each of BINS ranges of the hash space (one-permutation MinHash);
 borrows the next one's. A band is the value of a kept range with that of the next.
 
 Lines that share a band with others carry a parity sketch of their set, which bounds the symmetric
-difference of two sets from below, so pairs that cannot be alike never leave a join. First each
-line meets the most connected line of each of its bands; then, across the components that this
-gives, the lines outside a band's largest component meet all of the band. Every pair that passes
-is verified by exact Jaccard similarity, and one line of each component stays.
+difference of two sets from below, so pairs that cannot be alike never leave a join. First lines
+meet the most connected and the nearest of some lines of each of their bands; then, across the
+components that this gives, the lines outside a band's largest component meet all of the band.
+Every pair that passes is verified by exact Jaccard similarity, and one line of each component stays.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ from .components import components
 SHINGLE, SIMILARITY = 12, 80
 #: Hash ranges (as a power of 2), and which of each eight give a band; small sets use all.
 BIN_BITS, KEPT_BINS, SMALL = 4, (0, 3, 5), 12
-#: Longs of a parity sketch.
-SKETCH = 4
+#: Longs of a parity sketch; lines of a band, at most, of which another line takes the nearest.
+SKETCH, HUBS = 4, 64
 
 #: Characters of long words, and of scripts without spaces, at which a shingle begins.
 _BEGINS = "aeiou0-9A-Z\\x{0E00}-\\x{10FFFF}"
@@ -98,17 +98,15 @@ def _as_other(rows: DataFrame) -> DataFrame:
     return rows.withColumnsRenamed({c: f"{c}_2" for c in rows.columns if c != "band"})
 
 
-def _may_be_near() -> Column:
-    """False only for pairs below SIMILARITY: the sets differ in at least so many shingles."""
-    apart = F.lit(0)
-    for k in range(SKETCH):
-        apart += F.bit_count(F.col(f"s{k}").bitwiseXOR(F.col(f"s{k}_2")))
-    # intersection / union = (n + n_2 - difference) / (n + n_2 + difference)
-    return (100 - SIMILARITY) * (F.col("n") + F.col("n_2")) >= (100 + SIMILARITY) * apart
+def _bounded(sizes: Column, apart: Column) -> Column:
+    """Whether sets of that many shingles in all, which differ in `apart`, are near: (sizes - apart) / (sizes + apart) is their similarity."""
+    return (100 - SIMILARITY) * sizes >= (100 + SIMILARITY) * apart
 
 
-def _pair() -> list[Column]:
-    return [F.least("_line", "_line_2").alias("a"), F.greatest("_line", "_line_2").alias("b")]
+def _may_be_near() -> Column:
+    """False only for pairs below SIMILARITY: the sets differ in at least as many shingles as the sketches in bits."""
+    bits = [F.bit_count(F.col(f"s{k}").bitwiseXOR(F.col(f"s{k}_2"))) for k in range(SKETCH)]
+    return _bounded(F.col("n") + F.col("n_2"), sum(bits, F.lit(0)))
 
 
 def _near(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -134,26 +132,61 @@ def line_components(lines: DataFrame, docs_lines: DataFrame) -> DataFrame:
     degree = active.join(size, "band").groupBy("_line").agg(F.sum("_size").alias("_degree"))
     own = active.join(features.drop("s").join(degree, "_line"), "_line")
     own = durable(own, "sketched")
-    columns = ["_line", "n", *[f"s{k}" for k in range(SKETCH)]]
-    hubs = own.groupBy("band").agg(F.max(F.struct("_degree", *columns)).alias("_hub")).select("band", *[F.col(f"_hub.{c}").alias(c) for c in columns])
-    met = own.select("band", *columns).join(_as_other(hubs), "band").where((F.col("_line") != F.col("_line_2")) & _may_be_near())
-    edges = _near(durable(met.select(*_pair()).distinct(), "pairs"), features)
-    found = components(edges)
-    across = durable(_pairs_across(own.select("band", *columns), found), "across")
-    more = _near(across, features)
-    return found if more.isEmpty() else components(edges.union(more))
-
-
-def _pairs_across(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs (a, b) of lines that share a band, are in two components and may be near."""
+    columns = ["band", "_line", "_degree", "n", *[f"s{k}" for k in range(SKETCH)]]
+    edges, found = None, None
+    for meet in (_central, _central, _nearest, None):
+        # after the rounds that give most components, all that may be near and is still apart
+        labelled = _open(own.select(*columns), found)
+        pairs = meet(labelled) if meet else _across(labelled)
+        linked = _near(durable(pairs.select(F.least("_line", "_line_2").alias("a"), F.greatest("_line", "_line_2").alias("b")).distinct(), "pairs"), features)
+        if edges is None or not linked.isEmpty():
+            edges = linked if edges is None else edges.union(linked)
+            found = components(edges)
+    return found
+
+
+def _open(rows: DataFrame, found: DataFrame | None) -> DataFrame:
+    """rows with component, of the bands that hold several; _outside: not in the largest of the band's."""
+    if found is None:
+        return rows.withColumns({"component": F.col("_line"), "_outside": F.lit(True)})
     own = rows.join(found.withColumnRenamed("node", "_line"), "_line", "left").withColumn("component", F.coalesce("component", "_line"))
     own = durable(own, "labelled")
     counts = own.groupBy("band", "component").agg(F.count(F.lit(1)).alias("_n"))
     opened = counts.groupBy("band").agg(F.max(F.struct("_n", "component")).alias("_main"), F.count(F.lit(1)).alias("_of")).where("_of > 1")
-    active = durable(own.join(opened.select("band", F.col("_main.component").alias("_main")), "band"), "open")
-    outside = active.where("component <> _main").drop("_main")
-    met = outside.join(_as_other(active.drop("_main")), "band").where((F.col("component") != F.col("component_2")) & _may_be_near())
-    return met.select(*_pair()).distinct()
+    active = own.join(opened.select("band", F.col("_main.component").alias("_main")), "band")
+    return durable(active.withColumn("_outside", F.col("component") != F.col("_main")).drop("_main"), "open")
+
+
+def _hub(rows: DataFrame, *by: str) -> DataFrame:
+    """For each of by the row of most connections."""
+    columns = ["_degree", "_line", "n", *[f"s{k}" for k in range(SKETCH)], "component"]
+    return rows.groupBy(*by).agg(F.max(F.struct(*columns)).alias("_hub"))
+
+
+def _central(rows: DataFrame) -> DataFrame:
+    """Each line with the most connected line outside the largest component of each of its bands."""
+    hubs = _hub(rows.where("_outside"), "band").select("band", "_hub.*")
+    return rows.join(_as_other(hubs), "band").where((F.col("component") != F.col("component_2")) & _may_be_near())
+
+
+def _nearest(rows: DataFrame) -> DataFrame:
+    """Each line outside the largest component with the nearest, by sketches, of up to HUBS lines of each of its bands."""
+    part = F.pmod(F.xxhash64("_line", F.lit("hub")), F.lit(HUBS))
+    hubs = _hub(rows.withColumn("_part", part), "band", "_part").groupBy("band").agg(F.collect_list("_hub").alias("_hubs"))
+
+    def apart(h: Column) -> Column:
+        return sum((F.bit_count(F.col(f"s{k}").bitwiseXOR(h[f"s{k}"])) for k in range(SKETCH)), F.lit(0))
+
+    near = F.filter("_hubs", lambda h: (h["component"] != F.col("component")) & _bounded(F.col("n") + h["n"], apart(h)))
+    best = F.array_min(F.transform(near, lambda h: F.struct(apart(h).alias("d"), h["_line"].alias("_line"))))
+    met = rows.where("_outside").join(hubs, "band").select("_line", best["_line"].alias("_line_2"))
+    return met.where("_line_2 is not null")
+
+
+def _across(rows: DataFrame) -> DataFrame:
+    """All lines of a band that are in two components and may be near."""
+    met = rows.where("_outside").join(_as_other(rows), "band")
+    return met.where((F.col("component") != F.col("component_2")) & _may_be_near())
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
