@@ -4,7 +4,8 @@ Texts are cut where a rolling hash of the last bytes hits a mask, so equal passa
 chunks wherever they stand. Chunks found more than once in the corpus are encoded once and
 joined to the texts that hold them; what lies between is encoded in place; at every join the
 tokens around it are encoded again, over a window widened until both its ends are places where
-the tokenizer always splits, and so agree with the tokens outside.
+the tokenizer always splits, and so agree with the tokens outside. Windows that meet are one, so
+the repair is linear in the text.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from unicodedata import category
 
 import numpy as np
 import pyarrow as pa
@@ -107,30 +109,60 @@ def _chunks(batch: pa.RecordBatch, text: str):
     return data, starts, hashes.view(np.int64), np.searchsorted(starts, offsets)
 
 
+def _kind(char: str) -> str:
+    """The class of SPLIT that a character is in: L, N, P for the rest, a space for white space; empty where unsure."""
+    if char in " \t\n\r":
+        return " "
+    first = category(char)[0]
+    return first if first in "LN" else "P" if first in "PSM" else ""
+
+
 def _is_safe(raw: bytes, at: int) -> bool:
-    """True where every text is split: white space after a visible ASCII character."""
-    return raw[at] in b" \t\n\r" and 0x21 <= raw[at - 1] <= 0x7E
+    """True for places inside raw where every text is split, whatever stands further away.
+
+    SPLIT has no piece that holds white space or a character of another class behind a visible
+    one, but for the letters behind an apostrophe.
+    """
+    start = at - 1
+    while raw[start] & 0xC0 == 0x80:
+        start -= 1
+    if raw[at] & 0xC0 == 0x80:
+        return False
+    before, after = raw[start:at].decode(), raw[at : at + 4].decode("utf-8", "ignore")[0]
+    left, right = _kind(before), _kind(after)
+    return left in ("L", "N", "P") and right != "" and left != right and before != "'"
 
 
 def assemble(raw: bytes, pieces: list[tuple[int, int, list[int] | None]], vocab: Vocabulary) -> list[int]:
-    """Tokens of raw from adjoining pieces (start, end, known tokens or None)."""
+    """Tokens of raw from adjoining pieces (start, end, known tokens or None).
+
+    Between the last safe place before a join and the first behind it raw is encoded again; joins
+    without a safe place between them share one such window, so no byte is encoded again twice.
+    """
     ids: list[int] = []
     length = vocab.length
+    since, tail = 0, []  # what is not settled yet: its start, and its tokens unless a join lies in it
     for start, end, known in pieces:
         if known is None:
             known = vocab.encode(raw[start:end].decode())
-        if not start or _is_safe(raw, start):
-            ids += known
-            continue
-        left, right, used = start, start, 0
-        while left and (left == start or not _is_safe(raw, left)):
-            left -= length[ids.pop()]
-        while right < end and (right == start or not _is_safe(raw, right)):
-            right += length[known[used]]
-            used += 1
-        ids += vocab.encode(raw[left:right].decode())
-        ids += known[used:]
-    return ids
+        first, at = 0, start
+        if start and not _is_safe(raw, start):
+            while first < len(known) and (at == start or at < end and not _is_safe(raw, at)):
+                at += length[known[first]]
+                first += 1
+            if at >= end:
+                tail = None
+                continue
+            ids += vocab.encode(raw[since:at].decode())
+        elif start:
+            ids += tail if tail is not None else vocab.encode(raw[since:start].decode())
+        last, place = len(known), end
+        while last > first and (place == end or not _is_safe(raw, place)):
+            last -= 1
+            place -= length[known[last]]
+        ids += known[first:last]
+        since, tail = place, known[last:]
+    return ids + (tail if tail is not None else vocab.encode(raw[since:].decode()))
 
 
 def shared_chunks(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -238,19 +270,14 @@ def decode(docs: DataFrame, ids: str = "ids", to: str = "decoded", tokenizer: st
     """docs with the text of their token ids, special tokens included; null ids give an empty text."""
     path = tokenizer or default_tokenizer()
     ship(docs.sparkSession)
-    docs = packed(docs, [to], _ids=F.col(f"`{ids}`"))
-    schema = T.StructType([docs.schema["_rest"], T.StructField("_out", T.StringType())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("string")
+    def decoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         vocab = vocabulary(path)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                texts = [vocab.decode(x.values.to_pylist()) if x.is_valid else "" for x in batch.column(1)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["_rest", "_out"])
-
-    out = docs.mapInArrow(run, schema)
-    return out.select(*rest_columns(out), F.col("_out").alias(to))
+        for lists in batches:
+            yield pa.array([vocab.decode(x.values.to_pylist()) if x.is_valid else "" for x in lists], pa.string())
+
+    return docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != to], decoded(F.col(f"`{ids}`")).alias(to))
 
 
 def op1_bpe_chunk_reuse(spark, sf_dir: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -43,13 +44,29 @@ def test_assemble_repairs_any_cut(library):
     vocab = bpe.vocabulary(bpe.default_tokenizer())
     rng = random.Random(2)
     for _ in range(200):
-        raw = "".join(rng.choice(["ab", " the", "  ", "\n\n", "é", "'s", "123", "!?", " x"]) for _ in range(60)).encode()
+        raw = "".join(rng.choice(["ab", " the", "  ", "\n\n", "é", "'s", "'", "s", "123", "!?", " x", "日本", "。", "क्ष", "\u3000", "\u00ad"]) for _ in range(60)).encode()
         at = [i for i in range(1, len(raw)) if raw[i] & 0xC0 != 0x80]
         cuts = [0, *sorted(rng.sample(at, 5)), len(raw)]
         pieces = [(a, b, vocab.encode(raw[a:b].decode()) if rng.random() < 0.6 else None) for a, b in zip(cuts, cuts[1:], strict=False)]
         assert bpe.assemble(raw, pieces, vocab) == vocab.encode(raw.decode())
 
 
+def test_assemble_is_linear_without_spaces():
+    """Every second kilobyte of an unspaced text is known; with and without a place where every text is split."""
+    vocab = bpe.vocabulary(bpe.default_tokenizer())
+    rng = random.Random(4)
+    for letters in ("".join(chr(0x4E00 + 11 * i) for i in range(900)) + "，。" * 30, "abcdefghijklmnop"):
+        raw = "".join(rng.choice(letters) for _ in range(300_000)).encode()
+        at = [i for i in range(0, len(raw), 1024)]
+        at = [next(k for k in range(i, len(raw)) if raw[k] & 0xC0 != 0x80) for i in at] + [len(raw)]
+        pieces = [(a, b, vocab.encode(raw[a:b].decode()) if k % 2 else None) for k, (a, b) in enumerate(zip(at, at[1:], strict=False))]
+        began = time.thread_time()
+        want = vocab.encode(raw.decode())
+        plain = time.thread_time() - began
+        assert bpe.assemble(raw, pieces, vocab) == want
+        assert time.thread_time() - began - plain < 4 * plain + 2
+
+
 def test_same_as_library_on_unusual_characters(library):
     vocab = bpe.vocabulary(bpe.default_tokenizer())
     for c in [*range(1, 0x3000, 7), 0x1F600, 0xE000, 0x2028, 0x85, 0xA0, 0x3000]:
