@@ -12,13 +12,12 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .bytehash import buffer_of, in_slices, lut_of, mix, word_hashes
 from ..shipping import ship
-from .common import packed, rest_columns, table
+from .common import table
 
 
 @dataclass(frozen=True)
@@ -128,36 +127,42 @@ def train(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> np.ndarra
     return out
 
 
-def score(docs: DataFrame, weights: np.ndarray, p: Params = Params(), text: str = "text", to: str = "score") -> DataFrame:
-    """docs with a score from 0 to 1 for each whole text.
-
-    Each feature counts once however often it occurs in a text. Null and empty texts get the
-    bias's score. All input columns pass through; one named as `to` is replaced.
-    """
-    ship(docs.sparkSession)
+def score_of(spark: SparkSession, text: str, weights: np.ndarray, p: Params = Params()) -> Column:
+    """Column with the score from 0 to 1 of each whole text of column text; only texts go to Python and only scores return."""
+    ship(spark)
     sparse = np.flatnonzero(weights[:-1])
-    model = docs.sparkSession.sparkContext.broadcast((sparse, weights[sparse], weights[-1]))
-    docs = packed(docs, [to], _text=F.col(f"`{text}`")).select("_text", "_rest")
-    schema = T.StructType([docs.schema["_rest"], T.StructField("_out", T.DoubleType())])
+    model = spark.sparkContext.broadcast((sparse, weights[sparse], weights[-1]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("double")
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         at, value, bias = model.value
         rank = np.zeros(1 << p.bits, np.int32)
         rank[at] = np.arange(1, len(at) + 1)
-        for batch in (part for whole in batches for part in in_slices(whole, "_text")):
-            total = np.full(batch.num_rows, bias)
-            met = []
-            for slot, own in features(batch.column(0), p.bits):
-                r = rank[slot]
-                hit = r > 0
-                met.append(own[hit] * np.int64(len(at) + 1) + r[hit])
-            if met:
+        for texts in batches:
+            total = np.full(len(texts), bias)
+            done = 0
+            for part in in_slices(pa.RecordBatch.from_arrays([texts], ["text"]), "text"):
+                met = []
+                for slot, own in features(part.column(0), p.bits):
+                    r = rank[slot]
+                    hit = r > 0
+                    met.append(own[hit] * np.int64(len(at) + 1) + r[hit])
                 key = np.unique(np.concatenate(met))
-                np.add.at(total, key // (len(at) + 1), value[key % (len(at) + 1) - 1])
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(1 / (1 + np.exp(-np.clip(total, -35, 35))))], ["_rest", "_out"])
+                np.add.at(total, done + key // (len(at) + 1), value[key % (len(at) + 1) - 1])
+                done += part.num_rows
+            yield pa.array(1 / (1 + np.exp(-np.clip(total, -35, 35))))
+
+    return scored(F.col(f"`{text}`"))
 
-    out = docs.mapInArrow(run, schema)
-    return out.select(*rest_columns(out), F.col("_out").alias(to))
+
+def score(docs: DataFrame, weights: np.ndarray, p: Params = Params(), text: str = "text", to: str = "score") -> DataFrame:
+    """docs with a score from 0 to 1 for each whole text.
+
+    Each feature counts once however often it occurs in a text. Null and empty texts get the
+    bias's score. All input columns pass through; one named as `to` is replaced.
+    """
+    others = [F.col(f"`{c}`") for c in docs.columns if c != to]
+    return docs.select(*others, score_of(docs.sparkSession, text, weights, p).alias(to))
 
 
 def held_out(doc_id: str):
@@ -166,8 +171,8 @@ def held_out(doc_id: str):
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> DataFrame:
     """The rows of docs that score below p.threshold; only labels outside the held-out part teach."""
-    scored = score(docs, train(docs, labels.where(~held_out("doc_id")), p), p, to="_toxicity")
-    return scored.where(F.col("_toxicity") < p.threshold).drop("_toxicity")
+    weights = train(docs, labels.where(~held_out("doc_id")), p)
+    return docs.where(score_of(docs.sparkSession, "text", weights, p) < p.threshold)
 
 
 def op10_toxicity_ftrl(spark, sf_dir: str) -> DataFrame:
