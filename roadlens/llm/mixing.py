@@ -2,8 +2,8 @@
 
 Each document d gets the rate r_d closest in relative entropy to 1 among all rates of at most
 MAX_COPIES that meet its source's token target. The solution is r_d = min(MAX_COPIES,
-exp(lambda_s * size_d / scale_s)); Newton iterations on the convex dual find lambda for all
-sources at once from (source, size) histograms. Systematic rounding turns rates into copies.
+exp(lambda_s * size_d / scale_s)); distributed Newton iterations on the convex dual find lambda for
+all sources at once from (source, size) histograms. Systematic rounding turns rates into copies.
 
 Nulls: a null text has size 0, a null source is a source of its own. Documents without words
 have rate 1 and take no words. Repeated rows are documents of their own. No rows: no rows.
@@ -16,7 +16,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bind, durable, n_words, packed, rest_columns, table
+from .common import durable, n_words, packed, rest_columns, table
 
 WEIGHTS = (5.0, 2.0, 1.0)
 TOTAL_SHARE = 1.5
@@ -55,46 +55,43 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     )
 
 
-def solve_tilts(histogram: DataFrame, targets: DataFrame, steps: int = 80, tolerance: float = 1e-13) -> DataFrame:
+def solve_tilts(histogram: DataFrame, targets: DataFrame, steps: int = 100, tolerance: float = 1e-10) -> DataFrame:
     """targets with the tilt of each source.
 
-    The dual has one variable a source and no terms between sources, so each source's Newton
-    iterations run on their own, all sources at once, over the source's histogram (s, size, n): one
-    entry for each size, however many documents share it. The iterations solve log(tokens(tilt)) =
-    log(target); one that leaves the bracket known to hold the root is replaced by its middle, and
-    settled sources take no further steps.
+    Newton iterations on the dual, all sources at once: a step sums tokens and their slope over the
+    histogram (s, size, n) by source, and moves each source's tilt towards log(tokens(tilt)) =
+    log(target). A move out of the bracket known to hold the root, or after one that gained little,
+    goes to the bracket's middle; sources whose documents are all taken MAX_COPIES times need none.
+    Sums are decimals, so that they are the same in any order. Between steps the tilts lie in a
+    table; whether all have settled is all that the driver learns.
     """
-    pairs = F.sort_array(F.collect_list(F.struct(F.col("size").cast("double").alias("x"), F.col("n").cast("double").alias("n"))))
-    sized = histogram.where("size > 0").groupBy("s").agg(pairs.alias("_sizes"))
-    live = targets.where((F.col("source_size") > 0) & (F.col("target") > 0)).join(sized, "s")
     target, scale = F.col("target"), F.col("scale")
     # every size is at least 1, so all rates are MAX_COPIES at hi and at most half the wanted mean at lo
     hi = scale * math.log(MAX_COPIES)
-    start = _state(scale * F.log(target / F.col("source_size") / 2), hi, F.least(F.log(target / F.col("source_size")), hi), F.lit(False))
-
-    def step(state):
-        def add(sums, p):
-            power = F.exp(F.least(F.lit(30.0), state["tilt"] * p["x"] / scale))
-            tokens = p["n"] * p["x"] * F.least(F.lit(float(MAX_COPIES)), power)
-            slope = F.when(power < MAX_COPIES, tokens * p["x"] / scale).otherwise(0.0)
-            return F.struct((sums["g"] + tokens).alias("g"), (sums["d"] + slope).alias("d"))
-
-        def move(sums):
-            over = F.log(sums["g"] / target)
-            low, high = F.when(over <= 0, state["tilt"]).otherwise(state["lo"]), F.when(over >= 0, state["tilt"]).otherwise(state["hi"])
-            newton = F.when(sums["d"] > 0, state["tilt"] - over * sums["g"] / sums["d"])
-            next_tilt = F.when(newton.between(low, high), newton).otherwise((low + high) / 2)
-            return F.when(F.abs(over) < tolerance, _state(low, high, state["tilt"], F.lit(True))).otherwise(_state(low, high, next_tilt, F.lit(False)))
-
-        zero = F.struct(F.lit(0.0).alias("g"), F.lit(0.0).alias("d"))
-        return F.when(state["done"], state).otherwise(bind(F.aggregate("_sizes", zero, add), move))
-
-    tilt = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, lambda state, _: step(state))["tilt"]
-    return targets.join(live.select("s", F.round(tilt, 9).alias("tilt")), "s", "left").fillna(0.0, ["tilt"])
-
-
-def _state(lo, hi, tilt, done):
-    return F.struct(lo.alias("lo"), hi.alias("hi"), tilt.alias("tilt"), done.alias("done"))
+    full = target >= F.col("source_size") * (MAX_COPIES * (1 - 1e-12))
+    own = targets.where((F.col("source_size") > 0) & (target > 0)).select(
+        "s", "scale", "target", (scale * F.log(target / F.col("source_size") / 2)).alias("lo"), hi.alias("hi"),
+        F.when(full, hi).otherwise(F.least(F.log(target / F.col("source_size")), hi)).alias("tilt"), full.alias("done"), F.lit(None).cast("double").alias("was"),
+    )
+    state = durable(own, "tilts")
+    sized = histogram.where("size > 0")
+    for _ in range(steps):
+        if state.where("not done").isEmpty():
+            break
+        rate, size = _rate(F.col("tilt"), F.col("size"), scale), F.col("size")
+        tokens = F.col("n") * size * rate
+        slope = F.when(rate < MAX_COPIES, tokens * size / scale).otherwise(0.0)
+        exact = [F.sum(x.cast("decimal(38,12)")).cast("double").alias(name) for x, name in ((tokens, "_g"), (slope, "_d"))]
+        sums = sized.join(state.where("not done").select("s", "tilt", "scale"), "s").groupBy("s").agg(*exact)
+        over = F.log(F.col("_g") / target)
+        low, high = F.when(over <= 0, F.col("tilt")).otherwise(F.col("lo")), F.when(over >= 0, F.col("tilt")).otherwise(F.col("hi"))
+        newton = F.when(F.col("_d") > 0, F.col("tilt") - over * F.col("_g") / F.col("_d"))
+        settled = F.col("done") | (F.abs(over) < tolerance) | (high - low < 1e-12 * F.abs(high))
+        good = F.coalesce(newton.between(low, high), F.lit(False)) & (F.col("was").isNull() | (4 * F.abs(over) < F.col("was")))
+        moved = F.when(settled, F.col("tilt")).when(good, newton).otherwise((low + high) / 2)
+        kept = lambda new, old: F.when(F.col("done"), F.col(old)).otherwise(new).alias(old)
+        state = durable(state.join(sums, "s", "left").select("s", "scale", "target", kept(low, "lo"), kept(high, "hi"), kept(moved, "tilt"), settled.alias("done"), F.when(good, F.abs(over)).alias("was")), "tilts")
+    return targets.join(state.select("s", F.round("tilt", 9).alias("tilt")), "s", "left").fillna(0.0, ["tilt"])
 
 
 def _rate(tilt, size, scale):
@@ -114,11 +111,18 @@ def round_to_copies(rated: DataFrame, key: str) -> DataFrame:
     n = df.groupBy("s", "_level").agg(F.ceil(F.count(F.lit(1)) / RUN).alias("_salts"))
     df = df.join(n, ["s", "_level"]).withColumn("_salt", F.pmod("_h", "_salts").cast("int")).drop("_salts")
     run = ["s", "_level", "_salt"]
-    runs = df.groupBy(*run).agg(F.sum("_part").alias("_sum"))
-    before = Window.partitionBy("s").orderBy("_level", "_salt").rowsBetween(Window.unboundedPreceding, -1)
-    start = runs.withColumn("_start", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
+    # dealt anew: by source and level alone a hot source's rows would stay together
+    df = durable(df.repartition(*run), "dealt")
+    runs = durable(df.groupBy(*run).agg(F.sum("_part").alias("_sum")), "runs")
+    levels = runs.groupBy("s", "_level").agg(F.sum("_sum").alias("_all"))
+    earlier = Window.partitionBy("s").orderBy("_level").rowsBetween(Window.unboundedPreceding, -1)
+    levels = levels.select("s", "_level", F.coalesce(F.sum("_all").over(earlier), F.lit(0)).alias("_from"))
+    before = Window.partitionBy("s", "_level").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
+    start = runs.withColumn("_start", F.coalesce(F.sum("_sum").over(before), F.lit(0))).join(levels, ["s", "_level"])
+    start = durable(start.select(*run, (F.col("_start") + F.col("_from")).alias("_start")), "starts")
     along = Window.partitionBy(*run).orderBy("size", "_h", key).rowsBetween(Window.unboundedPreceding, 0)
     df = df.withColumn("_end", F.sum("_part").over(along)).join(start, run)
+    df = durable(df, "placed")
 
     def copies(offset):
         end = F.col("_start") + F.col("_end") + offset
@@ -133,7 +137,7 @@ def round_to_copies(rated: DataFrame, key: str) -> DataFrame:
 
 def mix_counts(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """key, size, source_size, target, rate and copies of each document."""
-    sizes = durable(docs.select(F.col(key).alias("key"), F.col(source).alias("source"), n_words(F.col(text)).alias("size")), "sizes")
+    sizes = durable(docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{source}`").alias("source"), n_words(F.col(f"`{text}`")).alias("size")), "sizes")
     counts = durable(sizes.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "histogram")
     targets = durable(source_targets(counts), "targets")
     histogram = counts.join(targets.select("s", "source"), counts["source"].eqNullSafe(targets["source"])).select("s", "size", "n")
@@ -147,13 +151,13 @@ def mix_counts(docs: DataFrame, key: str = "doc_id", source: str = "source", tex
 def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """docs with each row as often as the mix takes it, none to MAX_COPIES times.
 
-    Rows that repeat key and text get the copies of their like one by one.
+    Rows that repeat key and text get the copies of their like one by one, in the order of a hash of the whole row.
     """
-    body = F.coalesce(F.col(text), F.lit("\0null"))
-    identity = F.unhex(F.md5(F.concat_ws("\0", F.coalesce(F.col(key).cast("string"), F.lit("null")), body).cast("binary")))
-    named = packed(docs, [], _id=identity, _source=F.col(source), _text=F.col(text))
+    body = F.coalesce(F.col(f"`{text}`"), F.lit("\0null"))
+    identity = F.unhex(F.md5(F.concat_ws("\0", F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("null")), body).cast("binary")))
+    named = packed(docs, [], _id=identity, _source=F.col(f"`{source}`"), _text=F.col(f"`{text}`"))
     counts = mix_counts(named, "_id", "_source", "_text").groupBy("_id").agg(F.sort_array(F.collect_list("copies"), asc=False).alias("_copies"))
-    joined = named.drop("_source", "_text").join(counts, "_id").withColumn("_i", F.row_number().over(Window.partitionBy("_id").orderBy("_id")))
+    joined = named.drop("_source", "_text").join(counts, "_id").withColumn("_i", F.row_number().over(Window.partitionBy("_id").orderBy(F.xxhash64("_rest"))))
     taken = joined.withColumn("_n", F.element_at("_copies", F.col("_i"))).where("_n > 0")
     return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*rest_columns(taken))
 

@@ -1,3 +1,4 @@
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -49,6 +50,23 @@ def test_mix_meets_targets(spark, hard, which):
         assert len(rows) == hard.count()
 
 
+def test_rates_solve_the_entropy_balancing_dual(spark):
+    """Each source's rates are min(2, exp(tilt * size)) with the one tilt, found by bisection, that meets its target."""
+    rows = mixing.mix_counts(spark.read.parquet(f"{DATA}/documents.parquet")).select("size", "source_size", "target", "rate").collect()
+    of = defaultdict(list)
+    for r in rows:
+        of[r["source_size"], r["target"]].append(r)
+    for (_, target), own in of.items():
+        mean = sum(r["size"] for r in own) / len(own)
+        tokens = lambda tilt: sum(r["size"] * min(2.0, math.exp(min(30.0, tilt * r["size"] / mean))) for r in own)  # noqa: B023, E731
+        low, high = -400.0, mean * math.log(2)
+        for _ in range(200):
+            middle = (low + high) / 2
+            low, high = (middle, high) if tokens(middle) < target else (low, middle)
+        for r in own:
+            assert r["rate"] == pytest.approx(min(2.0, math.exp(min(30.0, low * r["size"] / mean))), rel=1e-5, abs=1e-9)
+
+
 def test_mix_repeats_rows(hard, empty):
     mixed = mixing.mix(hard)
     assert mixed.columns == hard.columns
