@@ -22,9 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..shipping import ship
 from .bytehash import INVERSE, buffer_of, in_slices, mix, powers, prefix_sums, slices
-from .common import durable, hash_filter, hits, packed, rest_columns, table
+from .common import durable, hash_filter, hits, packed, rest_columns, ship, table
 
 # Fixed value: the split pattern of byte-level BPE files with "use_regex".
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""

@@ -9,11 +9,25 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import shipping
+
 #: A word is a maximal run of characters other than space, tab, line feed, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 
 
+#: Bytes of an Arrow batch that goes to a Python worker: texts are long, and both sides hold whole batches.
+ARROW_BYTES = 4 << 20
+
+
+def ship(spark: SparkSession) -> None:
+    """Makes the package importable on executors, and the session's Arrow batches ARROW_BYTES at most."""
+    shipping.ship(spark)
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name).rstrip("b")) > ARROW_BYTES:
+        spark.conf.set(name, ARROW_BYTES)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

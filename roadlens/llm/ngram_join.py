@@ -32,9 +32,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..shipping import ship
 from .bytehash import buffer_of, in_slices, lut_of, mix, word_hashes
-from .common import durable, hash_filter, hits, packed, rest_columns, table
+from .common import durable, hash_filter, hits, packed, rest_columns, ship, table
 from .components import components
 
 WORDS, SIMILARITY = 5, 80

@@ -19,10 +19,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shipping import ship
 from .bpe import default_tokenizer, vocabulary
 from .bytehash import buffer_of, in_slices, mix
-from .common import shared_path, table
+from .common import shared_path, ship, table
 
 #: Tokens of a sequence and, about, sequences of a shard.
 LENGTH, SHARD_ROWS = 256, 4096

@@ -18,8 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..shipping import ship
-from .common import durable, table
+from .common import durable, ship, table
 
 #: Length classes; rows of a block of candidates and of queries, about; long vectors for first bounds.
 CLASSES, BLOCK_ROWS, QUERY_ROWS, SEEDS = 16, 4096, 1024, 1024

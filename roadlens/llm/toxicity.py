@@ -16,8 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytehash import buffer_of, in_slices, lut_of, mix, word_hashes
-from ..shipping import ship
-from .common import table
+from .common import ship, table
 
 
 @dataclass(frozen=True)
