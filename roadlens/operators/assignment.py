@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..shipping import ship
 
@@ -71,14 +74,29 @@ def assign(pairs: DataFrame, by: list[str], left: str, right: str, cost: str, mo
     ship(pairs.sparkSession)
     solve = greedy if mode == "greedy" else optimal
     columns = [*by, left, right, cost]
+    # a frame's few cost rows make one array, so that a task takes many frames at once
+    frames = pairs.select(*columns).groupBy(*by).agg(F.collect_list(F.struct(left, right, cost)).alias("_pairs"))
 
-    def solve_group(pdf: pd.DataFrame) -> pd.DataFrame:
-        matrix = pdf.pivot_table(index=left, columns=right, values=cost, aggfunc="min").sort_index(axis=0).sort_index(axis=1)
-        costs = matrix.to_numpy(float)
-        chosen = solve(costs if mode == "greedy" else np.where(np.isnan(costs), 1e12, costs))
-        rows = [(i, j) for i, j in enumerate(chosen) if j >= 0 and not np.isnan(costs[i, j])]
-        out = {c: [pdf[c].iloc[0]] * len(rows) for c in by}
-        out |= {left: [matrix.index[i] for i, _ in rows], right: [matrix.columns[j] for _, j in rows], cost: [costs[i, j] for i, j in rows]}
-        return pd.DataFrame(out)[columns]
+    def solve_frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(len(by))
+            at, values = lists.offsets.to_numpy(), lists.values
+            l_values, r_values, c_values = (values.field(k) for k in range(3))
+            ls, rs, cs = (x.to_numpy(zero_copy_only=False) for x in (l_values, r_values, c_values))
+            frame, taken = [], []
+            for f in range(batch.num_rows):
+                own = slice(at[f], at[f + 1])
+                rows, i = np.unique(ls[own], return_inverse=True)
+                cols, j = np.unique(rs[own], return_inverse=True)
+                costs = np.full((len(rows), len(cols)), np.nan)
+                np.fmin.at(costs, (i, j), cs[own].astype(float))
+                chosen = solve(costs if mode == "greedy" else np.where(np.isnan(costs), 1e12, costs))
+                hit = np.flatnonzero((chosen[i] == j) & (cs[own] == costs[i, j]))
+                _, first = np.unique(i[hit], return_index=True)
+                taken.append(hit[first] + at[f])
+                frame += [f] * len(first)
+            which = pa.array(np.concatenate(taken) if taken else np.zeros(0, np.int64))
+            whose = pa.array(frame, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(c.take(whose) for c in batch.columns[: len(by)]), *(x.take(which) for x in (l_values, r_values, c_values))], columns)
 
-    return pairs.select(*columns).groupBy(*by).applyInPandas(solve_group, pairs.select(*columns).schema)
+    return frames.mapInArrow(solve_frames, pairs.select(*columns).schema)

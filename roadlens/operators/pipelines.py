@@ -18,7 +18,7 @@ def red_light(det: DataFrame, signals: DataFrame, line_y: float, p: tracker.Para
     """
     phases = windows.red_phase(windows.signal_state(signals)).where("is_red").select("camera_id", "frame_idx", "phase")
     seen = det.join(phases, ["camera_id", "frame_idx"])
-    tracked = tracker.track(seen, ["camera_id", "phase"], p)
+    tracked = tracker.track_short(seen, ["camera_id", "phase"], p)
     crossed = tracked.where(((F.col("first_y") - line_y) * (F.col("py") - line_y) <= 0) & (F.col("n_points") > 1))
     return windows.first_event(crossed, ["camera_id", "phase", "track_no"], ["frame_id", "det_id"])
 

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import pickle
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..shipping import ship
 from .assignment import greedy
@@ -129,19 +132,27 @@ OUTPUT = "frame_id long, det_id long, track_no long, n_points long, px double, p
 
 def run_frames(tracks: Tracks, rows: pd.DataFrame, p: Params, last: int | None) -> tuple[list[tuple], int | None]:
     """Feeds frames in order, missing frame numbers as empty frames. Rows need frame_id, det_id, cx, cy."""
+    return run_arrays(tracks, *(rows[c].to_numpy() for c in ("frame_id", "det_id", "cx", "cy")), p, last)
+
+
+def run_arrays(tracks: Tracks, frames: np.ndarray, dets: np.ndarray, xs: np.ndarray, ys: np.ndarray, p: Params, last: int | None) -> tuple[list[tuple], int | None]:
+    order = np.lexsort((dets, frames))
+    frames, dets, points = frames[order], dets[order], np.column_stack([xs[order], ys[order]]).astype(float)
+    begin = np.flatnonzero(np.diff(frames, prepend=frames[:1] - 1))
     out = []
-    for frame, own in rows.sort_values(["frame_id", "det_id"]).groupby("frame_id", sort=True):
+    for start, end in zip(begin, np.append(begin[1:], len(frames)), strict=True):
+        frame = int(frames[start])
         if last is not None and frame <= last:
             continue  # late: that frame is over
-        for _ in range(0 if last is None else min(int(frame) - last - 1, p.max_skip + 1)):
+        for _ in range(0 if last is None else min(frame - last - 1, p.max_skip + 1)):
             age(tracks, p)
-        found = update(tracks, own[["cx", "cy"]].to_numpy(float), p)
+        found = update(tracks, points[start:end], p)
         at = {t: i for i, t in enumerate(tracks.ids)}
-        for det, t in zip(own["det_id"], found, strict=True):
+        for det, t in zip(dets[start:end], found, strict=True):
             if t >= 0:
                 trace = tracks.traces[at[t]]
-                out.append((int(frame), int(det), int(t), len(trace), *map(float, trace[-1]), *map(float, trace[0])))
-        last = int(frame)
+                out.append((frame, int(det), int(t), len(trace), *map(float, trace[-1]), *map(float, trace[0])))
+        last = frame
     return out, last
 
 
@@ -149,6 +160,33 @@ def frame_of(rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=[c.split()[0] for c in OUTPUT.split(", ")])
 
 
+def track_short(df: DataFrame, key: list[str], p: Params = Params()) -> DataFrame:
+    """track for keys that end after few rows, such as the phases of a signal: a key's rows make one array, and a task takes many keys at once."""
+    ship(df.sparkSession)
+    ready = df.select(*key, "frame_id", "det_id", "cx", "cy").dropna(subset=["frame_id", "cx", "cy"])
+    histories = ready.groupBy(*key).agg(F.collect_list(F.struct("frame_id", "det_id", "cx", "cy")).alias("_rows"))
+    names = [c.split() for c in OUTPUT.split(", ")]
+    types = {"long": pa.int64(), "double": pa.float64()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(len(key))
+            at, columns = lists.offsets.to_numpy(), [lists.values.field(k).to_numpy(zero_copy_only=False) for k in range(4)]
+            rows, whose = [], []
+            for k in range(batch.num_rows):
+                found, _ = run_arrays(Tracks(), *(c[at[k] : at[k + 1]] for c in columns), p, None)
+                rows += found
+                whose += [k] * len(found)
+            of = pa.array(whose, pa.int64())
+            made = list(zip(*rows, strict=True)) or [()] * len(names)
+            yield pa.RecordBatch.from_arrays(
+                [*(c.take(of) for c in batch.columns[: len(key)]), *(pa.array(list(x), types[t]) for x, (_, t) in zip(made, names, strict=True))],
+                [*key, *(n for n, _ in names)],
+            )
+
+    return histories.mapInArrow(run, ", ".join([*(f"{c} {dict(df.dtypes)[c]}" for c in key), OUTPUT]))
+
+
 def track(df: DataFrame, key: list[str], p: Params = Params()) -> DataFrame:
     """Matched detections (key columns and OUTPUT) of each key's frames, in one task per key.
 
