@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, beside, bind, durable, packed, table
+from .common import WORD, beside, bind, durable, packed, scratch, table
 from .components import components
 
 SHINGLE, SIMILARITY = 12, 80
@@ -134,10 +134,10 @@ def line_components(lines: DataFrame, docs_lines: DataFrame) -> DataFrame:
     own = durable(own, "sketched")
     columns = ["band", "_line", "_degree", "n", *[f"s{k}" for k in range(SKETCH)]]
     edges, found = None, None
-    for meet in (_central, _central, _nearest, None):
+    for meet in (_central, _central, _nearest, _across):
         # after the rounds that give most components, all that may be near and is still apart
-        labelled = _open(own.select(*columns), found)
-        pairs = meet(labelled) if meet else _across(labelled)
+        own = _open(own.select(*columns), found)  # a band that is done stays so
+        pairs = meet(own)
         linked = _near(durable(pairs.select(F.least("_line", "_line_2").alias("a"), F.greatest("_line", "_line_2").alias("b")).distinct(), "pairs"), features)
         if edges is None or not linked.isEmpty():
             edges = linked if edges is None else edges.union(linked)
@@ -197,16 +197,17 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     document and keep the same lines. A document may become empty. Columns with the names of the
     added ones are replaced, all others pass through.
     """
-    all_lines = _lines(docs, key, text)
-    at = durable(all_lines.select("_key", "_doc", "pos", "_line", bands(shingles(F.col("line"))).alias("bands")), "lines")
-    found = line_components(at, all_lines.select("_line", "line"))
-    classes = durable(found.where("node <> component"), "classes")
-    own = at.select("_key", "_doc", "pos", "_line").join(beside(classes), at["_line"] == classes["node"], "left")
-    own = own.select(F.coalesce("component", "_line").alias("_class"), F.struct("_key", "_doc", "pos").alias("_at"))
-    first = own.groupBy("_class").agg(F.min("_at").alias("_first"), F.max("_at").alias("_last")).where("not (_first <=> _last)")
-    first = durable(first.select("_class", "_first"), "firsts")
-    dropped = own.join(beside(first), "_class").where("not (_at <=> _first)").select("_at.*")
-    dropped = durable(dropped.groupBy("_doc").agg(F.collect_set("pos").alias("_drop")), "dropped")
+    with scratch() as keep:
+        all_lines = _lines(docs, key, text)
+        at = durable(all_lines.select("_key", "_doc", "pos", "_line", bands(shingles(F.col("line"))).alias("bands")), "lines")
+        found = line_components(at, all_lines.select("_line", "line"))
+        classes = durable(found.where("node <> component"), "classes")
+        own = at.select("_key", "_doc", "pos", "_line").join(beside(classes), at["_line"] == classes["node"], "left")
+        own = own.select(F.coalesce("component", "_line").alias("_class"), F.struct("_key", "_doc", "pos").alias("_at"))
+        first = own.groupBy("_class").agg(F.min("_at").alias("_first"), F.max("_at").alias("_last")).where("not (_first <=> _last)")
+        first = durable(first.select("_class", "_first"), "firsts")
+        dropped = own.join(beside(first), "_class").where("not (_at <=> _first)").select("_at.*")
+        dropped = keep(durable(dropped.groupBy("_doc").agg(F.collect_set("pos").alias("_drop")), "dropped"))
     columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     own = packed(docs, ["n_lines", "n_dropped", text], _text=F.col(f"`{text}`"), _doc=_identity(key, text))
     joined = own.join(beside(dropped, 64 + F.size("_drop") * 8), "_doc", "left")
