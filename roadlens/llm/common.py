@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -55,7 +58,44 @@ def durable(df: DataFrame, name: str = "stage") -> DataFrame:
     """
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.durable_path = path
+    if (scope := _scope.get()) is not None:
+        scope.append(out)
+    return out
+
+
+_scope: ContextVar[list[DataFrame] | None] = ContextVar("scope", default=None)
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that durable() writes in the block are deleted when it ends, but for those given to keep().
+
+    What leaves the block must read kept tables only.
+    """
+    outer, own, kept = _scope.get(), [], []
+
+    def keep(table: DataFrame) -> DataFrame:
+        kept.append(table.durable_path)
+        if outer is not None:
+            outer.append(table)
+        return table
+
+    token = _scope.set(own)
+    try:
+        yield keep
+    finally:
+        _scope.reset(token)
+        release(*[x for x in own if x.durable_path not in kept])
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes tables that durable() wrote."""
+    for x in tables:
+        spark = x.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(x.durable_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 #: Bytes up to which the side of a join is broadcast; beyond that the join shuffles.

@@ -16,7 +16,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, n_words, packed, rest_columns, table
+from .common import durable, n_words, packed, rest_columns, scratch, table
 
 WEIGHTS = (5.0, 2.0, 1.0)
 TOTAL_SHARE = 1.5
@@ -137,15 +137,16 @@ def round_to_copies(rated: DataFrame, key: str) -> DataFrame:
 
 def mix_counts(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """key, size, source_size, target, rate and copies of each document."""
-    sizes = durable(docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{source}`").alias("source"), n_words(F.col(f"`{text}`")).alias("size")), "sizes")
-    counts = durable(sizes.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "histogram")
-    targets = durable(source_targets(counts), "targets")
-    histogram = counts.join(targets.select("s", "source"), counts["source"].eqNullSafe(targets["source"])).select("s", "size", "n")
-    tilts = durable(solve_tilts(histogram, targets), "tilts")
-    rated = sizes.join(tilts.withColumnRenamed("source", "_source"), sizes["source"].eqNullSafe(F.col("_source"))).select(
-        "key", "s", "size", "source_size", "target", _rate(F.col("tilt"), F.col("size"), F.col("scale")).alias("rate")
-    )
-    return round_to_copies(rated, "key").drop("s").withColumnRenamed("key", key)
+    with scratch() as keep:
+        sizes = durable(docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{source}`").alias("source"), n_words(F.col(f"`{text}`")).alias("size")), "sizes")
+        counts = durable(sizes.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "histogram")
+        targets = durable(source_targets(counts), "targets")
+        histogram = counts.join(targets.select("s", "source"), counts["source"].eqNullSafe(targets["source"])).select("s", "size", "n")
+        tilts = durable(solve_tilts(histogram, targets), "tilts")
+        rated = sizes.join(tilts.withColumnRenamed("source", "_source"), sizes["source"].eqNullSafe(F.col("_source"))).select(
+            "key", "s", "size", "source_size", "target", _rate(F.col("tilt"), F.col("size"), F.col("scale")).alias("rate")
+        )
+        return keep(durable(round_to_copies(rated, "key").drop("s").withColumnRenamed("key", key), "copies"))
 
 
 def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:

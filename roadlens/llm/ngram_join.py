@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bytehash import buffer_of, in_slices, lut_of, mix, word_hashes
-from .common import durable, hash_filter, hits, packed, rest_columns, ship, table
+from .common import durable, hash_filter, hits, packed, rest_columns, scratch, ship, table
 from .components import components
 
 WORDS, SIMILARITY = 5, 80
@@ -198,13 +198,14 @@ def similar_nodes(docs: DataFrame, nodes: DataFrame, n_tokens: int) -> DataFrame
 
     docs: _text and _hash, the text's hash. nodes: node and _hash of a text that has it.
     """
-    index = durable(_index(docs, n_tokens), "index")
-    pairs = durable(_central_pairs(index), "pairs")
-    edges = _linked(pairs, docs, nodes)
-    found = components(edges)
-    across = durable(_pairs_across(index, found), "across")
-    more = _linked(across, docs, nodes)
-    return found if more.isEmpty() else components(edges.union(more))
+    with scratch() as keep:
+        index = durable(_index(docs, n_tokens), "index")
+        pairs = durable(_central_pairs(index), "pairs")
+        edges = _linked(pairs, docs, nodes)
+        found = components(edges)
+        across = durable(_pairs_across(index, found), "across")
+        more = _linked(across, docs, nodes)
+        return keep(found if more.isEmpty() else components(edges.union(more)))
 
 
 def _index(docs: DataFrame, n_tokens: int) -> DataFrame:
