@@ -134,7 +134,7 @@ def line_components(lines: DataFrame, docs_lines: DataFrame) -> DataFrame:
     own = durable(own, "sketched")
     columns = ["band", "_line", "_degree", "n", *[f"s{k}" for k in range(SKETCH)]]
     edges, found = None, None
-    for meet in (_central, _central, _nearest, _across):
+    for meet in (_central, _nearest, _across):
         # after the rounds that give most components, all that may be near and is still apart
         own = _open(own.select(*columns), found)  # a band that is done stays so
         pairs = meet(own)
