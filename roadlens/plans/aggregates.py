@@ -226,7 +226,7 @@ def a26(spark, d):
     return best.groupBy("plate_id").agg(F.round(F.avg(C("b.total") / C("b.n") + 45), 4).alias("confidence"))
 
 
-@query("a27_linear_weights", f"WITH {SUPPORT} SELECT class, i AS feature, CAST(sum(alpha * sq[i]) AS BIGINT) AS w FROM sup, range(1, 9) t(i) GROUP BY 1, 2", "smp")
+@query("a27_linear_weights", f"WITH {SUPPORT} SELECT class, i AS feature, CAST(sum(alpha * sq[i]) AS BIGINT) AS w FROM sup, range(1, (SELECT max(len(q)) + 1 FROM smp)) t(i) WHERE i <= len(sq) GROUP BY 1, 2", "smp")
 def a27(spark, d):
     spread = support(spark, d).select("class", "alpha", F.posexplode("sq").alias("f", "v"))
     return spread.groupBy("class", (C("f") + 1).cast("long").alias("feature")).agg(F.sum(C("alpha") * C("v")).alias("w"))
@@ -234,7 +234,10 @@ def a27(spark, d):
 
 @query("a28_class_counts", "SELECT class, count(*) FILTER (label = class) AS positive, count(*) FILTER (label <> class) AS negative, max(len((SELECT any_value(q) FROM smp))) AS features FROM scr GROUP BY 1", "scr")
 def a28(spark, d):
-    return targets(spark, d).groupBy("class").agg(F.count_if(C("target") > 0).alias("positive"), F.count_if(C("target") < 0).alias("negative"), F.lit(8).cast("long").alias("features"))
+    # one row: the largest feature index of the samples
+    width = src.samples(spark, d).agg(F.max(F.size("q")).cast("long").alias("features")).withColumn("_all", F.lit(1))
+    counts = targets(spark, d).groupBy("class").agg(F.count_if(C("target") > 0).alias("positive"), F.count_if(C("target") < 0).alias("negative"))
+    return counts.withColumn("_all", F.lit(1)).join(F.broadcast(width), "_all").drop("_all")
 
 
 @query("a29_feature_scale", "SELECT round(max(n), 4) AS largest, round(avg(n), 4) AS mean, round(1 / (avg(n) * avg(n)), 8) AS cost FROM (SELECT sqrt(CAST(list_sum(list_transform(q, lambda z: z * z)) AS DOUBLE)) AS n FROM smp)", "smp")

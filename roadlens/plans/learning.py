@@ -61,7 +61,7 @@ def k4(spark, d):
     return own.agg(F.count("*").alias("n"), F.min("area").alias("least"), F.max("area").alias("most"), F.expr("percentile_disc(0.5) within group (order by area)").cast("long").alias("middle"))
 
 
-@query("k8_svmlight_lines", "SELECT id, label || ' ' || array_to_string(list_transform(list_filter(list_zip(range(1, 9), q), lambda p: p[2] <> 0), lambda p: p[1] || ':' || p[2]), ' ') AS line FROM smp", "smp")
+@query("k8_svmlight_lines", "SELECT id, label || ' ' || array_to_string(list_transform(list_filter(list_zip(range(1, len(q) + 1), q), lambda p: p[2] <> 0), lambda p: p[1] || ':' || p[2]), ' ') AS line FROM smp", "smp")
 def k8(spark, d):
     return src.samples(spark, d).select("id", writers.svmlight_line(C("label"), C("q")).alias("line"))
 

@@ -65,7 +65,7 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, label, the first eight components in thousandths, and all features."""
     return table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("id"), F.col("label").cast("long").alias("label"),
-        F.transform(F.slice("embedding", 1, 8), lambda x: F.floor(x.cast("double") * 1000).cast("long")).alias("q"), F.col("embedding").alias("features"),
+        F.transform("embedding", lambda x: F.floor(x.cast("double") * 1000).cast("long")).alias("q"), F.col("embedding").alias("features"),
     )
 
 
@@ -88,7 +88,7 @@ SQL_VIEWS: dict[str, tuple[str, str]] = {
     "lin": ("", "SELECT i // 3 AS camera_id, i % 3 AS line_id, 0 AS x1, 30 + (i % 3) * 40 AS y1, 1000 AS x2, 30 + (i % 3) * 60 AS y2 FROM range(30) t(i)"),
     "let": ("", "SELECT l_orderkey AS plate_id, CAST(l_linenumber - 1 AS BIGINT) AS pos, chr(CAST(65 + l_partkey % 8 AS INTEGER)) AS letter, CAST(40 + l_quantity AS BIGINT) AS score FROM lineitem"),
     "prof": ("", "SELECT p_brand AS key, CAST(p_size AS BIGINT) AS bin, count(*) AS cnt FROM part GROUP BY 1, 2"),
-    "smp": ("", "SELECT vec_id AS id, CAST(label AS BIGINT) AS label, list_transform(embedding[1:8], lambda z: CAST(floor(CAST(z AS DOUBLE) * 1000) AS BIGINT)) AS q, embedding AS features FROM embeddings"),
+    "smp": ("", "SELECT vec_id AS id, CAST(label AS BIGINT) AS label, list_transform(embedding, lambda z: CAST(floor(CAST(z AS DOUBLE) * 1000) AS BIGINT)) AS q, embedding AS features FROM embeddings"),
     "scr": ("smp", "SELECT id, label, c AS class, q[c % 8 + 1] + CASE WHEN c = label THEN 60 ELSE 0 END AS score FROM smp, range(10) t(c)"),
 }
 
