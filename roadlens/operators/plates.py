@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..shipping import ship
-
 SKIP = "~"
 
 
@@ -17,17 +14,16 @@ def rank_letters(votes: DataFrame) -> DataFrame:
     return votes.withColumn("rank", F.row_number().over(w))
 
 
-def places(votes: DataFrame, depth: int) -> DataFrame:
-    """Each plate's places in order with their best letters (letter, total, cost).
+def places(votes: DataFrame) -> DataFrame:
+    """Each plate's places in order with their letters (letter, total, cost), best first.
 
     A letter over a tenth below its place's best costs one substitution, but for the skip sign
     and in the last place.
     """
-    ranked = rank_letters(votes).where(F.col("rank") <= depth)
     best = F.max("total").over(Window.partitionBy("plate_id", "pos"))
     last = F.max("pos").over(Window.partitionBy("plate_id"))
     weak = (F.col("rank") > 1) & (F.col("total") * 10 < best * 9) & (F.col("letter") != SKIP) & (F.col("pos") != last)
-    own = ranked.withColumn("cost", F.when(weak, 1).otherwise(0))
+    own = rank_letters(votes).withColumn("cost", F.when(weak, 1).otherwise(0))
     by_place = own.groupBy("plate_id", "pos").agg(F.sort_array(F.collect_list(F.struct("rank", "letter", "total", "cost"))).alias("letters"))
     return by_place.groupBy("plate_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "letters"))), lambda p: p["letters"]).alias("places"))
 
@@ -49,29 +45,20 @@ def n_best(rows: DataFrame, max_subs: int) -> DataFrame:
 
 
 def prune_letters(votes: DataFrame, n: int) -> DataFrame:
-    """votes kept so that the product of letters by place is n or just above.
+    """votes kept so that the product of letters by place is n or just above, with their rank.
 
     Starting with the best letter of each place, the place whose next letter loses least is widened
-    until the product is reached; a plate's votes are one small group.
+    until the product is reached, the first place on ties. A letter is thus taken right after the
+    largest loss on the way to it, so a sort by that loss gives the order without a loop.
     """
-    ship(votes.sparkSession)
-
-    def prune(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["pos", "rank"])
-        groups = {p: g for p, g in pdf.groupby("pos")}
-        depth = dict.fromkeys(groups, 1)
-        product = 1
-        while product < n:
-            drops = [(g["total"].iloc[depth[p] - 1] - g["total"].iloc[depth[p]], p) for p, g in groups.items() if depth[p] < len(g)]
-            if not drops:
-                break
-            p = min(drops)[1]
-            product = product // depth[p] * (depth[p] + 1)
-            depth[p] += 1
-        return pd.concat([g.head(depth[p]) for p, g in groups.items()])
-
-    ranked = rank_letters(votes).select("plate_id", "pos", "letter", "total", "rank")
-    return ranked.groupBy("plate_id").applyInPandas(prune, ranked.schema)
+    place = Window.partitionBy("plate_id", "pos").orderBy("rank")
+    turn = Window.partitionBy("plate_id").orderBy(F.col("_loss").asc_nulls_first(), "pos", "rank").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = rank_letters(votes.select("plate_id", "pos", "letter", "total").repartition("plate_id"))
+    lost = ranked.withColumn("_drop", F.lag("total").over(place) - F.col("total"))
+    lost = lost.withColumn("_loss", F.max("_drop").over(place.rowsBetween(Window.unboundedPreceding, 0)))
+    growth = F.when(F.col("rank") > 1, F.col("rank") / (F.col("rank") - 1)).otherwise(1.0)
+    own = lost.withColumn("_before", F.round(F.product(growth).over(turn)))
+    return own.where((F.col("rank") == 1) | (F.col("_before") < n)).select("plate_id", "pos", "letter", "total", "rank")
 
 
 def tournament(scores: Column, first: Column) -> Column:

@@ -35,32 +35,42 @@ def t3(spark, d):
     return own.select("id", op.tournament(C("all"), first).alias("w")).select("id", "w.class", "w.score")
 
 
-PAIRS = f"""{VOTES}, rk AS (SELECT *, row_number() OVER (PARTITION BY plate_id, pos ORDER BY total DESC, letter) AS rank FROM vo WHERE pos < 3),
-  fl AS (SELECT plate_id FROM rk GROUP BY 1 HAVING count(DISTINCT pos) = 3),
-  pl AS (SELECT rk.*, CASE WHEN rank > 1 AND total * 10 < max(total) OVER (PARTITION BY plate_id, pos) * 9 AND letter <> '~' AND pos <> 2 THEN 1 ELSE 0 END AS cost FROM rk JOIN fl USING (plate_id) WHERE rank <= 2),
-  nb AS (SELECT a.plate_id, replace(a.letter || b.letter || c.letter, '~', '*') AS text, a.total + b.total + c.total AS total FROM pl a JOIN pl b ON a.plate_id = b.plate_id AND b.pos = 1 JOIN pl c ON a.plate_id = c.plate_id AND c.pos = 2
-    WHERE a.pos = 0 AND a.cost + b.cost + c.cost <= 1)"""
+def pruned_sql(n: int) -> str:
+    """Views up to pr, the letters that prune_letters(votes, n) keeps."""
+    return f"""{VOTES}, rk AS (SELECT *, row_number() OVER (PARTITION BY plate_id, pos ORDER BY total DESC, letter) AS rank FROM vo),
+  dr AS (SELECT *, lag(total) OVER (PARTITION BY plate_id, pos ORDER BY rank) - total AS fall FROM rk),
+  ls AS (SELECT *, max(fall) OVER (PARTITION BY plate_id, pos ORDER BY rank ROWS UNBOUNDED PRECEDING) AS loss FROM dr),
+  pr AS (SELECT plate_id, pos, letter, total, rank FROM (SELECT *, round(product(CASE WHEN rank > 1 THEN rank / (rank - 1)::DOUBLE ELSE 1 END)
+    OVER (PARTITION BY plate_id ORDER BY loss NULLS FIRST, pos, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS before FROM ls) WHERE rank = 1 OR before < {n})"""
+
+
+#: Combinations that the letters of a plate are pruned to, about.
+CANDIDATES = 25
+TEXTS = f"""{pruned_sql(CANDIDATES)},
+  pl AS (SELECT plate_id, dense_rank() OVER (PARTITION BY plate_id ORDER BY pos) AS place, replace(letter, '~', '*') AS sign, total,
+    CASE WHEN rank > 1 AND total * 10 < max(total) OVER (PARTITION BY plate_id, pos) * 9 AND letter <> '~' AND pos <> max(pos) OVER (PARTITION BY plate_id) THEN 1 ELSE 0 END AS cost FROM pr),
+  nr AS (SELECT plate_id, 1::BIGINT AS place, sign AS text, total, cost FROM pl WHERE place = 1
+    UNION ALL SELECT nr.plate_id, pl.place, nr.text || pl.sign, nr.total + pl.total, nr.cost + pl.cost FROM nr JOIN pl ON nr.plate_id = pl.plate_id AND pl.place = nr.place + 1 WHERE nr.cost + pl.cost <= 1),
+  nb AS (SELECT plate_id, text, total FROM nr JOIN (SELECT plate_id, max(place) AS place FROM pl GROUP BY 1) USING (plate_id, place))"""
 
 
 def candidates(spark, d):
-    """Texts of the first three places of plates that have all three, two letters a place."""
-    v = votes(spark, d).where("pos < 3")
-    full = v.groupBy("plate_id").agg(F.count_distinct("pos").alias("_n")).where("_n = 3").select("plate_id")
-    return op.n_best(op.places(v.join(full, "plate_id"), 2), 1)
+    """Texts over all places of each plate, from its pruned letters, with one substitution at most."""
+    return op.n_best(op.places(op.prune_letters(votes(spark, d), CANDIDATES)), 1)
 
 
-@query("t4_top_plates", f"WITH {PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY plate_id ORDER BY total DESC, text) AS rank FROM nb) SELECT plate_id, rank, text, total FROM r WHERE rank <= 3", "let")
+@query("t4_top_plates", f"WITH RECURSIVE {TEXTS}, r AS (SELECT *, row_number() OVER (PARTITION BY plate_id ORDER BY total DESC, text) AS rank FROM nb) SELECT plate_id, rank, text, total FROM r WHERE rank <= 3", "let")
 def t4(spark, d):
     w = Window.partitionBy("plate_id").orderBy(C("total").desc(), "text")
     return candidates(spark, d).withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 3")
 
 
-@query("t5_prune_letters")
+@query("t5_prune_letters", f"WITH {pruned_sql(12)} SELECT * FROM pr", "let")
 def t5(spark, d):
     return op.prune_letters(votes(spark, d), 12)
 
 
-@query("t6_n_best", f"WITH {PAIRS} SELECT plate_id, text, total FROM nb", "let")
+@query("t6_n_best", f"WITH RECURSIVE {TEXTS} SELECT plate_id, text, total FROM nb", "let")
 def t6(spark, d):
     return candidates(spark, d)
 
@@ -71,23 +81,23 @@ def t7(spark, d):
     return src.detections(spark, d).select("det_id", rank("x").alias("by_x"), rank("h").alias("by_h"))
 
 
-@query("t8_rescale_scores", f"WITH {PAIRS} SELECT plate_id, text, round(90.0::DOUBLE * total / max(total) OVER (PARTITION BY plate_id), 4) AS score FROM nb WHERE total > 0", "let")
+@query("t8_rescale_scores", f"WITH RECURSIVE {TEXTS} SELECT plate_id, text, round(90.0::DOUBLE * total / max(total) OVER (PARTITION BY plate_id), 4) AS score FROM nb WHERE total > 0", "let")
 def t8(spark, d):
     top = F.max("total").over(Window.partitionBy("plate_id"))
     return candidates(spark, d).where("total > 0").select("plate_id", "text", F.round(90.0 * C("total") / top, 4).alias("score"))
 
 
-@query("t9_plate_result", f"""WITH {PAIRS}, m AS (SELECT plate_id, text, regexp_full_match(text, '[A-D][A-Z].') AS ok, row_number() OVER (PARTITION BY plate_id ORDER BY total DESC, text) AS rank FROM nb)
+@query("t9_plate_result", f"""WITH RECURSIVE {TEXTS}, m AS (SELECT plate_id, text, regexp_full_match(text, '[A-D][A-Z].*') AS ok, row_number() OVER (PARTITION BY plate_id ORDER BY total DESC, text) AS rank FROM nb)
   SELECT plate_id, coalesce(min_by(text, rank) FILTER (ok), max_by(text, rank)) AS text, bool_or(ok) AS matches FROM m GROUP BY 1""", "let")
 def t9(spark, d):
     """The first text that matches, else the last one, without a match."""
     w = Window.partitionBy("plate_id").orderBy(C("total").desc(), "text")
-    own = candidates(spark, d).withColumns({"rank": F.row_number().over(w), "ok": C("text").rlike("^[A-D][A-Z].$")})
+    own = candidates(spark, d).withColumns({"rank": F.row_number().over(w), "ok": C("text").rlike("^[A-D][A-Z]")})
     hit = F.min_by("text", F.when(C("ok"), C("rank")))
     return own.groupBy("plate_id").agg(F.coalesce(F.when(F.bool_or("ok"), hit), F.max_by("text", "rank")).alias("text"), F.bool_or("ok").alias("matches"))
 
 
-@query("k5_format_candidates", f"""WITH {PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY plate_id ORDER BY total DESC, text) AS rank FROM nb)
+@query("k5_format_candidates", f"""WITH RECURSIVE {TEXTS}, r AS (SELECT *, row_number() OVER (PARTITION BY plate_id ORDER BY total DESC, text) AS rank FROM nb)
   SELECT plate_id, string_agg(printf('P=%s,S=%d,M=%d;', text, total, CASE WHEN starts_with(text, 'A') THEN 1 ELSE 0 END), '' ORDER BY rank) AS line FROM r WHERE rank <= 3 GROUP BY 1""", "let")
 def k5(spark, d):
     top = t4(spark, d).groupBy("plate_id").agg(F.sort_array(F.collect_list(F.struct("rank", "text", "total"))).alias("c"))

@@ -62,7 +62,7 @@ def profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, label, the first eight components in thousandths, and all features."""
+    """id, label, all components in thousandths, and the features themselves."""
     return table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("id"), F.col("label").cast("long").alias("label"),
         F.transform("embedding", lambda x: F.floor(x.cast("double") * 1000).cast("long")).alias("q"), F.col("embedding").alias("features"),
@@ -107,4 +107,7 @@ def with_views(names: str, body: str) -> str:
         need(name)
     views = ", ".join(f"{n} AS ({SQL_VIEWS[n][1]})" for n in order)
     body = body.strip()
-    return f"WITH {views}{', ' + body[5:] if body[:5].upper() == 'WITH ' else ' ' + body}"
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if body.upper().startswith(start):
+            return f"{start}{views}, {body[len(start):]}"
+    return f"WITH {views} {body}"
