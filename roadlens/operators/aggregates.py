@@ -71,6 +71,31 @@ def coverage(df: DataFrame, lo: str, hi: str, by: list[str]) -> DataFrame:
     return steps.withColumn("depth", F.sum("d").over(w)).drop("d")
 
 
+def consensus_level(df: DataFrame, lo: str, hi: str, by: list[str], least: int = 3) -> DataFrame:
+    """For each group of closed intervals the level of coverage whose runs are most like the median interval, with median and score.
+
+    A run of a width w from `least` to 1.55 medians scores 10 times its closeness 1 - |w - median| / median,
+    and 8 times that more if it is off by less than a quarter. Levels between two depths that occur
+    have the same runs, so only those that occur are scored; the lowest is taken on ties, and where
+    no run scores. Work is bounded by the square of the places where coverage changes.
+    """
+    median = df.groupBy(*by).agg(F.expr(f"percentile_disc(0.5) within group (order by `{hi}` - `{lo}` + 1)").cast("long").alias("median"))
+    depth = coverage(df, lo, hi, by).withColumn("_width", F.lead("at").over(Window.partitionBy(*by).orderBy("at")) - F.col("at"))
+    spans = depth.where("depth > 0")
+    levels = spans.select(*by, F.col("depth").alias("level")).distinct()
+    rows = spans.join(levels, by).where("depth >= level")
+    own = Window.partitionBy(*by, "level").orderBy("at")
+    island = F.col("at") - F.coalesce(F.sum("_width").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = rows.withColumn("_g", island).groupBy(*by, "level", "_g").agg(F.sum("_width").alias("_w")).join(median, by)
+    off = F.abs(F.col("_w") - F.col("median"))
+    # in medians, so that scores stay whole numbers until the best is found
+    points = (F.col("median") - off) * F.when(off * 4 < F.col("median"), 18).otherwise(10)
+    points = F.when((F.col("_w") >= least) & (F.col("_w") * 100 <= F.col("median") * 155), points).otherwise(0)
+    scored = runs.groupBy(*by, "level", "median").agg(F.sum(points).alias("_points"))
+    best = scored.groupBy(*by).agg(F.max_by(F.struct("level", "median", "_points"), F.struct("_points", -F.col("level"))).alias("_b"))
+    return best.select(*by, "_b.level", "_b.median", F.round(F.col("_b._points") / F.col("_b.median"), 4).alias("score"))
+
+
 def merge_overlaps(df: DataFrame, by: list[str]) -> DataFrame:
     """Intervals of a group in x order, each merged with the later ones that it reaches as it grows.
 

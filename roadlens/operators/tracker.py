@@ -136,6 +136,8 @@ def run_frames(tracks: Tracks, rows: pd.DataFrame, p: Params, last: int | None)
 
 
 def run_arrays(tracks: Tracks, frames: np.ndarray, dets: np.ndarray, xs: np.ndarray, ys: np.ndarray, p: Params, last: int | None) -> tuple[list[tuple], int | None]:
+    if not len(frames):
+        return [], last
     order = np.lexsort((dets, frames))
     frames, dets, points = frames[order], dets[order], np.column_stack([xs[order], ys[order]]).astype(float)
     begin = np.flatnonzero(np.diff(frames, prepend=frames[:1] - 1))
@@ -191,20 +193,47 @@ def track(df: DataFrame, key: list[str], p: Params = Params()) -> DataFrame:
     """Matched detections (key columns and OUTPUT) of each key's frames, in one task per key.
 
     A key's frames are a sequence and cannot be split; long histories should have a key that
-    ends, such as the phase of a signal. Rows with a null frame or point take no part.
+    ends, such as the phase of a signal. Frames pass in order through a task that holds the live tracks
+    and one Arrow batch, so its memory does not grow with the history. Rows with a null frame or
+    point take no part; rows with a null key are one key.
     """
     ship(df.sparkSession)
     schema = ", ".join([*(f"{c} {dict(df.dtypes)[c]}" for c in key), OUTPUT])
 
-    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, _ = run_frames(Tracks(), pdf, p, None)
-        out = frame_of(rows)
-        for i, c in enumerate(key):
-            out.insert(i, c, pdf[c].iloc[0])
-        return out
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, tracks, last = None, Tracks(), None
+        for own in batches:
+            # the last frame of a batch may go on in the next one
+            own = own if held is None else pd.concat([held, own], ignore_index=True)
+            if not len(own):
+                continue
+            begin = _begins(own, key)
+            done = begin[-1] + int(np.searchsorted(own["frame_id"].to_numpy()[begin[-1] :], own["frame_id"].iloc[-1]))
+            for k, (start, end) in enumerate(zip(begin, [*begin[1:], done], strict=True)):
+                if k:
+                    tracks, last = Tracks(), None
+                out, last = run_frames(tracks, own.iloc[start:end], p, last)
+                yield _keyed(out, own[key].iloc[start])
+            held = own.iloc[done:]
+        if held is not None:
+            yield _keyed(run_frames(tracks, held, p, last)[0], held[key].iloc[0])
 
     ready = df.select(*key, "frame_id", "det_id", "cx", "cy").dropna(subset=["frame_id", "cx", "cy"])
-    return ready.groupBy(*key).applyInPandas(whole, schema)
+    return ready.repartition(*key).sortWithinPartitions(*key, "frame_id", "det_id").mapInPandas(run, schema)
+
+
+def _begins(rows: pd.DataFrame, key: list[str]) -> list[int]:
+    """Where runs of equal keys begin."""
+    before, now = rows[key].shift(), rows[key]
+    other = ~((now == before) | (now.isna() & before.isna())).all(axis=1).to_numpy()
+    return [0, *(int(k) for k in np.flatnonzero(other) if k)]
+
+
+def _keyed(rows: list[tuple], key: pd.Series) -> pd.DataFrame:
+    out = frame_of(rows)
+    for i, (c, v) in enumerate(key.items()):
+        out.insert(i, c, v)
+    return out
 
 
 def dump(tracks: Tracks, last: int | None) -> bytes:

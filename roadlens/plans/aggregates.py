@@ -255,22 +255,14 @@ def a30(spark, d):
     return op.coverage(boxes_on_profile(spark, d), "lo", "hi", ["key"])
 
 
-@query("a31_consensus_intervals", f"""WITH {COVER}, sp AS (SELECT key, pl AS lo, lead(pl) OVER (PARTITION BY key ORDER BY pl) - pl AS width, depth FROM co), le AS (SELECT key, l AS level, lo, width FROM sp, range(1, 9) t(l) WHERE depth >= l AND width IS NOT NULL),
-  rn AS (SELECT key, level, sum(width) AS width FROM (SELECT *, lo - sum(width) OVER (PARTITION BY key, level ORDER BY lo ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS g FROM le) GROUP BY key, level, coalesce(g, lo)),
-  sc AS (SELECT key, level, sum(CASE WHEN width BETWEEN 3 AND 6 THEN greatest(0, 10 - abs(width - 4) * 2) ELSE 0 END) AS score FROM rn GROUP BY 1, 2)
-  SELECT key, level, CAST(score AS BIGINT) AS score FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY score DESC, level) AS r FROM sc) WHERE r = 1""", "det")
+@query("a31_consensus_intervals", f"""WITH {COVER}, md AS (SELECT key, quantile_disc(hi - lo + 1, 0.5) AS median FROM bp GROUP BY 1),
+  sp AS (SELECT key, pl AS lo, lead(pl) OVER (PARTITION BY key ORDER BY pl) - pl AS width, depth FROM co), lv AS (SELECT DISTINCT key, depth AS level FROM co WHERE depth > 0),
+  le AS (SELECT key, level, lo, width FROM sp JOIN lv USING (key) WHERE depth >= level),
+  rn AS (SELECT key, level, sum(width) AS w FROM (SELECT *, lo - sum(width) OVER (PARTITION BY key, level ORDER BY lo ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS g FROM le) GROUP BY key, level, coalesce(g, lo)),
+  sc AS (SELECT key, level, median, sum(CASE WHEN w < 3 OR w * 100 > median * 155 THEN 0 WHEN abs(w - median) * 4 < median THEN 18 * (median - abs(w - median)) ELSE 10 * (median - abs(w - median)) END) AS points FROM rn JOIN md USING (key) GROUP BY 1, 2, 3)
+  SELECT key, level, CAST(median AS BIGINT) AS median, round(CAST(points AS DOUBLE) / median, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY points DESC, level) AS r FROM sc) WHERE r = 1""", "det")
 def a31(spark, d):
-    """Level of coverage whose runs have the best widths (about four places)."""
-    depth = op.coverage(boxes_on_profile(spark, d), "lo", "hi", ["key"])
-    spans = depth.withColumn("width", F.lead("at").over(Window.partitionBy("key").orderBy("at")) - C("at")).where("width is not null")
-    levels = spans.withColumn("level", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(8).cast("long")))).where("depth >= level")
-    own = Window.partitionBy("key", "level").orderBy("at")
-    island = C("at") - F.coalesce(F.sum("width").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    widths = levels.withColumn("g", island).groupBy("key", "level", "g").agg(F.sum("width").alias("width"))
-    score = F.when(C("width").between(3, 6), F.greatest(F.lit(0), 10 - F.abs(C("width") - 4) * 2)).otherwise(0)
-    scored = widths.groupBy("key", "level").agg(F.sum(score).alias("score"))
-    best = scored.groupBy("key").agg(F.max_by(F.struct("level", "score"), F.struct("score", -C("level"))).alias("b"))
-    return best.select("key", "b.level", "b.score")
+    return op.consensus_level(boxes_on_profile(spark, d), "lo", "hi", ["key"])
 
 
 @query("a32_segment_profile", f"""WITH {RUNS} SELECT key, lo, hi FROM (SELECT ru.key, lo, hi, max(cnt) AS peak FROM ru JOIN prof ON ru.key = prof.key AND bin BETWEEN lo AND hi GROUP BY ALL) WHERE peak >= 2 AND hi - lo + 1 BETWEEN 2 AND 20""", "prof")

@@ -69,3 +69,21 @@ def test_gate_rejection_opens_a_track_without_ageing():
     tracker.update(tracks, np.array([[0.0, 0.0]]), p)
     got = tracker.update(tracks, np.array([[500.0, 0.0]]), p)
     assert got.tolist() == [-1] and len(tracks.ids) == 2 and tracks.skipped.tolist() == [0, 0] and tracks.traces[1] == []
+
+
+def test_histories_in_small_batches(spark):
+    """Frames and keys that begin and end within Arrow batches, and a null key."""
+    rng = np.random.default_rng(8)
+    rows = [(None if c == 3 else c, f"k{c % 2}", f, 1000 * c + 10 * f + i, float(40 * i + 3 * f), float(rng.integers(0, 9))) for c in range(5) for f in range(30) if rng.random() < 0.8 for i in range(rng.integers(1, 5))]
+    rows += [(9, "k1", None, 1, 1.0, 1.0), (9, "k1", 1, 1, None, 1.0)]
+    df = spark.createDataFrame(rows, "camera_id long, kind string, frame_id long, det_id long, cx double, cy double").orderBy("cy")
+    want = []
+    for c in (0, 1, 2, None, 4):
+        own = pd.DataFrame([r[2:] for r in rows if r[0] == c], columns=["frame_id", "det_id", "cx", "cy"])
+        want += [(c, *r) for r in tracker.run_frames(tracker.Tracks(), own, tracker.Params(), None)[0]]
+    for size in ("10000", "7", "1"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        got = tracker.track(df, ["camera_id", "kind"]).drop("kind").collect()
+        assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert tracker.track(df.limit(0), ["camera_id"]).count() == 0
