@@ -24,8 +24,8 @@ STATE_STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark
 class TrackProcessor(StatefulProcessor):
     """Keeps one key's tracks; idle keys are dropped when their timer ends."""
 
-    def __init__(self, params: tracker.Params, idle_ms: int | None):
-        self.params, self.idle_ms = params, idle_ms
+    def __init__(self, params: tracker.Params, idle_ms: int | None, names: list[str]):
+        self.params, self.idle_ms, self.names = params, idle_ms, names
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -38,25 +38,26 @@ class TrackProcessor(StatefulProcessor):
         self.state.update((tracker.dump(tracks, last),))
         if self.idle_ms is not None:
             for old in list(self.handle.listTimers()):
-                self.handle.deleteTimer(old[0])
+                self.handle.deleteTimer(old)
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
-        yield tracker.frame_of(out).assign(camera_id=key[0])
+        yield tracker.frame_of(out).assign(**dict(zip(self.names, key, strict=True)))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.state.clear()
-        yield tracker.frame_of([]).assign(camera_id=pd.Series([], dtype="int64"))
+        yield tracker.frame_of([]).assign(**{c: pd.Series([], dtype="object") for c in self.names})
 
     def close(self) -> None:
         pass
 
 
-def track_stream(detections: DataFrame, params: tracker.Params = tracker.Params(), idle_ms: int | None = None) -> DataFrame:
-    """tracker.track over a stream keyed by camera_id."""
+def track_stream(detections: DataFrame, params: tracker.Params = tracker.Params(), idle_ms: int | None = None, key: tuple[str, ...] = ("camera_id",)) -> DataFrame:
+    """tracker.track over a stream; the state of a key goes when it had no rows for idle_ms."""
     ship(detections.sparkSession)
-    rows = detections.select("camera_id", "frame_id", "det_id", "cx", "cy")
+    rows = detections.select(*key, "frame_id", "det_id", "cx", "cy").dropna(subset=["frame_id", "cx", "cy"])
     mode = "None" if idle_ms is None else "ProcessingTime"
-    return rows.groupBy("camera_id").transformWithStateInPandas(
-        TrackProcessor(params, idle_ms), outputStructType=tracker.OUTPUT + ", camera_id long", outputMode="Append", timeMode=mode
+    types = ", ".join(f"{c} {dict(detections.dtypes)[c]}" for c in key)
+    return rows.groupBy(*key).transformWithStateInPandas(
+        TrackProcessor(params, idle_ms, list(key)), outputStructType=f"{tracker.OUTPUT}, {types}", outputMode="Append", timeMode=mode
     )
 
 
@@ -147,14 +148,11 @@ def windowed_counts_stream(events: DataFrame, width: str = "10 minutes", delay:
     return counted.select(F.col("window.start").alias("start"), "camera_id", "n")
 
 
-def red_light_stream(detections: DataFrame, line_y: float, params: tracker.Params = tracker.Params()) -> DataFrame:
-    """Crossings of the line in red phases; detections carry is_red and phase (from signal_stream).
+def red_light_stream(detections: DataFrame, line_y: float, params: tracker.Params = tracker.Params(), idle_ms: int | None = 3_600_000) -> DataFrame:
+    """Crossings of the line in red phases; detections carry is_red (from signal_stream) and phase.
 
-    Only detections of red frames reach the tracker, and (camera, phase) is the key, so state ends with its phase.
+    Only detections of red frames reach the tracker, and (camera, phase) is the key: a phase's state
+    goes when the phase had no detections for idle_ms of processing time.
     """
-    ship(detections.sparkSession)
-    key = F.col("camera_id") * 1_000_000 + F.col("phase")
-    rows = detections.where("is_red").select(key.alias("camera_id"), "frame_id", "det_id", "cx", "cy")
-    found = track_stream(rows, params)
-    crossed = found.where(((F.col("first_y") - line_y) * (F.col("py") - line_y) <= 0) & (F.col("n_points") > 1))
-    return crossed.withColumns({"phase": F.col("camera_id") % 1_000_000, "camera_id": F.floor(F.col("camera_id") / 1_000_000).cast("long")})
+    found = track_stream(detections.where("is_red"), params, idle_ms, ("camera_id", "phase"))
+    return found.where(((F.col("first_y") - line_y) * (F.col("py") - line_y) <= 0) & (F.col("n_points") > 1))
