@@ -152,7 +152,8 @@ def red_light_stream(detections: DataFrame, line_y: float, params: tracker.Param
     """Crossings of the line in red phases; detections carry is_red (from signal_stream) and phase.
 
     Only detections of red frames reach the tracker, and (camera, phase) is the key: a phase's state
-    goes when the phase had no detections for idle_ms of processing time.
+    goes when the phase had no detections for idle_ms of processing time. Timers keep a query with the
+    availableNow trigger running; give None there.
     """
     found = track_stream(detections.where("is_red"), params, idle_ms, ("camera_id", "phase"))
     return found.where(((F.col("first_y") - line_y) * (F.col("py") - line_y) <= 0) & (F.col("n_points") > 1))

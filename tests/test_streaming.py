@@ -45,7 +45,7 @@ def test_red_light(spark, tmp_path):
     det = det.select("camera_id", "phase", "is_red", "frame_id", "det_id", "cx", "cy")
     tracked = tracker.track_short(det.where("is_red"), ["camera_id", "phase"], P)
     want = tracked.where("(first_y - 60) * (py - 60) <= 0 and n_points > 1").toPandas()
-    got = drain(jobs.red_light_stream(as_stream(spark, det, tmp_path / "in", "frame_id"), 60.0, P), "red", tmp_path)
+    got = drain(jobs.red_light_stream(as_stream(spark, det, tmp_path / "in", "frame_id"), 60.0, P, None), "red", tmp_path)
     assert len(want)
     same(got, want, ["camera_id", "phase", "frame_id", "det_id"])
 
