@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import geometry as geo
 from ..functions.text import density_level
 from . import tracker, windows
+from .cluster import cluster_items
 from .filters import lane_region
+from .joins import near
 
 
 def red_light(det: DataFrame, signals: DataFrame, line_y: float, p: tracker.Params = tracker.Params()) -> DataFrame:
@@ -58,6 +61,46 @@ def vehicle_counts(det: DataFrame, line_y: float, least_points: int = 3, p: trac
     return once.groupBy("camera_id", "vehicle").agg(F.count("*").alias("n"))
 
 
+def night_vehicles(lights: DataFrame, matrix: list[float], dx: int = 160, dy: int = 60) -> DataFrame:
+    """camera_id, frame_id, det_id, cx, cy and vehicle of groups of lights, on the ground plane.
+
+    lights: a row for each frame, with lights, an array of (det_id, cx, cy). Points are mapped by the
+    homography; lights nearer than dx and dy to one another are one vehicle, at their mean. Several
+    lights over 20 wide are a car, all else a bike. det_id is the smallest of the lights. Other columns pass through.
+    """
+
+    def mapped(light: Column) -> Column:
+        x, y = geo.homography(light["cx"].cast("double"), light["cy"].cast("double"), matrix)
+        return F.struct(light["det_id"].alias("det_id"), x.alias("cx"), y.alias("cy"))
+
+    def mean(c: str) -> Column:
+        return F.aggregate("_c", F.lit(0.0), lambda a, m: a + m[c]) / F.size("_c")
+
+    groups = cluster_items(F.sort_array(F.transform("lights", mapped)), near(dx, dy))
+    own = lights.withColumn("_c", F.explode(groups)).drop("lights")
+    xs = F.transform("_c", lambda m: m["cx"])
+    car = (F.size("_c") > 1) & (F.array_max(xs) - F.array_min(xs) > 20)
+    return own.withColumns({
+        "det_id": F.array_min(F.transform("_c", lambda m: m["det_id"])), "cx": mean("cx"), "cy": mean("cy"), "vehicle": F.when(car, "car").otherwise("bike"),
+    }).drop("_c")
+
+
+#: The night counter's tracker and crossing rule but for the line.
+NIGHT = tracker.Params(distance=30.0, cos=-0.5)
+NIGHT_POINTS = 5
+
+
+def night_counts(lights: DataFrame, matrix: list[float], line_y: float, p: tracker.Params = NIGHT, least_points: int = NIGHT_POINTS) -> DataFrame:
+    """Vehicles counted at night by class; lights as in night_vehicles.
+
+    A track that crosses while no group of lights is matched with it is never counted.
+    """
+    vehicles = night_vehicles(lights, matrix)
+    counted = tracker.track(vehicles, ["camera_id"], p, tracker.Crossing(line_y, least_points, unmatched_ends=True))
+    own = counted.select("camera_id", "frame_id", "det_id").join(vehicles.select("camera_id", "frame_id", "det_id", "vehicle"), ["camera_id", "frame_id", "det_id"])
+    return own.groupBy("camera_id", "vehicle").agg(F.count("*").alias("n"))
+
+
 def density(det: DataFrame, roi_area: int, n: int) -> DataFrame:
     """Percent of the region covered in each frame, its mean over the last n frames and the level."""
     percent = det.groupBy("camera_id", "frame_id").agg(F.round(100.0 * F.sum("area") / roi_area, 4).alias("percent"))

@@ -9,11 +9,13 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shipping import ship
 from .assignment import greedy
+from .cluster import checkpointed
+from .windows import prefix_sums, same_keys
 
 
 @dataclass(frozen=True)
@@ -127,17 +129,49 @@ def update(tracks: Tracks, points: np.ndarray, p: Params) -> np.ndarray:
     return out
 
 
+@dataclass(frozen=True)
+class Crossing:
+    """A vehicle counts once, in the frame in which the trace of its track (more than least_points
+    points) reaches the other side of line_y. A crossing of a track without a detection in that frame
+    is not counted; with unmatched_ends the track's chance is gone then, as in the night counter."""
+
+    line_y: float
+    least_points: int
+    unmatched_ends: bool = False
+
+    def of(self, tracks: Tracks, matched: np.ndarray, counted: set[int]) -> np.ndarray:
+        """Which of the matched tracks (one for each detection, -1 for none) count now; counted gets them."""
+        at = {int(t): k for k, t in enumerate(matched) if t >= 0}
+        out = np.zeros(len(matched), bool)
+        for i, trace in zip(tracks.ids.tolist(), tracks.traces, strict=True):
+            if i in counted or len(trace) <= self.least_points or (trace[0][1] - self.line_y) * (trace[-1][1] - self.line_y) > 0:
+                continue
+            if i in at or self.unmatched_ends:
+                counted.add(i)
+            if i in at:
+                out[at[i]] = True
+        counted &= set(tracks.ids.tolist())
+        return out
+
+
 OUTPUT = "frame_id long, det_id long, track_no long, n_points long, px double, py double, first_x double, first_y double"
 
 
-def run_frames(tracks: Tracks, rows: pd.DataFrame, p: Params, last: int | None) -> tuple[list[tuple], int | None]:
+def run_frames(
+    tracks: Tracks, rows: pd.DataFrame, p: Params, last: int | None, crossing: Crossing | None = None, counted: set[int] | None = None
+) -> tuple[list[tuple], int | None]:
     """Feeds frames in order, missing frame numbers as empty frames. Rows need frame_id, det_id, cx, cy."""
-    return run_arrays(tracks, *(rows[c].to_numpy() for c in ("frame_id", "det_id", "cx", "cy")), p, last)
+    return run_arrays(tracks, *(rows[c].to_numpy() for c in ("frame_id", "det_id", "cx", "cy")), p, last, crossing, counted)
 
 
-def run_arrays(tracks: Tracks, frames: np.ndarray, dets: np.ndarray, xs: np.ndarray, ys: np.ndarray, p: Params, last: int | None) -> tuple[list[tuple], int | None]:
+def run_arrays(
+    tracks: Tracks, frames: np.ndarray, dets: np.ndarray, xs: np.ndarray, ys: np.ndarray, p: Params, last: int | None,
+    crossing: Crossing | None = None, counted: set[int] | None = None,
+) -> tuple[list[tuple], int | None]:
+    """OUTPUT rows of the matched detections, or of those that count with a crossing; counted is kept from call to call."""
     if not len(frames):
         return [], last
+    counted = set() if counted is None else counted
     order = np.lexsort((dets, frames))
     frames, dets, points = frames[order], dets[order], np.column_stack([xs[order], ys[order]]).astype(float)
     begin = np.flatnonzero(np.diff(frames, prepend=frames[:1] - 1))
@@ -149,11 +183,11 @@ def run_arrays(tracks: Tracks, frames: np.ndarray, dets: np.ndarray, xs: np.ndar
         for _ in range(0 if last is None else min(frame - last - 1, p.max_skip + 1)):
             age(tracks, p)
         found = update(tracks, points[start:end], p)
+        wanted = found >= 0 if crossing is None else crossing.of(tracks, found, counted)
         at = {t: i for i, t in enumerate(tracks.ids)}
-        for det, t in zip(dets[start:end], found, strict=True):
-            if t >= 0:
-                trace = tracks.traces[at[t]]
-                out.append((frame, int(det), int(t), len(trace), *map(float, trace[-1]), *map(float, trace[0])))
+        for det, t in zip(dets[start:end][wanted], found[wanted], strict=True):
+            trace = tracks.traces[at[t]]
+            out.append((frame, int(det), int(t), len(trace), *map(float, trace[-1]), *map(float, trace[0])))
         last = frame
     return out, last
 
@@ -189,37 +223,75 @@ def track_short(df: DataFrame, key: list[str], p: Params = Params()) -> DataFram
     return histories.mapInArrow(run, ", ".join([*(f"{c} {dict(df.dtypes)[c]}" for c in key), OUTPUT]))
 
 
-def track(df: DataFrame, key: list[str], p: Params = Params()) -> DataFrame:
-    """Matched detections (key columns and OUTPUT) of each key's frames, in one task per key.
+#: Frames of a key that lie in one bucket where histories are cut; openings are summed by as many.
+BUCKET = 1 << 12
+
 
-    A key's frames are a sequence and cannot be split; long histories should have a key that
-    ends, such as the phase of a signal. Frames pass in order through a task that holds the live tracks
-    and one Arrow batch, so its memory does not grow with the history. Rows with a null frame or
-    point take no part; rows with a null key are one key.
+def segments(df: DataFrame, key: list[str], p: Params) -> DataFrame:
+    """df with _segment: the first frame of the stretch that a row lies in.
+
+    After more than max_skip empty frames no track is left, so what follows is tracked apart.
+    Gaps are found in buckets of BUCKET frames; only one row a bucket meets the others of its key.
+    """
+    gap = p.max_skip + 1
+    own = df.withColumn("_b", F.floor(F.col("frame_id") / BUCKET))
+    inside = Window.partitionBy(*key, "_b").orderBy("frame_id")
+    begins = F.when(F.col("frame_id") - F.lag("frame_id").over(inside) > gap, F.col("frame_id"))
+    own = own.withColumn("_begin", begins)
+    own = own.withColumn("_begin", F.max("_begin").over(inside.rangeBetween(Window.unboundedPreceding, 0)))
+    buckets = own.groupBy(*key, "_b").agg(F.min("frame_id").alias("_lo"), F.max("frame_id").alias("_hi"), F.max("_begin").alias("_last"))
+    along = Window.partitionBy(*key).orderBy("_b")
+    entered = F.when(F.coalesce(F.col("_lo") - F.lag("_hi").over(along) > gap, F.lit(True)), F.col("_lo"))
+    buckets = buckets.withColumn("_entered", entered)
+    before = F.last(F.coalesce("_last", "_entered"), ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1))
+    buckets = buckets.select(*[F.col(k).alias(f"_of_{k}") for k in [*key, "_b"]], F.coalesce("_entered", before).alias("_open"))
+    joined = own.join(buckets, same_keys([*key, "_b"], "_of_"))
+    return joined.withColumn("_segment", F.coalesce("_begin", "_open")).select(*df.columns, "_segment")
+
+
+def track(df: DataFrame, key: list[str], p: Params = Params(), crossing: Crossing | None = None) -> DataFrame:
+    """Matched detections (key columns and OUTPUT) of each key's frames; with a crossing those that count.
+
+    A key's history is cut where more than max_skip frames are empty: no track lives on, so the
+    stretches are tracked in tasks of their own and their track numbers shifted by how many tracks the earlier ones opened.
+    A stretch is a sequence and cannot be split; its frames pass in order through a
+    task that holds the live tracks and one Arrow batch, so its memory does not grow with the
+    history. Rows with a null frame or point take no part; rows with a null key are one key.
     """
     ship(df.sparkSession)
-    schema = ", ".join([*(f"{c} {dict(df.dtypes)[c]}" for c in key), OUTPUT])
+    by = [*key, "_segment"]
+    ready = segments(df.select(*key, "frame_id", "det_id", "cx", "cy").dropna(subset=["frame_id", "cx", "cy"]), key, p)
+    schema = ", ".join([*(f"{c} {dict(ready.dtypes)[c]}" for c in by), OUTPUT])
+
+    def ended(tracks: Tracks, of: pd.Series) -> pd.DataFrame:
+        # n_points -1: not a detection, track_no says how many tracks the stretch opened
+        return _keyed([(0, 0, tracks.next_id, -1, 0.0, 0.0, 0.0, 0.0)], of)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, tracks, last = None, Tracks(), None
+        held, tracks, last, counted = None, Tracks(), None, set()
         for own in batches:
             # the last frame of a batch may go on in the next one
             own = own if held is None else pd.concat([held, own], ignore_index=True)
             if not len(own):
                 continue
-            begin = _begins(own, key)
+            begin = _begins(own, by)
             done = begin[-1] + int(np.searchsorted(own["frame_id"].to_numpy()[begin[-1] :], own["frame_id"].iloc[-1]))
             for k, (start, end) in enumerate(zip(begin, [*begin[1:], done], strict=True)):
                 if k:
-                    tracks, last = Tracks(), None
-                out, last = run_frames(tracks, own.iloc[start:end], p, last)
-                yield _keyed(out, own[key].iloc[start])
+                    yield ended(tracks, own[by].iloc[begin[k - 1]])
+                    tracks, last, counted = Tracks(), None, set()
+                out, last = run_frames(tracks, own.iloc[start:end], p, last, crossing, counted)
+                yield _keyed(out, own[by].iloc[start])
             held = own.iloc[done:]
         if held is not None:
-            yield _keyed(run_frames(tracks, held, p, last)[0], held[key].iloc[0])
+            yield _keyed(run_frames(tracks, held, p, last, crossing, counted)[0], held[by].iloc[0])
+            yield ended(tracks, held[by].iloc[0])
 
-    ready = df.select(*key, "frame_id", "det_id", "cx", "cy").dropna(subset=["frame_id", "cx", "cy"])
-    return ready.repartition(*key).sortWithinPartitions(*key, "frame_id", "det_id").mapInPandas(run, schema)
+    tracked = checkpointed(ready.repartition(*by).sortWithinPartitions(*by, "frame_id", "det_id").mapInPandas(run, schema))
+    opened = tracked.where("n_points = -1").select(*by, F.col("track_no").alias("_opened"))
+    shift = prefix_sums(opened, "_opened", key, "_segment", BUCKET * 16, "_shift").select(*[F.col(k).alias(f"_of_{k}") for k in by], "_shift")
+    own = tracked.where("n_points <> -1").join(shift, same_keys(by, "_of_"))
+    return own.withColumn("track_no", F.col("track_no") + F.col("_shift")).select(*key, *[c.split()[0] for c in OUTPUT.split(", ")])
 
 
 def _begins(rows: pd.DataFrame, key: list[str]) -> list[int]:
@@ -236,9 +308,9 @@ def _keyed(rows: list[tuple], key: pd.Series) -> pd.DataFrame:
     return out
 
 
-def dump(tracks: Tracks, last: int | None) -> bytes:
-    return pickle.dumps((tracks, last))
+def dump(tracks: Tracks, last: int | None, marks: dict | set) -> bytes:
+    return pickle.dumps((tracks, last, marks))
 
 
-def load(raw: bytes | None) -> tuple[Tracks, int | None]:
-    return pickle.loads(raw) if raw else (Tracks(), None)
+def load(raw: bytes | None, marks: dict | set) -> tuple[Tracks, int | None, dict | set]:
+    return pickle.loads(raw) if raw else (Tracks(), None, marks)

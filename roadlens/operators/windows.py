@@ -10,6 +10,30 @@ def moving_mean(x: str, n: int, by: list[str], order: str) -> Column:
     return F.avg(x).over(Window.partitionBy(*by).orderBy(order).rowsBetween(-(n - 1), 0))
 
 
+def same_keys(keys: list[str], prefix: str) -> Column:
+    """Whether each key equals the one of the other side, named with the prefix; nulls are equal."""
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"{prefix}{k}"))
+    return same
+
+
+def prefix_sums(df: DataFrame, value: str, by: list[str], order: str, width: int, out: str) -> DataFrame:
+    """df with out: the sum of value over the earlier rows of by, in the order of a whole-number column.
+
+    In two levels: rows are summed within `width` values of the order, and only one row of each such
+    bucket meets the others of its group, so that no task sorts a whole group.
+    """
+    own = df.withColumn("_bucket", F.floor(F.col(order) / width))
+    sums = own.groupBy(*by, "_bucket").agg(F.sum(value).alias("_sum"))
+    earlier = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("_sum").over(earlier), F.lit(0))
+    sums = sums.select(*[F.col(k).alias(f"_at_{k}") for k in [*by, "_bucket"]], before.alias("_before"))
+    inside = Window.partitionBy(*by, "_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    own = own.withColumn("_inside", F.coalesce(F.sum(value).over(inside), F.lit(0))).join(sums, same_keys([*by, "_bucket"], "_at_"))
+    return own.withColumn(out, F.col("_before") + F.col("_inside")).select(*df.columns, out)
+
+
 def trace(df: DataFrame, n: int, by: list[str], order: list[str]) -> DataFrame:
     """First and last point of the last n + 1, and how many there are."""
     w = Window.partitionBy(*by).orderBy(*order).rowsBetween(-n, 0)

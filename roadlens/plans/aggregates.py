@@ -6,12 +6,13 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import aggregates as op
-from ..operators.cluster import cluster
+from ..operators.cluster import cluster_groups
 from ..operators.filters import median_high, median_low
+from ..operators.joins import near
 from ..sources import adapters as src
 from .base import query
 from .filters import BOXES_ON_PROFILE, boxes_on_profile, peaks
-from .joins import FRAME, NEAR, SUPPORT, dot, near_pairs, support
+from .joins import FRAME, NEAR, SUPPORT, dot, support
 from .windows import CROSSED, RUNS, TRACK, crossings
 
 C = F.col
@@ -27,8 +28,7 @@ CLUSTERS = f"""{NEAR}, sy AS (SELECT a, b FROM ed UNION ALL SELECT b, a FROM ed)
 
 
 def clusters(spark, d):
-    det = src.detections(spark, d)
-    return cluster(det.select(C("det_id").alias("node")), near_pairs(spark, d))
+    return cluster_groups(src.detections(spark, d).select(*FRAME, "det_id", "cx", "cy"), FRAME, near(160, 60))
 
 
 @query("a2_cluster", f"WITH {CLUSTERS} SELECT node, cluster FROM wk", "det")

@@ -64,6 +64,15 @@ def x8(spark, d):
     return op.vehicle_counts(src.detections(spark, d), 60.0, 3, PARAMS)
 
 
+#: Camera plane to ground plane.
+GROUND = [1.0, 0.1, 5.0, 0.0, 1.2, -10.0, 0.0, 0.0005, 1.0]
+
+
+@query("x8_night_counts")
+def x8_night(spark, d):
+    return op.night_counts(src.lights(spark, d), GROUND, 120.0, tracker.Params(distance=300.0, cos=-0.5))
+
+
 @query("x9_density", """WITH p AS (SELECT camera_id, frame_id, round(100.0::DOUBLE * sum(area) / 20000, 4) AS percent FROM det GROUP BY 1, 2),
   m AS (SELECT *, round(avg(percent) OVER (PARTITION BY camera_id ORDER BY frame_id ROWS 9 PRECEDING), 4) AS mean_percent FROM p)
   SELECT *, CASE WHEN mean_percent < 25 THEN 'Free' WHEN mean_percent < 65 THEN 'Uncrowded' WHEN mean_percent < 80 THEN 'Crowded' ELSE 'Too crowded' END AS level FROM m""", "det")

@@ -16,6 +16,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """rows with frame_idx: their number in their camera by ts and det_id, from 0.
+
+    In two levels: rows are numbered within an hour, and only the hours' counts meet in one window
+    by camera, so that no task sorts a camera's whole history.
+    """
+    hour = F.coalesce(F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 3600), F.lit(-(1 << 40)))
+    own = rows.withColumn("_hour", hour)
+    counts = own.groupBy("camera_id", "_hour").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy("camera_id").orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(F.col("camera_id").alias("_camera"), F.col("_hour").alias("_h"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy("camera_id", "_hour").orderBy("ts", "det_id"))
+    own = own.withColumn("_i", inside).join(starts, F.col("camera_id").eqNullSafe(F.col("_camera")) & (F.col("_hour") == F.col("_h")))
+    return own.withColumn("frame_idx", F.col("_start") + F.col("_i") - 1).drop("_hour", "_i", "_camera", "_h", "_start")
+
+
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     k = F.get_json_object("props", "$.k").cast("long")
@@ -23,8 +39,7 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("user_id") % 10).alias("camera_id"), F.col("user_id").alias("track_id"), F.col("event_id").alias("det_id"), "ts",
         k.alias("occ"), F.floor("value").cast("long").alias("v"), F.col("event_type").alias("label"),
     )
-    rows = rows.withColumns({
-        "frame_idx": (F.row_number().over(Window.partitionBy("camera_id").orderBy("ts", "det_id")) - 1).cast("long"),
+    rows = numbered(rows).withColumns({
         "cx": F.col("occ") * 10, "cy": F.least("v", F.lit(490)).cast("long"),
         "w": 10 + F.col("det_id") % 50, "h": 10 + F.col("occ") % 60,
     })
@@ -33,6 +48,12 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def lights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each camera and frame: lights are the centres of its detections, ts the last one's."""
+    of = F.sort_array(F.collect_list(F.struct("det_id", "cx", "cy")))
+    return detections(spark, sf_dir).groupBy("camera_id", "frame_id").agg(of.alias("lights"), F.max(F.col("ts").cast("timestamp")).alias("ts"))
+
+
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = detections(spark, sf_dir)
     return d.select("camera_id", "frame_idx", (F.col("label") == "error").alias("red"), (F.col("label") == "purchase").alias("yellow"), (F.col("label") == "signup").alias("green"))

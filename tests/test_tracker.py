@@ -5,8 +5,11 @@ import itertools
 import numpy as np
 import pandas as pd
 
-from roadlens.operators import tracker
+from pyspark.sql import functions as F
+
+from roadlens.operators import cluster, pipelines, tracker, windows
 from roadlens.operators.assignment import greedy, optimal
+from roadlens.operators.joins import near, pairs_within
 
 
 def test_optimal_is_cheapest():
@@ -87,3 +90,100 @@ def test_histories_in_small_batches(spark):
         assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert tracker.track(df.limit(0), ["camera_id"]).count() == 0
+
+
+def test_stretches_are_tracked_apart(spark, monkeypatch):
+    """Histories with gaps equal the sequential tracker, numbers included, in more tasks than keys."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for c in (0, 1, None):
+        f = int(rng.integers(0, 5))
+        for _ in range(120):
+            rows += [(c, f, 1000 * f + i, float(60 * i + rng.integers(0, 30)), float(rng.integers(0, 99))) for i in range(int(rng.integers(1, 4)))]
+            f += int(rng.choice([1, 1, 1, 2, 6, 7, 8, 40, 900]))
+    df = spark.createDataFrame(rows, "camera_id long, frame_id long, det_id long, cx double, cy double")
+    p = tracker.Params(max_skip=5)
+    want = []
+    for c in (0, 1, None):
+        own = pd.DataFrame([r[1:] for r in rows if r[0] == c], columns=["frame_id", "det_id", "cx", "cy"])
+        want += [(c, *r) for r in tracker.run_frames(tracker.Tracks(), own, p, None)[0]]
+    for bucket in (16, 1 << 12):
+        monkeypatch.setattr(tracker, "BUCKET", bucket)
+        cut = tracker.segments(df, ["camera_id"], p)
+        frames = {c: sorted({r[1] for r in rows if r[0] == c}) for c in (0, 1, None)}
+        begins = {(c, f) for c, fs in frames.items() for f, before in zip(fs, [None, *fs], strict=False) if before is None or f - before > 6}
+        assert {tuple(r) for r in cut.select("camera_id", "_segment").distinct().collect()} == begins and len(begins) > 30
+        assert cut.where("_segment > frame_id").count() == 0 and cut.count() == len(rows)
+        got = tracker.track(df, ["camera_id"], p)
+        assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+
+
+def plain_night(frames, line_y, least):
+    """The night counter written out: groups by repeated merging, counts by walking every track after every frame."""
+    tracks, counted, out = tracker.Tracks(), set(), {"car": 0, "bike": 0}
+    p = tracker.Params(distance=30.0, cos=-0.5)
+    last = None
+    for f, lights in frames:
+        for _ in range(0 if last is None else min(f - last - 1, 6)):
+            tracker.age(tracks, p)
+        last = f
+        groups = [[x] for x in lights]
+        merged = True
+        while merged:
+            merged = False
+            for i in range(len(groups)):
+                for j in range(i + 1, len(groups)):
+                    if any(abs(a[0] - b[0]) < 160 and abs(a[1] - b[1]) < 60 for a in groups[i] for b in groups[j]):
+                        groups[i] += groups.pop(j)
+                        merged = True
+                        break
+                if merged:
+                    break
+        centres = np.array([np.mean(g, 0) for g in groups])
+        found = tracker.update(tracks, centres, p)
+        for t, trace in zip(tracks.ids.tolist(), tracks.traces, strict=True):
+            if len(trace) > least and t not in counted and (trace[0][1] - line_y) * (trace[-1][1] - line_y) <= 0:
+                counted.add(t)
+                for g, own in zip(groups, found, strict=True):
+                    if own == t:
+                        wide = max(x for x, _ in g) - min(x for x, _ in g) > 20
+                        out["car" if len(g) > 1 and wide else "bike"] += 1
+    return out
+
+
+def test_night_counting_of_a_scene(spark):
+    """A car of two lights and a bike drive over the line; another bike is hidden just as it crosses."""
+    frames = []
+    for f in range(24):
+        lights = [(100.0, 20.0 + 8 * f), (150.0, 22.0 + 8 * f), (500.0, 190.0 - 7 * f)]
+        if not 11 <= f <= 13:
+            lights.append((900.0, 10.0 + 8 * f))
+        frames.append((f, lights))
+    rows = [(1, f, [(10 * f + k, x, y) for k, (x, y) in enumerate(lights)]) for f, lights in frames]
+    df = spark.createDataFrame(rows, "camera_id long, frame_id long, lights array<struct<det_id long, cx double, cy double>>")
+    same = [1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0]
+    for line in (100.0, 110.0, 60.0, 500.0):
+        got = {r["vehicle"]: r["n"] for r in pipelines.night_counts(df, same, line).collect()}
+        assert got == {k: n for k, n in plain_night(frames, line, 5).items() if n}
+    assert plain_night(frames, 100.0, 5) == {"car": 1, "bike": 1} and plain_night(frames, 60.0, 5) == {"car": 1, "bike": 2}
+    assert pipelines.night_counts(df.limit(0), same, 100.0).count() == 0
+
+
+def test_fold_gives_the_closure_of_pairs(spark):
+    rng = np.random.default_rng(3)
+    rows = [(g, i, int(rng.integers(0, 900)), int(rng.integers(0, 300))) for g in range(30) for i in range(100 * g, 100 * g + int(rng.integers(1, 25)))]
+    df = spark.createDataFrame(rows, "g long, det_id long, cx long, cy long")
+    edges = pairs_within(df, near(120, 60), ["g"]).select(F.col("_a.det_id").alias("a"), F.col("_b.det_id").alias("b"))
+    want = cluster.cluster(df.select(F.col("det_id").alias("node")), edges)
+    got = cluster.cluster_groups(df, ["g"], near(120, 60))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert cluster.cluster_groups(df.limit(0), ["g"], near(1, 1)).count() == 0
+
+
+def test_prefix_sums(spark):
+    rows = [(k, i * 37 % 400 - 50, i) for k in (1, 2, None) for i in range(90)]
+    df = spark.createDataFrame(rows, "k long, at long, v long")
+    for width in (7, 1000):
+        got = windows.prefix_sums(df, "v", ["k"], "at", width, "before").collect()
+        assert len(got) == len(rows)
+        assert all(r["before"] == sum(v for k, at, v in rows if k == r["k"] and at < r["at"]) for r in got)
