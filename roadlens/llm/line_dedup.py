@@ -1,17 +1,18 @@
 """Fuzzy line deduplication by MinHash, in DataFrame functions only.
 
-A line's set: shingles of SHINGLE characters. They begin at places that the characters themselves
-decide, so that an inserted or lost character moves none but those around it: at each word, at every
-character of scripts without spaces, and, in words longer than a shingle, at each vowel, digit and
-capital. Every character lies in a shingle. Its signature: the smallest
-shingle hash in each of BINS ranges of the hash space (one-permutation MinHash); an empty range
-borrows the next one's. A band is the value of a kept range with that of the next.
-
-Lines that share a band with others carry a parity sketch of their set, which bounds the symmetric
+A line's set: every window of SHINGLE characters; a shorter line is one. Two lines are alike when the Jaccard
+similarity of their sets is SIMILARITY percent or more. Signatures take a part of the windows, chosen by the
+characters themselves, so that an inserted or lost character moves none but those around it: those that begin at a
+word, at characters of scripts without spaces, and, in words longer than a shingle, at vowels, digits and
+capitals. A signature: the smallest hash in each of BINS ranges of the hash space (one-permutation
+MinHash); an empty range borrows the next one's. A band is the value of a kept range with that of the next.
+
+Lines that share a band with others get their whole set, and a parity sketch of it, which bounds the symmetric
 difference of two sets from below, so pairs that cannot be alike never leave a join. First lines
-meet the most connected and the nearest of some lines of each of their bands; then, across the
-components that this gives, the lines outside a band's largest component meet all of the band.
-Every pair that passes is verified by exact Jaccard similarity, and one line of each component stays.
+meet the most connected line of each of their bands; then the nearest of a sample of each band, in rounds
+while these link much; then, across the components that this gives, the lines outside a band's largest
+component meet all of the band. Every pair that passes is verified by exact Jaccard similarity of the whole
+sets, and one line of each component stays.
 """
 
 from __future__ import annotations
@@ -25,8 +26,11 @@ from .components import components
 SHINGLE, SIMILARITY = 12, 80
 #: Hash ranges (as a power of 2), and which of each eight give a band; small sets use all.
 BIN_BITS, KEPT_BINS, SMALL = 4, (0, 3, 5), 12
-#: Longs of a parity sketch; lines of a band, at most, of which another line takes the nearest.
-SKETCH, HUBS = 4, 64
+#: Longs of a parity sketch (a power of 2, 16 at most); lines of a band of which another line takes the nearest.
+SKETCH, HUBS = 16, 32
+_WORD_BITS = SKETCH.bit_length() - 1
+#: Rounds of nearest lines go on while one in so many of the lines that took part is linked anew.
+WORTH = 32
 
 #: Characters of long words, and of scripts without spaces, at which a shingle begins.
 _BEGINS = "aeiou0-9A-Z\\x{0E00}-\\x{10FFFF}"
@@ -37,11 +41,18 @@ _PIECES = (
 
 
 def shingles(line: Column) -> Column:
-    """Sorted hashes of a line's shingles, repeats included."""
+    """Sorted hashes of the windows of a line that its signature takes, repeats included."""
     pieces = F.regexp_extract_all(line, F.lit(_PIECES), F.lit(1))
     return F.sort_array(F.transform(pieces, lambda p: F.xxhash64(p)))
 
 
+def windows(line: Column) -> Column:
+    """Distinct hashes (odd numbers) of all windows of SHINGLE characters; a shorter line is one window."""
+    every = F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{SHINGLE}}}))."), F.lit(1))
+    hashes = F.transform(F.when(F.length(line) < SHINGLE, F.array(line)).otherwise(every), lambda w: F.xxhash64(w).bitwiseOR(1))
+    return F.array_distinct(hashes)
+
+
 def bands(hashes: Column) -> Column:
     """Band keys of a sorted array of shingle hashes."""
 
@@ -81,17 +92,20 @@ def _identity(key: str, text: str) -> Column:
     return F.unhex(F.md5(F.concat_ws("\0", F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("null")), body).cast("binary")))
 
 
-def _sketch(s: str, k: int) -> Column:
-    """Parities of the numbers of hashes of array s in the k-th 64 of 64 * SKETCH hash ranges."""
-    return F.expr(f"aggregate({s}, 0L, (a, h) -> if((shiftright(h, 6) & {SKETCH - 1}) = {k}, a ^ shiftleft(1L, cast(h & 63 as int)), a))")
+def _sketches(sets: DataFrame) -> DataFrame:
+    """_line, n (size of its set) and s0 ...: parities of the numbers of hashes in each of 64 classes of SKETCH ranges."""
+    each = sets.select("_line", F.explode("s").alias("h"))
+    word, bit = F.shiftright("h", 64 - _WORD_BITS) + SKETCH // 2, F.expr("shiftleft(1L, cast(shiftright(h, 1) & 63 as int))")
+    each = each.select("_line", word.alias("w"), bit.alias("b"))
+    words = [F.bit_xor(F.when(F.col("w") == k, F.col("b")).otherwise(F.lit(0).cast("long"))).alias(f"s{k}") for k in range(SKETCH)]
+    return each.groupBy("_line").agg(F.count(F.lit(1)).alias("n"), *words)
 
 
-def _features(active: DataFrame, docs_lines: DataFrame) -> DataFrame:
-    """_line, s (its set), n (its size) and sketch (s0 ...) of the lines of active."""
+def _sets(active: DataFrame, docs_lines: DataFrame) -> DataFrame:
+    """_line and s, its set, of the lines of active."""
     named = active.select("_line").distinct()
     lines = docs_lines.join(beside(durable(named, "named")), "_line", "left_semi").dropDuplicates(["_line"])
-    sets = durable(lines.select("_line", F.array_distinct(shingles(F.col("line"))).alias("s")), "sets")
-    return sets.select("_line", "s", F.size("s").alias("n"), *[_sketch("s", k).alias(f"s{k}") for k in range(SKETCH)])
+    return durable(lines.select("_line", windows(F.col("line")).alias("s")), "sets")
 
 
 def _as_other(rows: DataFrame) -> DataFrame:
@@ -126,23 +140,39 @@ def line_components(lines: DataFrame, docs_lines: DataFrame) -> DataFrame:
     rows = lines.select("_line", F.explode("bands").alias("band"))
     shared = rows.groupBy("band").agg(F.min("_line").alias("_a"), F.max("_line").alias("_b")).where("_a <> _b").select("band")
     active = durable(rows.join(beside(durable(shared, "bands")), "band").distinct(), "active")
-    features = durable(_features(active, docs_lines), "features")
+    sets = _sets(active, docs_lines)
     # the line whose bands hold the most lines is the likeliest to be near to the others
     size = active.groupBy("band").agg(F.count(F.lit(1)).alias("_size"))
     degree = active.join(size, "band").groupBy("_line").agg(F.sum("_size").alias("_degree"))
-    own = active.join(features.drop("s").join(degree, "_line"), "_line")
+    own = active.join(_sketches(sets).join(degree, "_line"), "_line")
     own = durable(own, "sketched")
     columns = ["band", "_line", "_degree", "n", *[f"s{k}" for k in range(SKETCH)]]
-    edges, found = None, None
-    for meet in (_central, _nearest, _across):
-        # after the rounds that give most components, all that may be near and is still apart
+    found, rounds = None, 0
+    meet = _central
+    while True:
         own = _open(own.select(*columns), found)  # a band that is done stays so
-        pairs = meet(own)
-        linked = _near(durable(pairs.select(F.least("_line", "_line_2").alias("a"), F.greatest("_line", "_line_2").alias("b")).distinct(), "pairs"), features)
-        if edges is None or not linked.isEmpty():
-            edges = linked if edges is None else edges.union(linked)
-            found = components(edges)
-    return found
+        pairs = meet(own, rounds)
+        linked = _near(durable(pairs.select(F.least("_line", "_line_2").alias("a"), F.greatest("_line", "_line_2").alias("b")).distinct(), "pairs"), sets)
+        n = linked.count()
+        if found is None or n:
+            found = _merged(found, linked)
+        if meet is _across:
+            return found
+        # after the rounds that give most components, all that may be near and is still apart
+        meet = _nearest if meet is _central or n * WORTH > own.where("_outside").select("_line").distinct().count() else _across
+        rounds += 1
+
+
+def _merged(found: DataFrame | None, linked: DataFrame) -> DataFrame:
+    """node and component once the pairs (a, b) are linked too; only components that they touch are looked at."""
+    if found is None:
+        return components(linked)
+    a, b = found.select(F.col("node").alias("a"), F.col("component").alias("_ca")), found.select(F.col("node").alias("b"), F.col("component").alias("_cb"))
+    between = linked.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("_ca", "a").alias("a"), F.coalesce("_cb", "b").alias("b")).distinct()
+    moved = components(durable(between, "between")).select(F.col("node").alias("_c"), F.col("component").alias("_to"))
+    known = found.join(moved, F.col("component") == F.col("_c"), "left").select("node", F.coalesce("_to", "component").alias("component"))
+    fresh = moved.join(found, F.col("_c") == F.col("node"), "left_anti").select(F.col("_c").alias("node"), F.col("_to").alias("component"))
+    return durable(known.union(fresh), "components")
 
 
 def _open(rows: DataFrame, found: DataFrame | None) -> DataFrame:
@@ -163,16 +193,20 @@ def _hub(rows: DataFrame, *by: str) -> DataFrame:
     return rows.groupBy(*by).agg(F.max(F.struct(*columns)).alias("_hub"))
 
 
-def _central(rows: DataFrame) -> DataFrame:
+def _central(rows: DataFrame, _: int) -> DataFrame:
     """Each line with the most connected line outside the largest component of each of its bands."""
     hubs = _hub(rows.where("_outside"), "band").select("band", "_hub.*")
     return rows.join(_as_other(hubs), "band").where((F.col("component") != F.col("component_2")) & _may_be_near())
 
 
-def _nearest(rows: DataFrame) -> DataFrame:
-    """Each line outside the largest component with the nearest, by sketches, of up to HUBS lines of each of its bands."""
-    part = F.pmod(F.xxhash64("_line", F.lit("hub")), F.lit(HUBS))
-    hubs = _hub(rows.withColumn("_part", part), "band", "_part").groupBy("band").agg(F.collect_list("_hub").alias("_hubs"))
+def _nearest(rows: DataFrame, round_: int) -> DataFrame:
+    """Each line outside the largest component with the nearest, by sketches, of up to HUBS lines of each of its bands.
+
+    The first time these are the most connected ones of as many parts of the band, then any.
+    """
+    part = F.pmod(F.xxhash64("_line", F.lit(round_)), F.lit(HUBS))
+    drawn = rows if round_ == 1 else rows.withColumn("_degree", F.xxhash64("_line", F.lit(-round_)))
+    hubs = _hub(drawn.withColumn("_part", part), "band", "_part").groupBy("band").agg(F.collect_list("_hub").alias("_hubs"))
 
     def apart(h: Column) -> Column:
         return sum((F.bit_count(F.col(f"s{k}").bitwiseXOR(h[f"s{k}"])) for k in range(SKETCH)), F.lit(0))
@@ -183,7 +217,7 @@ def _nearest(rows: DataFrame) -> DataFrame:
     return met.where("_line_2 is not null")
 
 
-def _across(rows: DataFrame) -> DataFrame:
+def _across(rows: DataFrame, _: int) -> DataFrame:
     """All lines of a band that are in two components and may be near."""
     met = rows.where("_outside").join(_as_other(rows), "band")
     return met.where((F.col("component") != F.col("component_2")) & _may_be_near())

@@ -110,11 +110,8 @@ def test_keep_one(hard, empty):
 
 
 def line_set(line):
-    """Shingles of 12 characters at words, at characters of scripts without spaces and within long words at vowels, digits, capitals."""
-    wide = r"\u0e00-\U0010ffff"
-    gap = r" \t\n\x0b\f\r"
-    pattern = rf"(?s)(?=(.{{1,12}}))(?:[^{gap}{wide}]{{1,12}}+(?![^{gap}])|[^{gap}][^{gap}aeiou0-9A-Z{wide}]{{0,11}}+)[{gap}]*"
-    return frozenset(m[1] for m in re.finditer(pattern, line))
+    """Every window of 12 characters; a shorter line is one."""
+    return frozenset(line[i : i + 12] for i in range(max(1, len(line) - 11)))
 
 
 def test_line_dedup_against_brute_force(spark):
@@ -136,7 +133,8 @@ def test_line_dedup_against_brute_force(spark):
             dropped[i].add(pos)
     got = {r["doc_id"]: r for r in line_dedup.dedup_lines(docs).collect()}
     wrong = sum(got[i]["n_dropped"] != len(dropped[i]) for i in got)
-    assert wrong <= 0.01 * len(got)  # banding may miss a pair at the threshold
+    # of the near copies that exist, banding may miss some at the threshold
+    assert wrong <= 0.02 * sum(map(len, dropped.values()))
     for i, r in got.items():
         if r["n_dropped"] == len(dropped[i]):
             text = docs.where(f"doc_id = {i}").first()["text"]
@@ -222,9 +220,53 @@ def test_line_dedup_of_unspaced_lines(spark):
 
 
 def test_line_sketches_bound_the_difference_of_sets(spark):
-    rows = [(k, [int(x) for x in np.random.default_rng(k).integers(-(1 << 62), 1 << 62, 30)]) for k in range(6)]
-    df = spark.createDataFrame(rows, "k long, s array<long>").select("k", "s", *[line_dedup._sketch("s", k).alias(f"s{k}") for k in range(line_dedup.SKETCH)])
-    for r in (found := df.collect()):
+    rows = [(k, [int(x) | 1 for x in np.random.default_rng(k).integers(-(1 << 62), 1 << 62, 30)]) for k in range(6)]
+    columns = [f"s{k}" for k in range(line_dedup.SKETCH)]
+    found = line_dedup._sketches(spark.createDataFrame(rows, "_line long, s array<long>")).collect()
+    for r in found:
+        assert r["n"] == 30 and sum((r[c] & (1 << 64) - 1).bit_count() for c in columns) <= 30
         for t in found:
-            apart = sum(((r[f"s{k}"] ^ t[f"s{k}"]) & (1 << 64) - 1).bit_count() for k in range(line_dedup.SKETCH))
-            assert apart <= len(set(r["s"]) ^ set(t["s"])) and (apart > 0) == (r["k"] != t["k"])
+            apart = sum(((r[c] ^ t[c]) & (1 << 64) - 1).bit_count() for c in columns)
+            assert apart <= len(set(rows[r["_line"]][1]) ^ set(rows[t["_line"]][1])) and (apart > 0) == (r["_line"] != t["_line"])
+
+
+def test_line_dedup_recall_of_random_character_edits(spark):
+    """Lines and themselves with 1 to 5 changed, lost or new characters: what is near by all windows is joined, the rest is not."""
+    rng = np.random.default_rng(17)
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    pool = sorted({w for r in docs.select("text").collect() for w in re.findall(WORDS, r["text"] or "")})
+    pairs = []
+    for k in range(1500):
+        # an own word in three keeps different lines unlike
+        line = " ".join(x if i % 3 else f"{x}{k}" for i, x in enumerate(rng.choice(pool, int(rng.integers(12, 90)))))
+        own = list(line)
+        for _ in range(int(rng.integers(1, 6))):
+            at, how = int(rng.integers(0, len(own))), int(rng.integers(0, 3))
+            own[at : at + (how < 2)] = [] if how == 1 else [chr(int(rng.integers(97, 123)))]
+        pairs.append((line, "".join(own)))
+    lines = [x for pair in pairs for x in pair]
+    sets = [line_set(x) for x in lines]
+    near = [100 * len(a & b) >= 80 * len(a | b) for a, b in zip(sets[::2], sets[1::2], strict=True)]
+    out = line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"))
+    got = {r["doc_id"]: r["n_dropped"] for r in out.collect()}
+    joined = [got[2 * k + 1] == 1 for k in range(len(pairs))]
+    assert not any(got[2 * k] for k in range(len(pairs)))
+    assert not any(j and not n for j, n in zip(joined, near, strict=True))
+    found = sum(j and n for j, n in zip(joined, near, strict=True))
+    assert 500 < sum(near) < 1400 and found >= 0.98 * sum(near), (found, sum(near))
+    print(f"recall {found / sum(near):.4f} of {sum(near)}")
+
+
+def test_lines_that_share_an_opening_leave_few_pairs(spark, monkeypatch):
+    """Pairs to verify stay in proportion to the lines, where these are never near."""
+    counts = []
+    monkeypatch.setattr(line_dedup, "_near", lambda pairs, sets, near=line_dedup._near: counts.append(pairs.count()) or near(pairs, sets))
+    left = []
+    for n in (100, 400):
+        counts.clear()
+        opening = [f"opening{i}" for i in range(30)]
+        lines = [" ".join(opening + [f"own{k}x{i}" for i in range(30)]) for k in range(n)]
+        out = line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"))
+        assert out.agg(F.sum("n_dropped")).first()[0] == 0
+        left.append(sum(counts))
+    assert left[0] <= 100 and left[1] <= 400, left
