@@ -92,20 +92,20 @@ def _identity(key: str, text: str) -> Column:
     return F.unhex(F.md5(F.concat_ws("\0", F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("null")), body).cast("binary")))
 
 
-def _sketches(sets: DataFrame) -> DataFrame:
+def _sketches(lines: DataFrame) -> DataFrame:
     """_line, n (size of its set) and s0 ...: parities of the numbers of hashes in each of 64 classes of SKETCH ranges."""
-    each = sets.select("_line", F.explode("s").alias("h"))
+    each = lines.select("_line", F.explode(windows(F.col("line"))).alias("h"))
     word, bit = F.shiftright("h", 64 - _WORD_BITS) + SKETCH // 2, F.expr("shiftleft(1L, cast(shiftright(h, 1) & 63 as int))")
     each = each.select("_line", word.alias("w"), bit.alias("b"))
     words = [F.bit_xor(F.when(F.col("w") == k, F.col("b")).otherwise(F.lit(0).cast("long"))).alias(f"s{k}") for k in range(SKETCH)]
     return each.groupBy("_line").agg(F.count(F.lit(1)).alias("n"), *words)
 
 
-def _sets(active: DataFrame, docs_lines: DataFrame) -> DataFrame:
-    """_line and s, its set, of the lines of active."""
+def _texts(active: DataFrame, docs_lines: DataFrame) -> DataFrame:
+    """_line and line of the lines of active: a text is an eighth of its set, which is made again where it is needed."""
     named = active.select("_line").distinct()
     lines = docs_lines.join(beside(durable(named, "named")), "_line", "left_semi").dropDuplicates(["_line"])
-    return durable(lines.select("_line", windows(F.col("line")).alias("s")), "sets")
+    return durable(lines.select("_line", "line"), "texts")
 
 
 def _as_other(rows: DataFrame) -> DataFrame:
@@ -123,11 +123,16 @@ def _may_be_near() -> Column:
     return _bounded(F.col("n") + F.col("n_2"), sum(bits, F.lit(0)))
 
 
-def _near(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _near(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) that are like each other."""
-    left, right = sets.select(F.col("_line").alias("a"), F.col("s").alias("_sa")), sets.select(F.col("_line").alias("b"), F.col("s").alias("_sb"))
-    common = F.size(F.array_intersect("_sa", "_sb"))
-    near = common * 100 >= SIMILARITY * (F.size("_sa") + F.size("_sb") - common)
+    left, right = texts.select(F.col("_line").alias("a"), F.col("line").alias("_ta")), texts.select(F.col("_line").alias("b"), F.col("line").alias("_tb"))
+
+    def alike(x: Column, y: Column) -> Column:
+        common = F.size(F.array_intersect(x, y))
+        return common * 100 >= SIMILARITY * (F.size(x) + F.size(y) - common)
+
+    sets = F.array(F.struct(windows(F.col("_ta")).alias("x"), windows(F.col("_tb")).alias("y")))
+    near = F.exists(sets, lambda s: alike(s["x"], s["y"]))
     return durable(pairs.join(left, "a").join(right, "b").where(near).select("a", "b"), "linked")
 
 
@@ -140,11 +145,11 @@ def line_components(lines: DataFrame, docs_lines: DataFrame) -> DataFrame:
     rows = lines.select("_line", F.explode("bands").alias("band"))
     shared = rows.groupBy("band").agg(F.min("_line").alias("_a"), F.max("_line").alias("_b")).where("_a <> _b").select("band")
     active = durable(rows.join(beside(durable(shared, "bands")), "band").distinct(), "active")
-    sets = _sets(active, docs_lines)
+    texts = _texts(active, docs_lines)
     # the line whose bands hold the most lines is the likeliest to be near to the others
     size = active.groupBy("band").agg(F.count(F.lit(1)).alias("_size"))
     degree = active.join(size, "band").groupBy("_line").agg(F.sum("_size").alias("_degree"))
-    own = active.join(_sketches(sets).join(degree, "_line"), "_line")
+    own = active.join(_sketches(texts).join(degree, "_line"), "_line")
     own = durable(own, "sketched")
     columns = ["band", "_line", "_degree", "n", *[f"s{k}" for k in range(SKETCH)]]
     found, rounds = None, 0
@@ -152,7 +157,7 @@ def line_components(lines: DataFrame, docs_lines: DataFrame) -> DataFrame:
     while True:
         own = _open(own.select(*columns), found)  # a band that is done stays so
         pairs = meet(own, rounds)
-        linked = _near(durable(pairs.select(F.least("_line", "_line_2").alias("a"), F.greatest("_line", "_line_2").alias("b")).distinct(), "pairs"), sets)
+        linked = _near(durable(pairs.select(F.least("_line", "_line_2").alias("a"), F.greatest("_line", "_line_2").alias("b")).distinct(), "pairs"), texts)
         n = linked.count()
         if found is None or n:
             found = _merged(found, linked)

@@ -220,14 +220,18 @@ def test_line_dedup_of_unspaced_lines(spark):
 
 
 def test_line_sketches_bound_the_difference_of_sets(spark):
-    rows = [(k, [int(x) | 1 for x in np.random.default_rng(k).integers(-(1 << 62), 1 << 62, 30)]) for k in range(6)]
+    rng = np.random.default_rng(1)
+    base = "".join(rng.choice(list("abcdefgh "), 300))
+    lines = [base, base[:150] + "x" + base[150:], base[100:], base[::-1], base + base[:40], "short", "", "😀" * 12 + base[:30]]
     columns = [f"s{k}" for k in range(line_dedup.SKETCH)]
-    found = line_dedup._sketches(spark.createDataFrame(rows, "_line long, s array<long>")).collect()
+    found = line_dedup._sketches(spark.createDataFrame(list(enumerate(lines)), "_line long, line string")).collect()
+    assert len(found) == len(lines)
     for r in found:
-        assert r["n"] == 30 and sum((r[c] & (1 << 64) - 1).bit_count() for c in columns) <= 30
+        assert r["n"] == len(line_set(lines[r["_line"]]))
         for t in found:
             apart = sum(((r[c] ^ t[c]) & (1 << 64) - 1).bit_count() for c in columns)
-            assert apart <= len(set(rows[r["_line"]][1]) ^ set(rows[t["_line"]][1])) and (apart > 0) == (r["_line"] != t["_line"])
+            differing = len(line_set(lines[r["_line"]]) ^ line_set(lines[t["_line"]]))
+            assert apart <= differing and (apart > 0) == (differing > 0)
 
 
 def test_line_dedup_recall_of_random_character_edits(spark):
@@ -260,7 +264,7 @@ def test_line_dedup_recall_of_random_character_edits(spark):
 def test_lines_that_share_an_opening_leave_few_pairs(spark, monkeypatch):
     """Pairs to verify stay in proportion to the lines, where these are never near."""
     counts = []
-    monkeypatch.setattr(line_dedup, "_near", lambda pairs, sets, near=line_dedup._near: counts.append(pairs.count()) or near(pairs, sets))
+    monkeypatch.setattr(line_dedup, "_near", lambda pairs, texts, near=line_dedup._near: counts.append(pairs.count()) or near(pairs, texts))
     left = []
     for n in (100, 400):
         counts.clear()
