@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import durable, n_words, packed, rest_columns, scratch, table
@@ -149,18 +149,45 @@ def mix_counts(docs: DataFrame, key: str = "doc_id", source: str = "source", tex
         return keep(durable(round_to_copies(rated, "key").drop("s").withColumnRenamed("key", key), "copies"))
 
 
+def _named(x: Column) -> Column:
+    """x as text, null apart from every text."""
+    return F.when(x.isNull(), "n").otherwise(F.concat(F.lit("v"), x.cast("string")))
+
+
 def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """docs with each row as often as the mix takes it, none to MAX_COPIES times.
 
-    Rows that repeat key and text get the copies of their like one by one, in the order of a hash of the whole row.
+    Rows of one source with equal key and text have one rate, so some of them are taken once more often than the
+    others: the first ones in the order of a hash of the whole row. Rows equal in every column count as
+    one with a multiplicity, and rows of a repeated key are numbered in parts of about RUN rows, so a
+    group of any size spreads out.
     """
-    body = F.coalesce(F.col(f"`{text}`"), F.lit("\0null"))
-    identity = F.unhex(F.md5(F.concat_ws("\0", F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("null")), body).cast("binary")))
+    own = [_named(F.col(f"`{c}`")) for c in (key, source, text)]
+    identity = F.unhex(F.md5(F.concat_ws("\0", *own).cast("binary")))
     named = packed(docs, [], _id=identity, _source=F.col(f"`{source}`"), _text=F.col(f"`{text}`"))
-    counts = mix_counts(named, "_id", "_source", "_text").groupBy("_id").agg(F.sort_array(F.collect_list("copies"), asc=False).alias("_copies"))
-    joined = named.drop("_source", "_text").join(counts, "_id").withColumn("_i", F.row_number().over(Window.partitionBy("_id").orderBy(F.xxhash64("_rest"))))
-    taken = joined.withColumn("_n", F.element_at("_copies", F.col("_i"))).where("_n > 0")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*rest_columns(taken))
+    with scratch() as keep:
+        counts = mix_counts(named, "_id", "_source", "_text").groupBy("_id")
+        counts = counts.agg(F.min("copies").alias("_each"), (F.sum("copies") - F.min("copies") * F.count(F.lit(1))).alias("_more"), F.count(F.lit(1)).alias("_rows"))
+        counts = keep(durable(counts, "taken"))
+    joined = named.drop("_source", "_text").join(counts, "_id")
+    alike = joined.where("_more = 0").select("_rest", F.col("_each").alias("_n"))
+    taken = alike.union(_dealt(joined.where("_more > 0"))).where("_n > 0")
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n").cast("long")))).select(*rest_columns(taken))
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """_rest and _n: how often rows are taken of whose _id `_more` of `_rows` rows are taken once more than the others."""
+    classes = rows.groupBy("_id", "_each", "_more", "_rows", "_rest").agg(F.count(F.lit(1)).alias("_m"))
+    salt = F.pmod(F.xxhash64("_rest"), F.ceil(F.col("_rows") / RUN)).cast("int")
+    classes = classes.withColumn("_salt", salt)
+    parts = classes.groupBy("_id", "_salt").agg(F.sum("_m").alias("_sum"))
+    earlier = Window.partitionBy("_id").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("_id", "_salt", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_from"))
+    inside = Window.partitionBy("_id", "_salt").orderBy(F.xxhash64("_rest")).rowsBetween(Window.unboundedPreceding, -1)
+    placed = classes.withColumn("_before", F.coalesce(F.sum("_m").over(inside), F.lit(0))).join(parts, ["_id", "_salt"])
+    start = F.col("_from") + F.col("_before")
+    extra = F.greatest(F.lit(0), F.least(start + F.col("_m"), F.col("_more")) - start)
+    return placed.select("_rest", (F.col("_each") * F.col("_m") + extra).alias("_n"))
 
 
 def op4_mix_entropy_balance(spark, sf_dir: str) -> DataFrame:

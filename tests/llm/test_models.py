@@ -4,6 +4,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from roadlens.llm import mixing, quality, toxicity
 
@@ -134,3 +135,24 @@ def test_toxicity_hard_rows(spark, hard, empty):
         assert len(rows) == hard.count() and all(0 <= r["score"] <= 1 for r in rows) and set(out.columns) == set(hard.columns)
     assert toxicity.drop_toxic(hard, labels.where("doc_id < 0")).count() == hard.count()
     assert toxicity.drop_toxic(empty, labels).count() == 0
+
+
+def test_mix_gives_copies_to_the_right_source(spark):
+    """Equal texts and keys in three sources, and rows equal in all columns: each source's words meet its target."""
+    rows = [(k % 150, " ".join(f"w{k % 150}x{i}" for i in range(3 + k % 29)), source, k % 4) for k in range(400) for source in ("a", "b", "c", None) if source or k < 390]
+    rows += [(7, "the same row again and again", "a", 0)] * 900 + [(None, None, "b", 1)] * 50 + [(8, "one key, rows of many kinds", "b", k) for k in range(700)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, other long").repartition(6)
+    counts = mixing.mix_counts(docs.withColumn("id", F.monotonically_increasing_id()), "id").select("target", "source_size", "size", "copies").collect()
+    want = {(r["source_size"], r["target"]) for r in counts}
+    mixed = mixing.mix(docs)
+    got = mixed.groupBy("source").agg(F.sum(F.size(F.split("text", " "))).alias("words")).collect()
+    given = {r["source"]: r["n"] for r in docs.groupBy("source").agg(F.sum(F.size(F.split("text", " "))).alias("n")).collect()}
+    targets = {size: target for size, target in want}
+    assert len(targets) == len(given) == 4
+    for r in got:
+        assert abs(r["words"] - targets[given[r["source"]]]) <= 40
+    before = {tuple(r): n for *r, n in docs.groupBy(*docs.columns).count().collect()}
+    after = {tuple(r): n for *r, n in mixed.groupBy(*docs.columns).count().collect()}
+    assert set(after) <= set(before) and all(n <= mixing.MAX_COPIES * before[r] for r, n in after.items())
+    assert after[(None, None, "b", 1)] == 50
+    assert sorted(map(repr, mixed.collect())) == sorted(map(repr, mixing.mix(docs.repartition(3)).collect()))
