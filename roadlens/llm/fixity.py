@@ -19,11 +19,11 @@ RANGE, FANOUT = 1 << 16, 16
 ARCHIVE_PAGES = 1000
 
 
-def warc_records(pages: DataFrame) -> DataFrame:
-    """archive, page_id, byte_offset, length and record of pages (page_id, url, html).
+def records(pages: DataFrame) -> DataFrame:
+    """archive, page_id, length and record of pages (page_id, url, html).
 
-    Archives take page_id ranges and hold their records in page_id order. Null urls and pages
-    are empty ones; a null page_id lies in the archive -1, and repeated rows are records of their own.
+    Archives take page_id ranges. Null urls and pages are empty ones; a null page_id lies in the
+    archive -1, and repeated rows are records of their own.
     """
     html, url = F.coalesce("html", F.lit("")), F.coalesce("url", F.lit(""))
     key = F.coalesce(F.col("page_id").cast("string"), F.lit(""))
@@ -35,10 +35,29 @@ def warc_records(pages: DataFrame) -> DataFrame:
         F.coalesce(F.floor(F.col("page_id") / ARCHIVE_PAGES), F.lit(-1)).cast("long").alias("archive"),
         "page_id", F.concat(head, html, F.lit("\r\n\r\n")).alias("record"),
     )
-    rows = rows.withColumn("length", F.octet_length("record").cast("long"))
-    before = Window.partitionBy("archive").orderBy("page_id", "length").rowsBetween(Window.unboundedPreceding, -1)
-    at = rows.withColumn("byte_offset", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long"))
-    return at.select("archive", "page_id", "byte_offset", "length", "record")
+    return rows.withColumn("length", F.octet_length("record").cast("long"))
+
+
+def placed(rows: DataFrame) -> DataFrame:
+    """rows (archive, page_id, length, h, ...) with byte_offset: archives hold their records by page_id, then by hash.
+
+    So equal page_ids give the same offsets in whatever order the rows come. In two levels:
+    records of one page_id and beginning of the hash are placed by themselves, and one row of each
+    such group meets the others of its archive.
+    """
+    own = rows.withColumn("_x", F.substring("h", 1, 4))
+    sums = own.groupBy("archive", "page_id", "_x").agg(F.sum("length").alias("_sum"))
+    earlier = Window.partitionBy("archive").orderBy("page_id", "_x").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(F.col("archive").alias("_archive"), F.col("page_id").alias("_page"), F.col("_x").alias("_y"), F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_from"))
+    inside = Window.partitionBy("archive", "page_id", "_x").orderBy("h").rowsBetween(Window.unboundedPreceding, -1)
+    own = own.withColumn("_before", F.coalesce(F.sum("length").over(inside), F.lit(0)))
+    same = (F.col("archive") == F.col("_archive")) & F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("_x") == F.col("_y"))
+    return own.join(sums, same).withColumn("byte_offset", (F.col("_from") + F.col("_before")).cast("long")).select(*rows.columns, "byte_offset")
+
+
+def warc_records(pages: DataFrame) -> DataFrame:
+    """archive, page_id, byte_offset, length, record and h of pages; see records and placed."""
+    return placed(records(pages).withColumn("h", F.sha2("record", 256))).select("archive", "page_id", "byte_offset", "length", "record")
 
 
 def _hash_of(children: Column) -> Column:
@@ -48,7 +67,8 @@ def _hash_of(children: Column) -> Column:
 
 def leaves(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Hashed records (archive, byte_offset, length, h) and leaves (archive, i, h) of a replica."""
-    hashed = durable(records.select("archive", "byte_offset", "length", F.sha2("record", 256).alias("h")), "hashes")
+    hash_ = F.col("h") if "h" in records.columns else F.sha2("record", 256).alias("h")
+    hashed = durable(records.select("archive", "byte_offset", "length", hash_).distinct(), "hashes")
     ranged = hashed.groupBy("archive", F.floor(F.col("byte_offset") / RANGE).cast("long").alias("i"))
     # a leaf holds what begins in RANGE bytes of one file
     of = _hash_of(F.collect_list(F.struct(F.col("byte_offset").alias("i"), F.concat_ws("/", F.col("length").cast("string"), "h").alias("h"))))
@@ -72,11 +92,11 @@ def _differing(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
 def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
     """archive, byte_offset, length and status of every record in which two replicas differ.
 
-    Both sides: archive, byte_offset, length, record. status: corrupt (other bytes), missing (not
+    Both sides: archive, byte_offset, length, and record or its hash h. status: corrupt (other bytes), missing (not
     in the replica) or extra (in the replica alone). Records at one place that repeat count as
     one. Null records have no bytes to hash and equal each other. Equal replicas: no rows.
     """
-    hashes, bottoms = zip(*(leaves(x.dropDuplicates(["archive", "byte_offset", "length", "record"])) for x in (primary, replica)), strict=True)
+    hashes, bottoms = zip(*map(leaves, (primary, replica)), strict=True)
     top = max((x.agg(F.max("i")).first()[0] or 0) for x in bottoms)
     depth = 0
     while FANOUT**depth <= top:
@@ -97,16 +117,14 @@ def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
     )
 
 
-def decayed(records: DataFrame) -> DataFrame:
-    """A second replica of WARC records with known damage: one record in 64 changed, one lost."""
+def op6_warc_merkle_audit(spark, sf_dir: str) -> DataFrame:
+    """The second replica has known damage: one record in 64 changed, one lost. Records are hashed where they are read."""
     draw = F.pmod(F.coalesce("page_id", F.lit(0)) * 40503, F.lit(64))
     changed = F.concat(F.lit("#"), F.substring("record", 2, 1 << 30))
-    return records.where(draw != 7).withColumn("record", F.when(draw == 3, changed).otherwise(F.col("record")))
-
-
-def op6_warc_merkle_audit(spark, sf_dir: str) -> DataFrame:
-    records = warc_records(table(spark, sf_dir, "pages"))
-    return audit(records, decayed(records))
+    rows = records(table(spark, sf_dir, "pages")).select("archive", "page_id", "length", F.sha2("record", 256).alias("h"), draw.alias("draw"), F.when(draw == 3, F.sha2(changed, 256)).alias("other"))
+    at = durable(placed(rows), "placed")
+    replica = at.where("draw <> 7").withColumn("h", F.coalesce("other", "h"))
+    return audit(at.select("archive", "byte_offset", "length", "h"), replica.select("archive", "byte_offset", "length", "h"))
 
 
 OP6_SQL = """
@@ -119,7 +137,7 @@ WITH r AS (
   FROM pages
 ), o AS (
   SELECT archive, page_id, record, CAST(strlen(record) AS BIGINT) AS length,
-    CAST(coalesce(sum(strlen(record)) OVER (PARTITION BY archive ORDER BY page_id, strlen(record) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS byte_offset,
+    CAST(coalesce(sum(strlen(record)) OVER (PARTITION BY archive ORDER BY page_id, sha256(record) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS byte_offset,
     (coalesce(page_id, 0) * 40503) % 64 AS draw
   FROM r
 ), b AS (
