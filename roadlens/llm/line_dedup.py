@@ -30,7 +30,7 @@ BIN_BITS, KEPT_BINS, SMALL = 4, (0, 3, 5), 12
 SKETCH, HUBS = 16, 32
 _WORD_BITS = SKETCH.bit_length() - 1
 #: Rounds of nearest lines go on while one in so many of the lines that took part is linked anew.
-WORTH = 32
+WORTH = 8
 
 #: Characters of long words, and of scripts without spaces, at which a shingle begins.
 _BEGINS = "aeiou0-9A-Z\\x{0E00}-\\x{10FFFF}"
