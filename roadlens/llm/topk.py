@@ -15,32 +15,29 @@ from math import ceil
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .clustering import whole_components
 from .common import durable, ship, table
 
 #: Length classes; rows of a block of candidates and of queries, about; long vectors for first bounds.
 CLASSES, BLOCK_ROWS, QUERY_ROWS, SEEDS = 16, 4096, 1024, 1024
 #: Local cosine threshold from which coordinates prune, and how many coordinates are looked at.
 COSINE, FOCUS = 0.6, 4
+#: Largest absolute value of a component as a whole number: products of up to 2^8 of them fit a long.
+MOST = 1 << 27
 _PREPARED = "vec_id long, dim int, length double, v binary"
 
 
 def _prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Components floor(1024 x) of the vectors without null or non-finite components."""
+    """Rows (vec_id, whole components) with their dimension, length and components as bytes."""
     for batch in batches:
-        ids, vectors = batch.column(0).to_pylist(), batch.column(1)
-        rows = []
-        for i, x in zip(ids, vectors, strict=True):
-            if i is None or not x.is_valid or x.values.null_count:
-                continue
-            v = np.asarray(x.values, np.float64)
-            if np.isfinite(v).all():
-                v = np.floor(1024 * v)
-                rows.append((i, len(v), float(np.sqrt(v @ v)), v.astype(np.int64).tobytes()))
+        at, values = batch.column(1).offsets.to_numpy(), batch.column(1).values.to_numpy()
+        parts = [values[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]
+        length = [float(np.linalg.norm(p.astype(np.float64))) for p in parts]
         yield pa.RecordBatch.from_arrays(
-            [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.float64(), pa.binary()))],
+            [batch.column(0), pa.array(np.diff(at), pa.int32()), pa.array(length, pa.float64()), pa.array([p.tobytes() for p in parts], pa.binary())],
             ["vec_id", "dim", "length", "v"],
         )
 
@@ -102,16 +99,68 @@ def _best(out: list, query: int, bound: float, ids: np.ndarray, scores: np.ndarr
     out += [(query, i, s) for i, s in zip(ids[keep].tolist(), scores[keep].tolist(), strict=True)]
 
 
+class Blocks:
+    """Which blocks of candidates meet which groups of queries.
+
+    Classes hold ever longer vectors; a class has blocks of about BLOCK_ROWS rows. A query whose k-th score
+    is t or more needs vectors of length t / |q| at least, so only blocks from some class on; groups of about
+    QUERY_ROWS queries have that least class in common, so neither side is copied for pairs that cannot matter.
+    """
+
+    def __init__(self, sizes: dict[int, tuple[int, float]]):
+        self.classes = sorted(sizes)
+        self.longest = {c: sizes[c][1] for c in self.classes}
+        self.parts = {c: max(1, ceil(sizes[c][0] / BLOCK_ROWS)) for c in self.classes}
+        self.first = {c: sum(self.parts[d] for d in self.classes if d < c) for c in self.classes}
+        self.n_blocks = sum(self.parts.values())
+        self.count: dict[int, int] = {}
+        self.begin: dict[int, int] = {}
+
+    def least_class(self, bound: Column, length: Column) -> Column:
+        """The first class with a vector long enough; null where there is none."""
+        reach = [F.when(bound <= length * float(self.longest[c]) * (1 + 1e-9), F.lit(c)) for c in self.classes]
+        return F.coalesce(F.when(bound == float("-inf"), F.lit(min(self.classes, default=0))), *reach)
+
+    def group(self, queries: dict[int, int]) -> None:
+        """Groups for so many queries by their least class, numbered in the order of the classes."""
+        self.count = {c: max(1, ceil(n / QUERY_ROWS)) for c, n in queries.items()}
+        self.begin = {c: sum(n for d, n in self.count.items() if d < c) for c in self.count}
+
+    def _of(self, table: dict[int, int], key: Column) -> Column:
+        return F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), key) if table else F.lit(None).cast("int")
+
+    def block(self) -> Column:
+        c = F.col("_class")
+        return (self._of(self.first, c) + F.pmod(F.xxhash64("vec_id"), self._of(self.parts, c))).cast("int")
+
+    def groups_of_class(self) -> Column:
+        """Groups whose queries may need a candidate of class _class: the first ones."""
+        upto = {c: sum(n for d, n in self.count.items() if d <= c) for c in self.classes}
+        n = F.coalesce(self._of(upto, F.col("_class")), F.lit(0))
+        return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+
+    def query_group(self) -> Column:
+        c = F.col("_least")
+        return (self._of(self.begin, c) + F.pmod(F.xxhash64("vec_id"), self._of(self.count, c))).cast("int")
+
+    def blocks_of_query(self) -> Column:
+        return F.sequence(F.coalesce(self._of(self.first, F.col("_least")), F.lit(0)), F.lit(max(1, self.n_blocks) - 1))
+
+
 def top_k(vectors: DataFrame, is_query, k: int = 10, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id and score of each query's k best rows but itself (all, if fewer).
 
     Vectors that are null or hold null or non-finite components, and rows with a null key, take
     no part. Only vectors of one dimension are compared. Ties go to the smaller vec_id. A key
-    that repeats is never a result of its own query. No queries or no rows: no result.
+    that repeats is never a result of its own query. No queries or no rows: no result. A component
+    beyond MOST raises an error, as products would not fit a long.
     """
     spark = vectors.sparkSession
     ship(spark)
-    ready = durable(vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(vector)).mapInArrow(_prepare, _PREPARED), "vectors")
+    own = vectors.select(F.col(f"`{key}`").cast("long").alias("vec_id"), F.col(f"`{vector}`").alias("_v")).where(F.col("vec_id").isNotNull() & whole_components(F.col("_v"), F.size("_v")))
+    beyond = F.raise_error(F.lit(f"a component is beyond {MOST} when scaled")).cast("long")
+    scaled = F.transform(F.transform("_v", lambda x: x.cast("double") * 1024), lambda x: F.when(F.abs(x) <= MOST, F.floor(x)).otherwise(beyond))
+    ready = durable(own.select("vec_id", scaled.alias("_v")).mapInArrow(_prepare, _PREPARED), "vectors")
     seeds = ready.orderBy(F.col("length").desc(), "vec_id").limit(SEEDS).toPandas()  # bounded by SEEDS
     held = spark.sparkContext.broadcast(seeds)
 
@@ -123,20 +172,16 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, key: str = "vec_id", vector
             yield asked.assign(bound=asked["vec_id"].map(worst).astype(float).fillna(-np.inf))
 
     queries = durable(ready.where(is_query(F.col("vec_id"))).dropDuplicates(["vec_id", "v"]).mapInPandas(first_bounds, _PREPARED + ", bound double"), "queries")
-    n, n_queries = ready.count(), queries.count()
-    edges = sorted(ready.approxQuantile("length", [i / CLASSES for i in range(1, CLASSES)], 0.01)) if n else []
+    edges = sorted(ready.approxQuantile("length", [i / CLASSES for i in range(1, CLASSES)], 0.01)) if not ready.isEmpty() else []
     in_class = F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e < F.col("length"))) if edges else F.lit(0)
     classed = ready.withColumn("_class", in_class)
-    parts = {r["_class"]: max(1, ceil(r["count"] / BLOCK_ROWS)) for r in classed.groupBy("_class").count().collect()}
-    n_parts = F.element_at(F.create_map(*[F.lit(x) for pair in parts.items() for x in pair]), F.col("_class")) if parts else F.lit(1)
-    part = F.pmod(F.xxhash64("vec_id"), n_parts).cast("int")
-    first = {c: sum(p for d, p in parts.items() if d < c) for c in parts}
-    base = F.element_at(F.create_map(*[F.lit(x) for pair in first.items() for x in pair]), F.col("_class")) if parts else F.lit(0)
-    groups = max(1, ceil(n_queries / QUERY_ROWS))
-    # blocks of candidates meet blocks of the stated queries
-    left = classed.withColumn("block", base + part).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).drop("_class")
-    right = queries.withColumn("group", F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int"))
-    right = right.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(max(1, sum(parts.values())) - 1))))
+    sizes = {r["_class"]: (r["n"], r["longest"]) for r in classed.groupBy("_class").agg(F.count(F.lit(1)).alias("n"), F.max("length").alias("longest")).collect()}  # CLASSES rows
+    plan = Blocks(sizes)
+    queries = queries.withColumn("_least", plan.least_class(F.col("bound"), F.col("length")))
+    plan.group({r["_least"]: r["count"] for r in queries.where("_least is not null").groupBy("_least").count().collect()})
+    # blocks of candidates meet blocks of the stated queries, but for those that no bound reaches
+    left = classed.withColumn("block", plan.block()).withColumn("group", F.explode(plan.groups_of_class())).drop("_class")
+    right = queries.where("_least is not null").withColumn("group", plan.query_group()).withColumn("block", F.explode(plan.blocks_of_query())).drop("_least")
 
     def pair(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         if not len(rows) or not len(asked):
