@@ -30,15 +30,19 @@ class Shard:
 
 
 def layout(n_shards: int, weights: dict[int, float] | None = None) -> list[Shard]:
-    """Shards filled rack by rack, racks region by region.
-
-    With n_shards a multiple of a region's size, one more shard opens a region of its own, so
-    the keys that move all go to it.
-    """
+    """Shards filled rack by rack, racks region by region."""
     per_region = SHARDS_PER_RACK * RACKS_PER_REGION
     return [Shard(s, s // SHARDS_PER_RACK, s // per_region, (weights or {}).get(s, 1.0)) for s in range(n_shards)]
 
 
+def grown(tree: list[Shard]) -> list[Shard]:
+    """tree with one more shard, in a rack and a region of its own: the keys that move all go to it.
+
+    In a region that exists it would change that region's weight, and so draw keys to its older shards too.
+    """
+    return [*tree, Shard(max((s.shard for s in tree), default=-1) + 1, max((s.rack for s in tree), default=-1) + 1, max((s.region for s in tree), default=-1) + 1)]
+
+
 def _draw(key: Column, level: str, node: Column, weight: Column) -> Column:
     u = (F.shiftrightunsigned(F.xxhash64(key, F.lit(level), node), 11).cast("double") + 0.5) * (2.0**-53)
     return -F.log(u) / weight
@@ -81,7 +85,7 @@ def with_slots(df: DataFrame, group: str, order: list[str], n_rows: int, n_group
     """
     buckets = max(1, ceil(n_rows / max(1, n_groups) / BUCKET_ROWS))
     names, order = order, [f"_o{i}" for i in range(len(order))]
-    df = packed(df, [slot], _group_=F.col(group), **{o: F.col(c) for o, c in zip(order, names, strict=True)})
+    df = packed(df, [slot], _group_=F.col(f"`{group}`"), **{o: F.col(f"`{c}`") for o, c in zip(order, names, strict=True)})
     out_columns, group = rest_columns(df), "_group_"
     placed = df.withColumn("_bucket", F.pmod(F.xxhash64(*order, F.lit("slot")), F.lit(buckets)).cast("int"))
     sizes = placed.groupBy(group, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
@@ -96,12 +100,13 @@ def with_slots(df: DataFrame, group: str, order: list[str], n_rows: int, n_group
 
 
 def shard_rows(df: DataFrame, key: str, n_shards: int = 24, weights: dict[int, float] | None = None) -> DataFrame:
-    """df with shard (the tree's) and grown_shard (that of a tree with one more shard).
+    """df with shard (the tree's) and grown_shard (that of the tree with one more shard, see grown).
 
     Nulls: a null key is one key. Empty input: empty output. Repeated rows: the same shard.
     Other columns pass through; existing columns named shard or grown_shard are replaced.
     """
-    return df.withColumns({"shard": shard_of(F.col(key), layout(n_shards, weights)), "grown_shard": shard_of(F.col(key), layout(n_shards + 1, weights))})
+    tree = layout(n_shards, weights)
+    return df.withColumns({"shard": shard_of(F.col(f"`{key}`"), tree), "grown_shard": shard_of(F.col(f"`{key}`"), grown(tree))})
 
 
 def op8_shard_hash_tree(spark, sf_dir: str) -> DataFrame:

@@ -3,6 +3,9 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -156,3 +159,99 @@ def test_mix_gives_copies_to_the_right_source(spark):
     assert set(after) <= set(before) and all(n <= mixing.MAX_COPIES * before[r] for r, n in after.items())
     assert after[(None, None, "b", 1)] == 50
     assert sorted(map(repr, mixed.collect())) == sorted(map(repr, mixing.mix(docs.repartition(3)).collect()))
+
+
+def test_ftrl_as_a_plain_loop():
+    """Weights equal those of the published per-coordinate updates, one feature at a time in Python floats."""
+    rng = np.random.default_rng(6)
+    words = [f"word{i}" for i in range(30)]
+    texts = [" ".join(rng.choice(words, int(rng.integers(0, 12)))) + (" awful" if k % 4 == 0 and k % 12 else "") for k in range(60)]
+    frame = pd.DataFrame({"text": texts, "toxic": [int(k % 4 == 0) for k in range(60)], "_order": rng.permutation(60), "_share": [0.5 if k % 4 else 1.0 for k in range(60)]})
+    p = toxicity.Params(bits=12, epochs=3, l1=0.3)
+    got = {int(r.slot): r.weight for r in toxicity.fit(frame, p).itertuples()}
+
+    ordered = sorted(frame.itertuples(), key=lambda r: (r._3, r.text))
+    bags = []
+    for r in ordered:
+        bag = {-1}
+        for slot, _ in toxicity.features(pa.array([r.text], pa.large_string()), p.bits):
+            bag |= set(slot.tolist())
+        bags.append(sorted(bag))
+    count = Counter(x for bag in bags for x in bag)
+    pos, neg = (sum(r.toxic == c for r in ordered) + 0.5 for c in (1, 0))
+    prior = math.log(pos / neg)
+    z, n = defaultdict(float), defaultdict(float)
+    l1 = {x: 0.0 if x < 0 else p.epochs * p.l1 * math.sqrt(max(c, 1) * neg * pos) / len(ordered) for x, c in count.items()}
+
+    def weight(x):
+        if abs(z[x]) <= l1[x]:
+            return 0.0
+        return (math.copysign(l1[x], z[x]) - z[x]) / ((p.beta + math.sqrt(n[x])) / p.alpha + p.l2)
+
+    for _ in range(p.epochs):
+        for bag, r in zip(bags, ordered, strict=True):
+            own = {x: weight(x) for x in bag}
+            g = 1 / (1 + math.exp(-(prior + sum(own.values())))) - r.toxic
+            for x, w in own.items():
+                z[x] += g - (math.sqrt(n[x] + g * g) - math.sqrt(n[x])) / p.alpha * w
+                n[x] += g * g
+    want = {x: weight(x) for x in count}
+    want[-1] += prior + math.log(0.5 / 1.0)
+    want = {x: w for x, w in want.items() if w}
+    assert 3 < len(want) < len(count) and set(got) == set(want)
+    assert all(abs(got[x] - want[x]) < 1e-9 for x in want)
+
+
+def plain_rules(rows, p, names):
+    """The decision list by brute force over rows (bad, prune, values), with the same thresholds to choose from."""
+    edges = {c: sorted({v[c] for _, _, v in rows}) for c in names}
+    found, left = [], rows
+
+    def meets(rule, v):
+        return all(v[c] > t if above else v[c] <= t for c, above, t in rule)
+
+    for _ in range(p.max_rules):
+        rule = []
+        while len(rule) < p.max_conditions:
+            own = [(bad, v) for bad, prune, v in left if not prune and meets(rule, v)]
+            total = sum(bad for bad, _ in own), sum(1 - bad for bad, _ in own)
+            if not total[0] or not total[1]:
+                break
+            before, best = math.log2(total[0] / sum(total)), (0.0, None)
+            for c in names:
+                for t in edges[c]:
+                    for above in (False, True):
+                        hit = [bad for bad, v in own if (v[c] > t if above else v[c] <= t)]
+                        bad = sum(hit)
+                        if bad >= p.min_covered and (g := bad * (math.log2(bad / len(hit)) - before)) > best[0] + 1e-9:
+                            best = (g, (c, above, t))
+            if best[1] is None:
+                break
+            rule.append(best[1])
+        if not rule:
+            break
+        held = [(sum(bad for bad, prune, v in left if prune and meets(rule[:k], v)), sum(1 for _, prune, v in left if prune and meets(rule[:k], v))) for k in range(1, len(rule) + 1)]
+        k = max(range(len(rule)), key=lambda i: ((held[i][0] + 1) / (held[i][1] + 2), -i))
+        if held[k][0] < p.min_precision * held[k][1] or not held[k][1]:
+            break
+        found.append(rule[: k + 1])
+        left = [r for r in left if not meets(rule[: k + 1], r[2])]
+    return found
+
+
+def test_decision_list_by_brute_force(spark):
+    """Rules equal those of a search over every row, where the sample has no more values than quantiles."""
+    rng = np.random.default_rng(21)
+    names = list(quality.FEATURES)
+    rows = []
+    for k in range(900):
+        v = {c: float(rng.integers(0, 8)) for c in names}
+        bad = int((v[names[1]] >= 6 and v[names[2]] <= 3) or v[names[5]] >= 7 or rng.random() < 0.02)
+        rows.append((bad, k % 3 == 0, v))
+    p = quality.Params(quantiles=60)
+    sample = spark.createDataFrame([(bad, prune, *v.values()) for bad, prune, v in rows], ", ".join(["bad int", "prune boolean", *(f"{c} double" for c in names)]))
+    got = quality.learn(sample, p)
+    want = plain_rules(rows, p, names)
+    assert len(want) >= 2
+    # thresholds lie half way to the next value
+    assert [[(c.feature, c.above, math.floor(c.threshold)) for c in rule] for rule in got] == [[(c, above, int(t)) for c, above, t in rule] for rule in want]

@@ -1,5 +1,9 @@
+import math
+import struct
+
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from roadlens.llm import fixity, queries, sharding, topk
@@ -101,3 +105,55 @@ def test_audit_of_equal_keys_in_another_order(spark):
     for archive, own in a.select("archive", "byte_offset", "length").toPandas().groupby("archive"):
         own = own.sort_values("byte_offset")
         assert own["byte_offset"].tolist() == [0, *own["length"].cumsum().tolist()[:-1]]
+
+
+def test_topk_blocks_that_no_bound_reaches_are_not_paired(spark, monkeypatch):
+    """Queries near long vectors skip the classes of short ones, on both sides of the shuffle; nothing is lost."""
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 50)
+    monkeypatch.setattr(topk, "QUERY_ROWS", 4)
+    rng = np.random.default_rng(12)
+    rows = [(i, (rng.normal(size=8) * 2.0 ** (i % 10) / 100).tolist()) for i in range(1200)]
+    plans = []
+    group = topk.Blocks.group
+    monkeypatch.setattr(topk.Blocks, "group", lambda self, queries: plans.append(self) or group(self, queries))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk.top_k(df, lambda c: c % 100 == 0).select("query_id", "rank", "vec_id", "score").collect()
+    assert sorted(map(tuple, got)) == brute(rows, 10)
+    plan = plans[0]
+    met = sum(n * sum(p for c, p in plan.parts.items() if c >= least) for least, n in plan.count.items())
+    assert met <= 0.6 * sum(plan.count.values()) * plan.n_blocks, (met, plan.count, plan.n_blocks)
+
+
+def test_topk_of_components_too_large(spark):
+    with pytest.raises(Exception, match="beyond"):
+        topk.top_k(spark.createDataFrame([(0, [1e30]), (1, [1.0])], "vec_id long, embedding array<double>"), lambda c: c == 0).count()
+
+
+def plain_shard(key, tree):
+    """The shard of a key by walking the tree level by level in plain Python."""
+
+    def draw(level, node, weight):
+        h = 42
+        for part in (("\0null" if key is None else str(key)).encode(), level.encode(), struct.pack("<i", node)):
+            h = xxhash.xxh64(part, seed=h).intdigest()
+        return -math.log(((h >> 11) + 0.5) * 2.0**-53) / weight
+
+    own = [s for s in tree if s.weight > 0]
+    for level in ("region", "rack", "shard"):
+        weights = {}
+        for s in own:
+            weights[getattr(s, level)] = weights.get(getattr(s, level), 0.0) + s.weight
+        best = min(weights, key=lambda n: (draw(level, n, weights[n]), n))
+        own = [s for s in own if getattr(s, level) == best]
+    return own[0].shard
+
+
+def test_shards_as_a_plain_walk_of_the_tree(spark):
+    df = spark.createDataFrame([(i,) for i in [*range(3000), None]], "doc_id long")
+    for n, weights in ((24, None), (20, {3: 2.5, 7: 0.0}), (1, None)):
+        tree = sharding.layout(n, weights)
+        got = sharding.shard_rows(df, "doc_id", n, weights).collect()
+        assert [(r["shard"], r["grown_shard"]) for r in got] == [(plain_shard(r["doc_id"], tree), plain_shard(r["doc_id"], sharding.grown(tree))) for r in got]
+        # what moves goes to the new shard alone, whatever the number of shards
+        assert {r["grown_shard"] for r in got if r["grown_shard"] != r["shard"]} == {n}
+        assert sum(r["grown_shard"] == n for r in got) <= 1.5 * len(got) / (n + 1) + 40
