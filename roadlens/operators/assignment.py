@@ -66,10 +66,11 @@ def optimal(cost: np.ndarray) -> np.ndarray:
     return out
 
 
-def assign(pairs: DataFrame, by: list[str], left: str, right: str, cost: str, mode: str = "greedy") -> DataFrame:
+def assign(pairs: DataFrame, by: list[str], left: str, right: str, cost: str, mode: str = "greedy", gate: float | None = None) -> DataFrame:
     """by, left, right and cost of the pairs chosen in each group of cost rows.
 
-    A group is one frame's matrix; pairs without a row cannot be chosen.
+    A group is one frame's matrix; pairs without a row cannot be chosen. With a gate, chosen pairs that cost
+    more come undone: their row and column stay free, as they were taken by the choice.
     """
     ship(pairs.sparkSession)
     solve = greedy if mode == "greedy" else optimal
@@ -99,4 +100,5 @@ def assign(pairs: DataFrame, by: list[str], left: str, right: str, cost: str, mo
             whose = pa.array(frame, pa.int64())
             yield pa.RecordBatch.from_arrays([*(c.take(whose) for c in batch.columns[: len(by)]), *(x.take(which) for x in (l_values, r_values, c_values))], columns)
 
-    return frames.mapInArrow(solve_frames, pairs.select(*columns).schema)
+    chosen = frames.mapInArrow(solve_frames, pairs.select(*columns).schema)
+    return chosen if gate is None else chosen.where(F.col(cost) <= gate)

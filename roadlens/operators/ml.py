@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import LinearSVC
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector
@@ -11,85 +13,139 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.kernels import Kernel, dot
 from .aggregates import confusion, rates
 from .windows import folds, split
 
+#: Fits that run at a time over one kept table; bytes of models up to which they are broadcast.
+FITS, MODEL_BYTES = 8, 64 << 20
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
 
+def as_vectors(df: DataFrame) -> DataFrame:
+    """df with features as MLlib vectors."""
+    return df.withColumn("features", array_to_vector(F.transform("features", lambda x: x.cast("double"))))
 
-def train_binary(df: DataFrame, c: float = 1.0, intercept: bool = True, iterations: int = 10) -> tuple[list[float], float]:
-    """Weights and bias of a linear SVM on rows (target +-1, features array[, cost])."""
-    rows = df.select((F.col("target") > 0).cast("double").alias("label"), array_to_vector(F.transform("features", lambda x: x.cast("double"))).alias("features"), *(["cost"] if "cost" in df.columns else []))
-    n = rows.count()
+
+def fit(rows: DataFrame, c: float = 1.0, intercept: bool = True, iterations: int = 10) -> tuple[list[float], float]:
+    """Weights and bias of a linear SVM on rows (target +-1, features vector[, cost])."""
+    own = rows.select((F.col("target") > 0).cast("double").alias("label"), "features", *(["cost"] if "cost" in rows.columns else []))
+    n = own.count()
     svm = LinearSVC(maxIter=iterations, regParam=1 / (c * max(1, n)), fitIntercept=intercept, standardization=False)
-    if "cost" in df.columns:
+    if "cost" in rows.columns:
         svm = svm.setWeightCol("cost")
-    model = svm.fit(rows)
+    model = svm.fit(own)
     return [float(x) for x in model.coefficients], -float(model.intercept)
 
 
-def train_one_vs_all(df: DataFrame, c: float = 1.0) -> DataFrame:
-    """class, w and b: one model a class, one in all for two classes. Fewer than two classes are refused.
+def train_binary(df: DataFrame, c: float = 1.0, intercept: bool = True, iterations: int = 10) -> tuple[list[float], float]:
+    """fit on rows whose features are an array."""
+    return fit(as_vectors(df), c, intercept, iterations)
 
-    Classes are few (letters and digits); each model is fitted on the whole distributed table.
-    """
+
+def at_once(jobs: list[Callable[[], object]]) -> list:
+    """Results of jobs that Spark runs FITS at a time: small fits fill the cluster together."""
+    with ThreadPoolExecutor(FITS) as pool:
+        return list(pool.map(lambda run: run(), [inheritable_thread_target(job) for job in jobs]))
+
+
+def fit_classes(parts: dict, classes: list, c: float) -> list[tuple]:
+    """(part, class, w, b) of one model a class for each part (name -> rows with label and a features vector)."""
+    wanted = classes[1:] if len(classes) == 2 else classes
+
+    def job(part, rows, k):
+        return lambda: (part, k, *fit(rows.withColumn("target", F.when(F.col("label") == k, 1).otherwise(-1)), c))
+
+    return at_once([job(part, rows, k) for part, rows in parts.items() for k in wanted])
+
+
+def classes_of(df: DataFrame) -> list:
     classes = sorted(r[0] for r in df.select("label").distinct().collect())
     if len(classes) < 2:
         raise ValueError("two classes or more are needed")
-    df = df.persist()
+    return classes
+
+
+def train_one_vs_all(df: DataFrame, c: float = 1.0) -> DataFrame:
+    """class, w and b: one model a class, one in all for two classes. Fewer than two classes are refused.
+
+    Classes are few (letters and digits); each model is fitted on the whole distributed table, which
+    is kept once for all of them, FITS models at a time.
+    """
+    rows = as_vectors(df).persist()
     try:
-        wanted = classes[1:] if len(classes) == 2 else classes
-        models = [(k, *train_binary(df.withColumn("target", F.when(F.col("label") == k, 1).otherwise(-1)), c)) for k in wanted]
+        models = fit_classes({None: rows}, classes_of(rows), c)
     finally:
-        df.unpersist()
-    return df.sparkSession.createDataFrame(models, "class long, w array<double>, b double")
-
+        rows.unpersist()
+    return df.sparkSession.createDataFrame([m[1:] for m in models], "class long, w array<double>, b double")
 
-def score(df: DataFrame, models: DataFrame) -> DataFrame:
-    """id, label, class and score w.x - b; the models are a few rows and are broadcast."""
-    both = df.join(F.broadcast(models))
-    return both.select("id", "label", "class", (dot(F.col("features"), F.col("w")) - F.col("b")).alias("score"))
 
+def score(df: DataFrame, models: DataFrame, kernel: Kernel | None = None, on: list[str] = ()) -> DataFrame:
+    """The columns of df, class and score for each row and model.
 
-def evaluate(scored: DataFrame) -> DataFrame:
+    Linear models have class, w and b and score w.x - b. With a kernel (see functions.kernels; any
+    function of two vector columns) models have class, b and support, an array of (alpha, v), and score the
+    sum of alpha * kernel(x, v) less b. on: columns by which rows and models belong together.
+    Models are a dimension: they are refused beyond MODEL_BYTES, and broadcast as one row for each of on.
+    """
+    content = F.size("w") * 8 if kernel is None else F.size("support") * 16 * 64
+    if (models.agg(F.sum(content)).first()[0] or 0) > MODEL_BYTES:
+        raise ValueError(f"the models take more than {MODEL_BYTES} bytes")
+    keys = [*on, "_all"]
+    of = models.withColumn("_all", F.lit(1)).groupBy(*keys).agg(F.collect_list(F.struct("class", *(["w"] if kernel is None else ["support"]), "b")).alias("_models"))
+    met = df.withColumn("_all", F.lit(1)).join(F.broadcast(of), keys).select(*df.columns, F.explode("_models").alias("_m"))
+    if kernel is None:
+        value = dot(F.col("features"), F.col("_m.w"))
+    else:
+        value = F.aggregate("_m.support", F.lit(0.0), lambda total, s: total + s["alpha"] * kernel(F.col("features"), s["v"]))
+    return met.select(*df.columns, F.col("_m.class").alias("class"), (value - F.col("_m.b")).alias("score"))
+
+
+def evaluate(scored: DataFrame, by: list[str] = ("class",)) -> DataFrame:
     """error, precision and recall of each class."""
     t = scored.withColumn("target", F.when(F.col("label") == F.col("class"), 1).otherwise(-1))
-    return rates(t.groupBy("class").agg(*confusion(t)))
+    return rates(t.groupBy(*by).agg(*confusion(t)))
 
 
 def cross_validate(df: DataFrame, k: int, c: float = 1.0) -> DataFrame:
-    """Mean metrics of each class over k folds; rows without a fold stay in training."""
+    """Mean metrics of each class over k folds; rows without a fold stay in training.
+
+    All folds' models are fitted over one kept table, and every row meets those of its fold.
+    """
     own = folds(df, k)
-    parts = []
-    for fold in range(k):
-        models = train_one_vs_all(own.where(~F.col("fold").eqNullSafe(fold)).select(*df.columns), c)
-        parts.append(evaluate(score(own.where(F.col("fold") == fold), models)).withColumn("fold", F.lit(fold)))
-    found = reduce(DataFrame.unionByName, parts)
-    return found.groupBy("class").agg(*[F.round(F.avg(m), 6).alias(m) for m in ("error", "precision", "recall")])
+    rows = as_vectors(own.select("label", "features", "fold", *(["cost"] if "cost" in df.columns else []))).persist()
+    try:
+        models = fit_classes({f: rows.where(~F.col("fold").eqNullSafe(f)).drop("fold") for f in range(k)}, classes_of(rows), c)
+    finally:
+        rows.unpersist()
+    table = df.sparkSession.createDataFrame(models, "fold long, class long, w array<double>, b double")
+    scored = score(own.where("fold is not null").select("id", "label", "features", "fold"), table, on=["fold"])
+    return evaluate(scored, ["fold", "class"]).groupBy("class").agg(*[F.round(F.avg(m), 6).alias(m) for m in ("error", "precision", "recall")])
 
 
 def validate(df: DataFrame, share: float, c: float = 1.0) -> DataFrame:
     """Train and test metrics of every class for a split by class."""
     own = split(df, share)
     models = train_one_vs_all(own.where("is_train").select(*df.columns), c)
-    sides = [evaluate(score(own.where(F.col("is_train") == side), models)).withColumn("side", F.lit(n)) for side, n in ((True, "train"), (False, "test"))]
-    return sides[0].unionByName(sides[1])
+    scored = score(own, models).withColumn("side", F.when(F.col("is_train"), "train").otherwise("test"))
+    return evaluate(scored, ["side", "class"])
 
 
 def learning_curve(df: DataFrame, shares: tuple[float, ...], seed: int = 1, c: float = 1.0) -> DataFrame:
     """Test metrics for growing training sets; test negatives are thinned to about the positives."""
     own = split(df, 0.7)
     draw = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(10_000)) / 10_000.0
-    n_classes = df.select("label").distinct().count()
-    out = []
-    for share in shares:
-        models = train_one_vs_all(own.where(F.col("is_train") & (draw < share)).select(*df.columns), c)
-        scored = score(own.where(~F.col("is_train")), models)
-        fair = scored.where((F.col("label") == F.col("class")) | (F.pmod(F.xxhash64("id", "class"), F.lit(max(1, n_classes - 1))) == 0))
-        out.append(evaluate(fair).withColumn("share", F.lit(share)))
-    return reduce(DataFrame.unionByName, out)
+    train = as_vectors(own.where("is_train").select("label", "features", draw.alias("_draw"), *(["cost"] if "cost" in df.columns else []))).persist()
+    try:
+        classes = classes_of(df)
+        models = fit_classes({s: train.where(F.col("_draw") < s).drop("_draw") for s in shares}, classes, c)
+    finally:
+        train.unpersist()
+    table = df.sparkSession.createDataFrame([(k, (s, w), b) for s, k, w, b in models], "class long, of struct<share double, w array<double>>, b double")
+    table = table.select(F.struct("of.share", "class").alias("class"), "of.w", "b")
+    scored = score(own.where(~F.col("is_train")).select("id", "label", "features"), table)
+    scored = scored.select("id", "label", F.col("class.share").alias("share"), F.col("class.class").alias("class"), "score")
+    fair = scored.where((F.col("label") == F.col("class")) | (F.pmod(F.xxhash64("id", "class"), F.lit(max(1, len(classes) - 1))) == 0))
+    return evaluate(fair, ["share", "class"])
 
 
 def rank_model(pairs: DataFrame, c: float = 1.0) -> list[float]:
@@ -97,13 +153,22 @@ def rank_model(pairs: DataFrame, c: float = 1.0) -> list[float]:
     return train_binary(pairs.select("target", F.col("q").alias("features")), c, intercept=False)[0]
 
 
-def pair_models(df: DataFrame, pairs: list[tuple[int, int]], c: float = 1.0) -> DataFrame:
-    """c1, c2, w and b: one model for each pair of classes that are easily confused."""
-    rows = []
-    for a, b in pairs:
-        own = df.where(F.col("label").isin(a, b)).withColumn("target", F.when(F.col("label") == a, 1).otherwise(-1))
-        rows.append((a, b, *train_binary(own, c)))
-    return df.sparkSession.createDataFrame(rows, "c1 long, c2 long, w array<double>, b double")
+def pair_models(df: DataFrame, pairs: list[tuple[int, int]] | None = None, c: float = 1.0) -> DataFrame:
+    """c1, c2, w and b: one model for each pair of classes that are easily confused, or of all classes."""
+    rows = as_vectors(df).persist()
+    try:
+        if pairs is None:
+            classes = classes_of(rows)
+            pairs = [(a, b) for i, a in enumerate(classes) for b in classes[i + 1 :]]
+
+        def job(a, b):
+            own = rows.where(F.col("label").isin(a, b)).withColumn("target", F.when(F.col("label") == a, 1).otherwise(-1))
+            return lambda: (a, b, *fit(own, c))
+
+        found = at_once([job(a, b) for a, b in pairs])
+    finally:
+        rows.unpersist()
+    return df.sparkSession.createDataFrame(found, "c1 long, c2 long, w array<double>, b double")
 
 
 def pca_per_class(df: DataFrame, k: int) -> DataFrame:
@@ -112,20 +177,29 @@ def pca_per_class(df: DataFrame, k: int) -> DataFrame:
     A class's model (mean and k axes) is small; errors are expressions, so scoring is one pass.
     """
     vec = df.withColumn("_v", array_to_vector(F.transform("features", lambda x: x.cast("double"))))
-    out = vec
-    names = []
-    for label in sorted(r[0] for r in df.select("label").distinct().collect()):
-        own = vec.where(F.col("label") == label)
-        mean = own.select(Summarizer.mean(F.col("_v"))).first()[0].toArray().tolist()
-        axes = PCA(k=k, inputCol="_v", outputCol="_p").fit(own).pc.toArray()
+    kept = vec.select("label", "_v").persist()
+
+    def job(label):
+        def run():
+            own = kept.where(F.col("label") == label)
+            mean = own.select(Summarizer.mean(F.col("_v"))).first()[0].toArray().tolist()
+            return label, mean, PCA(k=k, inputCol="_v", outputCol="_p").fit(own).pc.toArray()
+
+        return run
+
+    try:
+        models = at_once([job(label) for label in sorted(r[0] for r in kept.select("label").distinct().collect())])
+    finally:
+        kept.unpersist()
+    errors = []
+    for label, mean, axes in models:
         m = F.array(*[F.lit(float(x)) for x in mean])
         centred = F.zip_with("features", m, lambda x, y: x.cast("double") - y)
-        kept = sum((F.pow(dot(centred, F.array(*[F.lit(float(x)) for x in axes[:, i]])), 2) for i in range(k)), F.lit(0.0))
-        name = f"_e{len(names)}"
-        out = out.withColumn(name, F.struct((F.sqrt(F.greatest(F.lit(0.0), dot(centred, centred) - kept)) / len(mean)).alias("error"), F.lit(label).cast("long").alias("class")))
-        names.append(name)
-    best = F.array_min(F.array(*names))
-    return out.select("id", "label", best["class"].alias("class"), F.round(best["error"], 6).alias("error"))
+        explained = sum((F.pow(dot(centred, F.array(*[F.lit(float(x)) for x in axes[:, i]])), 2) for i in range(k)), F.lit(0.0))
+        error = F.sqrt(F.greatest(F.lit(0.0), dot(centred, centred) - explained)) / len(mean)
+        errors.append(F.struct(error.alias("error"), F.lit(label).cast("long").alias("class")))
+    best = F.array_min(F.array(*errors))
+    return vec.select("id", "label", best["class"].alias("class"), F.round(best["error"], 6).alias("error"))
 
 
 def shuffle_samples(df: DataFrame, seed: int) -> DataFrame:

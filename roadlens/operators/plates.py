@@ -61,6 +61,24 @@ def prune_letters(votes: DataFrame, n: int) -> DataFrame:
     return own.where((F.col("rank") == 1) | (F.col("_before") < n)).select("plate_id", "pos", "letter", "total", "rank")
 
 
-def tournament(scores: Column, first: Column) -> Column:
-    """Champion of ordered challengers (class, score): each takes over where it scores more than the champion."""
-    return F.aggregate(scores, first, lambda best, x: F.when(x["score"] > best["score"], x).otherwise(best))
+def tournament(candidates: Column, pairs: Column) -> Column:
+    """Champion (class, score) of ordered candidates (class, score): the first, until a later one beats it.
+
+    pairs maps `first_second` to the score that the pair's model gives the sample: above 0 the first
+    class wins, else the second, with that score's size. The champion comes first in the name; where no such model
+    exists the challenger does; where neither does, the larger score wins, the champion on ties. No candidates: null.
+    """
+
+    def named(a: Column, b: Column) -> Column:
+        return F.try_element_at(pairs, F.concat_ws("_", a["class"].cast("string"), b["class"].cast("string")))
+
+    def won(score: Column, a: Column, b: Column) -> Column:
+        return F.struct(F.when(score > 0, a["class"]).otherwise(b["class"]).alias("class"), F.abs(score).alias("score"))
+
+    def challenge(best: Column, x: Column) -> Column:
+        ahead, behind = named(best, x), named(x, best)
+        stronger = F.when(best["score"] < x["score"], x).otherwise(best)
+        return F.when(ahead.isNotNull(), won(ahead, best, x)).when(behind.isNotNull(), won(behind, x, best)).otherwise(stronger)
+
+    rest = F.slice(candidates, F.lit(2), F.greatest(F.size(candidates) - 1, F.lit(0)))
+    return F.aggregate(rest, F.try_element_at(candidates, F.lit(1)), challenge)

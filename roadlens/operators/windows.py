@@ -86,6 +86,31 @@ def neighbour_diffs(df: DataFrame, by: list[str]) -> DataFrame:
     return own.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy("diff", "x", "det_id")))
 
 
+def line_inliers(df: DataFrame, by: list[str], threshold: float) -> DataFrame:
+    """Points (x, y) of groups of more than three with weight and inlier: do they lie along one line?
+
+    Of the points in x order that have two more after them, the two where the heights of these three change least
+    fix the line's direction (level, if none changes at all). A point's weight is the gaussian of its
+    distance from the mean along the normal, with a standard deviation of 1.5 at least, over the largest
+    weight; it is an inlier above the threshold. Smaller groups have no rows.
+    """
+    order, whole = Window.partitionBy(*by).orderBy("x", "det_id"), Window.partitionBy(*by)
+    y1, y2 = F.lead("y").over(order), F.lead("y", 2).over(order)
+    own = df.withColumns({"_i": F.row_number().over(order), "_bend": F.abs(y1 - F.col("y")) + F.abs(y1 - y2)})
+    bent = F.filter(F.collect_list(F.struct("_bend", "_i", "x", "y")).over(whole), lambda p: p["_bend"].isNotNull())
+    own = own.withColumns({"_p": F.sort_array(bent), "_most": F.max("_bend").over(whole)}).where(F.size("_p") >= 2)
+    moved = F.col("_most") > 0
+    vx, vy = (F.when(moved, F.col("_p")[1][c] - F.col("_p")[0][c]).otherwise(0).cast("double") for c in "xy")
+    own = own.withColumns({"_vx": vx, "_vy": vy}).withColumn("_v", F.sqrt(F.col("_vx") * F.col("_vx") + F.col("_vy") * F.col("_vy")))
+    still = F.col("_v") == 0
+    ux, uy = F.when(still, 1.0).otherwise(F.try_divide("_vx", "_v")), F.when(still, 0.0).otherwise(F.try_divide("_vy", "_v"))
+    own = own.withColumn("_z", ux * F.col("y") - uy * F.col("x"))
+    own = own.withColumns({"_z": F.col("_z") - F.avg("_z").over(whole), "_s": F.greatest(F.lit(1.5), F.stddev_pop("_z").over(whole))})
+    own = own.withColumn("_w", F.exp(-0.5 * F.col("_z") * F.col("_z") / (F.col("_s") * F.col("_s"))))
+    weight = F.round(F.col("_w") / F.max("_w").over(whole), 6)
+    return own.withColumn("weight", weight).withColumn("inlier", F.col("weight") > threshold).select(*df.columns, "weight", "inlier")
+
+
 def smoothed(x: str, k: int, by: list[str], order: str) -> tuple[Column, Column, Column]:
     """Prefix sum, centred window sum, and left minus right half sums, zero padded."""
     w = Window.partitionBy(*by).orderBy(order)

@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import geometry as geo
+from ..functions import kernels
 from ..operators import aggregates as op
+from ..operators import ml
 from ..operators.cluster import cluster_groups
 from ..operators.filters import median_high, median_low
 from ..operators.joins import near
 from ..sources import adapters as src
 from .base import query
-from .filters import BOXES_ON_PROFILE, boxes_on_profile, peaks
+from .filters import BOXES_ON_PROFILE, boxes_on_profile
 from .joins import FRAME, NEAR, SUPPORT, dot, support
 from .windows import CROSSED, RUNS, TRACK, crossings
 
@@ -143,22 +146,57 @@ def a14(spark, d):
     return near.agg(F.min("x").alias("lo"), F.max(C("x") + C("w")).alias("hi"), F.count("*").alias("_n")).where("_n >= 3").drop("_n")
 
 
+@query("a14_guarded_extent", """WITH c AS (SELECT *, x + w / 2.0::DOUBLE AS mx, y + h / 2.0::DOUBLE AS my FROM det), t AS (SELECT *, 20 + 0.01::DOUBLE * mx AS top, 120 + 0.02::DOUBLE * mx AS bottom, count(*) OVER (PARTITION BY camera_id, frame_id) AS n FROM c),
+  g AS (SELECT camera_id, frame_id, min(x) FILTER (ok) AS lo, max(x + w) FILTER (ok) AS hi FROM (SELECT *, n >= 3 AND bottom <> top AND abs(my - (top + (bottom - top) / 2)) / ((bottom - top) / 2) <= 0.5 AND h <= 1.5 * (bottom - top) AS ok FROM t) GROUP BY 1, 2)
+  SELECT camera_id, frame_id, CASE WHEN wide THEN greatest(lo - 2, 0) ELSE 0 END AS lo, CASE WHEN wide THEN least(hi + 2, 999) ELSE 999 END AS hi FROM (SELECT *, coalesce(hi - lo >= 650, false) AS wide FROM g)""", "det")
+def a14_guarded(spark, d):
+    return op.guarded_extent(src.detections(spark, d), FRAME, 999, 3, lambda x: 20 + 0.01 * x, lambda x: 120 + 0.02 * x)
+
+
 @query("a15_profile", "SELECT key, CAST(sum(cnt) AS BIGINT) AS total, max_by(bin, cnt * 1000 - bin) AS peak, min_by(bin, cnt * 1000 + bin) AS valley FROM prof GROUP BY 1", "prof")
 def a15(spark, d):
     p = src.profile(spark, d).groupBy("key")
     return p.agg(F.sum("cnt").alias("total"), F.max_by("bin", F.struct("cnt", -C("bin"))).alias("peak"), F.min_by("bin", F.struct("cnt", "bin")).alias("valley"))
 
 
-@query("a16_score", f"""WITH {SUPPORT}, k AS (SELECT id, class, alpha, list_sum(list_transform(list_zip(q, sq), lambda p: p[1] * p[2])) / 1000000.0::DOUBLE AS dp, list_sum(list_transform(list_zip(q, sq), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) / 1000000.0::DOUBLE AS dd FROM smp, sup)
-  SELECT id, class, round(sum(alpha * dp), 6) AS linear, round(sum(alpha * (dp + 1) * (dp + 1)), 5) AS poly, round(sum(alpha * exp(-0.5::DOUBLE * dd)), 5) AS rbf, round(sum(alpha * tanh(dp)), 5) AS sigmoid FROM k GROUP BY 1, 2""", "smp")
+KERNELS = {
+    "linear": kernels.linear(), "poly": kernels.polynomial(2), "rbf": kernels.rbf(0.5), "sigmoid": kernels.sigmoid(),
+    # a user's own: histogram intersection
+    "shared": lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: F.least(x, y)), F.lit(0.0), lambda s, x: s + x),
+}
+
+
+def kernel_models(spark, d, vector):
+    """class, b and support (alpha, v) of each class: a model of fixed size."""
+    own = support(spark, d).select("class", C("alpha").cast("double").alias("alpha"), vector("sq").alias("v"), "sid")
+    return own.groupBy("class").agg(F.transform(F.sort_array(F.collect_list(F.struct("sid", "alpha", "v"))), lambda s: F.struct(s["alpha"].alias("alpha"), s["v"].alias("v"))).alias("support"), F.lit(0.25).alias("b"))
+
+
+def thousandths(c):
+    return F.transform(c, lambda x: x / 1000.0)
+
+
+@query("a16_score", f"""WITH {SUPPORT}, k AS (SELECT id, class, alpha, list_sum(list_transform(list_zip(q, sq), lambda p: p[1] * p[2])) / 1000000.0::DOUBLE AS dp, list_sum(list_transform(list_zip(q, sq), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) / 1000000.0::DOUBLE AS dd,
+    list_sum(list_transform(list_zip(q, sq), lambda p: least(p[1], p[2]))) / 1000.0::DOUBLE AS mm FROM smp, sup)
+  SELECT id, class, round(sum(alpha * dp) - 0.25, 6) AS linear, round(sum(alpha * (dp + 1) * (dp + 1)) - 0.25, 5) AS poly, round(sum(alpha * exp(-0.5::DOUBLE * dd)) - 0.25, 5) AS rbf, round(sum(alpha * tanh(dp)) - 0.25, 5) AS sigmoid,
+    round(sum(alpha * mm) - 0.25, 5) AS shared FROM k GROUP BY 1, 2""", "smp")
 def a16(spark, d):
-    """Kernel scores against each class's support vectors, a small model that is broadcast."""
-    both = src.samples(spark, d).join(F.broadcast(support(spark, d)))
-    dd = F.aggregate(F.zip_with("q", "sq", lambda x, y: (x - y) * (x - y)), F.lit(0).cast("long"), lambda s, x: s + x) / 1e6
-    k = both.select("id", "class", "alpha", (dot("q", "sq") / 1e6).alias("dp"), dd.alias("dd"))
-    total = lambda x, n, k=5: F.round(F.sum(C("alpha") * x), k).alias(n)
-    dp = C("dp")
-    return k.groupBy("id", "class").agg(total(dp, "linear", 6), total((dp + 1) * (dp + 1), "poly"), total(F.exp(-0.5 * C("dd")), "rbf"), total(F.tanh(dp), "sigmoid"))
+    """Scores of every kernel against each class's support vectors."""
+    rows = src.samples(spark, d).select("id", thousandths("q").alias("features"))
+    models = kernel_models(spark, d, thousandths)
+    out = None
+    for name, kernel in KERNELS.items():
+        own = ml.score(rows, models, kernel).select("id", "class", F.round("score", 6 if name == "linear" else 5).alias(name))
+        out = own if out is None else out.join(own, ["id", "class"])
+    return out
+
+
+@query("a16_sparse_score", f"""WITH {SUPPORT} SELECT id, class, round(sum(alpha * list_sum(list_transform(list_zip(q, sq), lambda p: CASE WHEN abs(p[1]) > 100 AND abs(p[2]) > 100 THEN p[1] * p[2] ELSE 0 END)) / 1000000.0::DOUBLE) - 0.25, 6) AS score FROM smp, sup GROUP BY 1, 2""", "smp")
+def a16_sparse(spark, d):
+    """Linear kernel over sparse vectors: components up to a tenth count as zero and are not kept."""
+    large = lambda c: kernels.sparse(F.transform(c, lambda x: F.when(F.abs(x) > 100, x / 1000.0).otherwise(0.0)))
+    rows = src.samples(spark, d).select("id", large("q").alias("features"))
+    return ml.score(rows, kernel_models(spark, d, large), kernels.linear(kernels.sparse_dot)).select("id", "class", F.round("score", 6).alias("score"))
 
 
 @query("a17_otsu", """WITH c AS (SELECT key, bin, CAST(sum(cnt) OVER w AS BIGINT) AS n0, CAST(sum(cnt * bin) OVER w AS BIGINT) AS s0, CAST(sum(cnt) OVER (PARTITION BY key) AS BIGINT) AS n, CAST(sum(cnt * bin) OVER (PARTITION BY key) AS BIGINT) AS s FROM prof WINDOW w AS (PARTITION BY key ORDER BY bin ROWS UNBOUNDED PRECEDING)),
@@ -168,17 +206,23 @@ def a17(spark, d):
     return op.otsu(src.profile(spark, d), "bin", ["key"])
 
 
-@query("a18_principal_axes", """SELECT camera_id, frame_id, CASE WHEN count(*) <= 1 THEN 1.0::DOUBLE ELSE round(sqrt(count(*) * ((var_pop(cx) + var_pop(cy)) / 2 + sqrt((var_pop(cx) - var_pop(cy)) * (var_pop(cx) - var_pop(cy)) / 4 + covar_pop(cx, cy) * covar_pop(cx, cy)))), 3) END AS major FROM det GROUP BY 1, 2""", "det")
+@query("a18_principal_axes", """SELECT camera_id, frame_id, CASE WHEN count(*) <= 1 THEN 1.0::DOUBLE ELSE round(sqrt(count(*) * ((var_pop(cx) + var_pop(cy)) / 2 + sqrt((var_pop(cx) - var_pop(cy)) * (var_pop(cx) - var_pop(cy)) / 4 + covar_pop(cx, cy) * covar_pop(cx, cy)))), 3) END AS major,
+  CASE WHEN count(*) <= 1 THEN 0.0::DOUBLE ELSE round(sqrt(count(*) * greatest(0, (var_pop(cx) + var_pop(cy)) / 2 - sqrt((var_pop(cx) - var_pop(cy)) * (var_pop(cx) - var_pop(cy)) / 4 + covar_pop(cx, cy) * covar_pop(cx, cy)))), 3) END AS minor FROM det GROUP BY 1, 2""", "det")
 def a18(spark, d):
-    return src.detections(spark, d).groupBy(*FRAME).agg(*op.axes()).drop("minor")
+    return src.detections(spark, d).groupBy(*FRAME).agg(*op.axes())
 
 
-@query("a19_fit_direction", """SELECT camera_id, track_id, round(abs(cos(0.5::DOUBLE * atan2(2 * covar_pop(cx, cy), var_pop(cx) - var_pop(cy)))), 4) AS dx FROM det GROUP BY 1, 2 HAVING count(*) >= 3""", "det")
+@query("a19_fit_direction", """WITH s AS (SELECT camera_id, track_id, frame_idx, cx, cy, cx - lag(cx) OVER o AS ex, cy - lag(cy) OVER o AS ey FROM det WINDOW o AS (PARTITION BY camera_id, track_id ORDER BY frame_idx)),
+  g AS (SELECT camera_id, track_id, 0.5::DOUBLE * atan2(2 * covar_pop(cx, cy), var_pop(cx) - var_pop(cy)) AS a, max_by(ex, frame_idx) AS ex, max_by(ey, frame_idx) AS ey FROM s GROUP BY 1, 2 HAVING count(*) >= 3),
+  d AS (SELECT *, CASE WHEN cos(a) * ex + sin(a) * ey < -1e-9 THEN -1 ELSE 1 END AS sign FROM g)
+  SELECT camera_id, track_id, round(sign * cos(a), 4) + 0.0 AS dx, round(sign * sin(a), 4) + 0.0 AS dy FROM d""", "det")
 def a19(spark, d):
-    """Total least squares direction of each track."""
-    angle = 0.5 * F.atan2(2 * F.covar_pop("cx", "cy"), F.var_pop("cx") - F.var_pop("cy"))
-    own = src.detections(spark, d).groupBy(*TRACK).agg(F.round(F.abs(F.cos(angle)), 4).alias("dx"), F.count("*").alias("_n"))
-    return own.where("_n >= 3").drop("_n")
+    """Total least squares direction of each track, turned to agree with its last step."""
+    o = Window.partitionBy(*TRACK).orderBy("frame_idx")
+    steps = src.detections(spark, d).withColumns({"ex": C("cx") - F.lag("cx").over(o), "ey": C("cy") - F.lag("cy").over(o)})
+    own = steps.groupBy(*TRACK).agg(op.fit_angle("cx", "cy").alias("a"), F.max_by("ex", "frame_idx").alias("ex"), F.max_by("ey", "frame_idx").alias("ey"), F.count("*").alias("_n"))
+    dx, dy = geo.turned(F.cos("a"), F.sin("a"), C("ex"), C("ey"))
+    return own.where("_n >= 3").select(*TRACK, (F.round(dx, 4) + 0.0).alias("dx"), (F.round(dy, 4) + 0.0).alias("dy"))
 
 
 @query("a20_occupancy", "SELECT camera_id, frame_id, round(100.0::DOUBLE * sum(area) / 450000, 4) AS percent FROM det GROUP BY 1, 2", "det")
@@ -192,6 +236,13 @@ def a21(spark, d):
     return det.groupBy("camera_id", F.expr("x div 50").alias("place")).agg((F.avg((C("occ") > 50).cast("int")) > 0.5).alias("kept"))
 
 
+@query("a21_score_keep", "SELECT det_id FROM (SELECT det_id, v, max(v) OVER (PARTITION BY camera_id, frame_id) AS most FROM det) WHERE v > CAST(trunc(most * 0.49::DOUBLE) AS BIGINT)", "det")
+def a21_score(spark, d):
+    """Boxes that score above 0.49 of their frame's best, that limit rounded down."""
+    most = F.max("v").over(Window.partitionBy(*FRAME))
+    return src.detections(spark, d).withColumn("_most", most).where(C("v") > (C("_most") * 0.49).cast("long")).select("det_id")
+
+
 @query("a22_repeat_detections", f"WITH {CLUSTERS} SELECT cluster, count(*) AS n, list_sort(list(w))[len(list(w)) // 2 + 1] AS width FROM wk JOIN det ON det_id = node GROUP BY 1 HAVING count(*) >= 3", "det")
 def a22(spark, d):
     own = clusters(spark, d).join(src.detections(spark, d).select(C("det_id").alias("node"), "w"), "node")
@@ -205,12 +256,20 @@ def a23(spark, d):
     return op.merge_overlaps(src.detections(spark, d).select(*FRAME, "det_id", "x", (C("x") + C("w")).alias("right")), FRAME)
 
 
-@query("a24_merge_adjacent")
+@query("a24_merge_adjacent", """WITH RECURSIVE b AS (SELECT camera_id, frame_id, x, y, w, h, row_number() OVER (PARTITION BY camera_id, frame_id ORDER BY x, y, w, h) AS k FROM det),
+  md AS (SELECT camera_id, frame_id, list_sort(list(w))[len(list(w)) // 2 + 1] AS m FROM det GROUP BY 1, 2),
+  r AS (SELECT b.camera_id, b.frame_id, m, k, 1 AS g, x, y, w, h FROM b JOIN md USING (camera_id, frame_id) WHERE k = 1 UNION ALL
+    SELECT camera_id, frame_id, m, k, CASE WHEN fits THEN g ELSE g + 1 END, CASE WHEN fits THEN ux ELSE x END, CASE WHEN fits THEN uy ELSE y END, CASE WHEN fits THEN uw ELSE w END, CASE WHEN fits THEN uh ELSE h END FROM (
+      SELECT *, (abs(uw - m) * 13 < abs(w1 - m) * 10 AND abs(uw - m) * 13 < abs(w - m) * 10) OR (iw * 2 > least(w1, w) AND ih * 2 > least(h1, h)) OR ((least(w1, w) - iw) * 2 < greatest(w1, w) AND (least(h1, h) - ih) * 2 < greatest(h1, h)) AS fits FROM (
+        SELECT *, CASE WHEN jw > 0 AND jh > 0 THEN jw ELSE 0 END AS iw, CASE WHEN jw > 0 AND jh > 0 THEN jh ELSE 0 END AS ih FROM (
+          SELECT r.camera_id, r.frame_id, r.m, b.k, r.g, b.x, b.y, b.w, b.h, r.w AS w1, r.h AS h1, least(r.x, b.x) AS ux, least(r.y, b.y) AS uy, greatest(r.x + r.w, b.x + b.w) - least(r.x, b.x) AS uw, greatest(r.y + r.h, b.y + b.h) - least(r.y, b.y) AS uh,
+            least(r.x + r.w, b.x + b.w) - greatest(r.x, b.x) AS jw, least(r.y + r.h, b.y + b.h) - greatest(r.y, b.y) AS jh
+          FROM r JOIN b ON b.camera_id = r.camera_id AND b.frame_id = r.frame_id AND b.k = r.k + 1))))
+  SELECT camera_id, frame_id, x, y, w, h FROM r QUALIFY row_number() OVER (PARTITION BY camera_id, frame_id, g ORDER BY k DESC) = 1""", "det")
 def a24(spark, d):
-    """Boxes of a frame (eight at most) folded in x order; the fold has no SQL form."""
-    rows = src.detections(spark, d).groupBy(*FRAME).agg(F.sort_array(F.collect_list(F.struct("x", (C("x") + C("w")).alias("right")))).alias("boxes"), median_high("w").alias("m"))
-    merged = rows.select(*FRAME, F.explode(op.merge_adjacent(C("boxes"), C("m"))).alias("b"))
-    return merged.select(*FRAME, "b.x", "b.right")
+    """Boxes of a frame (eight at most) folded in x order."""
+    rows = src.detections(spark, d).groupBy(*FRAME).agg(F.sort_array(F.collect_list(F.struct("x", "y", "w", "h"))).alias("boxes"), median_high("w").alias("m"))
+    return rows.select(*FRAME, F.explode(op.merge_adjacent(C("boxes"), C("m"))).alias("b")).select(*FRAME, "b.*")
 
 
 @query("a25_worst_status", "SELECT track_id, CASE WHEN min(det_id % 5) = 0 THEN 0 ELSE max(det_id % 5) END AS status FROM det GROUP BY 1", "det")
@@ -265,15 +324,39 @@ def a31(spark, d):
     return op.consensus_level(boxes_on_profile(spark, d), "lo", "hi", ["key"])
 
 
-@query("a32_segment_profile", f"""WITH {RUNS} SELECT key, lo, hi FROM (SELECT ru.key, lo, hi, max(cnt) AS peak FROM ru JOIN prof ON ru.key = prof.key AND bin BETWEEN lo AND hi GROUP BY ALL) WHERE peak >= 2 AND hi - lo + 1 BETWEEN 2 AND 20""", "prof")
-def a32(spark, d):
-    """Runs of a profile that are high and wide enough."""
-    from ..operators.windows import runs
+SPLIT = """ls AS (SELECT key, place, depth, lo, w, mw, l, r FROM wide JOIN curve USING (key) WHERE place BETWEEN lo AND lo + w),
+  mn AS (SELECT key, lo, min_by(place, depth * 100000 + place) AS cut, min(depth) AS low FROM ls WHERE place BETWEEN l AND r GROUP BY 1, 2),
+  pk AS (SELECT ls.key, ls.lo, any_value(w) AS w, any_value(cut) AS cut, any_value(low) AS low, max(depth) FILTER (place <= cut) AS left_peak, max(depth) FILTER (place >= cut) AS right_peak FROM ls JOIN mn ON mn.key = ls.key AND mn.lo = ls.lo GROUP BY 1, 2)"""
 
-    p = src.profile(spark, d)
-    found = runs(p, C("cnt") >= 1, "bin", ["key"]).withColumn("det_id", F.struct("key", "lo", "hi"))
-    high = peaks(found.select("det_id", "key", "lo", "hi"), p).where("peak >= 2")
-    return high.select("det_id.key", "det_id.lo", "det_id.hi").where("hi - lo + 1 between 2 and 20")
+
+@query("a31_interval_boxes", f"""WITH {COVER}, md AS (SELECT key, quantile_disc(hi - lo + 1, 0.5) AS median FROM bp GROUP BY 1),
+  sp AS (SELECT key, pl AS lo, lead(pl) OVER (PARTITION BY key ORDER BY pl) - pl AS width, depth FROM co), lv AS (SELECT DISTINCT key, depth AS level FROM co WHERE depth > 0),
+  le AS (SELECT key, level, lo, width FROM sp JOIN lv USING (key) WHERE depth >= level),
+  rn AS (SELECT key, level, min(lo) AS lo, sum(width) AS w FROM (SELECT *, lo - sum(width) OVER (PARTITION BY key, level ORDER BY lo ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS g FROM le) GROUP BY key, level, coalesce(g, lo)),
+  sc AS (SELECT key, level, median, sum(CASE WHEN w < 3 OR w * 100 > median * 155 THEN 0 WHEN abs(w - median) * 4 < median THEN 18 * (median - abs(w - median)) ELSE 10 * (median - abs(w - median)) END) AS points FROM rn JOIN md USING (key) GROUP BY 1, 2, 3),
+  bl AS (SELECT key, level, median AS mw FROM sc QUALIFY row_number() OVER (PARTITION BY key ORDER BY points DESC, level) = 1),
+  br AS (SELECT key, lo, CAST(w AS BIGINT) AS w, mw FROM rn JOIN bl USING (key, level)),
+  curve AS (SELECT key, unnest(range(lo, lo + width)) AS place, depth FROM sp WHERE width IS NOT NULL),
+  wide AS (SELECT *, lo + CAST(trunc(w * 0.4::DOUBLE) AS BIGINT) AS l, lo + CAST(trunc(w * 0.6::DOUBLE) AS BIGINT) AS r FROM br WHERE w * 100 > mw * 155 AND w * 100 <= mw * 310), {SPLIT}
+  SELECT key, lo, lo + w - 1 AS hi FROM br WHERE w >= 3 AND w * 100 <= mw * 155
+  UNION ALL SELECT key, CASE WHEN low * 4 >= left_peak AND low * 4 < right_peak THEN cut + 1 ELSE lo END, CASE WHEN low * 4 < left_peak THEN cut - 2 ELSE lo + w - 1 END FROM pk""", "det")
+def a31_boxes(spark, d):
+    return op.consensus_intervals(boxes_on_profile(spark, d), "lo", "hi", ["key"])
+
+
+#: Median width and height of a letter on a profile.
+LETTER_W, LETTER_H = 3, 2
+
+
+@query("a32_segment_profile", f"""WITH {RUNS}, rp AS (SELECT ru.key, lo, hi - lo + 1 AS w, {LETTER_W} AS mw, max(cnt) AS peak FROM ru JOIN prof ON ru.key = prof.key AND bin BETWEEN lo AND hi GROUP BY ALL),
+  br AS (SELECT * FROM rp WHERE peak * 100 >= {LETTER_H * 35}), curve AS (SELECT key, bin AS place, cnt AS depth FROM prof),
+  wide AS (SELECT *, lo + CAST(trunc(w * 0.4::DOUBLE) AS BIGINT) AS l, lo + CAST(trunc(w * 0.6::DOUBLE) AS BIGINT) AS r FROM br WHERE w * 100 > mw * 155 AND w * 100 < mw * 310), {SPLIT}
+  SELECT key, lo, lo + w - 1 AS hi FROM br WHERE w >= 3 AND w * 100 <= mw * 155
+  UNION ALL SELECT key, lo, cut - 2 FROM pk WHERE left_peak * 100 > {LETTER_H * 35} AND low * 2 < left_peak
+  UNION ALL SELECT key, cut + 1, lo + w - 1 FROM pk WHERE right_peak * 100 > {LETTER_H * 35} AND low * 2 < right_peak""", "prof")
+def a32(spark, d):
+    """Runs of a profile that are high and wide enough, those too wide cut at their lowest place."""
+    return op.segment_profile(src.profile(spark, d), "bin", "cnt", ["key"], LETTER_W, LETTER_H)
 
 
 @query("a33_half_vote", "SELECT camera_id, frame_id, count(*) FILTER (cy > 60 + cx * 0.05::DOUBLE) > count(*) FILTER (cy < 30 + cx * 0.05::DOUBLE) AS top_half FROM det GROUP BY 1, 2", "det")

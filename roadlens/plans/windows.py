@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
 from ..functions import text
 from ..operators import windows as op
+from ..operators.aggregates import fit_angle
 from ..sources import adapters as src
 from .base import query
 from .filters import BOXES_ON_PROFILE, boxes_on_profile
@@ -72,6 +74,15 @@ def w7(spark, d):
     return op.gaps(src.detections(spark, d), FRAME).select("det_id", "gap")
 
 
+@query("w7_largest_gap", """SELECT camera_id, frame_id, det_id, gap FROM (SELECT *, row_number() OVER (PARTITION BY camera_id, frame_id ORDER BY gap DESC, x, det_id) AS n FROM (
+  SELECT camera_id, frame_id, det_id, x, lead(x) OVER (PARTITION BY camera_id, frame_id ORDER BY x, det_id) - (x + w) AS gap FROM det) WHERE gap IS NOT NULL) WHERE n = 1""", "det")
+def w7_largest(spark, d):
+    """The box before each frame's largest gap, the first one on ties."""
+    own = op.gaps(src.detections(spark, d), FRAME).where("gap is not null")
+    best = own.groupBy(*FRAME).agg(F.max_by(F.struct("det_id", "gap"), F.struct("gap", -F.col("x"), -F.col("det_id"))).alias("b"))
+    return best.select(*FRAME, "b.det_id", "b.gap")
+
+
 @query("w8_trim_around_middle", """SELECT det_id FROM (SELECT det_id, row_number() OVER (PARTITION BY camera_id, frame_id, x + w // 2 >= 400 ORDER BY abs(x + w // 2 - 400), det_id) AS n FROM det) WHERE n <= 2""", "det")
 def w8(spark, d):
     return op.trim_around_middle(src.detections(spark, d), 400, 2, FRAME).select("det_id")
@@ -83,6 +94,18 @@ def w9(spark, d):
     return op.neighbour_diffs(src.detections(spark, d), FRAME).select("det_id", "diff", F.col("rank").cast("long").alias("rank"))
 
 
+@query("w9_line_inliers", """WITH s AS (SELECT camera_id, frame_id, x, y, det_id, row_number() OVER o AS i, abs(lead(y) OVER o - y) + abs(lead(y) OVER o - lead(y, 2) OVER o) AS bend FROM det WINDOW o AS (PARTITION BY camera_id, frame_id ORDER BY x, det_id)),
+  c AS (SELECT camera_id, frame_id, list([x, y] ORDER BY bend, i) AS p, max(bend) AS most FROM s WHERE bend IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 2),
+  v AS (SELECT camera_id, frame_id, CAST(CASE WHEN most = 0 THEN 0 ELSE p[2][1] - p[1][1] END AS DOUBLE) AS vx, CAST(CASE WHEN most = 0 THEN 0 ELSE p[2][2] - p[1][2] END AS DOUBLE) AS vy FROM c),
+  u AS (SELECT camera_id, frame_id, CASE WHEN vx = 0 AND vy = 0 THEN 1.0 ELSE vx / sqrt(vx * vx + vy * vy) END AS ux, CASE WHEN vx = 0 AND vy = 0 THEN 0.0 ELSE vy / sqrt(vx * vx + vy * vy) END AS uy FROM v),
+  z AS (SELECT det_id, s.camera_id, s.frame_id, ux * y - uy * x AS pr FROM s JOIN u ON u.camera_id = s.camera_id AND u.frame_id = s.frame_id),
+  w AS (SELECT det_id, camera_id, frame_id, pr - avg(pr) OVER g AS z, greatest(1.5, stddev_pop(pr) OVER g) AS sd FROM z WINDOW g AS (PARTITION BY camera_id, frame_id)),
+  e AS (SELECT *, exp(-0.5::DOUBLE * z * z / (sd * sd)) AS weight FROM w)
+  SELECT det_id, round(weight / max(weight) OVER (PARTITION BY camera_id, frame_id), 6) AS weight, round(weight / max(weight) OVER (PARTITION BY camera_id, frame_id), 6) > 0.5 AS inlier FROM e""", "det")
+def w9_inliers(spark, d):
+    return op.line_inliers(src.detections(spark, d), FRAME, 0.5).select("det_id", "weight", "inlier")
+
+
 @query("w10_running_sum", """SELECT key, bin, CAST(sum(cnt) OVER (o ROWS UNBOUNDED PRECEDING) AS BIGINT) AS prefix, CAST(sum(cnt) OVER (o ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS BIGINT) AS smooth,
   CAST(coalesce(sum(cnt) OVER (o ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), 0) - coalesce(sum(cnt) OVER (o ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING), 0) AS BIGINT) AS step
   FROM prof WINDOW o AS (PARTITION BY key ORDER BY bin)""", "prof")
@@ -149,8 +172,6 @@ def w17(spark, d):
   SELECT det_id, bin AS cut FROM c WHERE r = 1""", "det prof")
 def w18(spark, d):
     """Where a box reaches into the next one, the lowest place of both."""
-    from pyspark.sql import Window
-
     o = Window.partitionBy("key").orderBy("lo", "det_id")
     own = boxes_on_profile(spark, d).withColumns({"nlo": F.lead("lo").over(o), "nhi": F.lead("hi").over(o)}).where("nlo < hi")
     spread = own.withColumn("bin", F.explode(F.sequence("lo", F.greatest("hi", "nhi"))))
@@ -225,13 +246,31 @@ def f8(spark, d):
     return src.detections(spark, d).select("det_id", geo.side(c("cx"), c("cy"), *line).alias("side"), geo.sign_change(a, b).alias("changes"))
 
 
-@query("f9_line_rules", """WITH t AS (SELECT det_id, cx, cy, first(cx) OVER o AS fx, first(cy) OVER o AS fy FROM det WINDOW o AS (PARTITION BY camera_id, track_id ORDER BY frame_idx ROWS 10 PRECEDING))
-  SELECT det_id, (fy - 60) * (cy - 60) < 0 AS single_rule, (fy - 60) * (cy - 60) < 0 AND cy < fy AS direction_rule, (fy - 60) * (cy - 60) < 0 AND (fy - 90) * (cy - 90) < 0 AS double_rule FROM t""", "det")
+OUT_LINE, IN_LINE = (100.0, 30.0, 700.0, 120.0), (0.0, 200.0, 1000.0, 90.0)
+
+
+def _meet_sql(line: tuple, name: str) -> str:
+    x1, y1, x2, y2 = (f"{v}::DOUBLE" for v in line)
+    return f"({x2} - {x1}) * (cy - fy) - ({y2} - {y1}) * (cx - fx) AS {name}c, (fx - {x1}) * (cy - fy) - (fy - {y1}) * (cx - fx) AS {name}1, (fx - {x1}) * ({y2} - {y1}) - (fy - {y1}) * ({x2} - {x1}) AS {name}2"
+
+
+@query("f9_line_rules", f"""WITH p AS (SELECT det_id, frame_idx, camera_id, track_id, CAST(cx AS DOUBLE) AS cx, CAST(cy AS DOUBLE) AS cy FROM det),
+  t AS (SELECT det_id, cx, cy, first(cx) OVER o AS fx, first(cy) OVER o AS fy, count(*) OVER o AS n, cx - lag(cx) OVER q AS ex, cy - lag(cy) OVER q AS ey, 0.5::DOUBLE * atan2(2 * covar_pop(cx, cy) OVER o, var_pop(cx) OVER o - var_pop(cy) OVER o) AS a
+    FROM p WINDOW o AS (PARTITION BY camera_id, track_id ORDER BY frame_idx ROWS 10 PRECEDING), q AS (PARTITION BY camera_id, track_id ORDER BY frame_idx)),
+  m AS (SELECT *, {_meet_sql(OUT_LINE, "o")}, {_meet_sql(IN_LINE, "i")} FROM t WHERE n >= 3),
+  r AS (SELECT *, abs(oc) >= 0.01 AND o1 / oc BETWEEN 0 AND 1 AND o2 / oc BETWEEN 0 AND 1 AS crossed, abs(ic) >= 0.01 AND i1 / ic BETWEEN 0 AND 1 AND i2 / ic <= 0 AS came FROM m)
+  SELECT det_id, crossed AS single_rule, crossed AND (CASE WHEN cos(a) * ex + sin(a) * ey < -1e-9 THEN -1 ELSE 1 END) * sin(a) < -1e-9 AS direction_rule, crossed AND came AS double_rule FROM r""", "det")
 def f9(spark, d):
-    """Crossing of one line, of one line upwards, of two lines by a track's last eleven points."""
-    t = op.trace(src.detections(spark, d), 10, TRACK, ["frame_idx"])
-    passes = lambda y: geo.sign_change(F.col("first_y") - y, F.col("last_y") - y)
-    return t.select("det_id", passes(60).alias("single_rule"), (passes(60) & (F.col("last_y") < F.col("first_y"))).alias("direction_rule"), (passes(60) & passes(90)).alias("double_rule"))
+    """Rules on a track's last eleven points, three at least: it crosses a line; upwards, by its fitted direction; coming through a second line."""
+    det = src.detections(spark, d).withColumns({"cx": F.col("cx").cast("double"), "cy": F.col("cy").cast("double")})
+    own, last = Window.partitionBy(*TRACK).orderBy("frame_idx").rowsBetween(-10, 0), Window.partitionBy(*TRACK).orderBy("frame_idx")
+    det = det.withColumns({"_a": fit_angle("cx", "cy", own), "ex": F.col("cx") - F.lag("cx").over(last), "ey": F.col("cy") - F.lag("cy").over(last)})
+    t = op.trace(det, 10, TRACK, ["frame_idx"]).where("n_points >= 3")
+    ends = [F.col(c) for c in ("first_x", "first_y", "last_x", "last_y")]
+    lines = [[F.lit(v) for v in line] for line in (OUT_LINE, IN_LINE)]
+    crossed = geo.intersects(*lines[0], *ends)
+    _, dy = geo.turned(F.cos("_a"), F.sin("_a"), F.col("ex"), F.col("ey"))
+    return t.select("det_id", crossed.alias("single_rule"), (crossed & (dy < -1e-9)).alias("direction_rule"), geo.double_line(*ends, *lines).alias("double_rule"))
 
 
 @query("f10_boxes", """SELECT det_id, least(x, 100) AS ux, greatest(x + w, 400) - least(x, 100) AS uw, greatest(0, least(x + w, 400) - greatest(x, 100)) * greatest(0, least(y + h, 90) - greatest(y, 10)) AS shared,
@@ -251,6 +290,46 @@ def f11(spark, d):
     return src.detections(spark, d).select("det_id", F.round(F.hypot(dx, dy), 6).alias("distance"), F.round(geo.angle(dx, dy), 6).alias("angle"), (F.col("w") * 3 + F.col("h") * 4).alias("dot"))
 
 
+@query("f10_box_sizes", """SELECT det_id, greatest(x + w, 400) - least(x, 100) + 1 AS union_w, greatest(y + h, 90) - least(y, 10) + 1 AS union_h, least(x + w, 400) - greatest(x, 100) + 1 AS shared_w, least(y + h, 90) - greatest(y, 10) + 1 AS shared_h,
+  greatest(0, least(x - 7, 900)) AS wide_x, greatest(greatest(0, least(x - 7, 900)), least(x + w + 7, 900)) - greatest(0, least(x - 7, 900)) AS wide_w,
+  greatest(0, least(x - CAST(trunc((sw - w) / 2.0::DOUBLE) AS BIGINT), 900)) AS big_x, greatest(greatest(0, least(x - CAST(trunc((sw - w) / 2.0::DOUBLE) AS BIGINT), 900)), least(x - CAST(trunc((sw - w) / 2.0::DOUBLE) AS BIGINT) + sw, 900)) - greatest(0, least(x - CAST(trunc((sw - w) / 2.0::DOUBLE) AS BIGINT), 900)) AS big_w
+  FROM (SELECT *, CAST(trunc(w * 1.5::DOUBLE) AS BIGINT) AS sw FROM det)""", "det")
+def f10_sizes(spark, d):
+    """Inclusive sizes, and boxes expanded by 7 and enlarged by half."""
+    own = [F.col(c) for c in "xywh"]
+    b = F.struct(*[F.lit(v).cast("long").alias(n) for n, v in zip("xywh", (100, 10, 300, 80), strict=True)])
+    wide, big = geo.expanded_box(*own, 7, 5, 900, 500), geo.scaled_box(*own, 1.5, 900, 500)
+    sizes = geo.inclusive_sizes(F.struct("x", "y", "w", "h"), b)
+    return src.detections(spark, d).select("det_id", sizes.alias("s"), wide[0].alias("wide_x"), wide[2].alias("wide_w"), big[0].alias("big_x"), big[2].alias("big_w")).select("det_id", "s.*", "wide_x", "wide_w", "big_x", "big_w")
+
+
+@query("f11_turns", """SELECT det_id, round(cx * cos(0.3::DOUBLE) - cy * sin(0.3::DOUBLE), 5) AS rx, round(cx * sin(0.3::DOUBLE) + cy * cos(0.3::DOUBLE), 5) AS ry,
+  round(((cx - 300) * (cx - 700) + (cy - 100) * (cy - 90)) / sqrt(((cx - 300) * (cx - 300) + (cy - 100) * (cy - 100)) * ((cx - 700) * (cx - 700) + (cy - 90) * (cy - 90)) + 1e-10), 6) + 0.0 AS cosine, cx > 200 AND cx < 700 AND cy > 20 AND cy < 90 AS inside FROM det""", "det")
+def f11_turns(spark, d):
+    """Points turned by 0.3 radians, the cosine at them between two others, and whether they lie inside a box."""
+    x, y = F.col("cx").cast("double"), F.col("cy").cast("double")
+    rx, ry = geo.rotated(x, y, F.lit(0.3))
+    cosine = geo.cosine_at(x, y, F.lit(300.0), F.lit(100.0), F.lit(700.0), F.lit(90.0))
+    return src.detections(spark, d).select("det_id", F.round(rx, 5).alias("rx"), F.round(ry, 5).alias("ry"), (F.round(cosine, 6) + 0.0).alias("cosine"), geo.strictly_inside(x, y, 200, 20, 500, 70).alias("inside"))
+
+
+@query("f12_meetings", """WITH p AS (SELECT det_id, CAST(x AS DOUBLE) AS x1, CAST(y AS DOUBLE) AS y1, CAST(cx AS DOUBLE) AS x2, CAST(cy + det_id % 7 AS DOUBLE) AS y2, ((cx - 100) * 800 + (cy - 10) * 50) / 642500.0::DOUBLE AS u FROM det),
+  s AS (SELECT *, CASE WHEN x1 = x2 THEN 1e-11 ELSE (y2 - y1) / (x2 - x1) END AS a, 50 / 800.0::DOUBLE AS b FROM p),
+  m AS (SELECT *, CASE WHEN a = b THEN -1 WHEN x1 = x2 THEN x1 ELSE (60 - b * 900 - (y1 - a * x1)) / (a - b) END AS mx FROM s)
+  SELECT det_id, round(100 + u * 800, 4) AS foot_x, round(10 + u * 50, 4) AS foot_y, round(mx, 2) + 0.0 AS meet_x, round(CASE WHEN a = b THEN -1 WHEN x1 = x2 THEN 60 + b * (x1 - 900) ELSE a * mx + (y1 - a * x1) END, 2) + 0.0 AS meet_y,
+    x1 + round(12 * cos(atan2(x2 - x1, y2 - y1))) + 0.0 AS side_x, y1 + round(-12 * sin(atan2(x2 - x1, y2 - y1))) + 0.0 AS side_y FROM m""", "det")
+def f12_meetings(spark, d):
+    """The foot of a point on a line, where each box's diagonal meets that line, and the diagonal moved aside by 12."""
+    line = [F.lit(v) for v in (100.0, 10.0, 900.0, 60.0)]
+    fx, fy = geo.closest_point(F.col("cx").cast("double"), F.col("cy").cast("double"), *line)
+    own = [c.cast("double") for c in (F.col("x"), F.col("y"), F.col("cx"), F.col("cy") + F.col("det_id") % 7)]
+    mx, my = geo.meeting_point(*own, *line)
+    sx, sy, _, _ = geo.parallel_line(*own, 12.0)
+    return src.detections(spark, d).select(
+        "det_id", F.round(fx, 4).alias("foot_x"), F.round(fy, 4).alias("foot_y"), (F.round(mx, 2) + 0.0).alias("meet_x"), (F.round(my, 2) + 0.0).alias("meet_y"), (sx + 0.0).alias("side_x"), (sy + 0.0).alias("side_y")
+    )
+
+
 @query("f12_segment", "SELECT det_id, round(10 + (50 / 800.0::DOUBLE) * (cx - 100), 6) AS y_at, cy > 10 + (50 / 800.0::DOUBLE) * (cx - 100) AS below, (cx + 100) / 2.0::DOUBLE AS mid_x FROM det", "det")
 def f12(spark, d):
     y = geo.y_at(F.col("cx"), F.lit(100), F.lit(10), F.lit(900), F.lit(60))
@@ -272,6 +351,13 @@ def f14(spark, d):
     )
 
 
+@query("f14_extremes", "SELECT id, list_position(q, list_max(q)) - 1 AS largest, list_position(q, list_min(q)) - 1 AS smallest FROM smp", "smp")
+def f14_extremes(spark, d):
+    """Places, from 0, of a vector's first largest and first smallest component."""
+    place = lambda of: (F.array_position("q", of("q")) - 1).cast("long")
+    return src.samples(spark, d).select("id", place(F.array_max).alias("largest"), place(F.array_min).alias("smallest"))
+
+
 @query("f15_vector_ops", """SELECT id, CAST(list_sum(list_transform(list_zip(q, list_reverse(q)), lambda p: p[1] * p[2])) AS BIGINT) AS dot, CAST(list_sum(list_transform(q, lambda z: z * z)) AS BIGINT) AS norm2,
   CAST(list_sum(list_transform(list_zip(q, list_reverse(q)), lambda p: abs(p[1] - p[2]))) AS BIGINT) AS l1 FROM smp""", "smp")
 def f15(spark, d):

@@ -99,5 +99,13 @@ def read_events_xml(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load_model(spark: SparkSession, path: str) -> DataFrame:
-    """class, w and b of a saved set of linear models."""
-    return spark.read.parquet(path)
+    """class, w and b of a saved set of linear models; raises where a class of its manifest is missing, there twice or changed."""
+    manifest = spark.read.schema("class long, features int, hash long").json(f"{path}/manifest")
+    models = spark.read.schema("w array<double>, b double, class long").parquet(f"{path}/models").select("class", "w", "b")
+    found = models.select(F.col("class").alias("_class"), F.size("w").alias("_n"), F.xxhash64("w", "b").alias("_h"))
+    met = manifest.join(found, F.col("class") == F.col("_class"), "full")
+    same = F.coalesce((F.col("features") == F.col("_n")) & (F.col("hash") == F.col("_h")), F.lit(False))
+    wrong = met.groupBy(F.coalesce("class", "_class").alias("class")).agg((F.min(same) & (F.count(F.lit(1)) == 1)).alias("_ok")).where("not _ok")
+    if bad := sorted(r["class"] for r in wrong.select("class").collect()):  # classes are few
+        raise ValueError(f"models missing or damaged: classes {bad}")
+    return models

@@ -65,7 +65,13 @@ def write_metrics(df: DataFrame, path: str) -> None:
 
 
 def save_model(models: DataFrame, path: str) -> None:
-    models.select("class", "w", "b").write.partitionBy("class").parquet(path)
+    """A folder of models: files by class, and a manifest with the size and a hash of each class's model.
+
+    The manifest is written last, so a folder without one is not whole.
+    """
+    own = models.select("class", "w", "b")
+    own.write.partitionBy("class").parquet(f"{path}/models")
+    own.select("class", F.size("w").alias("features"), F.xxhash64("w", "b").alias("hash")).coalesce(1).write.json(f"{path}/manifest")
 
 
 def prediction_line(score: Column) -> Column:

@@ -1,5 +1,8 @@
 """Round trips of readers and writers."""
 
+import shutil
+
+import pytest
 from pyspark.sql import functions as F
 
 from roadlens.functions.text import compile_pattern
@@ -59,3 +62,20 @@ def test_other_sinks(spark, tmp_path):
     assert lines == ["1.5000:+1 -1.5000:-1", "2.0000:-1 -2.0000:+1"]
     name = spark.createDataFrame([("20240102_030405_cam7_z3_25.jpg",), ("bad.jpg",)], "n string").select(readers.parse_capture_name(F.col("n")).alias("p")).collect()
     assert name[0]["p"]["cam"] == "cam7" and name[0]["p"]["ext"] == "jpg" and name[1]["p"] is None
+
+
+def test_models_are_checked_on_load(spark, tmp_path):
+    models = spark.createDataFrame([(k, [1.0 * k, 2.0], 0.5) for k in range(3)], "class long, w array<double>, b double")
+    writers.save_model(models, str(tmp_path / "m"))
+    assert sorted(map(tuple, readers.load_model(spark, str(tmp_path / "m")).collect())) == [(k, [1.0 * k, 2.0], 0.5) for k in range(3)]
+    writers.save_model(models.withColumn("b", F.lit(0.75)), str(tmp_path / "other"))
+    shutil.copytree(tmp_path / "m", tmp_path / "mixed")
+    shutil.rmtree(tmp_path / "mixed" / "models" / "class=2")
+    with pytest.raises(ValueError, match=r"\[2\]"):
+        readers.load_model(spark, str(tmp_path / "mixed"))
+    shutil.copytree(tmp_path / "other" / "models" / "class=2", tmp_path / "mixed" / "models" / "class=2")
+    with pytest.raises(ValueError, match=r"\[2\]"):
+        readers.load_model(spark, str(tmp_path / "mixed"))
+    shutil.rmtree(tmp_path / "other" / "manifest")
+    with pytest.raises(Exception, match="(?i)path"):
+        readers.load_model(spark, str(tmp_path / "other"))
