@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
+from .joins import contained_groups
 
 
 def letter_votes(df: DataFrame, least: int, skip: int) -> DataFrame:
@@ -67,6 +68,24 @@ def axes() -> list[Column]:
     return [F.round(major, 3).alias("major"), F.round(minor, 3).alias("minor")]
 
 
+def group_boxes(members: DataFrame, by: list[str], mode: str, threshold: int, eps: float = 0.2) -> DataFrame:
+    """by, gid, x, y, w, h, n and score of the groups of more than `threshold` boxes that no stronger group holds.
+
+    members: by, cluster, node, x, y, w, h and v, the score. mode max takes a group's best box and
+    its score, the smaller node on ties; avg the score-weighted mean box, halves to even, and the sum of scores.
+    A group inside another one's box, enlarged by eps, goes if the other has more boxes and more than three, or it has fewer than three itself.
+    """
+    own = members.groupBy(*by, F.col("cluster").alias("gid"))
+    n, total = F.count(F.lit(1)).alias("n"), F.sum("v")
+    if mode == "max":
+        best = F.max_by(F.struct("x", "y", "w", "h", F.col("v").alias("score")), F.struct("v", -F.col("node")))
+        groups = own.agg(n, best.alias("_b")).select(*by, "gid", "n", "_b.*")
+    else:
+        mean = [F.bround(F.sum(F.col(c) * F.col("v")) / F.greatest(total, F.lit(1)), 0).cast("long").alias(c) for c in "xywh"]
+        groups = own.agg(n, *mean, total.alias("score"))
+    return contained_groups(groups.where(F.col("n") > threshold), by, eps)
+
+
 def guarded_extent(df: DataFrame, by: list[str], limit: int, least: int, top, bottom) -> DataFrame:
     """lo and hi of each group's boxes between the lines top and bottom (functions of x), with 2 to spare, within 0 and limit.
 

@@ -15,7 +15,7 @@ from ..operators.joins import near
 from ..sources import adapters as src
 from .base import query
 from .filters import BOXES_ON_PROFILE, boxes_on_profile
-from .joins import FRAME, NEAR, SUPPORT, dot, support
+from .joins import CONTAINED, FRAME, NEAR, SUPPORT, dot, support
 from .windows import CROSSED, RUNS, TRACK, crossings
 
 C = F.col
@@ -56,6 +56,21 @@ def a4(spark, d):
     return own.groupBy("cluster").agg(F.count("*").alias("n"), F.max_by("node", F.struct("v", -C("node"))).alias("best"), mean("x").alias("ax"), mean("w").alias("aw")).where("n > 1")
 
 
+@query("a4_grouped_boxes", f"""WITH {CLUSTERS}, cm AS (SELECT camera_id, frame_id, cluster, node, x, y, w, h, v FROM wk JOIN det ON det_id = node),
+  bx AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY v DESC, node) AS k, count(*) OVER (PARTITION BY cluster) AS n FROM cm),
+  gm AS (SELECT 'max' AS mode, camera_id, frame_id, cluster AS gid, x, y, w, h, n, v AS score FROM bx WHERE k = 1 AND n > 1),
+  ga AS (SELECT 'avg' AS mode, camera_id, frame_id, cluster AS gid, CAST(round_even(sum(x * v) / greatest(sum(v), 1), 0) AS BIGINT) AS x, CAST(round_even(sum(y * v) / greatest(sum(v), 1), 0) AS BIGINT) AS y, CAST(round_even(sum(w * v) / greatest(sum(v), 1), 0) AS BIGINT) AS w,
+    CAST(round_even(sum(h * v) / greatest(sum(v), 1), 0) AS BIGINT) AS h, count(*) AS n, CAST(sum(v) AS BIGINT) AS score FROM cm GROUP BY camera_id, frame_id, cluster HAVING count(*) > 1),
+  gr AS (SELECT * FROM gm UNION ALL SELECT * FROM ga)
+  {CONTAINED.replace("a.gid <> b.gid", "a.mode = b.mode AND a.gid <> b.gid")}""", "det")
+def a4_grouped(spark, d):
+    """Groups of two boxes or more by both modes, without those that a stronger one holds."""
+    det = src.detections(spark, d).select(*FRAME, C("det_id").alias("node"), "x", "y", "w", "h", "v")
+    members = det.join(clusters(spark, d), "node")
+    both = [op.group_boxes(members, FRAME, mode, 1).withColumn("mode", F.lit(mode)) for mode in ("max", "avg")]
+    return both[0].unionByName(both[1])
+
+
 @query("a5_group_boxes_unweighted", f"WITH {CLUSTERS} SELECT cluster, round(avg(x), 4) AS x, round(avg(y), 4) AS y, round(avg(w), 4) AS w, max(v) AS weight FROM wk JOIN det ON det_id = node GROUP BY 1", "det")
 def a5(spark, d):
     own = clusters(spark, d).join(src.detections(spark, d).withColumnRenamed("det_id", "node"), "node")

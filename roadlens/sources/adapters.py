@@ -91,10 +91,11 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, label, class and an integer score of each sample for each of ten classes."""
+    """id, label, class and an integer score of each sample for each of ten classes: the sum of every tenth component from the class's own on."""
     s = samples(spark, sf_dir)
+    own = F.aggregate(F.filter("q", lambda x, i: F.pmod(i, F.lit(10)) == F.col("class")), F.lit(0).cast("long"), lambda a, x: a + x)
     return s.select("id", "label", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(9).cast("long"))).alias("class"), "q").select(
-        "id", "label", "class", (F.element_at("q", (F.col("class") % 8 + 1).cast("int")) + F.when(F.col("class") == F.col("label"), 60).otherwise(0)).cast("long").alias("score")
+        "id", "label", "class", (own + F.when(F.col("class") == F.col("label"), 60).otherwise(0)).cast("long").alias("score")
     )
 
 
@@ -110,7 +111,7 @@ SQL_VIEWS: dict[str, tuple[str, str]] = {
     "let": ("", "SELECT l_orderkey AS plate_id, CAST(l_linenumber - 1 AS BIGINT) AS pos, chr(CAST(65 + l_partkey % 8 AS INTEGER)) AS letter, CAST(40 + l_quantity AS BIGINT) AS score FROM lineitem"),
     "prof": ("", "SELECT p_brand AS key, CAST(p_size AS BIGINT) AS bin, count(*) AS cnt FROM part GROUP BY 1, 2"),
     "smp": ("", "SELECT vec_id AS id, CAST(label AS BIGINT) AS label, list_transform(embedding, lambda z: CAST(floor(CAST(z AS DOUBLE) * 1000) AS BIGINT)) AS q, embedding AS features FROM embeddings"),
-    "scr": ("smp", "SELECT id, label, c AS class, q[c % 8 + 1] + CASE WHEN c = label THEN 60 ELSE 0 END AS score FROM smp, range(10) t(c)"),
+    "scr": ("smp", "SELECT id, label, c AS class, CAST(coalesce(list_sum(list_transform(range(0, len(q)), lambda i: CASE WHEN i % 10 = c THEN q[i + 1] ELSE 0 END)), 0) AS BIGINT) + CASE WHEN c = label THEN 60 ELSE 0 END AS score FROM smp, range(10) t(c)"),
 }
 
 

@@ -16,12 +16,12 @@ def read_detections(spark: SparkSession, path: str, schema: T.StructType | None
 
 DIMENSION_DDL = (
     "camera_id long, video string, algorithm string, parameters map<string,string>, "
-    "lines array<struct<x1:double,y1:double,x2:double,y2:double>>, lights array<struct<x:int,y:int,width:int,height:int,threshold:int>>"
+    "lines array<struct<x1:double,y1:double,x2:double,y2:double>>, roi array<struct<name:string,path:string,points:array<struct<x:double,y:double>>>>, lights array<struct<x:int,y:int,width:int,height:int,threshold:int>>"
 )
 
 
 def read_dimensions(spark: SparkSession, path: str) -> DataFrame:
-    """Cameras with their parameters, lines and lights, one JSON document per camera or an array of them."""
+    """Cameras with their parameters, lines, regions (name, image path, polygon) and lights, one JSON document per camera or an array of them."""
     return spark.read.schema(DIMENSION_DDL).option("multiLine", True).json(path)
 
 

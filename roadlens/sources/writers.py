@@ -31,8 +31,11 @@ def write_count_log(counts: DataFrame, path: str) -> None:
     counts.select("video", F.concat_ws(" ", "frame_idx", "cars", "bikes").alias("value")).write.partitionBy("video").text(path)
 
 
-def write_area_samples(df: DataFrame, path: str) -> None:
-    df.select("area").write.csv(path, header=True)
+def write_area_samples(df: DataFrame, path: str, by: tuple[str, ...] = (), shares: tuple[float, ...] = (0.05, 0.25, 0.5, 0.75, 0.95)) -> None:
+    """Areas of accepted detections for choosing thresholds: path/samples has them all, path/summary their number and percentiles (p05 ...) by group."""
+    df.select(*by, "area").write.csv(f"{path}/samples", header=True)
+    parts = [F.expr(f"percentile_disc({s}) within group (order by area)").alias(f"p{round(100 * s):02d}") for s in shares]
+    df.groupBy(*by).agg(F.count("area").alias("n"), *parts).write.csv(f"{path}/summary", header=True)
 
 
 def write_plate_report(reports: DataFrame, path: str) -> None:

@@ -3,6 +3,7 @@
 import shutil
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from roadlens.functions.text import compile_pattern
@@ -79,3 +80,21 @@ def test_models_are_checked_on_load(spark, tmp_path):
     shutil.rmtree(tmp_path / "other" / "manifest")
     with pytest.raises(Exception, match="(?i)path"):
         readers.load_model(spark, str(tmp_path / "other"))
+
+
+def test_samples_reports_and_exports_hold_what_was_given(spark, tmp_path):
+    det = spark.createDataFrame([("a", k, 10 * k) for k in range(1, 101)] + [("b", 0, 7)], "camera string, k long, area long")
+    writers.write_area_samples(det, str(tmp_path / "area"), ("camera",))
+    assert spark.read.csv(str(tmp_path / "area" / "samples"), header=True).count() == 101
+    summary = {r["camera"]: r for r in spark.read.csv(str(tmp_path / "area" / "summary"), header=True).collect()}
+    assert (summary["a"]["n"], summary["a"]["p05"], summary["a"]["p50"], summary["a"]["p95"]) == ("100", "50.0", "500.0", "950.0") and summary["b"]["p50"] == "7.0"
+    report = spark.createDataFrame([("v1", (1, 2), [3, 4], {"ocr": 0.5})], "video string, rect struct<x:long,y:long>, medians array<long>, times map<string,double>")
+    writers.write_plate_report(report, str(tmp_path / "report"))
+    assert spark.read.schema(report.schema).json(str(tmp_path / "report")).collect() == report.collect()
+    writers.export_by_class(det, str(tmp_path / "classes"), "camera")
+    assert sorted(p.name for p in (tmp_path / "classes").glob("camera=*")) == ["camera=a", "camera=b"]
+    assert spark.read.parquet(str(tmp_path / "classes" / "camera=b")).collect() == [Row(k=0, area=7)]
+    writers.write_metrics(det.groupBy("camera").count(), str(tmp_path / "metrics"))
+    assert {tuple(r) for r in spark.read.csv(str(tmp_path / "metrics"), header=True).collect()} == {("a", "100"), ("b", "1")}
+    (tmp_path / "d.json").write_text('[{"camera_id": 1, "roi": [{"name": "lane", "path": "/roi.png", "points": [{"x": 1, "y": 2}, {"x": 3, "y": 4}]}]}]')
+    assert readers.read_dimensions(spark, str(tmp_path / "d.json")).first()["roi"][0]["points"][1]["x"] == 3.0
