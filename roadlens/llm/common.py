@@ -135,9 +135,10 @@ def hash_filter(hashes: DataFrame) -> np.ndarray:
     """Bit array of FILTER_BITS bits with the places of the hashes in column h set."""
     place = F.col("h").bitwiseAND(FILTER_BITS - 1)
     words = hashes.select(F.shiftright(place, 6).alias("w"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("m"))
-    rows = words.groupBy("w").agg(F.bit_or("m").alias("m")).toPandas()  # at most FILTER_BITS / 64 rows
+    # at most FILTER_BITS / 64 rows, as Arrow columns of 8 MB and not as Python objects
+    rows = words.groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()
     bits = np.zeros(FILTER_BITS // 64, np.int64)
-    bits[rows["w"].to_numpy(np.int64)] = rows["m"].to_numpy(np.int64)
+    bits[rows.column("w").to_numpy()] = rows.column("m").to_numpy()
     return bits
 
 
