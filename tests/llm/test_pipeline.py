@@ -78,7 +78,7 @@ def test_stages_against_brute_force(spark):
     scored = toxicity.score(docs, toxicity.train(docs, labels)).collect()
     assert sorted(rows(clean), key=repr) == sorted(((r["doc_id"], r["text"]) for r in scored if r["score"] < 0.3), key=repr)
     toxic = {r["doc_id"] for r in spark.read.parquet(f"{DATA}/labels.parquet").where("toxic = 1").collect()}
-    assert {i for i, _ in more} <= {i for i, _ in rows(clean)} and sum(i in toxic for i, _ in rows(clean)) <= 0.3 * len(toxic)
+    assert {r[0] for r in more} <= {i for i, _ in rows(clean)} and sum(i in toxic for i, _ in rows(clean)) <= 0.3 * len(toxic)
 
     lines = durable(stages["line dedup"](spark, clean, DATA))
     got, want = dict(rows(lines)), deduped(rows(clean))
