@@ -204,7 +204,7 @@ def pca_per_class(df: DataFrame, k: int) -> DataFrame:
 
 def shuffle_samples(df: DataFrame, seed: int) -> DataFrame:
     """A repeatable random order within each class, as a column."""
-    return df.withColumn("place", F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("id", F.lit(seed)), "id")))
+    return df.withColumn("place", F.row_number().over(Window.partitionBy("label").orderBy(F.md5(F.concat_ws(":", F.col("id").cast("string"), F.lit(str(seed)))), "id")))
 
 
 def allowed_kind(place: Column, count: Column, lower_row: Column) -> Column:

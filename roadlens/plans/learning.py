@@ -113,7 +113,7 @@ def m7(spark, d):
     return op.pca_per_class(small(spark, d), 4)
 
 
-@query("m8_shuffle_samples")
+@query("m8_shuffle_samples", "SELECT id, label, CAST(row_number() OVER (PARTITION BY label ORDER BY md5(id || ':7'), id) AS INTEGER) AS place FROM smp", "smp")
 def m8(spark, d):
     return op.shuffle_samples(src.samples(spark, d).select("id", "label"), 7)
 

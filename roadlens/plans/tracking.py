@@ -24,7 +24,12 @@ def cost_rows(spark, d):
     return apart.select(*FRAME, C("_a.det_id").alias("l"), C("_b.det_id").alias("r"), cost.cast("double").alias("cost"))
 
 
-@query("j1_assign_greedy")
+@query("j1_assign_greedy", """WITH RECURSIVE cr AS (SELECT a.camera_id, a.frame_id, a.det_id AS l, b.det_id AS r, CAST(abs(a.cx - b.cx) + abs(a.cy - b.cy) AS DOUBLE) AS cost FROM det a JOIN det b ON a.camera_id = b.camera_id AND a.frame_id = b.frame_id
+    AND a.det_id < b.det_id AND a.frame_idx % 8 < 4 AND b.frame_idx % 8 >= 4),
+  ch AS (SELECT camera_id, frame_id, l, r, cost, [l] AS ls, [r] AS rs FROM cr QUALIFY row_number() OVER (PARTITION BY camera_id, frame_id ORDER BY cost, l, r) = 1
+    UNION ALL SELECT * FROM (SELECT ch.camera_id, ch.frame_id, cr.l, cr.r, cr.cost, list_append(ls, cr.l) AS ls, list_append(rs, cr.r) AS rs FROM ch JOIN cr ON ch.camera_id = cr.camera_id AND ch.frame_id = cr.frame_id
+      AND NOT list_contains(ls, cr.l) AND NOT list_contains(rs, cr.r) QUALIFY row_number() OVER (PARTITION BY ch.camera_id, ch.frame_id ORDER BY cr.cost, cr.l, cr.r) = 1))
+  SELECT camera_id, frame_id, l, r, cost FROM ch""", "det")
 def j1(spark, d):
     return assign(cost_rows(spark, d), FRAME, "l", "r", "cost")
 
