@@ -211,6 +211,33 @@ def segment_profile(df: DataFrame, place: str, height: str, by: list[str], width
     return narrow.unionByName(left).unionByName(right)
 
 
+def split_boxes(boxes: DataFrame, profile: DataFrame, place: str, height: str, by: list[str], width: float, tall: float, key: str = "det_id") -> DataFrame:
+    """key, lo and hi (closed) of boxes, with those of about two letters cut where the profile of their group is lowest.
+
+    A box over 2.5 and below 2.7 median widths is cut at its first lowest place between 40 and 60
+    percent; a part stays if its peak is over 0.3 of the median height and over twice the height at the
+    cut. Where neither part does, and for all other boxes, the box stays. Places without a profile have the height 0.
+    """
+    own = boxes.withColumn("_w", F.col("hi") - F.col("lo") + 1)
+    two = (F.col("_w") > 2.5 * width) & (F.col("_w") < 2.7 * width)
+    wide = own.where(two).withColumn("_at", F.explode(F.sequence(F.col("lo"), F.col("hi") + 1)))
+    heights = profile.select(*by, F.col(place).alias("_at"), F.col(height).alias("_h"))
+    of = wide.join(heights, [*by, "_at"], "left").groupBy(key, "lo", "hi", "_w").agg(F.collect_list(F.struct(F.coalesce("_h", F.lit(0)).alias("h"), F.col("_at").alias("at"))).alias("_p"))
+    first, last = F.col("lo") + (F.col("_w") * 0.4).cast("long"), F.col("lo") + (F.col("_w") * 0.6).cast("long")
+    of = of.withColumn("_cut", F.array_min(F.filter("_p", lambda p: (p["at"] >= first) & (p["at"] <= last))))
+
+    def peak(test) -> Column:
+        return F.array_max(F.transform(F.filter("_p", test), lambda p: p["h"]))
+
+    of = of.withColumns({"_left": peak(lambda p: p["at"] <= F.col("_cut.at")), "_right": peak(lambda p: p["at"] >= F.col("_cut.at"))})
+    left, right = ((F.col(c) > 0.3 * tall) & (F.col("_cut.h") * 2 < F.col(c)) for c in ("_left", "_right"))
+    parts = F.array_compact(F.array(
+        F.when(left, F.struct("lo", (F.col("_cut.at") - 2).alias("hi"))), F.when(right, F.struct((F.col("_cut.at") + 1).alias("lo"), "hi")),
+        F.when(~left & ~right, F.struct("lo", "hi")),
+    ))
+    return own.where(~two).select(key, "lo", "hi").unionByName(of.select(key, F.explode(parts).alias("_b")).select(key, "_b.lo", "_b.hi"))
+
+
 def fit_angle(x: str, y: str, over=None) -> Column:
     """Angle of the total least squares line through points, of a group or of a window."""
     parts = [F.covar_pop(x, y), F.var_pop(x), F.var_pop(y)]

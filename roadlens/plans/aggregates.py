@@ -374,6 +374,15 @@ def a32(spark, d):
     return op.segment_profile(src.profile(spark, d), "bin", "cnt", ["key"], LETTER_W, LETTER_H)
 
 
+@query("w17_split_letters", f"""WITH b AS (SELECT *, hi - lo + 1 AS w FROM ({BOXES_ON_PROFILE})), wd AS (SELECT *, lo + CAST(trunc(w * 0.4::DOUBLE) AS BIGINT) AS l, lo + CAST(trunc(w * 0.6::DOUBLE) AS BIGINT) AS r FROM b WHERE w > 2.5 * 2.75 AND w < 2.7 * 2.75),
+  pl AS (SELECT det_id, lo, hi, l, r, place, coalesce(cnt, 0) AS h FROM (SELECT *, unnest(range(lo, hi + 2)) AS place FROM wd) u LEFT JOIN prof ON prof.key = u.key AND bin = place),
+  ct AS (SELECT det_id, min_by(place, h * 100000 + place) AS cut, min(h) AS low FROM pl WHERE place BETWEEN l AND r GROUP BY 1),
+  pk AS (SELECT pl.det_id, any_value(lo) AS lo, any_value(hi) AS hi, any_value(cut) AS cut, coalesce(max(h) FILTER (place <= cut), 0) > 0.6 AND any_value(low) * 2 < coalesce(max(h) FILTER (place <= cut), 0) AS a, coalesce(max(h) FILTER (place >= cut), 0) > 0.6 AND any_value(low) * 2 < coalesce(max(h) FILTER (place >= cut), 0) AS z FROM pl JOIN ct USING (det_id) GROUP BY 1)
+  SELECT det_id, lo, hi FROM b WHERE NOT (w > 2.5 * 2.75 AND w < 2.7 * 2.75) UNION ALL SELECT det_id, lo, cut - 2 FROM pk WHERE a UNION ALL SELECT det_id, cut + 1, hi FROM pk WHERE z UNION ALL SELECT det_id, lo, hi FROM pk WHERE NOT a AND NOT z""", "det prof")
+def w17_letters(spark, d):
+    return op.split_boxes(boxes_on_profile(spark, d), src.profile(spark, d), "bin", "cnt", ["key"], 2.75, 2.0)
+
+
 @query("a33_half_vote", "SELECT camera_id, frame_id, count(*) FILTER (cy > 60 + cx * 0.05::DOUBLE) > count(*) FILTER (cy < 30 + cx * 0.05::DOUBLE) AS top_half FROM det GROUP BY 1, 2", "det")
 def a33(spark, d):
     slope = C("cx") * 0.05
