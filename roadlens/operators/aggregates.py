@@ -51,13 +51,24 @@ def otsu(df: DataFrame, x: str, by: list[str]) -> DataFrame:
     own = df.withColumns({
         "_n0": F.sum("cnt").over(w), "_s0": F.sum(F.col("cnt") * F.col(x)).over(w), "_n": F.sum("cnt").over(whole), "_s": F.sum(F.col("cnt") * F.col(x)).over(whole),
     })
-    n1 = F.col("_n") - F.col("_n0")
-    lead = F.col("_s0") * F.col("_n") - F.col("_s") * F.col("_n0")
-    between = F.when(n1 > 0, F.round(lead * lead / (F.col("_n0") * n1).cast("double"), 6))
+    n, n0, s, s0 = (F.col(c).cast("decimal(19,0)") for c in ("_n", "_n0", "_s", "_s0"))
+    # products of sums outgrow a long: they are exact as decimals, and the square is taken of a double
+    lead, weight = (s0 * n - s * n0).cast("double"), (n0 * (n - n0)).cast("double")
+    between = F.when(F.col("_n") > F.col("_n0"), F.round(lead * lead / weight, 6))
     own = own.withColumn("_b", between).where("_b > 0")
     return own.groupBy(*by).agg(F.max_by(x, F.struct("_b", -F.col(x))).alias("threshold"))
 
 
+def outliers(df: DataFrame, x: str) -> DataFrame:
+    """df with flag: hard over 70 from the mean of n values with the sum s and the sum of squares q, soft over 30 and over three deviations.
+
+    Whole numbers multiplied by n, so a value at a limit does not depend on how a deviation is rounded.
+    """
+    n, s = F.col("n"), F.col("s")
+    far = F.abs(n * F.col(x) - s)
+    return df.withColumn("flag", F.when(far > 70 * n, "hard").when((far > 30 * n) & (far * far > 9 * (n * F.col("q") - s * s)), "soft").otherwise("ok"))
+
+
 def axes() -> list[Column]:
     """Larger and smaller singular value of centred points (cx, cy), from their covariance."""
     n, sxx, syy, sxy = F.count(F.lit(1)), F.var_pop("cx"), F.var_pop("cy"), F.covar_pop("cx", "cy")
