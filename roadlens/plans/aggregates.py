@@ -123,14 +123,13 @@ def a10(spark, d):
     return own.groupBy(*FRAME).agg(F.greatest(F.lit(20), F.coalesce(some, median_high("w"))).alias("width"))
 
 
-@query("a11_robust_outliers", """WITH m AS (SELECT camera_id, frame_id, list_sort(list(occ))[len(list(occ)) // 2 + 1] AS med FROM det GROUP BY 1, 2), s AS (SELECT camera_id, frame_id, any_value(med) AS med, avg(occ) AS mu, stddev_pop(occ) AS sd FROM det JOIN m USING (camera_id, frame_id) WHERE abs(occ - med) <= 15 GROUP BY 1, 2)
-  SELECT det_id, CASE WHEN abs(occ - mu) > 70 THEN 'hard' WHEN abs(occ - mu) > 30 AND abs(occ - mu) > 3 * sd THEN 'soft' ELSE 'ok' END AS flag FROM det JOIN s USING (camera_id, frame_id)""", "det")
+@query("a11_robust_outliers", """WITH m AS (SELECT camera_id, frame_id, list_sort(list(occ))[len(list(occ)) // 2 + 1] AS med FROM det GROUP BY 1, 2), s AS (SELECT camera_id, frame_id, count(*) AS n, sum(occ) AS s, sum(occ * occ) AS q FROM det JOIN m USING (camera_id, frame_id) WHERE abs(occ - med) <= 15 GROUP BY 1, 2)
+  SELECT det_id, CASE WHEN abs(n * occ - s) > 70 * n THEN 'hard' WHEN abs(n * occ - s) > 30 * n AND (n * occ - s) * (n * occ - s) > 9 * (n * q - s * s) THEN 'soft' ELSE 'ok' END AS flag FROM det JOIN s USING (camera_id, frame_id)""", "det")
 def a11(spark, d):
     det = src.detections(spark, d)
     med = det.groupBy(*FRAME).agg(median_high("occ").alias("med"))
-    kept = det.join(med, FRAME).where(F.abs(C("occ") - C("med")) <= 15).groupBy(*FRAME).agg(F.avg("occ").alias("mu"), F.stddev_pop("occ").alias("sd"))
-    far = F.abs(C("occ") - C("mu"))
-    return det.join(kept, FRAME).select("det_id", F.when(far > 70, "hard").when((far > 30) & (far > 3 * C("sd")), "soft").otherwise("ok").alias("flag"))
+    kept = det.join(med, FRAME).where(F.abs(C("occ") - C("med")) <= 15).groupBy(*FRAME)
+    return op.outliers(det.join(kept.agg(F.count(F.lit(1)).alias("n"), F.sum("occ").alias("s"), F.sum(C("occ") * C("occ")).alias("q")), FRAME), "occ").select("det_id", "flag")
 
 
 CONFUSION = """cf AS (SELECT class, {0}count(*) FILTER (score > 0 AND label = class) AS tp, count(*) FILTER (score <= 0 AND label <> class) AS tn, count(*) FILTER (score > 0 AND label <> class) AS fp, count(*) FILTER (score <= 0 AND label = class) AS fn FROM scr GROUP BY ALL),

@@ -7,3 +7,11 @@ def test_otsu_of_counts_whose_products_outgrow_a_long(spark):
     rows = [("small", 1, 5), ("small", 2, 1), ("small", 9, 6), ("large", 1, 5 * 10**9), ("large", 2, 10**9), ("large", 9, 6 * 10**9)]
     df = spark.createDataFrame(rows, "key string, bin long, cnt long")
     assert {r["key"]: r["threshold"] for r in aggregates.otsu(df, "bin", ["key"]).collect()} == {"small": 2, "large": 2}
+
+
+def test_an_outlier_at_three_deviations_is_no_outlier(spark):
+    # mean 100 and deviation 11: what is 33 off is at the limit, what is 34 off beyond it
+    rows = [(k, n, 100 * n, 100 * 100 * n + 11 * 11 * n, x) for k, (n, x) in enumerate([(3, 133), (3, 134), (7, 67), (7, 66), (9, 170), (9, 171), (49, 133)])]
+    df = spark.createDataFrame(rows, "k long, n long, s long, q long, x long")
+    flags = {r["k"]: r["flag"] for r in aggregates.outliers(df, "x").collect()}
+    assert flags == {0: "ok", 1: "soft", 2: "ok", 3: "soft", 4: "soft", 5: "hard", 6: "ok"}
