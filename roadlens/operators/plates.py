@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .windows import spread
+
 SKIP = "~"
 
 
@@ -44,16 +46,18 @@ def n_best(rows: DataFrame, max_subs: int) -> DataFrame:
     return rows.select("plate_id", F.explode(all_of).alias("c")).select("plate_id", "c.text", "c.total")
 
 
-def prune_letters(votes: DataFrame, n: int) -> DataFrame:
+def prune_letters(votes: DataFrame, n: int, together: bool = False) -> DataFrame:
     """votes kept so that the product of letters by place is n or just above, with their rank.
 
     Starting with the best letter of each place, the place whose next letter loses least is widened
     until the product is reached, the first place on ties. A letter is thus taken right after the
-    largest loss on the way to it, so a sort by that loss gives the order without a loop.
+    largest loss on the way to it, so a sort by that loss gives the order without a loop. The rows are
+    spread by plate, and all later steps stay within a partition; together: votes are so already.
     """
     place = Window.partitionBy("plate_id", "pos").orderBy("rank")
     turn = Window.partitionBy("plate_id").orderBy(F.col("_loss").asc_nulls_first(), "pos", "rank").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = rank_letters(votes.select("plate_id", "pos", "letter", "total").repartition("plate_id"))
+    own = votes.select("plate_id", "pos", "letter", "total")
+    ranked = rank_letters(own if together else spread(own, ["plate_id"]))
     lost = ranked.withColumn("_drop", F.lag("total").over(place) - F.col("total"))
     lost = lost.withColumn("_loss", F.max("_drop").over(place.rowsBetween(Window.unboundedPreceding, 0)))
     growth = F.when(F.col("rank") > 1, F.col("rank") / (F.col("rank") - 1)).otherwise(1.0)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,19 @@ def moving_mean(x: str, n: int, by: list[str], order: str) -> Column:
     return F.avg(x).over(Window.partitionBy(*by).orderBy(order).rowsBetween(-(n - 1), 0))
 
 
+#: Rows of a partition of `spread`, about.
+SPREAD_ROWS = 200_000
+
+
+def spread(df: DataFrame, by: list[str], rows: int | None = None) -> DataFrame:
+    """df hashed by its keys into partitions of about `rows` rows, so that a task's memory does not grow with the table.
+
+    There are never fewer partitions than the session's for shuffles. df is counted for it.
+    """
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(least, ceil(df.count() / (rows or SPREAD_ROWS))), *by)
+
+
 def same_keys(keys: list[str], prefix: str) -> Column:
     """Whether each key equals the one of the other side, named with the prefix; nulls are equal."""
     same = F.lit(True)

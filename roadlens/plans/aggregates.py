@@ -97,8 +97,12 @@ VOTES = """vo AS (SELECT plate_id, pos, letter, CAST(sum(s) AS BIGINT) AS total,
   SELECT plate_id, pos, letter, score - 45 AS s FROM let WHERE score >= 45 UNION ALL SELECT plate_id, pos, '~', 60 - score FROM let WHERE score >= 45 AND score < 60) GROUP BY 1, 2, 3)"""
 
 
+#: Score from which a letter votes, and below which it also votes for leaving the place out.
+LEAST, SKIP = 45, 60
+
+
 def votes(spark, d):
-    return op.letter_votes(src.letters(spark, d), 45, 60)
+    return op.letter_votes(src.letters(spark, d), LEAST, SKIP)
 
 
 @query("a8_letter_votes", f"WITH {VOTES} SELECT plate_id, pos, letter, total, n FROM vo", "let")

@@ -6,8 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import plates as op
+from ..operators.aggregates import letter_votes
+from ..operators.windows import spread
 from ..sources import adapters as src
-from .aggregates import VOTES, votes
+from .aggregates import LEAST, SKIP, VOTES
 from .base import query
 from .joins import FRAME
 
@@ -75,9 +77,15 @@ TEXTS = f"""{pruned_sql(CANDIDATES)},
   nb AS (SELECT plate_id, text, total FROM nr JOIN (SELECT plate_id, max(place) AS place FROM pl GROUP BY 1) USING (plate_id, place))"""
 
 
+def pruned(spark, d, n):
+    """Letters that prune_letters keeps; they are spread by plate before they are counted, so nothing is shuffled after that."""
+    votes = letter_votes(spread(src.letters(spark, d), ["plate_id"]), LEAST, SKIP)
+    return op.prune_letters(votes, n, together=True)
+
+
 def candidates(spark, d):
     """Texts over all places of each plate, from its pruned letters, with one substitution at most."""
-    return op.n_best(op.places(op.prune_letters(votes(spark, d), CANDIDATES)), 1)
+    return op.n_best(op.places(pruned(spark, d, CANDIDATES)), 1)
 
 
 @query("t4_top_plates", f"WITH RECURSIVE {TEXTS}, r AS (SELECT *, row_number() OVER (PARTITION BY plate_id ORDER BY total DESC, text) AS rank FROM nb) SELECT plate_id, rank, text, total FROM r WHERE rank <= 3", "let")
@@ -88,7 +96,7 @@ def t4(spark, d):
 
 @query("t5_prune_letters", f"WITH {pruned_sql(12)} SELECT * FROM pr", "let")
 def t5(spark, d):
-    return op.prune_letters(votes(spark, d), 12)
+    return pruned(spark, d, 12)
 
 
 @query("t6_n_best", f"WITH RECURSIVE {TEXTS} SELECT plate_id, text, total FROM nb", "let")

@@ -1,6 +1,9 @@
 """Sums, ties and partitions of tables larger than those of the other tests."""
 
-from roadlens.operators import aggregates
+from roadlens.operators import aggregates, plates, windows
+from roadlens.plans import ranking
+
+from .conftest import DATA
 
 
 def test_otsu_of_counts_whose_products_outgrow_a_long(spark):
@@ -15,3 +18,13 @@ def test_an_outlier_at_three_deviations_is_no_outlier(spark):
     df = spark.createDataFrame(rows, "k long, n long, s long, q long, x long")
     flags = {r["k"]: r["flag"] for r in aggregates.outliers(df, "x").collect()}
     assert flags == {0: "ok", 1: "soft", 2: "ok", 3: "soft", 4: "soft", 5: "hard", 6: "ok"}
+
+
+def test_plates_are_spread_over_more_partitions_as_they_grow(spark, monkeypatch):
+    few = ranking.t5(spark, DATA)
+    monkeypatch.setattr(windows, "SPREAD_ROWS", 200)
+    many = ranking.t5(spark, DATA)
+    assert many.rdd.getNumPartitions() >= 25 > few.rdd.getNumPartitions()
+    assert sorted(map(tuple, many.collect())) == sorted(map(tuple, few.collect()))
+    votes = spark.createDataFrame([(p, 0, "A", p) for p in range(1000)], "plate_id long, pos long, letter string, total long")
+    assert plates.prune_letters(votes, 5).rdd.getNumPartitions() == 5
