@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
+from ..shipping import ship
 
 FRAME = ["camera_id", "frame_id"]
 
@@ -90,6 +94,92 @@ def rank_pairs(df: DataFrame) -> DataFrame:
     )
 
 
+#: Rows of a block of rank_distances, about, and blocks of a query at least.
+BLOCK_ROWS, BLOCKS = 8192, 4
+
+
+def rank_distances(df: DataFrame) -> DataFrame:
+    """qid, a, b, target and l1 of the pairs of rank_pairs(df): l1 is the sum of absolute differences of whole-number vectors.
+
+    The rows of a query are dealt into blocks by a hash of their id, every two blocks meet in one place, and rows stream from
+    there, so a task holds two blocks and the pairs of one row. l1 is null where a vector is null, holds a null, or the two differ in length.
+    """
+    ship(df.sparkSession)
+    own = df.where("qid is not null and id is not null and rank is not null").select("qid", "id", "rank", "q")
+    blocks = F.greatest(F.lit(BLOCKS), F.ceil(F.count(F.lit(1)) / BLOCK_ROWS)).cast("int")
+    own = own.join(own.groupBy("qid").agg(blocks.alias("_n")), "qid").withColumn("_k", F.pmod(F.xxhash64("id"), F.col("_n")).cast("int"))
+    own = own.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    own = own.select("qid", F.least("_k", "_other").alias("_lo"), F.greatest("_k", "_other").alias("_hi"), "_k", "id", "rank", "q")
+    cells = own.repartition("qid", "_lo", "_hi").sortWithinPartitions("qid", "_lo", "_hi", "_k")
+    kinds = dict(own.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, parts = None, []
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            keys = list(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True))
+            begin = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1])]
+            for start, end in zip(begin, [*begin[1:], len(keys)], strict=True):
+                if start < end:
+                    if keys[start] != at and parts:
+                        yield from _cell_pairs(pa.concat_tables(parts))
+                        parts = []
+                    at = keys[start]
+                    parts.append(rows.slice(start, end - start))
+        if parts:
+            yield from _cell_pairs(pa.concat_tables(parts))
+
+    return cells.mapInArrow(run, f"qid {kinds['qid']}, a {kinds['id']}, b {kinds['id']}, target int, l1 long")
+
+
+def _cell_pairs(cell: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Pairs of the two blocks of a cell, or of its one block, in batches of about 2^17."""
+    cell = cell.combine_chunks()
+    qid, ids, rank, block = cell["qid"][0], cell["id"].to_numpy(), cell["rank"].to_numpy(), cell["_k"].to_numpy()
+    if cell["_lo"][0] == cell["_hi"][0]:
+        first = second = np.arange(len(ids))
+    else:
+        first, second = (np.flatnonzero(block == cell[c][0].as_py()) for c in ("_lo", "_hi"))
+    # rows whose vectors can be compared, by length; place: a row's number there
+    of = cell["q"].combine_chunks()
+    of = of.chunk(0) if isinstance(of, pa.ChunkedArray) else of
+    size = np.array([-1 if v is None else v for v in pc.list_value_length(of).to_pylist()])
+    if of.flatten().null_count:
+        size[np.unique(pc.list_parent_indices(of).to_numpy()[pc.is_null(of.flatten()).to_numpy(zero_copy_only=False)])] = -1
+    vectors = {}
+    for n in set(size.tolist()) - {-1}:
+        rows = np.flatnonzero(size == n)
+        made = of.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).reshape(len(rows), n)
+        small = n and max(abs(int(made.min())), abs(int(made.max()))) * 2 * n < 2**31
+        place = np.full(len(ids), -1)
+        place[rows] = np.arange(len(rows))
+        vectors[n] = made.astype(np.int32 if small else np.int64), place
+    out, held = [], 0
+    for i in first:
+        met = second[rank[second] != rank[i]]
+        met = met[ids[met] > ids[i]] if first is second else met[ids[met] != ids[i]]
+        if not len(met):
+            continue
+        l1, known = np.zeros(len(met), np.int64), (size[met] == size[i]) & (size[i] >= 0)
+        if known.any():
+            x, place = vectors[size[i]]
+            l1[known] = np.abs(x[place[met[known]]] - x[place[i]]).sum(1, dtype=np.int64)
+        ahead = ids[met] > ids[i]
+        higher = np.where(ahead, rank[i] > rank[met], rank[met] > rank[i])
+        out.append((np.where(ahead, ids[i], ids[met]), np.where(ahead, ids[met], ids[i]), np.where(higher, 1, -1).astype(np.int32), l1, ~known))
+        held += len(met)
+        if held >= 1 << 17:
+            yield _pair_batch(qid, out)
+            out, held = [], 0
+    if out:
+        yield _pair_batch(qid, out)
+
+
+def _pair_batch(qid: pa.Scalar, out: list[tuple]) -> pa.RecordBatch:
+    a, b, target, l1, unknown = (np.concatenate(c) for c in zip(*out, strict=True))
+    return pa.RecordBatch.from_arrays([pa.repeat(qid, len(a)), pa.array(a), pa.array(b), pa.array(target), pa.array(l1, mask=unknown)], ["qid", "a", "b", "target", "l1"])
+
+
 def pair_model_lookup(pairs: DataFrame, models: DataFrame) -> DataFrame:
     """Model of two classes, whichever comes first; null where there is none."""
     own = models.select(F.least("m1", "m2").alias("_lo"), F.greatest("m1", "m2").alias("_hi"), "model")

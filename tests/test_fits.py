@@ -51,3 +51,16 @@ def test_a_rank_model_of_rows_is_that_of_all_pairs(spark):
     up = np.ones(len(diff))
     assert objective(diff, up, one, 0) <= 1.02 * objective(diff, up, two, 0) < 0.9
     assert ml.rank_model_of(df.where("rank = 1")) == []
+
+
+def test_distances_by_blocks_are_those_of_all_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    rows = [(int(i), int(i) % 2, int(rng.integers(0, 3)), rng.integers(-9, 9, 3).tolist()) for i in rng.permutation(120)]
+    rows += [(200, 0, 1, None), (201, 0, 2, [1, None, 3]), (202, 0, 0, [4, 5]), (203, 0, 2, [2**40, 1]), (204, None, 1, [1, 2, 3]), (205, 1, None, [1, 2, 3]), (206, 5, 1, [1, 2, 3]), (3, 1, 7, [0, 0, 0]), (207, 0, 1, []), (208, 0, 2, [])]
+    df = spark.createDataFrame(rows, "id long, qid long, rank int, q array<long>").repartition(3)
+    want = joins.rank_pairs(df).select("qid", "a", "b", "target", F.aggregate("q", F.lit(0).cast("long"), lambda s, x: s + F.abs(x)).alias("l1"))
+    want = sorted(map(tuple, want.collect()), key=repr)
+    for size in (8192, 7):
+        monkeypatch.setattr(joins, "BLOCK_ROWS", size)
+        assert sorted(map(tuple, joins.rank_distances(df).collect()), key=repr) == want
+    assert any(r[4] is None for r in want)
