@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import ml as op
-from ..operators.joins import rank_pairs
 from ..sources import adapters as src
 from ..sources import readers, writers
 from .base import query
@@ -99,7 +98,7 @@ def m4(spark, d):
 @query("m5_rank_model")
 def m5(spark, d):
     ranked = src.samples(spark, d).select("id", C("label").alias("qid"), (C("id") % 3).alias("rank"), "q")
-    w = op.rank_model(rank_pairs(ranked))
+    w = op.rank_model_of(ranked)
     return spark.createDataFrame([(i, x) for i, x in enumerate(w)], "feature int, w double")
 
 
