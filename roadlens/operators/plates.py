@@ -20,18 +20,23 @@ def places(votes: DataFrame) -> DataFrame:
     """Each plate's places in order with their letters (letter, total, cost), best first.
 
     A letter over a tenth below its place's best costs one substitution, but for the skip sign
-    and in the last place.
+    and in the last place. The votes are ranked unless they have their rank. Costs are worked out
+    within a plate's array, so the rows are not sorted for them.
     """
-    best = F.max("total").over(Window.partitionBy("plate_id", "pos"))
-    last = F.max("pos").over(Window.partitionBy("plate_id"))
-    weak = (F.col("rank") > 1) & (F.col("total") * 10 < best * 9) & (F.col("letter") != SKIP) & (F.col("pos") != last)
-    own = rank_letters(votes).withColumn("cost", F.when(weak, 1).otherwise(0))
-    by_place = own.groupBy("plate_id", "pos").agg(F.sort_array(F.collect_list(F.struct("rank", "letter", "total", "cost"))).alias("letters"))
-    return by_place.groupBy("plate_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "letters"))), lambda p: p["letters"]).alias("places"))
+    own = votes if "rank" in votes.columns else rank_letters(votes)
+    by_place = own.groupBy("plate_id", "pos").agg(F.sort_array(F.collect_list(F.struct("rank", "letter", "total"))).alias("letters"))
+    by_plate = by_place.groupBy("plate_id").agg(F.sort_array(F.collect_list(F.struct("pos", "letters"))).alias("_all"))
 
+    def with_costs(p: Column, i: Column) -> Column:
+        best, last = p["letters"][0]["total"], i == F.size("_all") - 1
+        weak = lambda v: (v["rank"] > 1) & (v["total"] * 10 < best * 9) & (v["letter"] != SKIP) & ~last
+        return F.transform(p["letters"], lambda v: F.struct(v["letter"].alias("letter"), v["total"].alias("total"), F.when(weak(v), 1).otherwise(0).alias("cost")))
 
-def n_best(rows: DataFrame, max_subs: int) -> DataFrame:
-    """One row for each combination of letters with at most max_subs substitutions: text and total."""
+    return by_plate.select("plate_id", F.transform("_all", with_costs).alias("places"))
+
+
+def combinations(rows: DataFrame, max_subs: int) -> DataFrame:
+    """Each plate's combinations of letters with at most max_subs substitutions, as an array of text and total."""
     start = F.array(F.struct(F.lit("").alias("text"), F.lit(0).cast("long").alias("total"), F.lit(0).alias("subs")))
 
     def extend(done: Column, letters: Column) -> Column:
@@ -42,8 +47,19 @@ def n_best(rows: DataFrame, max_subs: int) -> DataFrame:
 
         return F.filter(F.flatten(F.transform(done, with_letter)), lambda c: c["subs"] <= max_subs)
 
-    all_of = F.aggregate("places", start, extend)
-    return rows.select("plate_id", F.explode(all_of).alias("c")).select("plate_id", "c.text", "c.total")
+    found = F.transform(F.aggregate("places", start, extend), lambda c: F.struct(c["text"].alias("text"), c["total"].alias("total")))
+    return rows.select("plate_id", found.alias("texts"))
+
+
+def best_first(texts: Column) -> Column:
+    """Texts (text, total) of a plate by falling total, then by text."""
+    keyed = F.sort_array(F.transform(texts, lambda c: F.struct((-c["total"]).alias("k"), c["text"].alias("text"))))
+    return F.transform(keyed, lambda c: F.struct(c["text"].alias("text"), (-c["k"]).alias("total")))
+
+
+def n_best(rows: DataFrame, max_subs: int) -> DataFrame:
+    """One row for each combination of letters with at most max_subs substitutions: text and total."""
+    return combinations(rows, max_subs).select("plate_id", F.explode("texts").alias("c")).select("plate_id", "c.text", "c.total")
 
 
 def prune_letters(votes: DataFrame, n: int, together: bool = False) -> DataFrame:
@@ -54,7 +70,7 @@ def prune_letters(votes: DataFrame, n: int, together: bool = False) -> DataFrame
     largest loss on the way to it, so a sort by that loss gives the order without a loop. The rows are
     spread by plate, and all later steps stay within a partition; together: votes are so already.
     """
-    place = Window.partitionBy("plate_id", "pos").orderBy("rank")
+    place = Window.partitionBy("plate_id", "pos").orderBy(F.col("total").desc(), "letter")  # as rank_letters sorts
     turn = Window.partitionBy("plate_id").orderBy(F.col("_loss").asc_nulls_first(), "pos", "rank").rowsBetween(Window.unboundedPreceding, -1)
     own = votes.select("plate_id", "pos", "letter", "total")
     ranked = rank_letters(own if together else spread(own, ["plate_id"]))

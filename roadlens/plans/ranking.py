@@ -83,15 +83,24 @@ def pruned(spark, d, n):
     return op.prune_letters(votes, n, together=True)
 
 
+def places(spark, d):
+    return op.places(pruned(spark, d, CANDIDATES))
+
+
 def candidates(spark, d):
-    """Texts over all places of each plate, from its pruned letters, with one substitution at most."""
-    return op.n_best(op.places(pruned(spark, d, CANDIDATES)), 1)
+    """Texts over all places of each plate, from its pruned letters, with one substitution at most: an array, so that nothing sorts the texts of many plates."""
+    return op.combinations(places(spark, d), 1)
+
+
+def top(spark, d, n):
+    """The n best texts of each plate, in order."""
+    return candidates(spark, d).select("plate_id", F.slice(op.best_first(C("texts")), 1, n).alias("texts"))
 
 
 @query("t4_top_plates", f"WITH RECURSIVE {TEXTS}, r AS (SELECT *, row_number() OVER (PARTITION BY plate_id ORDER BY total DESC, text) AS rank FROM nb) SELECT plate_id, rank, text, total FROM r WHERE rank <= 3", "let")
 def t4(spark, d):
-    w = Window.partitionBy("plate_id").orderBy(C("total").desc(), "text")
-    return candidates(spark, d).withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 3")
+    own = top(spark, d, 3).select("plate_id", F.posexplode("texts").alias("i", "c"))
+    return own.select("plate_id", "c.text", "c.total", (C("i") + 1).cast("long").alias("rank"))
 
 
 @query("t5_prune_letters", f"WITH {pruned_sql(12)} SELECT * FROM pr", "let")
@@ -101,7 +110,7 @@ def t5(spark, d):
 
 @query("t6_n_best", f"WITH RECURSIVE {TEXTS} SELECT plate_id, text, total FROM nb", "let")
 def t6(spark, d):
-    return candidates(spark, d)
+    return op.n_best(places(spark, d), 1)
 
 
 @query("t7_order_boxes", "SELECT det_id, row_number() OVER (PARTITION BY camera_id, frame_id ORDER BY x, det_id) AS by_x, row_number() OVER (PARTITION BY camera_id, frame_id ORDER BY h, det_id) AS by_h FROM det", "det")
@@ -112,23 +121,23 @@ def t7(spark, d):
 
 @query("t8_rescale_scores", f"WITH RECURSIVE {TEXTS} SELECT plate_id, text, round(90.0::DOUBLE * total / max(total) OVER (PARTITION BY plate_id), 4) AS score FROM nb WHERE total > 0", "let")
 def t8(spark, d):
-    top = F.max("total").over(Window.partitionBy("plate_id"))
-    return candidates(spark, d).where("total > 0").select("plate_id", "text", F.round(90.0 * C("total") / top, 4).alias("score"))
+    own = candidates(spark, d).select("plate_id", F.filter("texts", lambda c: c["total"] > 0).alias("texts"))
+    each = own.select("plate_id", F.array_max(F.transform("texts", lambda c: c["total"])).alias("_top"), F.explode("texts").alias("c"))
+    return each.select("plate_id", "c.text", F.round(90.0 * C("c.total") / C("_top"), 4).alias("score"))
 
 
 @query("t9_plate_result", f"""WITH RECURSIVE {TEXTS}, m AS (SELECT plate_id, text, regexp_full_match(text, '[A-D][A-Z].*') AS ok, row_number() OVER (PARTITION BY plate_id ORDER BY total DESC, text) AS rank FROM nb)
   SELECT plate_id, coalesce(min_by(text, rank) FILTER (ok), max_by(text, rank)) AS text, bool_or(ok) AS matches FROM m GROUP BY 1""", "let")
 def t9(spark, d):
     """The first text that matches, else the last one, without a match."""
-    w = Window.partitionBy("plate_id").orderBy(C("total").desc(), "text")
-    own = candidates(spark, d).withColumns({"rank": F.row_number().over(w), "ok": C("text").rlike("^[A-D][A-Z]")})
-    hit = F.min_by("text", F.when(C("ok"), C("rank")))
-    return own.groupBy("plate_id").agg(F.coalesce(F.when(F.bool_or("ok"), hit), F.max_by("text", "rank")).alias("text"), F.bool_or("ok").alias("matches"))
+    own = candidates(spark, d).select("plate_id", F.transform(op.best_first(C("texts")), lambda c: c["text"]).alias("texts"))
+    own = own.select("plate_id", "texts", F.filter("texts", lambda t: t.rlike("^[A-D][A-Z]")).alias("hits")).where(F.size("texts") > 0)
+    last = F.try_element_at("texts", F.lit(-1))
+    return own.select("plate_id", F.coalesce(F.try_element_at("hits", F.lit(1)), last).alias("text"), (F.size("hits") > 0).alias("matches"))
 
 
 @query("k5_format_candidates", f"""WITH RECURSIVE {TEXTS}, r AS (SELECT *, row_number() OVER (PARTITION BY plate_id ORDER BY total DESC, text) AS rank FROM nb)
   SELECT plate_id, string_agg(printf('P=%s,S=%d,M=%d;', text, total, CASE WHEN starts_with(text, 'A') THEN 1 ELSE 0 END), '' ORDER BY rank) AS line FROM r WHERE rank <= 3 GROUP BY 1""", "let")
 def k5(spark, d):
-    top = t4(spark, d).groupBy("plate_id").agg(F.sort_array(F.collect_list(F.struct("rank", "text", "total"))).alias("c"))
-    line = F.transform("c", lambda x: F.format_string("P=%s,S=%d,M=%d;", x["text"], x["total"], F.when(F.startswith(x["text"], F.lit("A")), 1).otherwise(0)))
-    return top.select("plate_id", F.array_join(line, "").alias("line"))
+    line = F.transform("texts", lambda x: F.format_string("P=%s,S=%d,M=%d;", x["text"], x["total"], F.when(F.startswith(x["text"], F.lit("A")), 1).otherwise(0)))
+    return top(spark, d, 3).where(F.size("texts") > 0).select("plate_id", F.array_join(line, "").alias("line"))

@@ -28,3 +28,10 @@ def test_plates_are_spread_over_more_partitions_as_they_grow(spark, monkeypatch)
     assert sorted(map(tuple, many.collect())) == sorted(map(tuple, few.collect()))
     votes = spark.createDataFrame([(p, 0, "A", p) for p in range(1000)], "plate_id long, pos long, letter string, total long")
     assert plates.prune_letters(votes, 5).rdd.getNumPartitions() == 5
+
+
+def test_texts_are_ranked_without_sorting_those_of_many_plates(spark):
+    """Each of these sorts the letters as often as t6 does, and nothing after the texts are made."""
+    sorts = lambda q: q(spark, DATA)._jdf.queryExecution().executedPlan().toString().count("Sort [")
+    assert {sorts(q) for q in (ranking.t4, ranking.t8, ranking.t9, ranking.k5)} == {sorts(ranking.t6)}
+    assert sorts(ranking.t6) <= 4  # one more each for a second rank, and for each place's best and last
