@@ -1,3 +1,4 @@
+import random
 import re
 from collections import defaultdict
 
@@ -274,3 +275,20 @@ def test_lines_that_share_an_opening_leave_few_pairs(spark, monkeypatch):
         assert out.agg(F.sum("n_dropped")).first()[0] == 0
         left.append(sum(counts))
     assert left[0] <= 100 and left[1] <= 400, left
+
+
+def test_bands_of_several_lines_are_found_without_a_sort(spark):
+    rows = spark.createDataFrame([(b"a", 1), (b"a", 1), (b"b", 2), (b"c", 2), (b"d", 3)], "_line binary, band long")
+    shared = line_dedup._shared(rows)
+    assert [r["band"] for r in shared.collect()] == [2]
+    assert "SortAggregate" not in shared._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pieces_are_those_of_the_plain_pattern(spark):
+    plain = "(?s)(?=(.{1,12}))(?:[^\\s\\x{0E00}-\\x{10FFFF}]{1,12}+(?!\\S)|\\S[^\\saeiou0-9A-Z\\x{0E00}-\\x{10FFFF}]{0,11}+)\\s*"
+    rng = random.Random(3)
+    signs = [*map(chr, range(0x21)), *"aeiouxyzAZ09-.", "\x7f", "\x85", "\xa0", "é", "\u0dff", "\u0e00", "\u2028", "日", "\uffff", "\U0001f600", "\U0010ffff"]
+    lines = ["".join(rng.choices(signs, weights=[1] * 33 + [9] * (len(signs) - 33), k=rng.randrange(60))) for _ in range(3000)]
+    df = spark.createDataFrame([(x,) for x in lines], "line string")
+    of = lambda p: F.regexp_extract_all("line", F.lit(p), F.lit(1))
+    assert df.where(of(plain) != of(line_dedup._PIECES)).count() == 0
