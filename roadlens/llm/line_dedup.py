@@ -48,10 +48,9 @@ def shingles(line: Column) -> Column:
 
 
 def windows(line: Column) -> Column:
-    """Distinct hashes (odd numbers) of all windows of SHINGLE characters; a shorter line is one window."""
+    """Hashes (odd numbers) of all windows of SHINGLE characters, repeats included; a shorter line is one window."""
     every = F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{SHINGLE}}}))."), F.lit(1))
-    hashes = F.transform(F.when(F.length(line) < SHINGLE, F.array(line)).otherwise(every), lambda w: F.xxhash64(w).bitwiseOR(1))
-    return F.array_distinct(hashes)
+    return F.transform(F.when(F.length(line) < SHINGLE, F.array(line)).otherwise(every), lambda w: F.xxhash64(w).bitwiseOR(1))
 
 
 def bands(hashes: Column) -> Column:
@@ -95,7 +94,7 @@ def _identity(key: str, text: str) -> Column:
 
 def _sketches(lines: DataFrame) -> DataFrame:
     """_line, n (size of its set) and s0 ...: parities of the numbers of hashes in each of 64 classes of SKETCH ranges."""
-    each = lines.select("_line", F.explode(windows(F.col("line"))).alias("h"))
+    each = lines.select("_line", F.explode(F.array_distinct(windows(F.col("line")))).alias("h"))
     word, bit = F.shiftright("h", 64 - _WORD_BITS) + SKETCH // 2, F.expr("shiftleft(1L, cast(shiftright(h, 1) & 63 as int))")
     each = each.select("_line", word.alias("w"), bit.alias("b"))
     words = [F.bit_xor(F.when(F.col("w") == k, F.col("b")).otherwise(F.lit(0).cast("long"))).alias(f"s{k}") for k in range(SKETCH)]
@@ -105,8 +104,8 @@ def _sketches(lines: DataFrame) -> DataFrame:
 def _texts(active: DataFrame, docs_lines: DataFrame) -> DataFrame:
     """_line and line of the lines of active: a text is an eighth of its set, which is made again where it is needed."""
     named = active.select("_line").distinct()
-    lines = docs_lines.join(beside(durable(named, "named")), "_line", "left_semi").dropDuplicates(["_line"])
-    return durable(lines.select("_line", "line"), "texts")
+    lines = docs_lines.join(beside(durable(named, "named")), "_line", "left_semi")
+    return durable(lines.select("_line", "line").distinct(), "texts")  # one of each _line would be found by a sort of the texts
 
 
 def _as_other(rows: DataFrame) -> DataFrame:
@@ -125,16 +124,11 @@ def _may_be_near() -> Column:
 
 
 def _near(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are like each other."""
+    """The pairs (a, b; n: the sizes of their sets added up) that are like each other."""
     left, right = texts.select(F.col("_line").alias("a"), F.col("line").alias("_ta")), texts.select(F.col("_line").alias("b"), F.col("line").alias("_tb"))
-
-    def alike(x: Column, y: Column) -> Column:
-        common = F.size(F.array_intersect(x, y))
-        return common * 100 >= SIMILARITY * (F.size(x) + F.size(y) - common)
-
-    sets = F.array(F.struct(windows(F.col("_ta")).alias("x"), windows(F.col("_tb")).alias("y")))
-    near = F.exists(sets, lambda s: alike(s["x"], s["y"]))
-    return durable(pairs.join(left, "a").join(right, "b").where(near).select("a", "b"), "linked")
+    # what is in both sets is what the sizes are above the union's
+    union = F.size(F.array_union(windows(F.col("_ta")), windows(F.col("_tb"))))
+    return durable(pairs.join(left, "a").join(right, "b").where(100 * F.col("n") >= (100 + SIMILARITY) * union).select("a", "b"), "linked")
 
 
 def _shared(rows: DataFrame) -> DataFrame:
@@ -163,7 +157,7 @@ def line_components(lines: DataFrame, docs_lines: DataFrame) -> DataFrame:
     while True:
         own = _open(own.select(*columns), found)  # a band that is done stays so
         pairs = meet(own, rounds)
-        linked = _near(durable(pairs.select(F.least("_line", "_line_2").alias("a"), F.greatest("_line", "_line_2").alias("b")).distinct(), "pairs"), texts)
+        linked = _near(durable(pairs.select(F.least("_line", "_line_2").alias("a"), F.greatest("_line", "_line_2").alias("b"), (F.col("n") + F.col("n_2")).alias("n")).distinct(), "pairs"), texts)
         n = linked.count()
         if found is None or n:
             found = _merged(found, linked)
@@ -190,11 +184,16 @@ def _open(rows: DataFrame, found: DataFrame | None) -> DataFrame:
     """rows with component, of the bands that hold several; _outside: not in the largest of the band's."""
     if found is None:
         return rows.withColumns({"component": F.col("_line"), "_outside": F.lit(True)})
-    own = rows.join(found.withColumnRenamed("node", "_line"), "_line", "left").withColumn("component", F.coalesce("component", "_line"))
-    own = durable(own, "labelled")
-    counts = own.groupBy("band", "component").agg(F.count(F.lit(1)).alias("_n"))
+
+    def labelled(own: DataFrame) -> DataFrame:
+        known = found.withColumnRenamed("node", "_line")
+        return own.join(known, "_line", "left").withColumn("component", F.coalesce("component", "_line"))
+
+    # sketches are read once, with the bands that stay open
+    counts = labelled(rows.select("band", "_line")).groupBy("band", "component").agg(F.count(F.lit(1)).alias("_n"))
     opened = counts.groupBy("band").agg(F.max(F.struct("_n", "component")).alias("_main"), F.count(F.lit(1)).alias("_of")).where("_of > 1")
-    active = own.join(opened.select("band", F.col("_main.component").alias("_main")), "band")
+    opened = durable(opened.select("band", F.col("_main.component").alias("_main")), "bands")
+    active = labelled(rows.join(beside(opened), "band"))
     return durable(active.withColumn("_outside", F.col("component") != F.col("_main")).drop("_main"), "open")
 
 
@@ -223,9 +222,9 @@ def _nearest(rows: DataFrame, round_: int) -> DataFrame:
         return sum((F.bit_count(F.col(f"s{k}").bitwiseXOR(h[f"s{k}"])) for k in range(SKETCH)), F.lit(0))
 
     near = F.filter("_hubs", lambda h: (h["component"] != F.col("component")) & _bounded(F.col("n") + h["n"], apart(h)))
-    best = F.array_min(F.transform(near, lambda h: F.struct(apart(h).alias("d"), h["_line"].alias("_line"))))
-    met = rows.where("_outside").join(hubs, "band").select("_line", best["_line"].alias("_line_2"))
-    return met.where("_line_2 is not null")
+    best = F.array_min(F.transform(near, lambda h: F.struct(apart(h).alias("d"), h["_line"].alias("_line"), h["n"].alias("n"))))
+    met = rows.where("_outside").join(hubs, "band").select("_line", "n", best.alias("_best"))
+    return met.where("_best is not null").select("_line", "n", F.col("_best._line").alias("_line_2"), F.col("_best.n").alias("n_2"))
 
 
 def _across(rows: DataFrame, _: int) -> DataFrame:

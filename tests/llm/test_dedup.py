@@ -292,3 +292,30 @@ def test_pieces_are_those_of_the_plain_pattern(spark):
     df = spark.createDataFrame([(x,) for x in lines], "line string")
     of = lambda p: F.regexp_extract_all("line", F.lit(p), F.lit(1))
     assert df.where(of(plain) != of(line_dedup._PIECES)).count() == 0
+
+
+def test_line_dedup_reads_sketches_once_and_sorts_no_texts(spark, monkeypatch):
+    """Of the tables in between only those of open bands hold sketches, and texts are told apart without a sort."""
+    made, write = [], line_dedup.durable
+
+    def noted(df, name="stage"):
+        made.append((name, df.columns, df._jdf.queryExecution().executedPlan().toString()))
+        return write(df, name)
+
+    monkeypatch.setattr(line_dedup, "durable", noted)
+    lines = ["abc" * 30 + f"tail {k % 4} of the line {k}" for k in range(40)]
+    own = line_dedup._lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"), "doc_id", "text")
+    at = own.select("_line", line_dedup.bands(line_dedup.shingles(F.col("line"))).alias("bands"))
+    line_dedup.line_components(at, own.select("_line", "line"))
+    assert {name for name, columns, _ in made if "s0" in columns} == {"sketched", "open"}
+    assert all("SortAggregate" not in plan for name, _, plan in made if name == "texts")
+
+
+def test_verification_counts_repeated_windows_once(spark):
+    lines = ["ab" * k for k in range(3, 12)] + ["short", "short "] + ["abc" * 9 + "0123456789" * (k % 3) + "x" * k for k in range(30)]
+    sets = [line_set(x) for x in lines]
+    every = [(i, j, len(sets[i]) + len(sets[j])) for j in range(len(lines)) for i in range(j)]
+    near = {(i, j) for i, j, _ in every if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    texts = spark.createDataFrame(list(enumerate(lines)), "_line long, line string")
+    got = line_dedup._near(spark.createDataFrame(every, "a long, b long, n long"), texts).collect()
+    assert {(r["a"], r["b"]) for r in got} == near and 50 < len(near) < len(every) - 50
