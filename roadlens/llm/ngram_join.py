@@ -139,6 +139,29 @@ def _slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordB
     return (part for whole in batches for part in in_slices(whole, text))
 
 
+def packed_numbers(values: np.ndarray, begin: np.ndarray) -> pa.Array:
+    """Runs of rising numbers below 2^28, which begin at `begin`, each as the gaps between them, 7 bits a byte, low ones first."""
+    gaps = values.astype(np.int64)
+    gaps[1:] -= values[:-1].astype(np.int64)
+    gaps[begin] = values[begin]
+    many = 1 + (gaps >= 1 << 7).astype(np.int64) + (gaps >= 1 << 14) + (gaps >= 1 << 21)
+    ends = np.cumsum(many)
+    out = np.zeros(ends[-1], np.uint8)
+    for k in range(4):
+        own = many > k
+        out[(ends - many)[own] + k] = (gaps[own] >> 7 * k) & 127 | np.where(many[own] > k + 1, 128, 0)
+    cuts = np.append((ends - many)[begin], ends[-1]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(cuts.tobytes()), pa.py_buffer(out.tobytes())])
+
+
+def unpacked_numbers(run: bytes) -> np.ndarray:
+    """The numbers of one run of packed_numbers."""
+    raw = np.frombuffer(run, np.uint8)
+    first = np.flatnonzero(np.append(True, raw[:-1] < 128))
+    place = np.arange(len(raw)) - np.repeat(first, np.diff(np.append(first, len(raw))))
+    return np.cumsum(np.add.reduceat((raw & 127).astype(np.uint32) << (7 * place).astype(np.uint32), first), dtype=np.uint32)
+
+
 def token_classes(docs: DataFrame, text: str, n_tokens: int) -> tuple[np.ndarray, np.ndarray, int]:
     """Bit tables of slots with a token that occurs twice, and with one over FREQUENT times.
 
@@ -158,10 +181,8 @@ def token_classes(docs: DataFrame, text: str, n_tokens: int) -> tuple[np.ndarray
             value = np.repeat(value, np.minimum(n, FREQUENT + 1))
             group = (value >> np.uint64(REST)).astype(np.int64)
             begin = np.flatnonzero(np.diff(group, prepend=-1))
-            rest = (value & np.uint64((1 << REST) - 1)).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]
-            blobs = [x.tobytes() for x in np.split(rest, begin[1:])]
             held.clear()
-            return pa.RecordBatch.from_pydict({"g": group[begin], "v": pa.array(blobs, pa.binary())})
+            return pa.RecordBatch.from_pydict({"g": group[begin], "v": packed_numbers(value & np.uint64((1 << REST) - 1), begin)})
 
         for batch in _slices(batches, text):
             h = shingle_hashes(batch.column(batch.schema.get_field_index(text)))[0]
@@ -173,8 +194,7 @@ def token_classes(docs: DataFrame, text: str, n_tokens: int) -> tuple[np.ndarray
             yield flush()
 
     def classify(group: pd.DataFrame) -> pd.DataFrame:
-        raw = np.frombuffer(b"".join(group["v"]), np.uint8).reshape(-1, 3).astype(np.uint32)
-        value, n = np.unique(raw[:, 0] | raw[:, 1] << 8 | raw[:, 2] << 16, return_counts=True)
+        value, n = np.unique(np.concatenate([unpacked_numbers(v) for v in group["v"]]), return_counts=True)
         slot = value >> np.uint32(REST - (slot_bits - group_bits)) if slot_bits - group_bits <= REST else value
         out = [np.zeros(1 << (slot_bits - group_bits), bool) for _ in range(2)]
         out[0][slot[n > 1]] = True
@@ -233,9 +253,9 @@ def _index(docs: DataFrame, n_tokens: int) -> DataFrame:
 _INDEX = {"node": pa.binary(), "n": pa.int32(), "u": pa.int32(), "sketch": pa.list_(pa.int64()), "keys": pa.list_(pa.int64())}
 
 
-def _by_key(index: DataFrame, *more: str) -> DataFrame:
-    bits = [F.col("sketch")[k].alias(f"s{k}") for k in range(SKETCH)]
-    return index.select(F.explode("keys").alias("key"), "node", "n", "u", *bits, *more)
+def _bits(index: DataFrame, *more: str) -> DataFrame:
+    """What is compared of each node. A node has many keys, so rows of keys get it once few are left."""
+    return index.select("node", "n", "u", *[F.col("sketch")[k].alias(f"s{k}") for k in range(SKETCH)], *more)
 
 
 def _as_other(rows: DataFrame) -> DataFrame:
@@ -259,9 +279,10 @@ def _central_pairs(index: DataFrame) -> DataFrame:
     """Pairs (a, b) of each node with the node of fewest unique tokens of each of its keys."""
     slim = index.select(F.explode("keys").alias("key"), "node", "u")
     hub = slim.groupBy("key").agg(F.min(F.struct("u", "node")).alias("_hub"), F.min("node").alias("_a"), F.max("node").alias("_b"))
-    hub = hub.where("_a <> _b").select("key", F.col("_hub.node").alias("node"))
-    hubs = durable(hub.join(_by_key(index).drop("key").dropDuplicates(["node"]), "node"), "hubs")
-    return _by_key(index).join(_as_other(hubs), "key").where((F.col("node") != F.col("node_2")) & _may_be_similar()).select(*_pair()).distinct()
+    hub = hub.where("_a <> _b").select("key", F.col("_hub.node").alias("node_2"))
+    met = slim.select("key", "node").join(hub, "key").where("node <> node_2").select("node", "node_2").distinct()
+    bits = _bits(index)
+    return met.join(bits, "node").join(_as_other(bits), "node_2").where(_may_be_similar()).select(*_pair()).distinct()
 
 
 def _pairs_across(index: DataFrame, found: DataFrame) -> DataFrame:
@@ -270,7 +291,8 @@ def _pairs_across(index: DataFrame, found: DataFrame) -> DataFrame:
     counts = own.select(F.explode("keys").alias("key"), "component").groupBy("key", "component").agg(F.count(F.lit(1)).alias("_n"))
     open_keys = counts.groupBy("key").agg(F.max(F.struct("_n", "component")).alias("_main"), F.count(F.lit(1)).alias("_of")).where("_of > 1")
     open_keys = durable(open_keys.select("key", F.col("_main.component").alias("_main")), "open")
-    active = durable(_by_key(own, "component").join(open_keys, "key"), "active")
+    slim = own.select(F.explode("keys").alias("key"), "node").join(open_keys, "key")
+    active = durable(slim.join(_bits(own, "component"), "node"), "active")
     outside = active.where("component <> _main").drop("_main")
     met = outside.join(_as_other(active.drop("_main")), "key").where((F.col("component") != F.col("component_2")) & _may_be_similar())
     return met.select(*_pair()).distinct()

@@ -104,6 +104,27 @@ def test_sketches_bound_the_difference_of_sets():
         assert 0 < apart <= len(np.setxor1d(a, b)) and not (ngram_join.sketch_of(a) ^ ngram_join.sketch_of(a[::-1])).any()
 
 
+def test_counted_tokens_travel_as_gaps():
+    runs = [np.sort(np.random.default_rng(k).integers(0, 1 << 24, n)).astype(np.uint64) for k, n in enumerate((3000, 1, 3000))]
+    runs[0][:2], runs[2][-2:] = 0, (1 << 24) - 1
+    packed = ngram_join.packed_numbers(np.concatenate(runs), np.array([0, 3000, 3001])).to_pylist()
+    assert all((ngram_join.unpacked_numbers(p) == r).all() for p, r in zip(packed, runs, strict=True))
+    assert sum(map(len, packed)) < 2.2 * 6001
+
+
+def test_rows_of_keys_are_shuffled_without_sketches(spark):
+    node = F.sha1(F.col("id").cast("string")).cast("binary").alias("node")
+    keys = F.array(F.col("id") % 7, F.col("id")).alias("keys")
+    index = spark.range(40).select(node, F.lit(9).alias("n"), F.lit(0).alias("u"), F.array_repeat(F.lit(1).cast("long"), ngram_join.SKETCH).alias("sketch"), keys)
+    pairs = ngram_join._central_pairs(index)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert all("key" not in by for by in re.findall(r"Exchange hashpartitioning\(([^)]*)\)[^\n]*\n[^\n]*Project \[[^\]]*\bs0#", plan))
+    met = {(a["key"], bytes(a["node"])) for a in index.select(F.explode("keys").alias("key"), "node").collect()}
+    hubs = {key: min(n for k, n in met if k == key) for key in {k for k, _ in met}}
+    want = {tuple(sorted((n, hubs[k]))) for k, n in met if n != hubs[k]}
+    assert {(bytes(r["a"]), bytes(r["b"])) for r in pairs.collect()} == want
+
+
 def test_keep_one(hard, empty):
     kept = sorted((r["doc_id"] or -1) for r in ngram_join.keep_one(hard).collect())
     assert kept == [-1, 1, 4, 5, 6, 7, 8, 9, 10, 11, 13, 14]
