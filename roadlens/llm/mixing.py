@@ -2,7 +2,7 @@
 
 Each document d gets the rate r_d closest in relative entropy to 1 among all rates of at most
 MAX_COPIES that meet its source's token target. The solution is r_d = min(MAX_COPIES,
-exp(lambda_s * size_d / scale_s)); distributed Newton iterations on the convex dual find lambda for
+exp(lambda_s * size_d / scale_s)); distributed Newton steps on the convex dual, several tilts at a time, find lambda for
 all sources at once from (source, size) histograms. Systematic rounding turns rates into copies.
 
 Nulls: a null text has size 0, a null source is a source of its own. Documents without words
@@ -23,6 +23,8 @@ TOTAL_SHARE = 1.5
 MAX_COPIES = 2
 #: Rates are fixed-point numbers in the cumulative sums, which makes those exact in any order.
 UNIT = 1 << 20
+#: Tilts of a bracket that a step tries besides the last one.
+POINTS = 15
 #: Documents of a rounding run, about, and starting places tried.
 RUN, OFFSETS = 256, 16
 
@@ -55,15 +57,15 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     )
 
 
-def solve_tilts(histogram: DataFrame, targets: DataFrame, steps: int = 100, tolerance: float = 1e-10) -> DataFrame:
+def solve_tilts(histogram: DataFrame, targets: DataFrame, steps: int = 40, tolerance: float = 1e-10) -> DataFrame:
     """targets with the tilt of each source.
 
-    Newton iterations on the dual, all sources at once: a step sums tokens and their slope over the
-    histogram (s, size, n) by source, and moves each source's tilt towards log(tokens(tilt)) =
-    log(target). A move out of the bracket known to hold the root, or after one that gained little,
-    goes to the bracket's middle; sources whose documents are all taken MAX_COPIES times need none.
-    Sums are decimals, so that they are the same in any order. Between steps the tilts lie in a
-    table; whether all have settled is all that the driver learns.
+    The dual of all sources at once: a step sums tokens and their slope by source over the histogram (s, size, n), at
+    the source's tilt and at POINTS more in the bracket known to hold the root of log(tokens(tilt)) = log(target). The
+    sums narrow the bracket to two neighbouring points, and the next tilt is Newton's from the point that came nearest,
+    or the bracket's middle where that leaves it. So few steps are needed, each of which is jobs for the driver to plan;
+    sources whose documents are all taken MAX_COPIES times need none. Sums are decimals, so that they are the
+    same in any order. Between steps the tilts lie in a table; whether all have settled is all that the driver learns.
     """
     target, scale = F.col("target"), F.col("scale")
     # every size is at least 1, so all rates are MAX_COPIES at hi and at most half the wanted mean at lo
@@ -71,26 +73,31 @@ def solve_tilts(histogram: DataFrame, targets: DataFrame, steps: int = 100, tole
     full = target >= F.col("source_size") * (MAX_COPIES * (1 - 1e-12))
     own = targets.where((F.col("source_size") > 0) & (target > 0)).select(
         "s", "scale", "target", (scale * F.log(target / F.col("source_size") / 2)).alias("lo"), hi.alias("hi"),
-        F.when(full, hi).otherwise(F.least(F.log(target / F.col("source_size")), hi)).alias("tilt"), full.alias("done"), F.lit(None).cast("double").alias("was"),
+        F.when(full, hi).otherwise(F.least(F.log(target / F.col("source_size")), hi)).alias("tilt"), full.alias("done"),
     )
     state = durable(own, "tilts")
     sized = histogram.where("size > 0")
     for _ in range(steps):
         if state.where("not done").isEmpty():
             break
-        rate, size = _rate(F.col("tilt"), F.col("size"), scale), F.col("size")
+        between = [F.col("lo") + (F.col("hi") - F.col("lo")) * (k / (POINTS + 1)) for k in range(1, POINTS + 1)]
+        points = state.where("not done").select("s", "scale", "target", F.explode(F.array("tilt", *between)).alias("x"))
+        rate, size = _rate(F.col("x"), F.col("size"), scale), F.col("size")
         tokens = F.col("n") * size * rate
         slope = F.when(rate < MAX_COPIES, tokens * size / scale).otherwise(0.0)
-        exact = [F.sum(x.cast("decimal(38,12)")).cast("double").alias(name) for x, name in ((tokens, "_g"), (slope, "_d"))]
-        sums = sized.join(state.where("not done").select("s", "tilt", "scale"), "s").groupBy("s").agg(*exact)
+        exact = [F.sum(v.cast("decimal(38,12)")).cast("double").alias(name) for v, name in ((tokens, "_g"), (slope, "_d"))]
+        sums = sized.join(points, "s").groupBy("s", "target", "x").agg(*exact)
         over = F.log(F.col("_g") / target)
-        low, high = F.when(over <= 0, F.col("tilt")).otherwise(F.col("lo")), F.when(over >= 0, F.col("tilt")).otherwise(F.col("hi"))
-        newton = F.when(F.col("_d") > 0, F.col("tilt") - over * F.col("_g") / F.col("_d"))
-        settled = F.col("done") | (F.abs(over) < tolerance) | (high - low < 1e-12 * F.abs(high))
-        good = F.coalesce(newton.between(low, high), F.lit(False)) & (F.col("was").isNull() | (4 * F.abs(over) < F.col("was")))
-        moved = F.when(settled, F.col("tilt")).when(good, newton).otherwise((low + high) / 2)
+        newton = F.when(F.col("_d") > 0, F.col("x") - over * F.col("_g") / F.col("_d"))
+        near = sums.groupBy("s").agg(
+            F.max(F.when(over <= 0, F.col("x"))).alias("_low"), F.min(F.when(over >= 0, F.col("x"))).alias("_high"),
+            F.min(F.struct(F.abs(over).alias("off"), "x", newton.alias("next"))).alias("_best"),
+        )
+        low, high, best = F.coalesce("_low", "lo"), F.coalesce("_high", "hi"), F.col("_best")
+        settled = (best["off"] < tolerance) | (high - low < 1e-12 * F.abs(high))
+        moved = F.when(settled, best["x"]).when(best["next"].between(low, high), best["next"]).otherwise((low + high) / 2)
         kept = lambda new, old: F.when(F.col("done"), F.col(old)).otherwise(new).alias(old)
-        state = durable(state.join(sums, "s", "left").select("s", "scale", "target", kept(low, "lo"), kept(high, "hi"), kept(moved, "tilt"), settled.alias("done"), F.when(good, F.abs(over)).alias("was")), "tilts")
+        state = durable(state.join(near, "s", "left").select("s", "scale", "target", kept(low, "lo"), kept(high, "hi"), kept(moved, "tilt"), (F.col("done") | settled).alias("done")), "tilts")
     return targets.join(state.select("s", F.round("tilt", 9).alias("tilt")), "s", "left").fillna(0.0, ["tilt"])
 
 

@@ -255,3 +255,19 @@ def test_decision_list_by_brute_force(spark):
     assert len(want) >= 2
     # thresholds lie half way to the next value
     assert [[(c.feature, c.above, math.floor(c.threshold)) for c in rule] for rule in got] == [[(c, above, int(t)) for c, above, t in rule] for rule in want]
+
+
+def test_tilts_are_found_in_few_steps(spark, monkeypatch):
+    """Each step is several jobs, and the driver keeps plans, threads and broadcasts of all of them."""
+    wanted = {1: 0.8, 2: 1.6, 3: 1.72, 4: 1.76, 5: 1.9}
+    rows = [(s, size, math.ceil(20000 / size)) for s in wanted for size in sorted({int(5 * 1.12**k) for k in range(74)})]
+    histogram = spark.createDataFrame(rows, "s int, size long, n long")
+    own = histogram.groupBy("s").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), (F.sum(F.col("size").cast("double") * F.col("size") * F.col("n")) / F.sum(F.col("size") * F.col("n"))).alias("scale"))
+    targets = own.withColumn("target", F.col("source_size") * F.element_at(F.array(*map(F.lit, wanted.values())), F.col("s"))).withColumn("source", F.col("s").cast("string"))
+    tables = []
+    whole = mixing.durable
+    monkeypatch.setattr(mixing, "durable", lambda df, name: (tables.append(name), whole(df, name))[1])
+    for r in mixing.solve_tilts(histogram, targets).collect():
+        words = sum(n * size * min(2.0, math.exp(min(30.0, r["tilt"] * size / r["scale"]))) for s, size, n in rows if s == r["s"])
+        assert abs(words / r["target"] - 1) < 1e-7
+    assert tables.count("tilts") - 1 <= 8
