@@ -87,7 +87,8 @@ def solve_tilts(histogram: DataFrame, targets: DataFrame, steps: int = 40, toler
         slope = F.when(rate < MAX_COPIES, tokens * size / scale).otherwise(0.0)
         exact = [F.sum(v.cast("decimal(38,12)")).cast("double").alias(name) for v, name in ((tokens, "_g"), (slope, "_d"))]
         sums = sized.join(points, "s").groupBy("s", "target", "x").agg(*exact)
-        over = F.log(F.col("_g") / target)
+        # far down the bracket the sum may be 0, which has no logarithm
+        over = F.coalesce(F.log(F.col("_g") / target), F.lit(float("-inf")))
         newton = F.when(F.col("_d") > 0, F.col("x") - over * F.col("_g") / F.col("_d"))
         near = sums.groupBy("s").agg(
             F.max(F.when(over <= 0, F.col("x"))).alias("_low"), F.min(F.when(over >= 0, F.col("x"))).alias("_high"),
